@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimweave.llm import embed_dedup, mixing, simhash, substring, token_store, topk, warc
+from claimweave.llm import embed_dedup, mixing, piece_codec, quality, simhash, substring, token_store, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,22 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score, predicted."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_tokens and ids_crc32 of its pieces, and whether decoding them gives the text back."""
+    path = _tokenizer("piece_bpe_32k.model")
+    return piece_codec.digests(piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score, predicted."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: payload_bytes, payload_digest, record_type, refers_to, as read back from WARC archives."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -61,7 +77,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op5_token_store, op6_topk, op7_simhash, op8_mixing, op9_embedding_dedup, op10_substring)}
+    return {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_toxicity, op4_warc, op5_token_store, op6_topk, op7_simhash, op8_mixing, op9_embedding_dedup, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
