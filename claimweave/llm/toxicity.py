@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
-The lexicon is learned from training rows: words and word beginnings that stand in toxic documents and hardly ever in
+The lexicon is a short list of insults and what is learned from training rows: words and word beginnings that stand in toxic documents and hardly ever in
 others, whatever the language, each with its log odds. The trees see each training row through the lexicon of rows
 other than it, so they learn how far a word can be trusted. Features are its densities, also after undoing common
 spellings with digits and signs, its closeness to words of address, and rates of capitals, punctuation and
@@ -34,6 +34,9 @@ NEAR = 5
 MEMO_WORDS = 300_000
 #: Words that address the reader, in some European languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros su sus".split())
+#: Common insults in the same languages, known before anything is learned.
+INSULTS = frozenset("idiot moron stupid dumb loser pathetic scum worthless trash disgusting imbecile jerk bastard bitch filth vermin retard idiote débile connard salope ordure crétin dummkopf trottel arschloch abschaum versager miststück estúpido imbécil basura asqueroso inútil escoria pendejo".split())
+KNOWN_WEIGHT = 3.0
 #: Signs and digits that stand for letters.
 _PLAIN = str.maketrans("0134578@$!€", "oieastbasie")
 _EDGE = "\"'`.,;:!?()[]{}<>|%&$#*@^~=+/\\_-«»„“”‚‘’¡¿…"
@@ -58,7 +61,7 @@ class Lexicon:
         return {"weights": self.weights, "memo": {}}
 
     def _weight(self, word: str) -> float:
-        return max((self.weights.get(g, 0.0) for g in grams(word)), default=0.0)
+        return max((self.weights.get(g, 0.0) for g in grams(word)), default=0.0) or KNOWN_WEIGHT * (word in INSULTS)
 
     def word_code(self, raw: str) -> tuple[int, float]:
         word = raw.lower().strip(_EDGE)
