@@ -9,6 +9,7 @@ whole corpus is its start in the block plus the sizes of the blocks before it, w
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from claimweave.llm.common import Scratch, small_batches
 
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 350_000
 STRIPE_BYTES = 64 << 20
 #: Texts of these characters only are cut into words here; the classes of all of them are settled in every Unicode
 #: version. Other texts go through the library whole.
@@ -31,11 +32,38 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 _LOADED: dict[str, "ByteLevelEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class _Words(dict):
+    """Ids of words, as little-endian unsigned 32-bit integers; a word that is missing is encoded by the library."""
+
+    def __init__(self, model):
+        self.model, self.letters, self.old = model, _byte_letters(), {}
+
+    def age(self) -> None:
+        """Forget the words that were not met since the last call."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.get(word)) is not None:
+            self[word] = ids
+            return ids
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        self[word] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+
 class ByteLevelEncoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, special strings being ordinary text.
 
-    The library's pre-tokenizer never merges across words, so each distinct word is encoded by the library once and
-    then looked up; the cache is emptied when it holds CACHE_WORDS words.
+    The library's pre-tokenizer never merges across words, so the library's model encodes each distinct word once and
+    the ids are then looked up; the table holds at most twice CACHE_WORDS words, the latest.
     """
 
     def __init__(self, path: str):
@@ -43,8 +71,9 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.newline = self._whole("\n")
+        self.words = _Words(self.tokenizer.model)
+        probe = "A probe: it's 12 naïve\n\n  tests, \tÿ!"
+        self.by_word = self._cut(probe) == self._whole(probe)
 
     @classmethod
     def of(cls, path: str) -> "ByteLevelEncoder":
@@ -55,32 +84,13 @@ class ByteLevelEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call, a line each; words of white space or of odd shape one by one."""
-        lines = [w for w in words if not w.isspace()]
-        ids = np.frombuffer(self._whole("\n".join(lines)), "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]) if len(self.newline) == 4 else []
-        if len(cuts) == len(lines) - 1:
-            for w, part in zip(lines, np.split(ids, cuts)):
-                self.cache[w] = (part if w is lines[0] else part[1:]).tobytes()
-            words = [w for w in words if w.isspace()]
-        for w in words:
-            self.cache[w] = self._whole(w)
+    def _cut(self, text: str) -> bytes:
+        self.words.age()
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_WORDS.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        out = []
-        for t, words in zip(texts, cut):
-            if words is None:
-                out.append(self._whole(t))
-                continue
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            if new := set(words).difference(self.cache):
-                self._learn(list(new))
-            out.append(b"".join(map(self.cache.__getitem__, words)))
-        return out
+        return [self._cut(t) if self.by_word and _PLAIN.fullmatch(t) else self._whole(t) for t in texts]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
