@@ -56,11 +56,11 @@ def with_copies(docs: DataFrame) -> DataFrame:
     Columns of docs with these names are replaced. No row is dropped; an empty table gives an empty table.
     """
     own = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = own.withColumn("size", n_words(F.col("text")))
+    sized = own.withColumns({"size": n_words(F.col("text")), "__u": uniform(F.col("doc_id"), F.col("text"))})  # so texts needn't pass the join
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "__source")
     joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (uniform(F.col("doc_id"), F.col("text")) < F.col("rate") - whole).cast("long")).cast("long"))
+    return joined.withColumn("copies", (whole + (F.col("__u") < F.col("rate") - whole).cast("long")).cast("long")).drop("__u")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
