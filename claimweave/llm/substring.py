@@ -136,14 +136,16 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, th, spans``: spans lists (i0, mask) with bit o of mask set if window i0 + o also stands elsewhere."""
     small_batches(docs.sparkSession)
     occ = scratch.table(_parse(docs), "phrases")
-    keys = occ.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # The small side of each join is written first: Spark then splits a hot key's partition, which it cannot do where
+    # the join and the aggregation that made the small side are one stage.
+    keys = scratch.table(occ.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     shared = scratch.table(occ.join(keys, "key", "left_semi"), "shared")
     scratch.drop("phrases")
     runs = shared.groupBy("key", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "i0", "n")).alias("at"))
     runs = scratch.table(runs.select("key", "run", "c", "at.*"), "runs")
-    edges = runs.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    edges = scratch.table(runs.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "edges")
     inside = scratch.table(_look_inside(docs, runs.join(edges, "key", "left_semi")), "inside")
-    twice = inside.groupBy("key", "h").agg(F.sum("c").alias("s")).where("s > 1").select("key", "h")
+    twice = scratch.table(inside.groupBy("key", "h").agg(F.sum("c").alias("s")).where("s > 1").select("key", "h"), "twice")
     part = inside.where("c = 1").join(twice, ["key", "h"], "left_semi").groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
     full = runs.where("c > 1").select("key", "run", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = full.unionByName(part)
@@ -198,6 +200,27 @@ def without_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, th int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * full)
 
 
+def replace_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` (and ``n_chars``, if there) replaced by what without_repeats() keeps; no row goes."""
+    spans = repeated_windows(docs, Scratch(docs.sparkSession, "substring"))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__th"))
+    on = F.col("__id").eqNullSafe(spans["doc_id"]) & (F.col("__th") == spans["th"])
+    both = rows.join(spans, on, "left").select(*(rows[c] for c in docs.columns), "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+                if s:
+                    words = t.encode().split()
+                    t = b" ".join(w for w, x in zip(words, covered(len(words), s).tolist()) if not x).decode()
+                kept.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else c for n, c in zip(b.schema.names, b.columns) if n != "spans"], [n for n in b.schema.names if n != "spans"])
+
+    out = both.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
      win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
