@@ -48,6 +48,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return final.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
+def _drawn(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__size, __source_size, __target, __rate, __copies``."""
+    sized = docs.withColumns({"__size": n_words(F.col("text")), "__u": uniform(F.col("doc_id"), F.col("text"))})  # so texts needn't pass the join
+    per = targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    per = per.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "rate")))
+    joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    whole = F.floor("__rate")
+    return joined.withColumn("__copies", (whole + (F.col("__u") < F.col("__rate") - whole).cast("long")).cast("long")).drop("__u")
+
+
 def with_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size, source_size, target, rate, copies``: how often the mix takes each row.
 
@@ -55,17 +65,13 @@ def with_copies(docs: DataFrame) -> DataFrame:
     rule and add nothing; where all documents of a source are empty its rate is 0. Repeated rows get equal decisions.
     Columns of docs with these names are replaced. No row is dropped; an empty table gives an empty table.
     """
-    own = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = own.withColumns({"size": n_words(F.col("text")), "__u": uniform(F.col("doc_id"), F.col("text"))})  # so texts needn't pass the join
-    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "__source")
-    joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (F.col("__u") < F.col("rate") - whole).cast("long")).cast("long")).drop("__u")
+    names = ("size", "source_size", "target", "rate", "copies")
+    return _drawn(docs.drop(*names)).withColumnsRenamed({f"__{n}": n for n in names})
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as with_copies() says."""
-    many = with_copies(docs).where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    many = _drawn(docs).where("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return many.select(*docs.columns)
 
 

@@ -202,20 +202,20 @@ def without_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
 
 def replace_text(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, if there) replaced by what without_repeats() keeps; no row goes."""
-    spans = repeated_windows(docs, Scratch(docs.sparkSession, "substring"))
+    found = repeated_windows(docs, Scratch(docs.sparkSession, "substring"))
+    spans = found.select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__of"), F.col("spans").alias("__spans"))
     rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__th"))
-    on = F.col("__id").eqNullSafe(spans["doc_id"]) & (F.col("__th") == spans["th"])
-    both = rows.join(spans, on, "left").select(*(rows[c] for c in docs.columns), "spans")
+    both = rows.join(spans, F.col("__id").eqNullSafe(F.col("__doc_id")) & (F.col("__th") == F.col("__of")), "left").select(*docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist()):
                 if s:
                     words = t.encode().split()
                     t = b" ".join(w for w, x in zip(words, covered(len(words), s).tolist()) if not x).decode()
                 kept.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else c for n, c in zip(b.schema.names, b.columns) if n != "spans"], [n for n in b.schema.names if n != "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else c for n, c in zip(b.schema.names, b.columns) if n != "__spans"], [n for n in b.schema.names if n != "__spans"])
 
     out = both.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
