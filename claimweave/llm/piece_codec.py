@@ -28,6 +28,7 @@ from claimweave.llm.common import Scratch, small_batches
 
 GIANT = 65_536
 CHUNK = 16_384
+MEMO_WORDS = 250_000
 SPACE = "▁"
 #: Fixed values of the SentencePiece format: model kinds, piece kinds, and the penalty of an unknown character.
 UNIGRAM, BPE = 1, 2
@@ -50,6 +51,8 @@ class PieceModel:
         plain = not proto.normalizer_spec.precompiled_charsmap and not proto.normalizer_spec.remove_extra_whitespaces and proto.normalizer_spec.escape_whitespaces and proto.normalizer_spec.add_dummy_prefix and not proto.trainer_spec.treat_whitespace_as_suffix
         crosses = any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces if p.type in (NORMAL, USER_DEFINED))
         self.chunks = plain and (self.kind == UNIGRAM or self.kind == BPE and not crosses)
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         if self.kind == UNIGRAM:
@@ -67,8 +70,27 @@ class PieceModel:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, "<i4").tobytes() for x in self.processor.encode(texts, num_threads=1)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers.
+
+        Where a BPE model may be cut at spaces, each distinct word is encoded once and then looked up; at most twice
+        MEMO_WORDS words are kept, the latest. Texts with runs of spaces or spaces at an end are encoded whole.
+        """
+        if self.kind != BPE or not self.chunks:
+            return self._whole(texts)
+        cut = [None if not t or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t else t.split(" ") for t in texts]
+        if len(self.words) > MEMO_WORDS:
+            self.words, self.old = {}, self.words
+        new = set(chain.from_iterable(c for c in cut if c)).difference(self.words)
+        for w in new.intersection(self.old):
+            self.words[w] = self.old[w]
+        fresh = list(new.difference(self.old))
+        self.words.update(zip(fresh, self._whole(fresh)))
+        whole = iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
+        return [next(whole) if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.processor.decode(ids, num_threads=1)
@@ -161,9 +183,13 @@ def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])))
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
 
 
 def _schema(df: DataFrame) -> str:
@@ -210,7 +236,7 @@ def _encode_giants(docs: DataFrame, path: str, size: int) -> DataFrame:
 
         def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = [PieceModel.of(path).trace(*x) for x in zip(*(b.column(c).to_pylist() for c in ("s", "last", "entry", "leave")))]
+                ids = [_packed(PieceModel.of(path).trace(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("s", "last", "entry", "leave")))]
                 yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("part"), _lists(ids)], ["__row", "part", "ids"])
 
         found = chunks.mapInArrow(matrices, "__row long, part int, m binary").groupBy("__row").applyInPandas(combine, "__row long, part int, entry int, leave int")
@@ -220,7 +246,7 @@ def _encode_giants(docs: DataFrame, path: str, size: int) -> DataFrame:
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [PieceModel.of(path).joined([p["ids"] for p in sorted(x, key=lambda p: p["part"])]) for x in b.column("parts").to_pylist()]
+            ids = [_packed(PieceModel.of(path).joined([p["ids"] for p in sorted(x, key=lambda p: p["part"])])) for x in b.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__row"), _lists(ids)], ["__row", "ids"])
 
     per = done.groupBy("__row").agg(F.collect_list(F.struct("part", "ids")).alias("parts")).mapInArrow(glue, "__row long, ids array<int>")
