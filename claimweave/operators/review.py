@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimweave.functions import canon
 from claimweave.operators import polls
@@ -53,13 +53,40 @@ def decide(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[D
     why = F.coalesce(F.col("error"), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"), F.when(F.col("used"), "token was used"), F.when(F.col("token") != F.col("first"), "task has another decision"))
     judged = state.withColumn("why", why)
     top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    from pyspark.sql import Window
-
     fresh = judged.where("why is null").withColumn("k", F.row_number().over(Window.orderBy("token")))
     appended = fresh.join(top).select((F.col("top") + F.col("k")).alias("seq"), "target", "outcome", "reviewer", "token", "reason", "task_id")
     return appended, judged.where("why is not null").select("task_id", "token", "why")
 
 
+def decide_readings(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V4: verdicts on revisions, wanted(target, outcome, reviewer, token, reason): (to append, refused with reason).
+
+    Refused where an open task holds the revision, or no reason is given.
+    """
+    open_ = tasks.where(F.col("status").isin(*OPEN)).select("target").distinct().withColumn("open", F.lit(True))
+    judged = wanted.join(open_, "target", "left").withColumn("why", F.when(F.col("open"), "has an open task").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason"))
+    top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
+    fresh = judged.where("why is null").withColumn("k", F.row_number().over(Window.orderBy("token")))
+    return fresh.join(top).select((F.col("top") + F.col("k")).alias("seq"), "target", "outcome", "reviewer", "token", "reason"), judged.where("why is not null").select("target", "token", "why")
+
+
+def merge_candidates(lookalikes: DataFrame, survivors: DataFrame, own: DataFrame) -> DataFrame:
+    """V8: lookalikes(query, entity_id) as survivors, once each, without the entity itself (own: query, entity_id)."""
+    through = lookalikes.join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left").select("query", F.coalesce("survivor_id", "entity_id").alias("entity_id"))
+    return through.distinct().join(own.select("query", "entity_id"), ["query", "entity_id"], "left_anti")
+
+
+def chosen(candidates: list[dict], said: str) -> dict:
+    """A candidate by its number, by the beginning of its id, or by its name, if that is one only."""
+    if said.isdigit() and 1 <= int(said) <= len(candidates):
+        return candidates[int(said) - 1]
+    for test in (lambda c: c["id"].startswith(said), lambda c: c["name"].casefold() == said.casefold()):
+        found = [c for c in candidates if test(c)]
+        if len(found) == 1:
+            return found[0]
+    raise LookupError(f"{said!r} names no single candidate")
+
+
 def merges(redirects: DataFrame, survivors: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Wanted ``(duplicate_id, canonical_id)`` -> (redirects to append, refused with reason).
 
