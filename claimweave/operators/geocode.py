@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from claimweave.functions import parse
@@ -37,18 +37,21 @@ def geocode(addresses: DataFrame, service: Callable[[list[str]], list[str]], bat
     ``service`` takes at most ``batch`` request lines and returns answer lines; it runs in the tasks.
     """
 
-    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answered(lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(service(lines), pa.string())], ["line"])
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
         for part in parts:
-            held += part["line"].tolist()
+            held += part.column("line").to_pylist()
             while len(held) >= batch:
-                yield pd.DataFrame({"line": service(held[:batch])})
+                yield answered(held[:batch])
                 held = held[batch:]
         if held:
-            yield pd.DataFrame({"line": service(held)})
+            yield answered(held)
 
     lines = addresses.select(request_line(*(F.col(c) for c in ("key", "street", "city", "state", "postcode"))).alias("line"))
-    answers = parsed(lines.mapInPandas(ask, "line string")).dropDuplicates(["key"])
+    answers = parsed(lines.mapInArrow(ask, "line string")).dropDuplicates(["key"])
     return addresses.select("key").join(answers, "key", "left").withColumn("quality", F.coalesce("quality", F.lit("no_match")))
 
 

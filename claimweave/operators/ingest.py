@@ -72,12 +72,23 @@ def outcomes(staged: DataFrame, claims: DataFrame, assertions: DataFrame) -> Dat
     return told.withColumn("outcome", F.when(F.col("k"), "unchanged").when(F.col("f") | (F.col("idempotency_key") != F.col("first")), "corroborated").otherwise("created")).drop("k", "f", "first")
 
 
+def sequenced(rows: DataFrame, key: str, top: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``seq``, going on from ``top(top)`` without gaps, in order of (bucket of the key, key).
+
+    Rows are numbered within buckets; only the buckets' sizes, a bounded table, are summed up in one place.
+    """
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    sizes = dealt.groupBy("__b").agg(F.count("*").alias("n"))
+    before = sizes.select("__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    k = F.row_number().over(Window.partitionBy("__b").orderBy(key))
+    return dealt.withColumn("__k", k).join(before, "__b").join(top).withColumn("seq", F.col("top") + F.col("__before") + F.col("__k")).drop("__b", "__before", "__k", "top")
+
+
 def appended(told: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims and assertions to append; seq goes on from the highest, in order of key."""
-    fresh = told.where("outcome <> 'unchanged'")
+    """Claims and assertions to append; seq goes on from the highest."""
     top = assertions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("idempotency_key"))).join(top)
-    return told.where("outcome = 'created'").select("fingerprint"), numbered.select((F.col("top") + F.col("n")).alias("seq"), "idempotency_key", "fingerprint")
+    numbered = sequenced(told.where("outcome <> 'unchanged'"), "idempotency_key", top)
+    return told.where("outcome = 'created'").select("fingerprint"), numbered.select("seq", "idempotency_key", "fingerprint")
 
 
 def review_tasks(assertions: DataFrame) -> DataFrame:

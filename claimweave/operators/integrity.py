@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimweave.plans.materialize import cut
+
 MAX_DEPTH = 16
 
 
@@ -12,24 +14,25 @@ def edges(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.where(F.col(target).isNotNull()).select(F.col(source).alias("src"), F.col(target).alias("dst"))
 
 
-def _jump(now: DataFrame, step: int) -> DataFrame:
-    """From the end after 2^k steps to the end after twice as many."""
-    on = now.select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("depth").alias("more"))
-    joined = now.join(on, "end", "left")
-    return joined.select("id", F.coalesce("next", "end").alias("end"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-
-
 def survivors(redirects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``id, survivor_id, depth`` of every merged entity, by pointer doubling: log2(max_depth) joins in one plan.
+    """``id, survivor_id, depth`` of every merged entity.
 
-    A node on or before a cycle, or over ``max_depth`` from its survivor, has a null survivor_id.
+    Pointer doubling: after k rounds every pointer has gone 2^k steps or to its end, so the number of rounds is the
+    logarithm of the longest chain, and of ``max_depth`` at most. Each round is a join that Spark can split, cut from
+    the one before; only whether any pointer can go on is asked of it. A node on or before a cycle, or over
+    ``max_depth`` from its end, has a null survivor_id; its depth is null, too.
     """
+    moving = redirects.select(F.col("duplicate_id").alias("end"), F.lit(True).alias("more")).distinct()
     now = redirects.select(F.col("duplicate_id").alias("id"), F.col("canonical_id").alias("end"), F.lit(1).cast("long").alias("depth"))
-    steps = max(1, (max_depth - 1).bit_length())
-    for k in range(steps):
-        now = _jump(now, k)
-    inner = redirects.select(F.col("duplicate_id").alias("end"), F.lit(True).alias("more"))
-    return now.join(inner, "end", "left").select("id", F.when(F.col("more").isNull() & (F.col("depth") <= max_depth), F.col("end")).alias("survivor_id"), F.when(F.col("more").isNull(), F.col("depth")).alias("depth"))
+    now = cut(now.join(moving, "end", "left").select("id", "end", "depth", F.coalesce("more", F.lit(False)).alias("more")))
+    for _ in range(max(1, (max_depth - 1).bit_length())):
+        if now.where("more").isEmpty():
+            break
+        on = now.select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("depth").alias("further"), F.col("more").alias("still"))
+        joined = now.join(on, "end", "left")
+        now = cut(joined.select("id", F.coalesce("next", "end").alias("end"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), F.coalesce("still", F.lit(False)).alias("more")))
+    done = ~F.col("more") & (F.col("depth") <= max_depth)
+    return now.select("id", F.when(done, F.col("end")).alias("survivor_id"), F.when(done, F.col("depth")).alias("depth"))
 
 
 def resolve(ids: DataFrame, redirects: DataFrame, column: str = "id") -> DataFrame:
@@ -41,12 +44,16 @@ def resolve(ids: DataFrame, redirects: DataFrame, column: str = "id") -> DataFra
 def cycle_members(graph: DataFrame) -> DataFrame:
     """G1: nodes of (src, dst), at most one edge from each, whose walk never ends: on a cycle or leading to one.
 
-    Pointer doubling; the number of rounds follows from the number of edges, and each is a join.
+    Walks double in length each round, until none is left or they are longer than there are edges.
     """
-    now, rounds = graph.select("src", "dst"), max(1, graph.count().bit_length())
-    for _ in range(rounds):
+    now, rounds = cut(graph.select("src", "dst")), 0
+    edges_ = now.count()
+    while 2**rounds <= edges_:
         step = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        now = now.join(step, "dst").select("src", F.col("next").alias("dst"))
+        now = cut(now.join(step, "dst").select("src", F.col("next").alias("dst")))
+        rounds += 1
+        if now.isEmpty():
+            break
     return now.select(F.col("src").alias("id")).distinct()
 
 

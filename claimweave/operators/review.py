@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimweave.functions import canon
 from claimweave.operators import polls
+from claimweave.operators.ingest import sequenced
 
 OUTCOMES = ("accepted", "rejected", "changes_requested")
 OPEN = ("pending", "claimed")
@@ -53,8 +54,7 @@ def decide(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[D
     why = F.coalesce(F.col("error"), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"), F.when(F.col("used"), "token was used"), F.when(F.col("token") != F.col("first"), "task has another decision"))
     judged = state.withColumn("why", why)
     top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    fresh = judged.where("why is null").withColumn("k", F.row_number().over(Window.orderBy("token")))
-    appended = fresh.join(top).select((F.col("top") + F.col("k")).alias("seq"), "target", "outcome", "reviewer", "token", "reason", "task_id")
+    appended = sequenced(judged.where("why is null"), "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason", "task_id")
     return appended, judged.where("why is not null").select("task_id", "token", "why")
 
 
@@ -66,8 +66,7 @@ def decide_readings(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -
     open_ = tasks.where(F.col("status").isin(*OPEN)).select("target").distinct().withColumn("open", F.lit(True))
     judged = wanted.join(open_, "target", "left").withColumn("why", F.when(F.col("open"), "has an open task").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason"))
     top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    fresh = judged.where("why is null").withColumn("k", F.row_number().over(Window.orderBy("token")))
-    return fresh.join(top).select((F.col("top") + F.col("k")).alias("seq"), "target", "outcome", "reviewer", "token", "reason"), judged.where("why is not null").select("target", "token", "why")
+    return sequenced(judged.where("why is null"), "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason"), judged.where("why is not null").select("target", "token", "why")
 
 
 def merge_candidates(lookalikes: DataFrame, survivors: DataFrame, own: DataFrame) -> DataFrame:

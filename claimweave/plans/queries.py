@@ -538,7 +538,7 @@ def rival_revisions(g: Graph) -> DataFrame:
     accepted = P.latest_verdicts(g.decision()).where("outcome = 'accepted'").select(F.col("target").alias("review_key"))
     revisions = g.revisions().withColumn("poll_id", F.concat_ws("|", "pollster_id", "contest_id"))
     done = revisions.join(accepted, "review_key", "left_semi").select("revision_id")
-    open_ = g.task().limit(0).select("status", F.col("target").cast("string").alias("target"))
+    open_ = g.spark.createDataFrame([], "status string, target string")  # no revision here has a task of its own
     return V.rivals(revisions, open_, done).groupBy("revision_id").agg(F.count("*").alias("accepted_n"))
 
 

@@ -7,7 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimweave.functions import keys
@@ -43,18 +43,22 @@ def rows(spark: SparkSession, path: str, names: Iterable[str] | None = None, del
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     given = list(names) if names else None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(file: str, at: int, held: list[dict]) -> pa.RecordBatch:
+        data = pa.array([list(r.items()) for r in held], pa.map_(pa.string(), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(held), pa.string()), pa.array(range(at, at + len(held)), pa.int64()), data], ["path", "index", "data"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for file, raw in zip(part["path"], part["content"]):
-                held: list[tuple] = []
-                for k, row in enumerate(parsed(raw, given, delimiter)):
-                    held.append((file, k, row))
+            for file, raw in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
+                at, held = 0, []
+                for row in parsed(raw, given, delimiter):
+                    held.append(row)
                     if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=["path", "index", "data"])
-                        held = []
-                yield pd.DataFrame(held, columns=["path", "index", "data"])
+                        yield batch(file, at, held)
+                        at, held = at + len(held), []
+                yield batch(file, at, held)
 
-    return files.mapInPandas(run, "path string, index long, data map<string,string>")
+    return files.mapInArrow(run, "path string, index long, data map<string,string>")
 
 
 def locator(index: Column) -> Column:
