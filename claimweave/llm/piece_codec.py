@@ -106,7 +106,7 @@ class PieceModel:
             end = text.find(" ", at + size)
             while end > 0 and text[end - 1] in (" ", SPACE):
                 end = text.find(" ", end + 1)
-            if end < 0:
+            if end < 0 or end == len(text) - 1:  # a chunk of nothing would lose the space
                 break
             out.append(text[at:end])
             at = end + 1  # the library's dummy prefix stands for the space

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -202,6 +203,14 @@ def test_mixing(spark, odd, empty):
     assert mixing.with_copies(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mixing_with_many_sources(spark, odd, monkeypatch):
+    """The join by source and salt gives the same mix as the broadcast."""
+    columns = ("doc_id", "text", "source_size", "target", "copies")
+    few = Counter(map(tuple, mixing.with_copies(odd).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, mixing.with_copies(odd).select(*columns).collect())) == few
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, " ".join(["x"] * (1 + i % 9)), "en", f"s{i % 7 if i % 3 else 0}", 0) for i in range(6000)]
     got = mixing.with_copies(spark.createDataFrame(rows, DDL)).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
@@ -301,6 +310,16 @@ def test_toxicity(spark, odd, empty):
     assert scored.columns == [c for c in odd.columns if c != "score"] + ["score"]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab É'’12 \t\n!▁漢"), max_size=60))
+def test_encoders_equal_their_libraries(text):
+    encoder, model = token_store.ByteLevelEncoder.of(BPE), piece_codec.PieceModel.of(PIECES)
+    assert encoder.encode([text]) == [encoder._whole(text)]
+    assert model.encode([text]) == model._whole([text])
+    parts = [np.frombuffer(x, "<i4").tolist() for x in model.encode(model.cut(text, 7))]
+    assert model.joined(parts) == model.processor.encode(text)
+
+
 def test_isotonic_is_monotone():
     from claimweave.llm.isotonic import Isotonic
 
