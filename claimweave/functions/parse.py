@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: What stands in a cell that says nothing.
@@ -17,20 +19,33 @@ def _month(name: Column) -> Column:
     return (F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS)) + 2) / 3
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fieldwork(text: Column) -> Column:
     """struct(started DATE, ended DATE), both null for what is vague.
 
     Within a month, across months and across years ("December 30 – January 2, 2026" starts in 2025).
     """
-    part = lambda k: F.nullif(F.regexp_extract(F.trim(text), _RANGE, k), F.lit(""))
-    m1, d1, y1, m2, d2, y2 = (part(k) for k in range(1, 7))
-    start_month, end_month = _month(m1).cast("int"), _month(F.coalesce(m2, m1)).cast("int")
-    year = y2.cast("int")
-    first_year = F.coalesce(y1.cast("int"), F.when(start_month > end_month, year - 1).otherwise(year))
+    names = ("m1", "d1", "y1", "m2", "d2", "y2")
+    parts = F.struct(*(F.nullif(F.regexp_extract(F.trim(text), _RANGE, k), F.lit("")).alias(n) for k, n in enumerate(names, 1)))
     day = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d.cast("int")), "yyyy-MM-dd")
-    started, ended = day(first_year, start_month, d1), day(year, end_month, F.coalesce(d2, d1))
-    fine = F.trim(text).rlike(_RANGE) & started.isNotNull() & ended.isNotNull() & (started <= ended)
-    return F.struct(F.when(fine, started).alias("started"), F.when(fine, ended).alias("ended"))
+
+    def numbered(x: Column) -> Column:
+        first, last, year = _month(x["m1"]).cast("int"), _month(F.coalesce(x["m2"], x["m1"])).cast("int"), x["y2"].cast("int")
+        return F.struct(first.alias("first"), last.alias("last"), year.alias("year"), x["y1"].cast("int").alias("y1"), x["d1"].alias("d1"), F.coalesce(x["d2"], x["d1"]).alias("d2"))
+
+    def dated(x: Column) -> Column:
+        year = F.coalesce(x["y1"], F.when(x["first"] > x["last"], x["year"] - 1).otherwise(x["year"]))
+        return F.struct(day(year, x["first"], x["d1"]).alias("started"), day(x["year"], x["last"], x["d2"]).alias("ended"))
+
+    def ordered(x: Column) -> Column:
+        fine = x["started"].isNotNull() & x["ended"].isNotNull() & (x["started"] <= x["ended"])
+        return F.struct(F.when(fine, x["started"]).alias("started"), F.when(fine, x["ended"]).alias("ended"))
+
+    return _let(_let(_let(parts, numbered), dated), ordered)
 
 
 def _absent(text: Column) -> Column:
