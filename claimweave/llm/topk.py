@@ -110,7 +110,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
             found = []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    parts = left.unionByName(right).groupBy("dim", "s", "b").applyInPandas(run, "query_id long, vec_id long, score long")
+    # Dealt by number, since a small group's bytes say little of its work.
+    dealt = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "s", "b")
+    parts = dealt.groupBy("dim", "s", "b").applyInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
