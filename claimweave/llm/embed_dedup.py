@@ -113,7 +113,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pairs = pairs.select("t", "dim", "code", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "vec_id", "x", "codes")
     keys = ["t", "dim", "code", "bi", "bj"]
-    found = pairs.groupBy(*keys).applyInPandas(lambda key, rows: _compare(key, rows, threshold), "vec_id long, other long, links long")
+    # Dealt by all keys: by the bucket alone, as the joins above leave it, a bucket's block pairs would share one task.
+    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    found = dealt.groupBy(*keys).applyInPandas(lambda key, rows: _compare(key, rows, threshold), "vec_id long, other long, links long")
     found = scratch.table(found, "links")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n"))
     roots = connected_components(found.select(F.col("vec_id").alias("u"), F.col("other").alias("v")), scratch)
