@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from claimweave.llm.common import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
+BROADCAST_BYTES = 4 << 20
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -48,12 +52,27 @@ def targets(sizes: DataFrame) -> DataFrame:
     return final.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
+def _with_source(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """Each document with its source's row.
+
+    Sources of up to BROADCAST_BYTES in all are broadcast, so documents stay where they are. Larger tables are joined
+    by source and salt, which cuts a source of any size into SALTS parts.
+    """
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    size = per.agg(F.sum(64 + F.coalesce(F.octet_length("__source"), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return sized.join(F.broadcast(per), same)
+    salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drawn = sized.withColumn("__mine", F.floor(F.col("__u") * SALTS).cast("int"))
+    return drawn.join(salted, same & (F.col("__mine") == F.col("__salt"))).drop("__salt", "__mine")
+
+
 def _drawn(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__size, __source_size, __target, __rate, __copies``."""
     sized = docs.withColumns({"__size": n_words(F.col("text")), "__u": uniform(F.col("doc_id"), F.col("text"))})  # so texts needn't pass the join
     per = targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
     per = per.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "rate")))
-    joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    joined = _with_source(sized, Scratch(docs.sparkSession, "mixing").table(per, "sources")).drop("__source")
     whole = F.floor("__rate")
     return joined.withColumn("__copies", (whole + (F.col("__u") < F.col("__rate") - whole).cast("long")).cast("long")).drop("__u")
 
