@@ -30,6 +30,7 @@ MAX_LABELLED = 20_000
 MAX_LEXICON = 4_000
 LEAST_TOXIC, LEAST_PRECISION, MAX_CHANCE = 3, 0.9, 0.05
 SIGNATURES = 4
+STEMS = range(3, 9)
 NEAR = 5
 MEMO_WORDS = 300_000
 #: Words that address the reader, in some European languages.
@@ -46,8 +47,8 @@ N_FEATURES = 15
 
 
 def grams(word: str) -> list[str]:
-    """What of a word may be in the lexicon: itself, and its beginnings of 4 to 6 letters."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+    """What of a word may be in the lexicon: itself, and its beginnings of STEMS letters."""
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
 class Lexicon:
@@ -111,7 +112,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` training labels (doc_id, label), the same in every run."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    return rows.where(fold(F.col("doc_id"), FOLDS) != HELD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    train = rows.where(fold(F.col("doc_id"), FOLDS) != HELD)
+    n = train.count()
+    if n > 2 * limit:  # most rows needn't reach the sort: those kept have hashes near the bottom of the range
+        span = 2**64
+        train = train.where(F.xxhash64("doc_id") <= -(span // 2) + int(span * min(1.0, 2 * limit / n)))
+    return train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def signatures(text: str | None, many: int = SIGNATURES) -> list[int]:
