@@ -34,32 +34,36 @@ def shape(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int
     return bits, math.ceil(math.log(miss) / math.log(1 - meet))
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; their largest component comes first out, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
-    x = F.col("embedding").cast("array<double>")
+    x = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     ok = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
     return rows.where(ok & F.col("vec_id").isNotNull())
 
 
 def _coded(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """``vec_id, dim, x`` (of length 1) and ``codes``, one for each table."""
+    """``vec_id, dim, x`` and ``codes``, one for each table."""
+    kind, whole = rows.schema["x"].dataType.simpleString(), pa.int32() if bits < 32 else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            xs, codes = [], []
+            codes = []
             for x in b.column("x").to_pylist():
-                v = np.array(x)
-                v = v / np.abs(v).max()
-                v /= np.sqrt(v @ v)
+                v = _units(np.array([x], np.float64))[0]
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([SEED, len(v)]).standard_normal((tables * bits, len(v)))
                 sign = (planes[len(v)] @ v > 0).reshape(tables, bits)
                 codes.append((sign @ (1 << np.arange(bits, dtype=np.int64))).tolist())
-                xs.append(v.tolist())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in xs], pa.int32()), pa.array(xs, pa.list_(pa.float64())), pa.array(codes, pa.list_(pa.int64()))], ["vec_id", "dim", "x", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("dim"), b.column("x"), pa.array(codes, pa.list_(whole))], ["vec_id", "dim", "x", "codes"])
 
-    return rows.mapInArrow(run, "vec_id long, dim int, x array<double>, codes array<long>")
+    return rows.select("vec_id", F.size("x").alias("dim"), "x").mapInArrow(run, f"vec_id long, dim int, x {kind}, codes array<{'int' if bits < 32 else 'long'}>")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -78,7 +82,7 @@ def _compare(key: tuple, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     table, _, _, bi, bj = key
     rows = rows.sort_values("vec_id", kind="stable")
     ids, block = rows["vec_id"].to_numpy(), rows["block"].to_numpy()
-    x, codes = np.stack(rows["x"].to_list()), np.stack(rows["codes"].to_list())
+    x, codes = _units(np.stack(rows["x"].to_list()).astype(np.float64)), np.stack(rows["codes"].to_list())
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
     if bi != bj:
@@ -105,16 +109,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     small_batches(spark)
     usable = _usable(vectors)
     bits, tables = shape(usable.count(), threshold, miss)
-    coded = scratch.table(_coded(usable, bits, tables), "coded")
-    met = coded.select("vec_id", "dim", "x", "codes", F.posexplode("codes").alias("t", "code"))
+    # Numbered and written, so that the vectors themselves are dealt only once, when it is known to which block pairs.
+    coded = scratch.table(_coded(usable, bits, tables).withColumn("row", F.monotonically_increasing_id()), "coded")
+    met = coded.select("row", "dim", F.posexplode("codes").alias("t", "code"))
     counts = met.groupBy("t", "dim", "code").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = counts.select("t", "dim", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    placed = met.join(blocks, ["t", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("k")).cast("int"))
+    blocks = scratch.table(counts.select("t", "dim", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "blocks")
+    placed = met.join(blocks, ["t", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("k")).cast("int"))
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = pairs.select("t", "dim", "code", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "vec_id", "x", "codes")
+    pairs = pairs.select("row", "t", "code", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block")
     keys = ["t", "dim", "code", "bi", "bj"]
-    # Dealt by all keys: by the bucket alone, as the joins above leave it, a bucket's block pairs would share one task.
-    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    wide = pairs.join(coded, "row").select(*keys, "block", "vec_id", "x", "codes")
+    # By all keys: by the bucket alone, a bucket's block pairs would share one task.
+    dealt = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     found = dealt.groupBy(*keys).applyInPandas(lambda key, rows: _compare(key, rows, threshold), "vec_id long, other long, links long")
     found = scratch.table(found, "links")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n"))
