@@ -51,18 +51,41 @@ def grams(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
+class _Memo(dict):
+    """Codes of words met before; a new word is looked at by the lexicon."""
+
+    def __init__(self, lexicon: "Lexicon"):
+        self.lexicon = lexicon
+
+    def __missing__(self, raw: str) -> int:
+        self[raw], weight = self.lexicon.word_code(raw)
+        if weight:
+            self.lexicon.hits[raw] = weight
+        return self[raw]
+
+
 class Lexicon:
     """Weights of words and word beginnings; word_code() gives what one raw word shows."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.words = {g: w for g, w in weights.items() if not g.endswith("-")}
+        of = {n: {g[:-1]: w for g, w in weights.items() if g.endswith("-") and len(g) == n + 1} for n in STEMS}
+        self.stems = [(n, found) for n, found in of.items() if found]
+        self.starts = {g[:3] for g in (*weights, *INSULTS)}  # of every entry; none is shorter
+        self.memo, self.hits = _Memo(self), {}
 
-    def __getstate__(self) -> dict:
-        return {"weights": self.weights, "memo": {}}
+    def __reduce__(self) -> tuple:
+        return Lexicon, (self.weights,)
 
     def _weight(self, word: str) -> float:
-        return max((self.weights.get(g, 0.0) for g in grams(word)), default=0.0) or KNOWN_WEIGHT * (word in INSULTS)
+        if word[:3] not in self.starts:
+            return 0.0
+        best = self.words.get(word, 0.0)
+        for n, found in self.stems:
+            if len(word) > n and (weight := found.get(word[:n], 0.0)) > best:
+                best = weight
+        return best or KNOWN_WEIGHT * (word in INSULTS)
 
     def word_code(self, raw: str) -> tuple[int, float]:
         word = raw.lower().strip(_EDGE)
@@ -78,14 +101,12 @@ class Lexicon:
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, float, float]:
         """The code of every word, and the largest and the summed weight."""
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word_code(w)
-        pairs = [memo[w] for w in words]
-        found = [x for _, x in pairs if x]
-        return np.fromiter((c for c, _ in pairs), np.int64, len(pairs)), max(found, default=0.0), sum(found)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+            self.hits.clear()
+        code = np.fromiter(map(self.memo.__getitem__, words), np.uint8, len(words))
+        found = [self.hits[words[k]] for k in np.flatnonzero(code & (_HIT | _HIDDEN))]
+        return code, max(found, default=0.0), sum(found)
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
