@@ -10,21 +10,27 @@ LOOKALIKE = 0.55
 
 
 def trigram_index(aliases: DataFrame) -> DataFrame:
-    """postings (gram, entity_id, name, size), size being the number of the name's distinct trigrams."""
-    grams = aliases.select("entity_id", "name", trigram.trigrams(F.col("normalized_name")).alias("g"))
-    return grams.select("entity_id", "name", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    """postings (gram, name, size) of the distinct names, size being the number of a name's distinct trigrams."""
+    names = aliases.select("name", "normalized_name").distinct()
+    grams = names.select("name", trigram.trigrams(F.col("normalized_name")).alias("g"))
+    return grams.select("name", F.size("g").alias("size"), F.explode("g").alias("gram"))
 
 
 def matches(index: DataFrame, queries: DataFrame, floor: float = trigram.MATCH) -> DataFrame:
-    """(query, entity_id, name, whole) with similarity of at least ``floor``, from shared postings only.
+    """(query, name, whole) with similarity of at least ``floor``, from shared postings only.
 
     The number of shared trigrams is a count per pair, so no text is compared and pairs without a common trigram are
-    never made.
+    never made. Names are compared once, however many entities bear them.
     """
     asked = queries.select("query", trigram.trigrams(text.ascii_name(F.col("query"))).alias("q")).select("query", F.size("q").alias("n"), F.explode("q").alias("gram"))
-    shared = index.join(asked, "gram").groupBy("query", "n", "entity_id", "name", "size").agg(F.count("*").alias("shared"))
+    shared = index.join(asked, "gram").groupBy("query", "n", "name", "size").agg(F.count("*").alias("shared"))
     whole = F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))
-    return shared.select("query", "entity_id", "name", whole.alias("whole")).where(F.col("whole") >= floor)
+    return shared.select("query", "name", whole.alias("whole")).where(F.col("whole") >= floor)
+
+
+def bearers(found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Matched names with the entities that bear them."""
+    return found.join(aliases.select("entity_id", "name").distinct(), "name")
 
 
 def claim_degree(claims: DataFrame) -> DataFrame:
@@ -40,10 +46,11 @@ def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors
     claims, whole similarity, name. The first hit of each survivor stays, with the alias that matched.
     """
     near = matches(trigram_index(aliases), queries)
+    near = near.withColumn("word", trigram.word_similarity(text.ascii_name(F.col("query")), text.ascii_name(F.col("name"))))
+    near = bearers(near, aliases)
     of = entities.select(F.col("id").alias("entity_id"), "kind", "canonical_name")
     near = near.join(of.where(F.col("kind") == kind) if kind else of, "entity_id")
-    scored = near.withColumn("word", trigram.word_similarity(text.ascii_name(F.col("query")), text.ascii_name(F.col("name"))))
-    ranked = scored.join(claim_degree(claims), "entity_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
+    ranked = near.join(claim_degree(claims), "entity_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
     through = ranked.join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left").withColumn("survivor", F.coalesce("survivor_id", "entity_id"))
     order = (F.round("word", 9).desc(), F.desc("claims"), F.round("whole", 9).desc(), F.col("name"), F.col("entity_id"))
     first = through.withColumn("k", F.row_number().over(Window.partitionBy("query", "survivor").orderBy(*order))).where("k = 1")
@@ -54,7 +61,7 @@ def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors
 def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind: str, floor: float = LOOKALIKE, limit: int = 5) -> DataFrame:
     """Q29: per name (column ``query``) the closest aliases within a kind, best first."""
     own = aliases.join(entities.where(F.col("kind") == kind).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    found = matches(trigram_index(own), names, floor)
+    found = bearers(matches(trigram_index(own), names, floor), own)
     best = Window.partitionBy("query").orderBy(F.round("whole", 9).desc(), "name", "entity_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "rank", "entity_id", "name", F.round("whole", 6).alias("whole"))
 

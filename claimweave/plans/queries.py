@@ -253,7 +253,7 @@ def entity_search_topk(g: Graph) -> DataFrame:
 @query(f"WITH {_MATCHES} SELECT query, entity_id, name, round(whole, 6) AS whole FROM hits WHERE whole >= 0.3")
 def entity_similarity(g: Graph) -> DataFrame:
     """all aliases over the match threshold."""
-    return S.matches(S.trigram_index(g.alias()), _asked(g)).select("query", "entity_id", "name", F.round("whole", 6).alias("whole"))
+    return S.bearers(S.matches(S.trigram_index(g.alias()), _asked(g)), g.alias()).select("query", "entity_id", "name", F.round("whole", 6).alias("whole"))
 
 
 @query("WITH s AS (SELECT entity_id, name, list_distinct(" + _grams("normalized_name") + ") AS g FROM g_alias WHERE starts_with(entity_id, 's')), n AS (SELECT DISTINCT 'Supp ' || (s_suppkey % 40) AS query FROM supplier), q AS (SELECT query, list_distinct(" + _grams("query") + ") AS q FROM n), m AS (SELECT query, entity_id, name, len(list_intersect(q, g))::DOUBLE / (len(q) + len(g) - len(list_intersect(q, g))) AS w FROM q, s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, name, entity_id) AS rank FROM m WHERE w >= 0.55) SELECT query, rank::INTEGER AS rank, entity_id, name, round(w, 6) AS whole FROM r WHERE rank <= 5")
