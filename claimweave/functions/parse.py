@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from claimweave.functions.let import let
+
 #: What stands in a cell that says nothing.
 ABSENT = ("", "-", "–", "—", "n/a", "N/A", "?")
 _MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?"
@@ -19,11 +19,6 @@ def _month(name: Column) -> Column:
     return (F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS)) + 2) / 3
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def fieldwork(text: Column) -> Column:
     """struct(started DATE, ended DATE), both null for what is vague.
 
@@ -45,7 +40,7 @@ def fieldwork(text: Column) -> Column:
         fine = x["started"].isNotNull() & x["ended"].isNotNull() & (x["started"] <= x["ended"])
         return F.struct(F.when(fine, x["started"]).alias("started"), F.when(fine, x["ended"]).alias("ended"))
 
-    return _let(_let(_let(parts, numbered), dated), ordered)
+    return let(let(let(parts, numbered), dated), ordered)
 
 
 def _absent(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from claimweave.functions.let import let
+
 MATCH = 0.3
 WORD_MATCH = 0.5
 
@@ -21,8 +23,8 @@ def trigrams(text: Column) -> Column:
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Shared over all of two trigram sets."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared).cast("double")), F.lit(0.0))
+    share = lambda n: F.try_divide(n.cast("double"), (F.size(a) + F.size(b) - n).cast("double"))
+    return F.coalesce(let(F.size(F.array_intersect(a, b)), share), F.lit(0.0))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -32,8 +34,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 def word_similarity(query: Column, target: Column) -> Column:
     """the best similarity of the query to any contiguous extent of the target's ordered trigrams."""
-    q, t = trigrams(query), ordered_trigrams(target)
-    n = F.size(t)
-    extents = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.slice(t, i, k))))
-    best = F.array_max(F.transform(extents, lambda x: set_similarity(q, F.array_distinct(x))))
-    return F.when(n > 0, best).otherwise(F.lit(0.0))
+    pair = F.struct(trigrams(query).alias("q"), ordered_trigrams(target).alias("t"))
+
+    def best(p: Column) -> Column:
+        n = F.size(p["t"])
+        starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: let(F.array_distinct(F.slice(p["t"], i, k)), lambda x: set_similarity(p["q"], x))))
+        return F.when(n > 0, F.array_max(F.flatten(starts))).otherwise(F.lit(0.0))
+
+    return let(pair, best)
