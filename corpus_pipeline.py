@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimweave.llm import mixing, piece_codec, simhash, substring, toxicity
+from claimweave.llm import mixing, near_copies, piece_codec, substring, toxicity
 from claimweave.llm.common import Scratch
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: those that share four fifths of their five-word runs."""
+    return near_copies.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
