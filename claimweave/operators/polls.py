@@ -11,9 +11,9 @@ def latest_verdicts(decisions: DataFrame) -> DataFrame:
 
 
 def samples(readings: DataFrame) -> DataFrame:
-    """One row per (revision, population): size, options, and the largest readings as text."""
+    """One row per (revision, population): size, options, and all readings as text, largest first."""
     options = readings.groupBy("revision_id", "population", "option_id").agg(F.sum("response_count").alias("n"))
-    listed = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "option_id"))), 1, 3)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "option_id")))
     said = F.array_join(F.transform(listed, lambda x: F.concat(x["option_id"], F.lit(" "), (-x["m"]).cast("string"))), ", ")
     return options.groupBy("revision_id", "population").agg(F.sum("n").alias("sample_size"), F.count("*").alias("options"), said.alias("readings"))
 
