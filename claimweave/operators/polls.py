@@ -30,8 +30,8 @@ def timeline(revisions: DataFrame, readings: DataFrame, decisions: DataFrame, su
 
 
 def series(readings: DataFrame) -> DataFrame:
-    """Percentage of every option in its sample, of those of 5 % or more."""
+    """Percentage of every option in its sample."""
     options = readings.groupBy("revision_id", "population", "option_id").agg(F.sum("response_count").alias("n"))
     whole = options.groupBy("revision_id", "population").agg(F.sum("n").alias("total"))
     joined = options.join(whole, ["revision_id", "population"])
-    return joined.select("revision_id", "population", "option_id", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 3).alias("percentage")).where("percentage >= 5")
+    return joined.select("revision_id", "population", "option_id", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 3).alias("percentage"))

@@ -13,6 +13,8 @@ WHOLE = {
         samp AS (SELECT revision_id, population, sum(n)::BIGINT AS sample_size, count(*) AS options, array_to_string(list(option_id || ' ' || n ORDER BY n DESC, option_id), ', ') AS readings FROM o GROUP BY ALL),
         last AS (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target)
         SELECT contest_id, r.revision_id, coalesce(survivor_id, pollster_id) AS pollster, started, ended, population, sample_size, options, readings FROM g_revision r JOIN samp USING (revision_id) LEFT JOIN closure ON id = pollster_id WHERE review_key NOT IN (SELECT target FROM last WHERE o = 'rejected')""",
+    "poll_readings": f"""WITH {_OPTIONS}, t AS (SELECT revision_id, population, sum(n) AS total FROM o GROUP BY ALL)
+        SELECT revision_id, population, option_id, n, round(100.0::DOUBLE * n / total, 3) AS percentage FROM o JOIN t USING (revision_id, population)""",
 }
 
 
