@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNATTRIBUTED = "(unattributed)"
+#: The reference's page of claims about one entity.
+PAGE = 100
 
 
 def valid_at(at: Column) -> Column:
@@ -34,10 +36,11 @@ def claims_with(claims: DataFrame, predicate: str, subjects: DataFrame | None =
     return found.where(valid_at(at)) if at is not None else found
 
 
-def latest(claims: DataFrame, side: str = "subject_id", k: int = 3) -> DataFrame:
-    """Q1 for every entity at once: its k latest claims, with their rank."""
+def latest(claims: DataFrame, side: str = "subject_id", k: int | None = PAGE) -> DataFrame:
+    """Q1 for every entity at once: its k latest claims, or all of them, with their rank."""
     order = Window.partitionBy(side).orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id")
-    return claims.where(F.col(side).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = claims.where(F.col(side).isNotNull()).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k) if k else ranked
 
 
 def provenance(assertions: DataFrame) -> DataFrame:

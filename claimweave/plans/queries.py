@@ -53,7 +53,7 @@ _UNIQUE = "(SELECT DISTINCT ON (id) * FROM g_claim)"
 
 @query(_LATEST.format(side="subject_id").replace("FROM g_claim", f"FROM {_UNIQUE}"))
 def claims_about_subject(g: Graph) -> DataFrame:
-    """Q1: the three latest claims of every subject."""
+    """Q1: the page of the 100 latest claims of every subject."""
     return _ranked(g, "subject_id")
 
 
