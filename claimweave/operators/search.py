@@ -42,11 +42,11 @@ def claim_degree(claims: DataFrame) -> DataFrame:
 def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
     """Q22, Q24: the best entities for each query, merged ones under their survivor.
 
-    Candidates share the trigram index's filter or reach the word threshold; they rank by word similarity, number of
+    Candidates pass the trigram index's filter and reach the word threshold; they rank by word similarity, number of
     claims, whole similarity, name. The first hit of each survivor stays, with the alias that matched.
     """
     near = matches(trigram_index(aliases), queries)
-    near = near.withColumn("word", trigram.word_similarity(text.ascii_name(F.col("query")), text.ascii_name(F.col("name"))))
+    near = near.withColumn("word", trigram.word_similarity(text.ascii_name(F.col("query")), text.ascii_name(F.col("name")))).where(F.col("word") >= trigram.WORD_MATCH)
     near = bearers(near, aliases)
     of = entities.select(F.col("id").alias("entity_id"), "kind", "canonical_name")
     near = near.join(of.where(F.col("kind") == kind) if kind else of, "entity_id")
