@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 _FALLBACK: dict[str, str] = {}
 
 
@@ -28,11 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor re-reads them instead of recomputing."""
+    """Tables written to the shared folder to cut lineage; a lost executor re-reads them instead of recomputing.
+
+    The folder goes when the driver's process ends, since plans that callers still hold read from it until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/claimweave/{name}-{uuid.uuid4().hex}"
+        path, files = self._handle(self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _handle(self, where: str) -> tuple:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -42,13 +55,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no remaining plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that no remaining plan reads."""
+        for name in names:
+            path, files = self._handle(self.path(name))
+            files.delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, since a single document can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes, since a single document can be very long.
+
+    The bounds are the same for all operators, so that plans built one after the other don't change each other's.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -25,18 +25,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("w").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``edges(u, v)`` of any integer type -> ``(u, v)``: v is the smallest node that u, not itself smallest, reaches.
 
     Nodes without an edge to a smaller node are absent: they are their own component. Loops and repeated edges are
     ignored; no edges give an empty table. Each round is aggregations and joins, which Spark can split where one
     node has very many neighbours, and is written to the shared folder. Nothing is collected but a checksum.
     """
-    now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc0")
+    now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}0")
     mark, k = _mark(now), 0
     while mark[0]:
-        after = scratch.table(_small_star(_large_star(now)), f"cc{k + 1}")
-        scratch.drop(f"cc{k}")
+        after = scratch.table(_small_star(_large_star(now)), f"{name}{k + 1}")
+        scratch.drop(f"{name}{k}")
         k, now, before, mark = k + 1, after, mark, _mark(after)
         if mark == before:
             break

@@ -1,11 +1,13 @@
-"""Near copies by the exact Jaccard similarity of five-word runs: the pipeline's stage of near duplicates.
-
-Fingerprints of 64 bits cannot do this: pairs at similarity 0.8 differ in about 10 bits, some in many more, and no
-covering of that radius is affordable. Instead every set of runs is put in one global order, rare runs first, and only
-its first runs are posted (a prefix filter): two sets of n and m runs at similarity 0.8 or more share at least
-4/9 (n + m) runs, so they share runs among their first n - 0.8 n + 1, and the more so the closer their sizes are. Any
-order gives all pairs; that of a sample of texts keeps runs that many texts hold out of the postings. Pairs that share
-enough posted runs are compared in full.
+"""Near copies of texts: SimHash with a covering proposes pairs, the Jaccard similarity of five-word runs decides.
+
+One fingerprint of five-word runs is no use as a filter: texts of similarity 0.8 differ in some 10 of its 64 bits. The
+same texts share far more of their two-word shingles, and fingerprints of those differ in 5 or so. A text has PRINTS
+fingerprints, from differently mixed hashes; two texts within RADIUS bits under any of them share a bucket for certain,
+and many that are somewhat further apart do, too. All links are exact.
+
+A bucket of many near copies is not compared pair by pair. First every member is compared with the smallest of its
+bucket. Only members that this leaves in different components are then compared with each other, all of them, since
+a link between two that are joined already would change nothing.
 """
 
 from __future__ import annotations
@@ -15,22 +17,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from claimweave.llm import simhash
 from claimweave.llm.common import Scratch, small_batches
 from claimweave.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLED = 20_000
+PRINTED = 2
+PRINTS = 4
+RADIUS = 4
 SEED = 42
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
 
 def runs(text: str | None) -> np.ndarray:
     """The sorted distinct XXH64 values of a text's five-word runs; a shorter text is one run, a blank one has none."""
-    words = (text or "").encode().translate(_LOWER).split()
+    words = (text or "").encode().translate(simhash.LOWER).split()
     if not words:
         return np.zeros(0, np.int64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
@@ -38,109 +41,93 @@ def runs(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64).view(np.int64))
 
 
-def posted(n):
-    """How many of a set's n runs are posted: n - ceil(4/5 n) + 1."""
-    return n - (4 * n + 4) // 5 + 1
-
-
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-
-
-def _with_runs(docs: DataFrame, *kept: str) -> DataFrame:
-    """``text`` replaced by ``runs``."""
+def _with_prints(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, th, sh, n, fps``: a hash of the set of runs, its size (0 for blank texts), PRINTS fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), _lists([runs(t) for t in b.column("text").to_pylist()])], [*kept, "runs"])
+            texts = b.column("text").to_pylist()
+            sets = [runs(t) for t in texts]
+            sh = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) if len(r) else 0 for r in sets], np.uint64).view(np.int64)
+            fps = [[simhash.signed(x) for x in simhash.fingerprints(t, PRINTED, PRINTS)] for t in texts]
+            columns = [b.column("doc_id"), b.column("th"), pa.array(sh), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "sh", "n", "fps"])
 
     small_batches(docs.sparkSession)
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept), "runs array<long>"]))
-
-
-def _common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that several texts of a sample of bounded size hold, sorted, and how many hold each."""
-    share = SAMPLED / max(docs.count(), SAMPLED)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
-    table = _with_runs(some).select(F.explode("runs").alias("g")).groupBy("g").count().where("count > 1").toArrow()
-    g, n = (table.column(c).to_numpy() for c in ("g", "count"))
-    order = np.argsort(g)
-    return g[order], n[order].astype(np.int32)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, sh long, n int, fps array<long>")
 
 
-def with_prefixes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, th, sh, n, prefix``: sh is a hash of the set of runs, n its size."""
-    common, held = _common_runs(docs)
+def _sets(docs: DataFrame, which: DataFrame) -> DataFrame:
+    """``which(sh, doc_id, th)`` -> ``sh, runs``: the runs of one text of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sh, size, prefix = [], [], []
-            for t in b.column("text").to_pylist():
-                r = runs(t)
-                at = np.minimum(np.searchsorted(common, r), max(len(common) - 1, 0))
-                often = np.where(common[at] == r, held[at], 0) if len(common) else np.zeros(len(r), np.int32)
-                sh.append(xxhash.xxh64_intdigest(r.tobytes(), SEED) if len(r) else 0)
-                size.append(len(r))
-                prefix.append(r[np.argsort(often, kind="stable")[: posted(len(r))]])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.array(sh, np.uint64).view(np.int64)), pa.array(size, pa.int32()), _lists(prefix)], ["doc_id", "th", "sh", "n", "prefix"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th int, sh long, n int, prefix array<long>")
-
+            found = [runs(t) for t in b.column("text").to_pylist()]
+            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("sh"), lists], ["sh", "runs"])
 
-def candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """``sets(sh, n, prefix)`` -> ``a, b, a_n, b_n``: every pair at the similarity, and others that share enough posted runs."""
-    every = sets.select("sh", "n", F.explode("prefix").alias("g"))
-    shared = every.withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").drop("c")
-    post = scratch.table(shared, "post")
-    of = lambda p: post.select("g", F.col("sh").alias(p), F.col("n").alias(f"{p}_n"))
-    met = of("a").join(of("b"), "g").where("a < b and 5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n")
-    pairs = met.groupBy("a", "b", "a_n", "b_n").count()
-    least = F.expr("(4 * (a_n + b_n) + 8) div 9")  # runs that such a pair shares
-    prefix = lambda n: n - F.floor((4 * n + 4) / 5) + 1
-    spare = lambda n: prefix(n) - (n - least)
-    return pairs.where(F.col("count") >= F.least(spare(F.col("a_n")), spare(F.col("b_n")))).drop("count")
+    asked = which.select("sh", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    texts = docs.select("doc_id", "text").join(asked, same).select("sh", "text").dropDuplicates(["sh"])
+    return texts.mapInArrow(run, "sh long, runs array<long>")
 
 
-def _is(doc_id: Column, th: Column) -> Column:
-    return F.col("doc_id").cast("long").eqNullSafe(doc_id) & (F.hash("text") == th)
+def buckets(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """``prints(sh, fps)`` -> ``key, sh, lead``: the members of every bucket of several, and the smallest of them."""
+    masks = F.explode(F.array(*(F.lit(simhash.signed(m)).cast("long") for m in simhash.covering_masks(radius))))
+    dealt = prints.select("sh", F.posexplode("fps").alias("k", "fp")).select("sh", "k", "fp", masks.alias("m"))
+    dealt = dealt.select("sh", F.xxhash64("k", "m", F.col("m").bitwiseAND(F.col("fp"))).alias("key"))
+    several = dealt.groupBy("key").agg(F.min("sh").alias("lead"), F.max("sh").alias("last")).where("lead < last").select("key", "lead")
+    # Written first, so that Spark can split a bucket of very many members.
+    return dealt.join(scratch.table(several, "several"), "key").select("key", "sh", "lead")
 
 
-def linked(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``u, v``: the candidate pairs whose sets' Jaccard similarity is SIMILARITY or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct()
-    which = each.join(asked, "sh").select("sh", F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__th"))
-    texts = docs.select("doc_id", "text").join(which, _is(F.col("__id"), F.col("__th"))).dropDuplicates(["sh"])
-    sets = Scratch(docs.sparkSession, "sets").table(_with_runs(texts, "sh"), "sets")
-    of = lambda p: sets.select(F.col("sh").alias(p), F.col("runs").alias(f"{p}_runs"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(9 * F.size(F.array_intersect("a_runs", "b_runs")) >= 4 * (F.size("a_runs") + F.size("b_runs"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(u, v)`` whose sets' Jaccard similarity is SIMILARITY or more; sizes tell most others apart."""
+    size = lambda p: sizes.select(F.col("sh").alias(p), F.col("n").alias(f"{p}_n"))
+    held = lambda p: sets.select(F.col("sh").alias(p), F.col("runs").alias(f"{p}_runs"))
+    near = pairs.join(size("u"), "u").join(size("v"), "v").where("5 * least(u_n, v_n) >= 4 * greatest(u_n, v_n)")
+    both = near.join(held("u"), "u").join(held("v"), "v")
+    return both.where(9 * F.size(F.array_intersect("u_runs", "v_runs")) >= 4 * (F.col("u_n") + F.col("v_n"))).select("u", "v")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, th``, and the keeper ``keep_id, keep_th`` of its component.
 
-    Texts are lower-cased (A-Z) and cut into words at ASCII white space. Texts are linked where the sets of their
-    five-word runs have a Jaccard similarity of 0.8 or more; blank texts link to each other. The keeper is the row of
-    all that links reach with the smallest (doc_id, hash of the text), null ids last.
+    Texts are lower-cased (A-Z) and cut into words at ASCII white space. Texts are linked where they share a bucket
+    and the sets of their five-word runs have a Jaccard similarity of 0.8 or more; all blank texts link. No link of
+    texts within RADIUS bits is lost; a set has the smallest fingerprints of its texts. The keeper is the row
+    of all that links reach with the smallest (doc_id, hash of the text), null ids last. Repeated rows stay repeated
+    rows, other columns are never read, and an empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
-    rows = scratch.table(with_prefixes(docs), "rows")
+    rows = scratch.table(_with_prints(docs), "rows")
     who = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
-    each = scratch.table(rows.groupBy("sh").agg(F.min(who).alias("least")), "each")
-    pairs = scratch.table(candidates(rows.select("sh", "n", "prefix").dropDuplicates(["sh"]), scratch), "pairs")
-    links = connected_components(linked(docs, each, pairs), scratch)
-    joined = each.join(links, each["sh"] == F.col("u"), "left").select("sh", "least", F.coalesce("v", "sh").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least").alias("best"))
-    of = joined.join(roots, "root").select("sh", F.col("best.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th"))
-    return rows.join(of, "sh").select("doc_id", "th", "keep_id", "keep_th")
+    each = scratch.table(rows.groupBy("sh").agg(F.min(who).alias("least"), F.min("n").alias("n"), F.min("fps").alias("fps")), "each")
+    met = scratch.table(buckets(each.where("n > 0").select("sh", "fps"), scratch), "met")
+    members = met.select("sh").distinct()
+    sizes = scratch.table(each.join(members, "sh").select("sh", "n", "least.doc_id", "least.th"), "members")
+    sets = scratch.table(_sets(docs, sizes), "sets")
+    first = scratch.table(alike(met.where("sh <> lead").select(F.col("lead").alias("u"), F.col("sh").alias("v")).distinct(), sizes, sets), "first")
+    joined = connected_components(first, scratch, "first").select(F.col("u").alias("sh"), F.col("v").alias("root"))
+    placed = scratch.table(met.join(joined, "sh", "left").select("key", "sh", "lead", F.coalesce("root", "sh").alias("root")), "placed")
+    open_ = scratch.table(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "open")
+    left = placed.where("sh <> lead").join(open_, "key", "left_semi").select("key", "sh", "root")
+    right = left.select("key", F.col("sh").alias("v"), F.col("root").alias("v_root"))
+    rest = left.join(right, "key").where("sh < v and root <> v_root").select(F.col("sh").alias("u"), "v").distinct()
+    second = scratch.table(alike(scratch.table(rest, "rest"), sizes, sets), "second")
+    links = connected_components(first.unionByName(second), scratch, "all")
+    of = each.join(links, each["sh"] == F.col("u"), "left").select("sh", "least", F.coalesce("v", "sh").alias("root"))
+    best = of.groupBy("root").agg(F.min("least").alias("best"))
+    keep = of.join(best, "root").select("sh", F.col("best.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th"))
+    return rows.join(keep, "sh").select("doc_id", "th", "keep_id", "keep_th")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that near_copies() keeps, one for each component, with all their columns."""
     keep = near_copies(docs).select("keep_id", "keep_th").distinct()
-    mine = docs.withColumn("__th", F.hash("text"))
+    mine = docs.withColumn("__th", F.xxhash64("text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__th") == F.col("keep_th"))
     return mine.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")

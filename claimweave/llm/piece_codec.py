@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
     swapped at chunk borders. Null and empty texts have no ids. Repeated rows stay. A column ``ids`` of docs is
     replaced. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     own = docs.drop("ids")
     if not PieceModel.of(path).chunks:
         return _encode_rows(own, path)
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of ``ids``; null ids give null."""
-    small_batches(encoded.sparkSession, 256)
+    small_batches(encoded.sparkSession)
     own = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, round_trip``: whether decoding gives the text back (null: empty)."""
     import zlib
 
-    small_batches(encoded.sparkSession, 256)
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

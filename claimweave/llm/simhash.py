@@ -1,13 +1,15 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
-Every 64-bit fingerprint is masked by seven structured masks, made from the seven non-zero vectors of GF(2)^3: each
-bit position carries one such vector, and mask ``a`` keeps the positions whose vector has inner product 1 with ``a``.
-Two positions span at most a plane, so some ``a`` is orthogonal to both: any two fingerprints that differ in at most
-two bits are equal under that mask and share a bucket of that table. There are no false negatives.
-
-Within a bucket only the bits that the mask drops can differ. Fingerprints at distance 2 or less share a midpoint at
-distance 1 or less from both, and all fingerprints around one midpoint are within 2 of each other, so one link from
-each to the smallest of them joins exactly the right ones. The work is linear in the bucket: no pairs are made.
+For a radius r every bit position of the 64-bit fingerprints carries a vector of GF(2)^(r+1) whose top coordinate is
+1, and mask ``a`` keeps the positions whose vector has inner product 1 with ``a``. The vectors of r positions span at
+most r dimensions, so some ``a`` is orthogonal to them all: any two fingerprints that differ in at most r bits are
+equal under that mask and share a bucket of that table. There are no false negatives. The vectors are spread so that
+every mask keeps 32 of 64 bits, up to radius 6.
+
+Radius 2 needs no comparison of pairs. Fingerprints at distance 2 or less share a midpoint at distance 1 or less from
+both, and all fingerprints around one midpoint are within 2 of each other, so one link from each to the smallest of
+them joins exactly the right ones. The work is linear in the bucket. Texts under a wider radius are compared in
+near_copies.py.
 """
 
 from __future__ import annotations
@@ -26,63 +28,76 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 RADIUS = 2
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def covering_masks() -> list[int]:
-    """The 2^(RADIUS+1)-1 masks over BITS positions."""
-    codes = range(1, 2 ** (RADIUS + 1))
-    given = [1 + i % len(codes) for i in range(BITS)]
-    return [sum(1 << i for i, g in enumerate(given) if (g & a).bit_count() % 2) for a in codes]
+def covering_masks(radius: int = RADIUS) -> list[int]:
+    """The 2^(radius+1)-2 masks over BITS positions; one more would be the whole fingerprint, which covers nothing new."""
+    given = [1 << radius | i % (1 << radius) for i in range(BITS)]
+    return [sum(1 << i for i, g in enumerate(given) if (g & a).bit_count() % 2) for a in range(1, 2 << radius) if a != 1 << radius]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of one text: see near_duplicates()."""
-    words = (text or "").encode().translate(_LOWER).split()
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a shorter text is one shingle, a blank one has none."""
+    words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):  # a very long text is summed piece by piece
         part = hashes[at : at + 65536]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of one text: see near_duplicates()."""
+    return _majority(_hashes(text, shingle))
 
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+def fingerprints(text: str | None, shingle: int, many: int) -> list[int]:
+    """``many`` fingerprints of one text: the first is fingerprint(), the others are of the same hashes, mixed anew."""
+    h, out = _hashes(text, shingle), []
+    for k in range(many):
+        out.append(_majority(h))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+    return out
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, th, fp``: th is a 32-bit hash of the text, fp the fingerprint as a signed long."""
+    """``docs(doc_id, text)`` -> ``doc_id, th, fp``: th is a hash of the text, fp the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t)) for t in b.column("text").to_pylist()]
+            fps = [signed(fingerprint(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th int, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct ``fp`` -> ``(u, v)``: the component of every fingerprint that is not the smallest of its own."""
     masks = covering_masks()
-    cand = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)))).alias("c")).select("fp", "c.t", "c.key")
+    cand = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)))).alias("c")).select("fp", "c.t", "c.key")
     shared = cand.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "key")
     near = cand.join(shared, ["t", "key"], "left_semi")
     flips = F.lit(None)
     for t, m in enumerate(masks):
         free = [0] + [1 << i for i in range(BITS) if not m >> i & 1]
-        flips = F.when(F.col("t") == t, F.array(*(F.lit(_signed(x)).cast("long") for x in free))).otherwise(flips)
+        flips = F.when(F.col("t") == t, F.array(*(F.lit(signed(x)).cast("long") for x in free))).otherwise(flips)
     mids = near.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).distinct()
     mids = scratch.table(mids, "mids")
     least = mids.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("mid", "lo")
@@ -116,6 +131,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows with one doc_id and text, one stays.
     """
     keep = near_duplicates(docs).select("keep_id", "keep_th").distinct()
-    mine = docs.select("*", F.hash("text").alias("__th"))
+    mine = docs.select("*", F.xxhash64("text").alias("__th"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__th") == F.col("keep_th"))
     return mine.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")

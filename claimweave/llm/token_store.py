@@ -96,7 +96,7 @@ class ByteLevelEncoder:
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``docs(doc_id, text)`` in ascending doc_id (null first), ties by text, with the columns of the store."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block, start = ByteLevelEncoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -136,7 +136,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def digests(store: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32``, the counts and checksums taken from the stored ids."""
-    small_batches(store.sparkSession, 256)
+    small_batches(store.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -63,7 +63,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame
     unless there is no other. Repeated rows are records of their own, of equal kind. An empty table gives no files.
     A task that runs again writes new files; the list, written once, names only those of the task that succeeded.
     """
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(folder)

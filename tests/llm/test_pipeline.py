@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import mixing, queries, simhash, toxicity
+from claimweave.llm import mixing, near_copies, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,8 +24,7 @@ def test_every_stage_takes_effect(spark, docs):
         out = stage(spark, at, FOLDER)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         if name == "simhash":
-            prints = simhash.near_duplicates(at).select("doc_id", "component_id")
-            keepers = {r["component_id"] for r in prints.collect()}
+            keepers = {r["keep_id"] for r in near_copies.near_copies(at).collect()}
             assert {r["doc_id"] for r in out.select("doc_id").collect()} == keepers
         if name == "mixing":
             copies = {r["doc_id"]: r["copies"] for r in mixing.with_copies(at).collect()}
