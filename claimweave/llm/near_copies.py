@@ -5,9 +5,10 @@ same texts share far more of their two-word shingles, and fingerprints of those
 fingerprints, from differently mixed hashes; two texts within RADIUS bits under any of them share a bucket for certain,
 and many that are somewhat further apart do, too. All links are exact.
 
-A bucket of many near copies is not compared pair by pair. First every member is compared with the smallest of its
-bucket. Only members that this leaves in different components are then compared with each other, all of them, since
-a link between two that are joined already would change nothing.
+A bucket of many near copies is not compared pair by pair. First every member is compared with its bucket's lead, the
+member of most buckets. Only members that this leaves in different components are then compared with each other, all of
+them, since a link between two that are joined already would change nothing. So a group whose members are similar to
+their lead costs as many comparisons as it has members; members just below the similarity are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -75,13 +76,16 @@ def _sets(docs: DataFrame, which: DataFrame) -> DataFrame:
 
 
 def buckets(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """``prints(sh, fps)`` -> ``key, sh, lead``: the members of every bucket of several, and the smallest of them."""
+    """``prints(sh, fps)`` -> ``key, sh, lead``: the members of every bucket of several, and that which is in most of them."""
     masks = F.explode(F.array(*(F.lit(simhash.signed(m)).cast("long") for m in simhash.covering_masks(radius))))
     dealt = prints.select("sh", F.posexplode("fps").alias("k", "fp")).select("sh", "k", "fp", masks.alias("m"))
     dealt = dealt.select("sh", F.xxhash64("k", "m", F.col("m").bitwiseAND(F.col("fp"))).alias("key"))
-    several = dealt.groupBy("key").agg(F.min("sh").alias("lead"), F.max("sh").alias("last")).where("lead < last").select("key", "lead")
-    # Written first, so that Spark can split a bucket of very many members.
-    return dealt.join(scratch.table(several, "several"), "key").select("key", "sh", "lead")
+    several = dealt.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("z")).where("a < z").select("key")
+    # The small side of each join is written first, so that Spark can split a bucket of very many members.
+    met = scratch.table(dealt.join(scratch.table(several, "several"), "key", "left_semi"), "together")
+    often = scratch.table(met.groupBy("sh").agg(F.count("*").alias("many")), "often")
+    led = met.join(often, "sh").groupBy("key").agg(F.max(F.struct("many", "sh")).alias("l")).select("key", F.col("l.sh").alias("lead"))
+    return met.join(scratch.table(led, "leads"), "key").select("key", "sh", "lead")
 
 
 def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -110,11 +114,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = met.select("sh").distinct()
     sizes = scratch.table(each.join(members, "sh").select("sh", "n", "least.doc_id", "least.th"), "members")
     sets = scratch.table(_sets(docs, sizes), "sets")
-    first = scratch.table(alike(met.where("sh <> lead").select(F.col("lead").alias("u"), F.col("sh").alias("v")).distinct(), sizes, sets), "first")
+    first = scratch.table(alike(met.where("sh <> lead").select(F.least("lead", "sh").alias("u"), F.greatest("lead", "sh").alias("v")).distinct(), sizes, sets), "first")
     joined = connected_components(first, scratch, "first").select(F.col("u").alias("sh"), F.col("v").alias("root"))
     placed = scratch.table(met.join(joined, "sh", "left").select("key", "sh", "lead", F.coalesce("root", "sh").alias("root")), "placed")
     open_ = scratch.table(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "open")
-    left = placed.where("sh <> lead").join(open_, "key", "left_semi").select("key", "sh", "root")
+    left = scratch.table(placed.where("sh <> lead").join(open_, "key", "left_semi").select("key", "sh", "root"), "left")
     right = left.select("key", F.col("sh").alias("v"), F.col("root").alias("v_root"))
     rest = left.join(right, "key").where("sh < v and root <> v_root").select(F.col("sh").alias("u"), "v").distinct()
     second = scratch.table(alike(scratch.table(rest, "rest"), sizes, sets), "second")
