@@ -84,12 +84,21 @@ def phrases(words: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield keys[p.astype(np.int64)], _join(_join(wins[first], wins[last]), _mix(shape + _M1)), first + at, last - first + 1
 
 
+#: What tells rows apart: the id, -1 for null, and a hash of the text that also tells null ids from -1.
+ROW = ["id", "th"]
+
+
+def _identified(docs: DataFrame, id_name: str = "id", th_name: str = "th") -> list[Column]:
+    own = F.col("doc_id").cast("long")
+    return [F.coalesce(own, F.lit(-1)).alias(id_name), F.xxhash64("text", own.isNull()).alias(th_name)]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identified(docs), "text")
 
 
 def _parse(docs: DataFrame) -> DataFrame:
-    """One row per phrase: doc_id, th, key, run, i0 (first window), n (windows)."""
+    """One row per phrase: id, th, key, run, i0 (first window), n (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,20 +112,16 @@ def _parse(docs: DataFrame) -> DataFrame:
             if parts:
                 key, run_, i0, n = (np.concatenate(x) for x in zip(*parts))
                 own = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("th").take(own), pa.array(key.view(np.int64)), pa.array(run_.view(np.int64)), pa.array(i0.astype(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "th", "key", "run", "i0", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("th").take(own), pa.array(key.view(np.int64)), pa.array(run_.view(np.int64)), pa.array(i0.astype(np.int64)), pa.array(n.astype(np.int32))], ["id", "th", "key", "run", "i0", "n"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, th int, key long, run long, i0 long, n int")
-
-
-def _same_doc(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    return _rows(docs).drop("doc_id").mapInArrow(run, "id long, th long, key long, run long, i0 long, n int")
 
 
 def _look_inside(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``runs(doc_id, th, key, run, c, i0, n)`` -> one row per window: key, run, c, o (its place in the phrase), h."""
-    per = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "run", "c", "i0", "n")).alias("runs"))
-    rows = _rows(docs)
-    both = rows.join(per, _same_doc(rows, per)).select(rows["text"], per["runs"])
+    """``runs(id, th, key, run, c, i0, n)`` -> one row per window: key, run, c, o (its place in the phrase), h."""
+    per = runs.groupBy(*ROW).agg(F.collect_list(F.struct("key", "run", "c", "i0", "n")).alias("runs"))
+    # A repeated row is looked into once; the join's own partitions and order serve that, too.
+    both = _rows(docs).join(per, ROW).dropDuplicates(ROW).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +138,10 @@ def _look_inside(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, th, spans``: spans lists (i0, mask) with bit o of mask set if window i0 + o also stands elsewhere."""
+    """``id, th, spans``: spans lists (i0, mask) with bit o of mask set if window i0 + o also stands elsewhere.
+
+    Repeated rows count as often as they stand, but share one list of spans.
+    """
     small_batches(docs.sparkSession)
     occ = scratch.table(_parse(docs), "phrases")
     # The small side of each join is written first: Spark then splits a hot key's partition, which it cannot do where
@@ -141,16 +149,17 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = scratch.table(occ.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     shared = scratch.table(occ.join(keys, "key", "left_semi"), "shared")
     scratch.drop("phrases")
-    runs = shared.groupBy("key", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "i0", "n")).alias("at"))
+    runs = shared.groupBy("key", "run").agg(F.count("*").alias("c"), F.min(F.struct(*ROW, "i0", "n")).alias("at"))
     runs = scratch.table(runs.select("key", "run", "c", "at.*"), "runs")
     edges = scratch.table(runs.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "edges")
     inside = scratch.table(_look_inside(docs, runs.join(edges, "key", "left_semi")), "inside")
     twice = scratch.table(inside.groupBy("key", "h").agg(F.sum("c").alias("s")).where("s > 1").select("key", "h"), "twice")
     part = inside.where("c = 1").join(twice, ["key", "h"], "left_semi").groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
     full = runs.where("c > 1").select("key", "run", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    masks = full.unionByName(part)
-    found = shared.join(masks, ["key", "run"]).select("doc_id", "th", "i0", "mask")
-    return found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i0", "mask")).alias("spans"))
+    found = shared.join(full.unionByName(part), ["key", "run"]).groupBy(*ROW).agg(F.collect_set(F.struct("i0", "mask")).alias("spans"))
+    found = scratch.table(found, "spans")
+    scratch.drop("keys", "shared", "runs", "edges", "inside", "twice")
+    return found
 
 
 def covered(n: int, spans: list[dict]) -> np.ndarray:
@@ -165,7 +174,7 @@ def covered(n: int, spans: list[dict]) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, th, n_words, n_removed, kept_sha256`` and ``kept`` (if full).
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_words, n_removed, kept_sha256`` and ``kept`` (if full).
 
     Words are cut at ASCII white space and unchanged. Every word in a window of 35 that also starts anywhere else goes,
     all copies alike, judged on the input. ``kept`` is the text itself where nothing goes, else the kept words joined
@@ -174,10 +183,8 @@ def without_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
     are told apart by (doc_id, hash of the text); null ids work alike. Other columns are never read. Empty table:
     empty result.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
-    spans = scratch.table(repeated_windows(docs, scratch), "spans")
-    rows = _rows(docs)
-    both = rows.join(spans, _same_doc(rows, spans), "left").select(rows["doc_id"], rows["th"], "text", "spans")
+    spans = repeated_windows(docs, Scratch(docs.sparkSession, "substring"))
+    both = _rows(docs).join(spans, ROW, "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,19 +200,17 @@ def without_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
                 sha.append(hashlib.sha256(joined).hexdigest())
                 if full:
                     kept.append(joined.decode() if gone[-1] else t)
-            cols = [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * full, names)
 
-    names = ["doc_id", "th", "n_words", "n_removed", "kept_sha256"] + ["kept"] * full
-    return both.mapInArrow(run, "doc_id long, th int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * full)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * full
+    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * full)
 
 
 def replace_text(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, if there) replaced by what without_repeats() keeps; no row goes."""
-    found = repeated_windows(docs, Scratch(docs.sparkSession, "substring"))
-    spans = found.select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__of"), F.col("spans").alias("__spans"))
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__th"))
-    both = rows.join(spans, F.col("__id").eqNullSafe(F.col("__doc_id")) & (F.col("__th") == F.col("__of")), "left").select(*docs.columns, "__spans")
+    found = repeated_windows(docs, Scratch(docs.sparkSession, "substring")).toDF("__id", "__th", "__spans")
+    both = docs.select("*", *_identified(docs, "__id", "__th")).join(found, ["__id", "__th"], "left").select(*docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
