@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosines, components.
 
-A table's code is the signs of a vector's products with BITS random hyperplanes; two vectors at cosine c agree in one
-sign with probability 1 - acos(c)/pi. BITS follows the number of vectors, so buckets stay of one expected size, and
-the number of tables follows from the miss probability allowed at the threshold. Within a bucket all pairs are
-compared in double precision, block against block, so that no task holds more than two blocks; a pair that meets in
-several tables counts only in the first. A block pair returns counts and a spanning forest of its links, not pairs.
+Equal vectors are one class with a count, so copies cost nothing beyond the first. A table's code is the signs of a
+vector's products with BITS random hyperplanes; two vectors at cosine c agree in one sign with probability
+1 - acos(c)/pi. BITS follows the number of classes, so buckets stay of one expected size, and the number of tables
+follows from the miss probability allowed at the threshold. Within a bucket all pairs are compared in double precision,
+block against block, so that no task holds more than two blocks; a pair that meets in several tables counts only in the
+first. A block pair returns counts and a spanning forest of its links, not pairs.
 """
 
 from __future__ import annotations
@@ -40,30 +41,34 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
+def _usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, x, h, g`` of the vectors that can link, with 128 bits that tell different ones apart; the other ids."""
     x = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    ok = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
-    return rows.where(ok & F.col("vec_id").isNotNull())
+    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
+    fine = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
+    return rows.where(fine).select("vec_id", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g")), rows.where(~fine).select("vec_id")
 
 
-def _coded(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """``vec_id, dim, x`` and ``codes``, one for each table."""
-    kind, whole = rows.schema["x"].dataType.simpleString(), pa.int32() if bits < 32 else pa.int64()
+def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """``classes(c, x)`` -> ``c, dim, codes, payload``: a code for each table; payload is the vector's bytes and the codes'."""
+    whole = np.int32 if bits < 32 else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for b in batches:
-            codes = []
-            for x in b.column("x").to_pylist():
-                v = _units(np.array([x], np.float64))[0]
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([SEED, len(v)]).standard_normal((tables * bits, len(v)))
-                sign = (planes[len(v)] @ v > 0).reshape(tables, bits)
-                codes.append((sign @ (1 << np.arange(bits, dtype=np.int64))).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("dim"), b.column("x"), pa.array(codes, pa.list_(whole))], ["vec_id", "dim", "x", "codes"])
+            size, values = b.column("x").value_lengths().to_numpy(), b.column("x").flatten().to_numpy()
+            at = np.concatenate(([0], np.cumsum(size)))
+            for dim in np.unique(size):  # one length, but for odd tables
+                mine = np.flatnonzero(size == dim)
+                x = values[at[mine][:, None] + np.arange(dim)]
+                planes = np.random.default_rng([SEED, int(dim)]).standard_normal((tables * bits, int(dim)))
+                signs = (_units(x.astype(np.float64)) @ planes.T > 0).reshape(len(mine), tables, bits)
+                codes = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(whole)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
+                payload = np.hstack([np.ascontiguousarray(x).view(np.uint8), codes.view(np.uint8)])
+                yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(mine)), pa.array(np.full(len(mine), dim, np.int32)), lists, pa.array([p.tobytes() for p in payload], pa.binary())], ["c", "dim", "codes", "payload"])
 
-    return rows.select("vec_id", F.size("x").alias("dim"), "x").mapInArrow(run, f"vec_id long, dim int, x {kind}, codes array<{'int' if bits < 32 else 'long'}>")
+    return classes.select("c", "x").mapInArrow(run, f"c long, dim int, codes array<{'int' if bits < 32 else 'long'}>, payload binary")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -77,55 +82,62 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(key: tuple, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one block pair: a row (vec_id, other, links) per vector with links; other is its tree's smallest id."""
-    table, _, _, bi, bj = key
-    rows = rows.sort_values("vec_id", kind="stable")
-    ids, block = rows["vec_id"].to_numpy(), rows["block"].to_numpy()
-    x, codes = _units(np.stack(rows["x"].to_list()).astype(np.float64)), np.stack(rows["codes"].to_list())
+def _compare(key: tuple, rows: pd.DataFrame, threshold: float, real: type, whole: type) -> pd.DataFrame:
+    """Links of one block pair: a row (c, other, links) per class with links; other is its tree's smallest class."""
+    dim, table, _, bi, bj = key
+    rows = rows.sort_values("c", kind="stable")
+    ids, block, many = (rows[k].to_numpy() for k in ("c", "block", "n"))
+    raw = np.frombuffer(b"".join(rows["payload"]), np.uint8).reshape(len(rows), -1)
+    cut = dim * np.dtype(real).itemsize
+    x, codes = _units(raw[:, :cut].copy().view(real).astype(np.float64)), raw[:, cut:].copy().view(whole)
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
     if bi != bj:
         near &= block[:, None] != block[None, :]
     for t in range(table):  # met in an earlier table already
         near &= codes[:, t][:, None] != codes[:, t][None, :]
-    links = near.sum(axis=1)
-    has = links > 0
-    ids, root = ids[has], forest(near[np.ix_(has, has)])
-    return pd.DataFrame({"vec_id": ids, "other": ids[root], "links": links[has].astype(np.int64)})
+    has = near.any(axis=1)
+    near, ids, many = near[np.ix_(has, has)], ids[has], many[has]
+    return pd.DataFrame({"c": ids, "other": ids[forest(near)], "links": near @ many})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
 
     Pairs with cosine of at least ``threshold`` in double precision are linked; none below is. At the threshold a
-    link is missed with probability ``miss``, less above it. Vectors null, empty, zero, or with null or non-finite
-    components link with nothing and are their own component; so do null ids, whose component_id and kept are null.
-    Vectors of different length never link. Repeated ids are vectors of their own: they link if near, and their rows
-    are told apart only by their counts' sum. Other columns are never read. An empty table gives an empty table.
+    link is missed with probability ``miss``, less above it; equal vectors always link. Vectors null, empty, zero, or
+    with null or non-finite components link with nothing and are their own component; so do null ids, whose
+    component_id and kept are null. Vectors of different length never link. Repeated ids are vectors of their own,
+    with links of their own. Other columns are never read. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     small_batches(spark)
-    usable = _usable(vectors)
-    bits, tables = shape(usable.count(), threshold, miss)
-    # Numbered and written, so that the vectors themselves are dealt only once, when it is known to which block pairs.
-    coded = scratch.table(_coded(usable, bits, tables).withColumn("row", F.monotonically_increasing_id()), "coded")
-    met = coded.select("row", "dim", F.posexplode("codes").alias("t", "code"))
+    usable, others = _usable(vectors)
+    same = usable.groupBy("h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("x").alias("x"))
+    classes = scratch.table(same.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
+    bits, tables = shape(classes.count(), threshold, miss)
+    real = np.float32 if classes.schema["x"].dataType.simpleString() == "array<float>" else np.float64
+    coded = scratch.table(_coded(classes, bits, tables), "coded")
+    met = coded.select("c", "dim", F.posexplode("codes").alias("t", "code"))
     counts = met.groupBy("t", "dim", "code").agg(F.count("*").alias("n")).where("n > 1")
     blocks = scratch.table(counts.select("t", "dim", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "blocks")
-    placed = met.join(blocks, ["t", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("k")).cast("int"))
+    # Ids and codes only until it is known which block pairs there are; then each vector goes to its own.
+    placed = met.join(blocks, ["t", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), F.col("k")).cast("int"))
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = pairs.select("row", "t", "code", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block")
-    keys = ["t", "dim", "code", "bi", "bj"]
-    wide = pairs.join(coded, "row").select(*keys, "block", "vec_id", "x", "codes")
+    keys = ["dim", "t", "code", "bi", "bj"]
+    pairs = pairs.select("c", "dim", "t", "code", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block")
+    wide = pairs.join(coded.select("c", "payload"), "c").join(classes.select("c", "n"), "c").select(*keys, "block", "c", "n", "payload")
     # By all keys: by the bucket alone, a bucket's block pairs would share one task.
     dealt = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    found = dealt.groupBy(*keys).applyInPandas(lambda key, rows: _compare(key, rows, threshold), "vec_id long, other long, links long")
+    whole = np.int32 if bits < 32 else np.int64
+    found = dealt.groupBy(*keys).applyInPandas(lambda key, rows: _compare(key, rows, threshold, real, whole), "c long, other long, links long")
     found = scratch.table(found, "links")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("n"))
-    roots = connected_components(found.select(F.col("vec_id").alias("u"), F.col("other").alias("v")), scratch)
-    roots = roots.select(F.col("u").alias("vec_id"), F.col("v").alias("root"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(links, "vec_id", "left").join(roots, "vec_id", "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    links = found.groupBy("c").agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select(F.col("c").alias("u"), F.col("other").alias("v")), scratch)
+    each = classes.select("h", "g", "c", "n", "least").join(links, "c", "left").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left")
+    each = scratch.table(each.select("h", "g", "least", F.coalesce("root", "c").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "each")
+    each = scratch.table(each.join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h", "g", "n_links", "component_id"), "told")
+    linked = usable.select("vec_id", "h", "g").join(each, ["h", "g"]).select("vec_id", "n_links", "component_id")
+    alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("component_id") == F.col("vec_id"))
