@@ -84,6 +84,10 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return b.column("f").values.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, N_STATS))
 
 
+def _packed(n: int, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([g.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["n", "g", "c"])
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, f`` for each row of ``docs(doc_id, text)``."""
     small_batches(docs.sparkSession)
@@ -114,9 +118,18 @@ def fit(rows: DataFrame) -> KernelRidge:
             g += z.T @ z
             c += z.T @ b.column("label").to_numpy()
             n += len(z)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([g.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["n", "g", "c"])
+        yield _packed(n, g, c)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, c, n = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1), 0
+        for b in batches:
+            for row in b.to_pylist():
+                n, g, c = n + row["n"], g + np.frombuffer(row["g"]).reshape(g.shape), c + np.frombuffer(row["c"])
+        yield _packed(n, g, c)
 
-    parts = rows.where(~aside).repartition(SUM_PARTITIONS, "doc_id").mapInArrow(sums, "n long, g binary, c binary").collect()
+    # Summed in the partitions there are; only these sums are moved, and SUM_PARTITIONS of them reach the driver.
+    ddl = "n long, g binary, c binary"
+    parts = rows.where(~aside).mapInArrow(sums, ddl).where("n > 0").repartition(SUM_PARTITIONS).mapInArrow(added, ddl).collect()
     n = sum(p["n"] for p in parts)
     if n:
         g = sum(np.frombuffer(p["g"]) for p in parts).reshape(FEATURES + 1, FEATURES + 1)

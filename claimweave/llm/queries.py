@@ -73,7 +73,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256."""
-    return substring.without_repeats(_table(spark, sf_dir, "documents"), full=False).drop("th")
+    return substring.without_repeats(_table(spark, sf_dir, "documents"), full=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

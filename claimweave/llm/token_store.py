@@ -23,6 +23,7 @@ from claimweave.llm.common import Scratch, small_batches
 END_ID = 0
 CACHE_WORDS = 350_000
 STRIPE_BYTES = 64 << 20
+BROADCAST_BLOCKS = 100_000
 #: Texts of these characters only are cut into words here; the classes of all of them are settled in every Unicode
 #: version. Other texts go through the library whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -130,8 +131,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("block int, doc_id long, start_in_block long, n_tokens long, ids array<int>").orc(path)
     sizes = rows.groupBy("block").agg(F.sum("n_tokens").alias("size"))
     before = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = sizes.select("block", F.coalesce(before, F.lit(0)).alias("before"))  # one row per file at most
-    return rows.join(F.broadcast(blocks), "block").select("doc_id", (F.col("before") + F.col("start_in_block")).alias("start"), "n_tokens", "ids")
+    blocks = sizes.select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    if sizes.count() <= BROADCAST_BLOCKS:  # one row per file: 16 bytes each; beyond that an ordinary join
+        blocks = F.broadcast(blocks)
+    return rows.join(blocks, "block").select("doc_id", (F.col("before") + F.col("start_in_block")).alias("start"), "n_tokens", "ids")
 
 
 def digests(store: DataFrame) -> DataFrame:

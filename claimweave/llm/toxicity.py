@@ -1,10 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
-The lexicon is a short list of insults and what is learned from training rows: words and word beginnings that stand in toxic documents and hardly ever in
-others, whatever the language, each with its log odds. The trees see each training row through the lexicon of rows
-other than it, so they learn how far a word can be trusted. Features are its densities, also after undoing common
-spellings with digits and signs, its closeness to words of address, and rates of capitals, punctuation and
-obfuscated words.
+The lexicon is a short list of insults and what is learned from training rows: words and word beginnings that stand in
+toxic documents and hardly ever in others, whatever the language, each with its log odds. The trees see each training
+row through the lexicon of rows other than it, so they learn how far a word can be trusted. Features are its densities,
+also after undoing common spellings with digits and signs, its closeness to words of address, and rates of capitals,
+punctuation and obfuscated words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
-MAX_LEXICON = 4_000
 LEAST_TOXIC, LEAST_PRECISION, MAX_CHANCE = 3, 0.9, 0.05
 SIGNATURES = 4
 STEMS = range(3, 9)
@@ -162,8 +161,8 @@ def least_support(spread: list[tuple[int, int, int]], share: float) -> int:
 def learn_lexicon(train: DataFrame) -> tuple[Lexicon, tuple[Lexicon, Lexicon]]:
     """From ``train(doc_id, text, label, half, sigs)``: the lexicon, and for each half that of the other half.
 
-    Of near copies one counts, since what they repeat is no evidence. At most MAX_LEXICON entries, those in most
-    toxic documents.
+    Of near copies one counts, since what they repeat is no evidence. What is collected here is bounded by the sample
+    of labelled documents: every entry stands in several of them.
     """
     ids = train.select("doc_id", *(F.col("sigs")[k].alias(f"s{k}") for k in range(SIGNATURES)))
     for k in range(SIGNATURES):
@@ -186,9 +185,9 @@ def learn_lexicon(train: DataFrame) -> tuple[Lexicon, tuple[Lexicon, Lexicon]]:
     counted = apart.select("text", "label", "half").mapInArrow(run, "gram string, c0 long, t0 long, c1 long, t1 long")
     found = counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
     found = Scratch(train.sparkSession, "lexicon").table(found.where("t0 + t1 > 0"), "grams")
-    spread = found.groupBy((F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")).alias("k")).agg(F.count("*"), F.count_if(F.expr("c0 + c1 = 0"))).where("k <= 60").collect()
+    spread = found.groupBy((F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")).alias("k")).agg(F.count("*"), F.count_if(F.expr("c0 + c1 = 0"))).collect()
     least = least_support([tuple(r) for r in spread], toxic / (toxic + clean))
-    best = found.where(f"t0 + t1 >= {least} and t0 + t1 >= {LEAST_PRECISION} * (t0 + t1 + c0 + c1)").orderBy(F.expr("t0 + t1").desc(), "gram").limit(MAX_LEXICON).collect()
+    best = found.where(f"t0 + t1 >= {least} and t0 + t1 >= {LEAST_PRECISION} * (t0 + t1 + c0 + c1)").collect()
 
     def lexicon(halves: tuple[int, ...]) -> Lexicon:
         nt, nc = (sum(totals.get((h, y), 0) for h in halves) for y in (1, 0))
@@ -211,11 +210,13 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on the documents of at most ``max_labelled`` training labels; a quarter of them calibrates.
 
+    Of documents that share an id one is learned from, that with the smallest text, so the rows are bounded, too.
     Without training rows every score is 0.5.
     """
     small_batches(docs.sparkSession)
     sample = F.broadcast(_sample(labels, max_labelled))  # its size is bounded by max_labelled
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(sample, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("half")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     aside = (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("aside")
-    rows = train.select("doc_id", "text", "label", "half").mapInArrow(run, "doc_id long, label int, x array<double>").orderBy("doc_id", "x").select("label", "x", aside).collect()
+    shown = train.select("doc_id", "text", "label", "half").mapInArrow(run, "doc_id long, label int, x array<double>")
+    rows = shown.orderBy("doc_id").select("label", "x", aside).collect()  # max_labelled rows at most
     if not rows:
         return ToxicityModel(lexicon, BoostedTrees(), Isotonic(*np.zeros((3, 0))))
     x, y, aside = np.array([r["x"] for r in rows]), np.array([float(r["label"]) for r in rows]), np.array([r["aside"] for r in rows])

@@ -144,7 +144,7 @@ def test_substring_equals_brute_force(spark, seed):
             text += p[lo:] + words(int(rng.integers(0, 9)), 7 * i + k)
         rows.append((i, " ".join(text), "en", "s", 0))
     df = spark.createDataFrame(rows, DDL)
-    got = Counter(map(tuple, substring.without_repeats(df, full=False).drop("th").collect()))
+    got = Counter(map(tuple, substring.without_repeats(df, full=False).collect()))
     assert got == brute_repeats(rows) and any(r[2] for r in got)
 
 
@@ -259,6 +259,120 @@ def test_max_plus_scan_equals_library(spark, tmp_path, byte_fallback):
         assert got == {k: model.processor.encode(t) for k, t in enumerate(texts)}
 
 
+def test_substring_is_linear_in_repeated_rows(spark):
+    """One text 2,000 times: as many spans as once, and all its words go."""
+    text = " ".join(words(300, 8))
+    rows = [(7, text, "en", "s", 0)] * 2000 + [(8, " ".join(words(50, 9)) + " " + text, "en", "s", 0), (None, text, None, None, None), (-1, "x " + text, None, None, None)]
+    df = spark.createDataFrame(rows, DDL).repartition(8)
+    from claimweave.llm.common import Scratch
+
+    spans = substring.repeated_windows(df, Scratch(spark, "t")).selectExpr("size(spans) AS n").collect()
+    assert len(spans) == 4 and max(r["n"] for r in spans) <= 300
+    assert Counter(map(tuple, substring.without_repeats(df, full=False).collect())) == brute_repeats(rows)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Fifty texts of a megabyte do not make one batch; every operator asks for the same bounds."""
+    from claimweave.llm import common
+
+    common.small_batches(spark)
+    wide = spark.range(0, 50, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("wide word "), 100_000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in wide.mapInArrow(sizes, "n long").collect()) <= common.BATCH_BYTES + (2 << 20)
+    few = wide.limit(3)
+    assert simhash.near_duplicates(few).select("component_id").distinct().count() == 1
+    assert {r["n_removed"] for r in substring.without_repeats(few, full=False).collect()} == {200_000}
+    assert len({r["ids_crc32"] for r in token_store.round_trip(few, BPE).collect()}) == 1
+    assert {r["round_trip"] for r in piece_codec.digests(piece_codec.encode(few, PIECES), PIECES).collect()} == {True}
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from claimweave.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    scratch.table(spark.range(3), "a")
+    folder = scratch.path("a").removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    scratch.drop("a")
+    assert not os.path.isdir(folder)
+
+
+def test_quality_equals_a_plain_fit(spark):
+    """The summed normal equations, solved, against one least-squares problem over the whole matrix."""
+    docs, labels = labelled_corpus(spark, 400)
+    rows = quality.labelled(quality.with_statistics(docs.repartition(5)), labels, "quality")
+    model = quality.fit(rows)
+    held = rows.select("doc_id", "f", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("aside")).collect()
+    x, y = (np.array([r[c] for r in held if not r["aside"]], float) for c in ("f", "label"))
+    whole = np.array([r["f"] for r in held])
+    assert np.allclose(model.mean, whole.mean(axis=0)) and np.allclose(model.sd, np.where(whole.std(axis=0) > 1e-9, whole.std(axis=0), 1))
+    z = model.features(x)
+    wide = np.vstack([z, np.sqrt(quality.RIDGE * len(z)) * np.eye(z.shape[1])])
+    beta = np.linalg.lstsq(wide, np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(z @ model.beta, z @ beta, atol=1e-6)
+
+
+def brute_tree(x, y, margin, cuts):
+    """One tree by trying every feature and cut at every node: the value that each row gets."""
+    from claimweave.llm import boosting as B
+
+    p = 1 / (1 + np.exp(-margin))
+    g, h = p - y, p * (1 - p)
+
+    def grow(rows, depth):
+        best, split = 1e-6, None
+        if depth < B.DEPTH:
+            gain0 = g[rows].sum() ** 2 / (h[rows].sum() + B.L2)
+            for f in range(x.shape[1]):
+                for c in cuts[f]:
+                    left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    if min(len(left), len(right)) >= B.LEAST:
+                        gain = sum(g[r].sum() ** 2 / (h[r].sum() + B.L2) for r in (left, right)) - gain0
+                        if gain > best + 1e-12:
+                            best, split = gain, (left, right)
+        if split is None:
+            out[rows] = -B.RATE * g[rows].sum() / (h[rows].sum() + B.L2)
+        else:
+            for part in split:
+                grow(part, depth + 1)
+
+    out = np.zeros(len(y))
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+def test_trees_equal_brute_force(monkeypatch):
+    from claimweave.llm import boosting
+
+    monkeypatch.setattr(boosting, "TREES", 4)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((160, 3)), 1)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.7) | (rng.random(160) < 0.1)).astype(float)
+    trees = boosting.BoostedTrees().fit(x, y)
+    cuts = [np.unique(np.concatenate([c, c - 1e-9])) for c in x.T]  # every way to part the rows
+    margin = np.full(160, trees.base)
+    for _ in range(4):
+        margin = margin + brute_tree(x, y, margin, cuts)
+    loss = lambda m: np.log1p(np.exp(-m * (2 * y - 1))).mean()
+    assert abs(loss(trees.margin(x)) - loss(margin)) < 1e-3
+
+
+def test_toxicity_of_repeated_ids_learns_one_text(spark):
+    docs, labels = labelled_corpus(spark, 200)
+    many = docs.union(docs).union(docs.withColumn("text", F.concat(F.col("text"), F.lit(" zz"))))
+    once, thrice = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    texts = [r["text"] for r in docs.limit(50).collect()]
+    assert np.allclose(once.scores(texts), thrice.scores(texts))
+
+
 def test_max_plus_is_associative():
     a, b, c = np.random.default_rng(0).integers(-9, 0, (3, 4, 4)).astype(float)
     p = piece_codec.max_plus

@@ -4,6 +4,7 @@ import io
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from claimweave.llm import embed_dedup, topk, warc
@@ -43,7 +44,8 @@ def test_search_stops_only_on_proof():
     rng = np.random.default_rng(2)
     x = rng.integers(-3, 4, (400, 8))
     ids = np.arange(400) * 7
-    index = topk.ImpactIndex(ids, x)
+    index = topk.ImpactIndex.of(ids, x)
+    index = topk.ImpactIndex.read(pd.DataFrame(index.packed(), columns=["segment", "ids", "starts", "rows", "vals"]))
     got = set(index.search(ids[:20], x[:20], 5))
     for k in range(20):
         best = sorted((-int(x[k] @ x[j]), int(ids[j])) for j in range(400) if j != k)[:5]
@@ -68,6 +70,13 @@ def test_embedding_links_equal_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(reach), i == min(reach))
 
 
+def test_equal_vectors_cost_one(spark):
+    """50,000 equal vectors are one class, not 25 blocks against each other."""
+    rows = [(i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(50_000)] + [(50_000, [1.0, 2.0, 3.0, 4.1], 0), (50_001, [-1.0, 0.0, 0.0, 0.0], 0), (50_001, [4.0, 3.0, -2.0, 1.0], 0)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).groupBy("n_links", "component_id", "kept").count().collect()
+    assert Counter({(r["n_links"], r["component_id"], r["kept"]): r["count"] for r in got}) == Counter({(50_000, 0, False): 50_000, (50_000, 0, True): 1, (0, 50_001, True): 2})
+
+
 def test_embedding_blocks_and_empty(spark, monkeypatch):
     df = spark.createDataFrame(some_vectors(3), VECTORS)
     whole = {tuple(r) for r in embed_dedup.near_duplicates(df, miss=1e-4).collect()}
