@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from claimweave.functions import text
+
 STAGES = ("primary", "runoff", "general", "special", "caucus")
 FIRST_CYCLE, LAST_CYCLE = 1788, 2200
 _SLUG = "[a-z0-9]+(?:-[a-z0-9]+)*"
-CONTEST = rf"^(ocd-division/.+)/({_SLUG})/(\d{{4}})/({'|'.join(STAGES)})(?:/({_SLUG}))?$"
+DIVISION = r"ocd-division/[a-z0-9:_~.\-/]+"
+CONTEST = rf"^({DIVISION})/({_SLUG})/(\d{{4}})/({'|'.join(STAGES)})(?:/({_SLUG}))?$"
 EVENT = r"^(ocd-division/.+)/([a-z_]+)/(\d{4}-\d{2}-\d{2})(?:/([^/]+))?$"
 POLL = rf"^(.+)/({_SLUG})/(\d{{4}}-\d{{2}}-\d{{2}})$"
 #: Precisions that name a day or less.
@@ -27,11 +30,18 @@ def contest_parts(key: Column) -> Column:
 
 
 def contest_key(division: Column, office: Column, cycle: Column, stage: Column, party: Column | None = None) -> Column:
-    """the key, or null where a part breaks the rules. A general contest has no party."""
+    """the key, or null where a part breaks the rules: characters of the division, slugs, the range of cycles, a
+    known stage, and no party on a general contest."""
     party = F.lit(None).cast("string") if party is None else party
-    text = F.concat_ws("/", division, office, cycle.cast("string"), stage, F.when(stage != "general", party))
-    fine = division.startswith("ocd-division/") & office.rlike(f"^{_SLUG}$") & cycle.between(FIRST_CYCLE, LAST_CYCLE) & stage.isin(*STAGES)
-    return F.when(fine, text)
+    key = F.concat_ws("/", division, office, cycle.cast("string"), stage, party)
+    fine = division.rlike(f"^{DIVISION}$") & office.rlike(f"^{_SLUG}$") & cycle.between(FIRST_CYCLE, LAST_CYCLE) & stage.isin(*STAGES)
+    return F.when(fine & (party.isNull() | party.rlike(f"^{_SLUG}$") & (stage != "general")), key)
+
+
+def built_contest_key(division: Column, office: Column, cycle: Column, stage: Column, party: Column | None = None) -> Column:
+    """F14 from text for people: the division in lower case, office and party as slugs."""
+    party = None if party is None else text.slug(party)
+    return contest_key(F.lower(F.trim(division)), text.slug(office), cycle, stage, party)
 
 
 def division_label(division: Column) -> Column:
@@ -51,8 +61,8 @@ def contest_label(parts: Column) -> Column:
 
 
 def at_stage(parts: Column, stage: Column) -> Column:
-    """F16: the same seat and cycle at another stage."""
-    return contest_key(parts["division"], parts["office"], parts["cycle"], stage, parts["party"])
+    """F16: the same seat and cycle at another stage; the party drops out of a general contest."""
+    return contest_key(parts["division"], parts["office"], parts["cycle"], stage, F.when(stage != "general", parts["party"]))
 
 
 def office_key(division: Column, office: Column) -> Column:
@@ -83,14 +93,18 @@ def poll_parts(key: Column) -> Column:
     return F.struct(*(_part(key, POLL, k).alias(n) for k, n in enumerate(("contest", "pollster", "ended"), 1)))
 
 
-def federal_contest_key(office: Column, state: Column, district: Column, cycle: Column) -> Column:
-    """the primary of a federal candidate: P the country, S a state, H a state's district (00 is 1)."""
-    number = F.regexp_replace(district, "^0+", "")
-    country, at = F.lit("ocd-division/country:us"), F.concat(F.lit("ocd-division/country:us/state:"), F.lower(state))
-    seat = F.concat(at, F.lit("/cd:"), F.when(number == "", "1").otherwise(number))
-    division = F.when(office == "P", country).when(office == "S", at).when(office == "H", seat)
+def federal_contest_key(office: Column, state: Column, district: Column, cycle: Column, party: Column) -> Column:
+    """the primary that a federal candidate runs in: P the country, S a state, H a state's district (00 is 1).
+
+    The party is part of the key, independent where none is given. Null where a state is needed and missing.
+    """
+    number = F.regexp_replace(F.trim(F.coalesce(district, F.lit(""))), "^0+", "")
+    country, at = F.lit("ocd-division/country:us"), F.nullif(F.lower(F.trim(state)), F.lit(""))
+    place = F.concat(country, F.lit("/state:"), at)
+    seat = F.concat(place, F.lit("/cd:"), F.when(number == "", "1").otherwise(number))
+    division = F.when(office == "P", country).when(office == "S", place).when(office == "H", seat)
     name = F.when(office == "P", "president").when(office == "S", "us-senate").when(office == "H", "us-house")
-    return contest_key(division, name, cycle, F.lit("primary"))
+    return built_contest_key(division, name, cycle, F.lit("primary"), text.party_slug(F.coalesce(F.nullif(party, F.lit("")), F.lit("independent"))))
 
 
 def candidate_file_url(cycle: int) -> str:

@@ -6,66 +6,86 @@ from pyspark.sql import Column, functions as F
 
 from claimweave.functions.let import let
 
-#: What stands in a cell that says nothing.
-ABSENT = ("", "-", "–", "—", "n/a", "N/A", "?")
-_MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?"
-_DASH = r"\s*(?:-|–|—|to)\s*"
-_RANGE = rf"(?i)^{_MONTH}\s+(\d{{1,2}})(?:,\s*(\d{{4}}))?(?:{_DASH}(?:{_MONTH}\s+)?(\d{{1,2}}))?,\s*(\d{{4}})$"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: What stands in a cell that says nothing, in lower case.
+ABSENT = ("", "—", "–", "-", "n/a", "tba")
+#: The names of months; the first three letters do, too, and "sept".
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_DASH = r"\s*[–—−-]\s*"
+_SIDE = r"^(?:([a-z]+)\s+)?(\d{1,2})(?:,\s*(\d{4}))?$"
+_SAMPLE = r"^([\d,]+)?\s*\(?\s*([a-z]+)?\s*\)?$"
+_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 POPULATIONS = ("lv", "rv", "a", "v")
 
 
+def _cleaned(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def _month(name: Column) -> Column:
-    return (F.position(F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS)) + 2) / 3
+    """The number of a month by its name; null for other words."""
+    known = {m: k for k, m in enumerate(MONTHS, 1)} | {m[:3]: k for k, m in enumerate(MONTHS, 1)} | {"sept": 9}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), name)
 
 
 def fieldwork(text: Column) -> Column:
     """struct(started DATE, ended DATE), both null for what is vague.
 
-    Within a month, across months and across years ("December 30 – January 2, 2026" starts in 2025).
+    Within a month, across months and across years ("December 30 – January 2, 2026" starts in 2025). Each side may
+    leave out what the other states, but the month and the year must be known from one of them.
     """
-    names = ("m1", "d1", "y1", "m2", "d2", "y2")
-    parts = F.struct(*(F.nullif(F.regexp_extract(F.trim(text), _RANGE, k), F.lit("")).alias(n) for k, n in enumerate(names, 1)))
-    day = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d.cast("int")), "yyyy-MM-dd")
 
-    def numbered(x: Column) -> Column:
-        first, last, year = _month(x["m1"]).cast("int"), _month(F.coalesce(x["m2"], x["m1"])).cast("int"), x["y2"].cast("int")
-        return F.struct(first.alias("first"), last.alias("last"), year.alias("year"), x["y1"].cast("int").alias("y1"), x["d1"].alias("d1"), F.coalesce(x["d2"], x["d1"]).alias("d2"))
+    def side(said: Column) -> Column:
+        part = lambda k: F.nullif(F.regexp_extract(said, _SIDE, k), F.lit(""))
+        return F.struct(said.rlike(_SIDE).alias("fine"), _month(part(1)).alias("month"), part(2).cast("int").alias("day"), part(3).cast("int").alias("year"))
+
+    def split(parts: Column) -> Column:
+        one = F.size(parts) == 1
+        return F.struct((F.size(parts) <= 2).alias("fine"), side(parts[0]).alias("a"), side(F.when(one, parts[0]).otherwise(F.get(parts, F.lit(1)))).alias("b"))
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
     def dated(x: Column) -> Column:
-        year = F.coalesce(x["y1"], F.when(x["first"] > x["last"], x["year"] - 1).otherwise(x["year"]))
-        return F.struct(day(year, x["first"], x["d1"]).alias("started"), day(x["year"], x["last"], x["d2"]).alias("ended"))
+        a, b = x["a"], x["b"]
+        month, year = F.coalesce(b["month"], a["month"]), F.coalesce(b["year"], a["year"])
+        known = x["fine"] & a["fine"] & b["fine"] & month.isNotNull() & year.isNotNull()
+        started = day(F.coalesce(a["year"], year), F.coalesce(a["month"], month), a["day"])
+        return F.struct(F.when(known, started).alias("started"), F.when(known, day(year, month, b["day"])).alias("ended"))
 
     def ordered(x: Column) -> Column:
-        fine = x["started"].isNotNull() & x["ended"].isNotNull() & (x["started"] <= x["ended"])
-        return F.struct(F.when(fine, x["started"]).alias("started"), F.when(fine, x["ended"]).alias("ended"))
+        before = F.when(x["started"] > x["ended"], day(F.year(x["started"]) - 1, F.month(x["started"]), F.day(x["started"]))).otherwise(x["started"])
+        both = before.isNotNull() & x["ended"].isNotNull()
+        return F.struct(F.when(both, before).alias("started"), F.when(both, x["ended"]).alias("ended"))
 
-    return let(let(let(parts, numbered), dated), ordered)
+    return let(let(let(F.split(F.replace(_cleaned(text), F.lit("."), F.lit("")), _DASH), split), dated), ordered)
 
 
 def _absent(text: Column) -> Column:
-    return text.isNull() | F.trim(text).isin(*ABSENT)
+    return text.isNull() | _cleaned(text).isin(*ABSENT)
 
 
 def sample(text: Column) -> Column:
     """struct(size INT, population STRING, refused BOOLEAN). "437 (LV)", "905 LV"; a rough "~329" is refused."""
-    pattern = r"(?i)^(?:([\d,]+)|[-–—])?\s*\(?\s*(LV|RV|A|V)?\s*\)?$"
-    said = F.trim(text)
-    size = F.regexp_replace(F.nullif(F.regexp_extract(said, pattern, 1), F.lit("")), ",", "").try_cast("int")
-    population = F.lower(F.nullif(F.regexp_extract(said, pattern, 2), F.lit("")))
-    refused = ~_absent(text) & ~said.rlike(pattern)
-    return F.struct(F.when(~refused, size).alias("size"), F.when(refused, F.lit(None)).otherwise(F.coalesce(population, F.lit("unknown"))).alias("population"), F.coalesce(refused, F.lit(False)).alias("refused"))
+    none = F.lit(None)
+    said = F.regexp_replace(_cleaned(text), r"^(?:n/a|tba|—|–|-)\s*", "")
+    size = F.regexp_replace(F.nullif(F.regexp_extract(said, _SAMPLE, 1), F.lit("")), ",", "").try_cast("int")
+    population = F.nullif(F.regexp_extract(said, _SAMPLE, 2), F.lit(""))
+    refused = ~_absent(text) & ~(said.rlike(_SAMPLE) & (size.isNotNull() | population.isNotNull()))
+    told = lambda c: F.when(~refused & ~_absent(text), c).otherwise(none)
+    return F.struct(told(size).alias("size"), F.when(~refused, F.coalesce(told(population), F.lit("unknown"))).alias("population"), F.coalesce(refused, F.lit(False)).alias("refused"))
 
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    value = F.regexp_extract(F.trim(text), pattern, 1)
-    refused = ~_absent(text) & ~F.trim(text).rlike(pattern)
-    return F.struct(F.nullif(value, F.lit("")).try_cast(kind).alias("value"), F.coalesce(refused, F.lit(False)).alias("refused"))
+def _number(text: Column, signs: str) -> Column:
+    """struct(value DECIMAL(6,3), refused) of a cell without some signs: absent, read or refused."""
+    said = F.trim(F.regexp_replace(_cleaned(text), signs, ""))
+    fine = said.rlike(_DECIMAL)
+    refused = text.isNotNull() & ~said.isin(*ABSENT) & ~fine
+    return F.struct(F.when(fine, said.try_cast("decimal(6,3)")).alias("value"), F.coalesce(refused, F.lit(False)).alias("refused"))
 
 
 def margin(text: Column) -> Column:
-    """struct(value DECIMAL(6,3), refused): absent, read or refused."""
-    return _number(text, r"^(?:±|\+/-)?\s*(\d{1,3}(?:\.\d{1,3})?)\s*(?:%|pp|pts)?$", "decimal(6,3)")
+    """struct(value DECIMAL(6,3), refused): "± 4.7%" is 4.7."""
+    return _number(text, "[±%]")
 
 
 def margin_or_null(text: Column) -> Column:
@@ -75,17 +95,19 @@ def margin_or_null(text: Column) -> Column:
 
 def percentage(text: Column) -> Column:
     """struct(value DECIMAL(6,3), refused); "<1%" and "3o%" are refused, a dash is absent."""
-    return _number(text, r"^(\d{1,3}(?:\.\d{1,3})?)\s*%?$", "decimal(6,3)")
+    return _number(text, "%")
 
 
 def votes(text: Column) -> Column:
-    """a count with commas, null if unreadable."""
-    return F.regexp_replace(F.trim(text), ",", "").try_cast("bigint")
+    """a count of digits with or without commas, null if unreadable."""
+    said = F.trim(F.regexp_replace(text, ",", ""))
+    return F.when(said.rlike("^[0-9]+$"), said.try_cast("bigint"))
 
 
 def share(text: Column) -> Column:
     """a share with or without its sign."""
-    return F.regexp_replace(F.trim(text), "%$", "").try_cast("decimal(6,3)")
+    said = F.trim(F.regexp_replace(text, "%", ""))
+    return F.when(said.rlike(_DECIMAL), said.try_cast("decimal(6,3)"))
 
 
 def utc(ts: Column) -> Column:

@@ -20,11 +20,25 @@ def is_open(since: Column, until: Column) -> Column:
     return since.isNotNull() & until.isNull()
 
 
-def claims_about(claims: DataFrame, entity_id: str, predicate: str | None = None, as_object: bool = False, at: Column | None = None) -> DataFrame:
-    """Q1: claims of which an entity is the subject, or the object. Redirects, supersession and review play no part."""
-    found = claims.where(F.col("object_id" if as_object else "subject_id") == entity_id)
+def _newest(claims: DataFrame, limit: int | None) -> DataFrame:
+    return claims.orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id").limit(limit) if limit else claims
+
+
+def claims_about(claims: DataFrame, entity_id: str, predicate: str | None = None, as_object: bool = False, at: Column | None = None, limit: int | None = PAGE, merged: DataFrame | None = None, superseded: DataFrame | None = None) -> DataFrame:
+    """Q1: the page of the latest claims of which an entity is the subject, or the object.
+
+    Redirects, supersession and review play no part, unless asked for: ``merged`` (id, survivor_id) adds the claims of
+    the entities merged into this one, ``superseded`` (id) leaves out claims that another replaced.
+    """
+    side = "object_id" if as_object else "subject_id"
+    if merged is None:
+        found = claims.where(F.col(side) == entity_id)
+    else:
+        theirs = merged.where(F.col("survivor_id") == entity_id).select(F.col("id").alias("__id"), F.lit(True).alias("__merged"))
+        found = claims.join(theirs, F.col(side) == F.col("__id"), "left").where((F.col(side) == entity_id) | F.col("__merged")).drop("__id", "__merged")
     found = found.where(F.col("predicate") == predicate) if predicate else found
-    return found.where(valid_at(at)) if at is not None else found
+    found = found.where(valid_at(at)) if at is not None else found
+    return _newest(found if superseded is None else found.join(superseded.select("id"), "id", "left_anti"), limit)
 
 
 def claims_with(claims: DataFrame, predicate: str, subjects: DataFrame | None = None, objects: DataFrame | None = None, at: Column | None = None) -> DataFrame:
@@ -37,8 +51,8 @@ def claims_with(claims: DataFrame, predicate: str, subjects: DataFrame | None =
 
 
 def latest(claims: DataFrame, side: str = "subject_id", k: int | None = PAGE) -> DataFrame:
-    """Q1 for every entity at once: its k latest claims, or all of them, with their rank."""
-    order = Window.partitionBy(side).orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id")
+    """Q1 for every entity at once: its k latest claims, or all of them, with their rank; all columns break ties."""
+    order = Window.partitionBy(side).orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id", "subject_id", "object_id", *(c for c in ("value",) if c in claims.columns))
     ranked = claims.where(F.col(side).isNotNull()).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k) if k else ranked
 
@@ -58,8 +72,7 @@ def materialized(claims: DataFrame, entities: DataFrame, assertions: DataFrame,
 
     The limit is taken before any join, so names are looked up for one page only.
     """
-    order = (F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("id"))
-    page = claims.orderBy(*order).limit(limit) if limit else claims
+    page = _newest(claims, limit)
     names = entities.select("id", "kind", "canonical_name")
     as_ = lambda p: names.select(*(F.col(c).alias(f"{p}_{n}") for c, n in (("id", "id"), ("kind", "kind"), ("canonical_name", "name"))))
     seen = provenance(assertions.join(page.select(F.col("id").alias("claim_id")), "claim_id", "left_semi"))

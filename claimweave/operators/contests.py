@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from claimweave.functions import keys
 from claimweave.operators import claims as C
+from claimweave.operators.integrity import followed
 
 RESULT = "votes BIGINT, share DECIMAL(6,3), place INT, won BOOLEAN"
 
@@ -30,7 +31,7 @@ def contests_in(identifiers: DataFrame, prefix: str, cycle: int | None = None, o
 def contest_by_key(identifiers: DataFrame, key: str, survivors: DataFrame) -> DataFrame:
     """Q11: the entity of a key, through redirects."""
     found = identifiers.where((F.col("namespace") == "contest-key") & (F.col("value") == key)).select(F.col("entity_id").alias("id"))
-    return found.join(survivors, "id", "left").select(F.coalesce("survivor_id", "id").alias("contest_id"))
+    return followed(found, survivors, "id", "contest_id").select("contest_id")
 
 
 def candidates_in(claims: DataFrame, contests: DataFrame | None = None, at=None) -> DataFrame:
@@ -42,8 +43,8 @@ def candidates_in(claims: DataFrame, contests: DataFrame | None = None, at=None)
 def results(claims: DataFrame) -> DataFrame:
     """Q13, Q15: results with their rank in the contest, most votes first, nulls last. ``won`` stays null if unsaid."""
     parsed = C.values(claims.where(F.col("predicate") == "contest_result"), RESULT, ("votes", "share", "place", "won"))
-    place = F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("payload.votes").desc_nulls_last(), "subject_id"))
-    return parsed.select(F.col("object_id").alias("contest_id"), F.col("subject_id").alias("candidate_id"), F.col("payload.votes").alias("votes"), F.col("payload.share").alias("share"), F.col("payload.won").alias("won"), place.alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("payload.votes").desc_nulls_last(), "subject_id"))
+    return parsed.select(F.col("object_id").alias("contest_id"), F.col("subject_id").alias("candidate_id"), F.col("payload.votes").alias("votes"), F.col("payload.share").alias("share"), F.col("payload.place").alias("place"), F.col("payload.won").alias("won"), rank.alias("rank"))
 
 
 def winners_by_office(claims: DataFrame) -> DataFrame:

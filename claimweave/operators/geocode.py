@@ -18,12 +18,12 @@ RESULT = "key string, quality string, matched_address string, lon double, lat do
 
 def request_line(key, street, city, state, postcode):
     """A line of the request."""
-    return F.to_csv(F.struct(key.alias("a"), street.alias("b"), city.alias("c"), state.alias("d"), postcode.alias("e")), {"quoteAll": "true"})
+    return F.to_csv(F.struct(key.alias("a"), street.alias("b"), city.alias("c"), state.alias("d"), postcode.alias("e")), {"quoteAll": "true", "escape": '"'})
 
 
 def parsed(answers: DataFrame) -> DataFrame:
     """answers(line) -> results. A match without coordinates is none; located only if a point is there."""
-    row = answers.select(F.from_csv("line", _DDL).alias("r")).select("r.*")
+    row = answers.select(F.from_csv("line", _DDL, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
     point = parse.coordinates(F.col("coordinates"))
     found = (F.lower("match") == "match") & point["lon"].isNotNull()
     quality = F.when(found & (F.lower("match_type") == "exact"), "exact").when(found, "approximate").when(F.lower("match") == "tie", "tie").otherwise("no_match")

@@ -213,12 +213,14 @@ def near_duplicates(revisions: DataFrame, days: int = 3) -> DataFrame:
     return left.join(right, ["contest_id", "pollster_id", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("a_ended", "b_ended")) <= days)).select("contest_id", "pollster_id", "a", "b")
 
 
-def concerns(revisions: DataFrame, near: DataFrame, lookalikes: DataFrame) -> DataFrame:
-    """I8: (revision_id, concern) of polls without an end, with a near duplicate, or with a lookalike pollster."""
+def concerns(revisions: DataFrame, near: DataFrame, lookalikes: DataFrame, stored: DataFrame) -> DataFrame:
+    """I8: (revision_id, concern) of polls without an end, with a near duplicate, with a lookalike pollster, or of which
+    ``stored`` (poll_id) has another reading already."""
     undated = revisions.where("ended is null").select("revision_id", F.lit("no end of fieldwork").alias("concern"))
     ends = near.select(F.explode(F.array("a", "b")).alias("revision_id")).distinct().withColumn("concern", F.lit("near duplicate"))
     like = revisions.join(lookalikes.select("pollster_id").distinct(), "pollster_id", "left_semi").select("revision_id", F.lit("lookalike pollster").alias("concern"))
-    return undated.unionByName(ends).unionByName(like)
+    prior = revisions.join(stored.select("poll_id").distinct(), "poll_id", "left_semi").select("revision_id", F.lit("another reading of this poll exists").alias("concern"))
+    return undated.unionByName(ends).unionByName(like).unionByName(prior)
 
 
 def import_report(rows: DataFrame, told: DataFrame) -> DataFrame:

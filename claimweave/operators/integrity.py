@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimweave.plans.materialize import cut
 
@@ -36,11 +36,23 @@ def survivors(redirects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def resolve(ids: DataFrame, redirects: DataFrame, column: str = "id") -> DataFrame:
-    """``ids`` with ``survivor_id``, the id itself where it was not merged."""
+    """``ids`` with ``survivor_id``, the id itself where it was not merged; null where the walk has no end."""
     through = survivors(redirects).select(F.col("id").alias(column), F.col("survivor_id").alias("__s"), F.lit(True).alias("__m"))
     return ids.join(through, column, "left").withColumn("survivor_id", F.when(F.col("__m"), F.col("__s")).otherwise(F.col(column))).drop("__s", "__m")
 
 
+def followed(rows: DataFrame, survivors_: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the survivor of the entity in ``column``, from the table of survivors().
+
+    An entity on or before a cycle, or too far from its end, is an error when its row is read: it must not pass for
+    one that was never merged.
+    """
+    through = survivors_.select(F.col("id").alias("__id"), F.col("survivor_id").alias("__s"), F.lit(True).alias("__m"))
+    lost = F.raise_error(F.concat(F.lit("the redirects of "), F.col(column), F.lit(" go in a cycle or too far")))
+    end: Column = F.when(F.col("__m") & F.col("__s").isNull(), lost).otherwise(F.coalesce("__s", column))
+    return rows.join(through, F.col(column) == F.col("__id"), "left").withColumn(name, end).drop("__id", "__s", "__m")
+
+
 def cycle_members(graph: DataFrame) -> DataFrame:
     """G1: nodes of (src, dst), at most one edge from each, whose walk never ends: on a cycle or leading to one.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from claimweave.operators.integrity import followed
 
 
 def latest_verdicts(decisions: DataFrame) -> DataFrame:
@@ -11,22 +13,31 @@ def latest_verdicts(decisions: DataFrame) -> DataFrame:
 
 
 def samples(readings: DataFrame) -> DataFrame:
-    """One row per (revision, population): size, options, and all readings as text, largest first."""
-    options = readings.groupBy("revision_id", "population", "option_id").agg(F.sum("response_count").alias("n"))
+    """One row per (revision, population): label, size, margin, options, and all readings, largest first."""
+    options = readings.groupBy("revision_id", "population", "option_id").agg(F.sum("response_count").alias("n"), F.max("margin").alias("margin"))
     listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "option_id")))
     said = F.array_join(F.transform(listed, lambda x: F.concat(x["option_id"], F.lit(" "), (-x["m"]).cast("string"))), ", ")
-    return options.groupBy("revision_id", "population").agg(F.sum("n").alias("sample_size"), F.count("*").alias("options"), said.alias("readings"))
+    found = options.groupBy("revision_id", "population").agg(F.sum("n").alias("sample_size"), F.max("margin").alias("margin_of_error"), F.count("*").alias("options"), said.alias("readings"))
+    # The only sample of a revision is called overall.
+    many = found.groupBy("revision_id").agg(F.count("*").alias("samples"))
+    return found.join(many, "revision_id").withColumn("sample_label", F.when(F.col("samples") == 1, "overall").otherwise(F.col("population"))).drop("samples")
+
 
+def timeline(revisions: DataFrame, readings: DataFrame, decisions: DataFrame, survivors: DataFrame, include_rejected: bool = False, limit: int | None = 500) -> DataFrame:
+    """Q17, Q19: one point per sample of every revision that is not now rejected, under its pollster's survivor.
 
-def timeline(revisions: DataFrame, readings: DataFrame, decisions: DataFrame, survivors: DataFrame, include_rejected: bool = False) -> DataFrame:
-    """Q17, Q19: one point per sample of every revision that is not now rejected, under its pollster's survivor."""
-    kept = revisions
+    ``place`` orders a contest's points: oldest end of fieldwork first, undated ones last, then by label and revision;
+    the first ``limit`` are given. ``reviewed`` tells whether anyone ruled on the revision at all.
+    """
+    verdicts = latest_verdicts(decisions).select(F.col("target").alias("review_key"), "outcome")
+    kept = revisions.join(verdicts, "review_key", "left")
     if not include_rejected:
-        rejected = latest_verdicts(decisions).where(F.col("outcome") == "rejected").select(F.col("target").alias("review_key"))
-        kept = kept.join(rejected, "review_key", "left_anti")
-    through = survivors.select(F.col("id").alias("pollster_id"), "survivor_id")
-    named = kept.join(through, "pollster_id", "left").withColumn("pollster", F.coalesce("survivor_id", "pollster_id"))
-    return named.join(samples(readings), "revision_id").select("contest_id", "revision_id", "pollster", "started", "ended", "population", "sample_size", "options", "readings")
+        kept = kept.where("outcome is null or outcome <> 'rejected'")
+    named = followed(kept.withColumn("reviewed", F.col("outcome").isNotNull()), survivors, "pollster_id", "pollster")
+    order = Window.partitionBy("contest_id").orderBy(F.col("ended").asc_nulls_last(), "sample_label", "revision_id", "population")
+    points = named.join(samples(readings), "revision_id").withColumn("place", F.row_number().over(order))
+    points = points.where(F.col("place") <= limit) if limit else points
+    return points.select("contest_id", "place", "revision_id", "pollster", "started", "ended", "sample_label", "population", "sample_size", "margin_of_error", "options", "readings", "reviewed")
 
 
 def series(readings: DataFrame) -> DataFrame:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from claimweave.functions import text
 from claimweave.functions.text import slug
-
-#: Namespaces whose keys are computed: a miss means a new entity, never a namesake.
-AUTHORITATIVE = ("ocd-division", "contest-key", "office-key", "election-key", "event-key")
-
+from claimweave.operators.integrity import followed
 
 def kinds_fit(stored: Column, observed: Column) -> Column:
     """H5: equal, or either is other."""
@@ -21,28 +19,50 @@ def mention(**fields: Column) -> Column:
     return F.filter(pairs, lambda p: p["value"].isNotNull())
 
 
-def by_identifier(mentions: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(mention_id, entity_id): the survivor of the first identifier that has an owner."""
-    asked = mentions.select("mention_id", F.posexplode("identifiers").alias("k", "i")).select("mention_id", "k", "i.namespace", "i.value")
-    owned = asked.join(identifiers, ["namespace", "value"]).join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left")
-    return owned.groupBy("mention_id").agg(F.min(F.struct("k", F.coalesce("survivor_id", "entity_id").alias("entity_id"))).alias("m")).select("mention_id", F.col("m.entity_id").alias("entity_id"))
+def _asserted(mentions: DataFrame) -> DataFrame:
+    """(mention_id, k, namespace, value) of every identifier, normalized, in order."""
+    each = mentions.select("mention_id", F.posexplode("identifiers").alias("k", "i"))
+    return each.select("mention_id", "k", text.namespace(F.col("i.namespace")).alias("namespace"), F.trim("i.value").alias("value"))
+
+
+def by_identifier(mentions: DataFrame, entities: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> DataFrame:
+    """(mention_id, entity_id, error): the survivor of the first identifier that has an owner.
+
+    An exact key of an entity of another kind is no match but an error of the source: entity_id is null then.
+    """
+    owned = _asserted(mentions).join(identifiers, ["namespace", "value"])
+    first = owned.groupBy("mention_id").agg(F.min(F.struct("k", "namespace", "value", "entity_id")).alias("m")).select("mention_id", "m.*")
+    ends = followed(first, survivors, "entity_id", "end").join(mentions.select("mention_id", "kind"), "mention_id")
+    ends = ends.join(entities.select(F.col("id").alias("end"), F.col("kind").alias("stored")), "end")
+    fits = kinds_fit(F.col("stored"), F.col("kind"))
+    said = F.concat("namespace", F.lit(":"), "value", F.lit(" already identifies "), "stored", F.lit(" "), "end", F.lit(", not a "), "kind")
+    return ends.select("mention_id", F.when(fits, F.col("end")).alias("entity_id"), F.when(~fits, said).alias("error"))
 
 
 def contradictions(pairs: DataFrame, mentions: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """(mention_id, entity_id) whose entity has other values only in a namespace that the mention asserts."""
-    asked = mentions.select("mention_id", F.explode("identifiers").alias("i")).select("mention_id", "i.namespace", F.col("i.value").alias("asserted"))
-    own = pairs.join(identifiers, "entity_id").join(asked, ["mention_id", "namespace"])
-    same = own.groupBy("mention_id", "entity_id", "namespace").agg(F.max((F.col("value") == F.col("asserted")).cast("int")).alias("same"))
+    """(mention_id, entity_id) whose entity has values in a namespace that the mention asserts, but not its value."""
+    asked = _asserted(mentions).select("mention_id", "namespace", F.col("value").alias("asserted"))
+    own = pairs.select("mention_id", "entity_id").join(identifiers, "entity_id").join(asked, ["mention_id", "namespace"])
+    same = own.groupBy("mention_id", "entity_id", "namespace", "asserted").agg(F.max((F.col("value") == F.col("asserted")).cast("int")).alias("same"))
     return same.where("same = 0").select("mention_id", "entity_id").distinct()
 
 
 def by_alias(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(mention_id, entity_id) where a normalized name leads to exactly one survivor of a fitting kind."""
-    found = mentions.join(aliases.select("entity_id", "normalized_name"), "normalized_name").join(entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("stored")), "entity_id")
-    found = found.where(kinds_fit(F.col("stored"), F.col("kind"))).join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left")
-    pairs = found.select("mention_id", F.coalesce("survivor_id", "entity_id").alias("entity_id")).distinct()
-    fine = pairs.join(contradictions(pairs, mentions, identifiers), ["mention_id", "entity_id"], "left_anti")
-    return fine.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id")).where("n = 1").drop("n")
+    """(mention_id, entity_id, ambiguous_with) for mentions whose normalized name is known.
+
+    Entities of the mention's kind, or of kind other, bear the name. If they have one survivor, that is the match,
+    unless its identifiers contradict the mention's: then entity_id is null. If they have several, the name decides
+    nothing, whatever their identifiers: entity_id is null, too, and ambiguous_with lists them.
+    """
+    found = mentions.select("mention_id", "kind", "normalized_name").join(aliases.select("entity_id", "normalized_name"), "normalized_name")
+    found = found.join(entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("stored")), "entity_id")
+    found = found.where((F.col("stored") == F.col("kind")) | (F.col("stored") == "other"))
+    ends = followed(found, survivors, "entity_id", "end").select("mention_id", "end").distinct()
+    named = ends.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("end").alias("entity_id"), F.sort_array(F.collect_list("end")).alias("ends"))
+    against = contradictions(named.where("n = 1"), mentions, identifiers).withColumn("against", F.lit(True))
+    told = named.join(against, ["mention_id", "entity_id"], "left")
+    one = (F.col("n") == 1) & F.col("against").isNull()
+    return told.select("mention_id", F.when(one, F.col("entity_id")).alias("entity_id"), F.when(F.col("n") > 1, F.col("ends")).alias("ambiguous_with"))
 
 
 def minted(kind: Column, key: Column) -> Column:
@@ -51,37 +71,42 @@ def minted(kind: Column, key: Column) -> Column:
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> DataFrame:
-    """R2: ``mention_id, entity_id, method`` for mentions(mention_id, kind, name, normalized_name, identifiers).
+    """R2: ``mention_id, entity_id, method, ambiguous_with, error`` for every mention(mention_id, kind, name, normalized_name, identifiers).
 
-    By identifier, else by alias unless an authoritative key missed, else created. Mentions of one batch that share
-    their first identifier, or have none and share kind and name, mint one entity. The reference outcome depends on
-    the order of rows; here ids are computed, so the order does not matter.
+    By identifier, else by alias, else created. A mention with a true column ``authoritative`` (false where there is
+    none) has identifiers that define it: a miss makes a new entity, whatever the name. An identifier of an entity of
+    another kind gives an error and no entity. Mentions of one batch that share their first identifier, or have none
+    and share kind and name, make one entity: ids are computed, so the order of rows does not matter.
     """
-    known = by_identifier(mentions, identifiers, survivors).withColumn("method", F.lit("identifier"))
-    rest = mentions.join(known, "mention_id", "left_anti")
-    missed = F.exists("identifiers", lambda i: i["namespace"].isin(*AUTHORITATIVE))
-    named = by_alias(rest.where(~missed), aliases, entities, identifiers, survivors).withColumn("method", F.lit("alias"))
-    new = rest.join(named, "mention_id", "left_anti")
-    key = F.when(F.size("identifiers") > 0, F.concat_ws("=", F.col("identifiers")[0]["namespace"], F.col("identifiers")[0]["value"])).otherwise(F.col("normalized_name"))
-    created = new.select("mention_id", minted(F.col("kind"), key).alias("entity_id"), F.lit("created").alias("method"))
-    return known.unionByName(named).unionByName(created)
-
-
-def recorded(resolved: DataFrame, mentions: DataFrame, aliases: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Aliases and identifiers to append, and identifiers that another entity owns."""
-    rows = mentions.join(resolved, "mention_id")
-    names = rows.select("entity_id", "name", "normalized_name").where("normalized_name is not null").dropDuplicates(["entity_id", "normalized_name"]).join(aliases.select("entity_id", "normalized_name"), ["entity_id", "normalized_name"], "left_anti")
-    ids = rows.select("entity_id", F.explode("identifiers").alias("i")).select("entity_id", "i.namespace", "i.value").distinct()
+    known = by_identifier(mentions, entities, identifiers, survivors)
+    rest = mentions.join(known.select("mention_id"), "mention_id", "left_anti")
+    sure = F.coalesce(F.col("authoritative"), F.lit(False)) & (F.size("identifiers") > 0) if "authoritative" in mentions.columns else F.lit(False)
+    named = by_alias(rest.where(~sure), aliases, entities, identifiers, survivors)
+    new = rest.join(named.select("mention_id", F.col("entity_id").alias("named"), "ambiguous_with"), "mention_id", "left")
+    first = F.element_at("identifiers", 1)
+    key = F.when(F.size("identifiers") > 0, F.concat_ws("=", text.namespace(first["namespace"]), F.trim(first["value"]))).otherwise(F.col("normalized_name"))
+    none = F.lit(None).cast("string").alias("error")
+    made = new.select("mention_id", F.coalesce("named", minted(F.col("kind"), key)).alias("entity_id"), F.when(F.col("named").isNotNull(), "alias").otherwise("created").alias("method"), "ambiguous_with", none)
+    exact = known.select("mention_id", "entity_id", F.when(F.col("error").isNull(), "identifier").alias("method"), F.lit(None).cast("array<string>").alias("ambiguous_with"), "error")
+    return exact.unionByName(made)
+
+
+def recorded(resolved: DataFrame, mentions: DataFrame, aliases: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Aliases and identifiers to append, and identifiers whose owner's survivor is another entity."""
+    rows = mentions.join(resolved.where("entity_id is not null").select("mention_id", "entity_id"), "mention_id")
+    names = rows.select("entity_id", "name", "normalized_name").where("normalized_name is not null")
+    names = names.groupBy("entity_id", "normalized_name").agg(F.min("name").alias("name")).join(aliases.select("entity_id", "normalized_name"), ["entity_id", "normalized_name"], "left_anti")
+    ids = _asserted(mentions).join(rows.select("mention_id", "entity_id"), "mention_id").select("entity_id", "namespace", "value").distinct()
     owner = identifiers.select("namespace", "value", F.col("entity_id").alias("owner"))
-    state = ids.join(owner, ["namespace", "value"], "left")
-    return names, state.where("owner is null").drop("owner"), state.where("owner <> entity_id")
+    state = followed(ids.join(owner, ["namespace", "value"], "left"), survivors, "owner", "end")
+    return names, state.where("owner is null").select("entity_id", "namespace", "value"), state.where("end <> entity_id").select("entity_id", "namespace", "value", "owner")
 
 
 def pollsters(names: DataFrame, aliases: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(name, entity_id) by slug of an alias, the smallest id of several, through redirects."""
-    slugs = aliases.select(slug(F.col("name")).alias("slug"), "entity_id").groupBy("slug").agg(F.min("entity_id").alias("id"))
-    found = names.select("name", slug(F.col("name")).alias("slug")).join(slugs, "slug", "left").join(survivors.select("id", "survivor_id"), "id", "left")
-    return found.select("name", F.coalesce("survivor_id", "id").alias("entity_id"))
+    """(name, entity_id) by slug of an alias, the smallest id of several, through redirects; null if unknown."""
+    slugs = aliases.select(slug(F.col("name")).alias("slug"), "entity_id").where("slug is not null").groupBy("slug").agg(F.min("entity_id").alias("id"))
+    found = names.select("name", slug(F.col("name")).alias("slug")).join(slugs, "slug", "left")
+    return followed(found, survivors, "id", "entity_id").select("name", "entity_id")
 
 
 def namesakes(aliases: DataFrame, identifiers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from claimweave.functions import canon
 from claimweave.operators import polls
 from claimweave.operators.ingest import sequenced
+from claimweave.operators.integrity import followed
 
 OUTCOMES = ("accepted", "rejected", "changes_requested")
 OPEN = ("pending", "claimed")
@@ -71,7 +72,7 @@ def decide_readings(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -
 
 def merge_candidates(lookalikes: DataFrame, survivors: DataFrame, own: DataFrame) -> DataFrame:
     """V8: lookalikes(query, entity_id) as survivors, once each, without the entity itself (own: query, entity_id)."""
-    through = lookalikes.join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left").select("query", F.coalesce("survivor_id", "entity_id").alias("entity_id"))
+    through = followed(lookalikes.withColumnRenamed("entity_id", "__found"), survivors, "__found", "entity_id").select("query", "entity_id")
     return through.distinct().join(own.select("query", "entity_id"), ["query", "entity_id"], "left_anti")
 
 
@@ -91,8 +92,7 @@ def merges(redirects: DataFrame, survivors: DataFrame, wanted: DataFrame) -> tup
 
     The canonical end is followed to its survivor; an entity is not merged into itself, into a cycle, or twice.
     """
-    through = survivors.select(F.col("id").alias("canonical_id"), "survivor_id")
-    ends = wanted.join(through, "canonical_id", "left").withColumn("end", F.coalesce("survivor_id", "canonical_id"))
+    ends = followed(wanted, survivors, "canonical_id", "end")
     done = redirects.select("duplicate_id").withColumn("done", F.lit(True))
     state = ends.join(done, "duplicate_id", "left")
     why = F.when(F.col("duplicate_id") == F.col("canonical_id"), "merged into itself").when(F.col("end") == F.col("duplicate_id"), "would make a cycle").when(F.col("done"), "is merged already")

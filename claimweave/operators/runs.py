@@ -74,7 +74,7 @@ def event_mention(division: Column, kind: Column, at: Column, precision: Column,
     return F.struct(F.lit("event").alias("kind"), title.alias("name"), ids.alias("identifiers"), key.isNotNull().alias("keyed"))
 
 
-def already_recorded(entities: DataFrame, aliases: DataFrame, claims: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The persons of a name, and the debates they took part in."""
+def already_recorded(entities: DataFrame, aliases: DataFrame, claims: DataFrame, name: str, kind: str = "debate") -> tuple[DataFrame, DataFrame]:
+    """The persons of a name, and the latest events of a kind that they took part in."""
     people = search.find_entities(entities, aliases, name, "person")
-    return people, search.find_events(entities, claims, "debate", participants=people.select("id"))
+    return people, search.find_events(entities, claims, kind, participants=people.select("id"))

@@ -5,57 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimweave.functions import text, trigram
+from claimweave.operators.integrity import followed
+from claimweave.plans.materialize import cut
 
 LOOKALIKE = 0.55
+#: The reference ranks so many matched names for a query, those that match best; the rest are not offered.
+CANDIDATES = 200
 
 
 def trigram_index(aliases: DataFrame) -> DataFrame:
-    """postings (gram, name, size) of the distinct names, size being the number of a name's distinct trigrams."""
+    """postings (gram, name, normalized_name, size) of the distinct names, size being how many trigrams a name has."""
     names = aliases.select("name", "normalized_name").distinct()
-    grams = names.select("name", trigram.trigrams(F.col("normalized_name")).alias("g"))
-    return grams.select("name", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    grams = names.select("name", "normalized_name", trigram.trigrams(F.col("normalized_name")).alias("g"))
+    return grams.select("name", "normalized_name", F.size("g").alias("size"), F.explode("g").alias("gram"))
 
 
 def matches(index: DataFrame, queries: DataFrame, floor: float = trigram.MATCH) -> DataFrame:
-    """(query, name, whole) with similarity of at least ``floor``, from shared postings only.
+    """(query, name, normalized_name, whole) with similarity of at least ``floor``, from shared postings only.
 
     The number of shared trigrams is a count per pair, so no text is compared and pairs without a common trigram are
-    never made. Names are compared once, however many entities bear them.
+    never made. Sizes tell most pairs apart before: sets of n and m trigrams are no more alike than min / max. Names
+    are compared once, however many entities bear them.
     """
     asked = queries.select("query", trigram.trigrams(text.ascii_name(F.col("query"))).alias("q")).select("query", F.size("q").alias("n"), F.explode("q").alias("gram"))
-    shared = index.join(asked, "gram").groupBy("query", "n", "name", "size").agg(F.count("*").alias("shared"))
+    near = index.join(asked, "gram").where(F.least("n", "size") >= floor * F.greatest("n", "size"))
+    shared = near.groupBy("query", "n", "name", "normalized_name", "size").agg(F.count("*").alias("shared"))
     whole = F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))
-    return shared.select("query", "name", whole.alias("whole")).where(F.col("whole") >= floor)
+    return shared.select("query", "name", "normalized_name", whole.alias("whole")).where(F.col("whole") >= floor)
 
 
 def bearers(found: DataFrame, aliases: DataFrame) -> DataFrame:
     """Matched names with the entities that bear them."""
-    return found.join(aliases.select("entity_id", "name").distinct(), "name")
+    return found.join(aliases.select("entity_id", "name", "normalized_name").distinct(), ["name", "normalized_name"])
 
 
-def claim_degree(claims: DataFrame) -> DataFrame:
-    """Q23: distinct claims that touch an entity, as subject or object: ends are exploded, so joins stay equi-joins."""
-    ends = claims.select("id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
-    return ends.where("entity_id is not null").groupBy("entity_id").agg(F.count_distinct("id").alias("claims"))
+def claim_degree(claims: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Q23: distinct claims that touch an entity, as subject or object: ends are exploded, so joins stay equi-joins.
+
+    Given ``entities(entity_id)``, only theirs are counted, and other claims go before the shuffle.
+    """
+    ends = claims.select("id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id")).where("entity_id is not null")
+    if entities is not None:
+        ends = ends.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+    return ends.groupBy("entity_id").agg(F.count_distinct("id").alias("claims"))
 
 
-def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
+def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 20, candidates: int = CANDIDATES) -> DataFrame:
     """Q22, Q24: the best entities for each query, merged ones under their survivor.
 
-    Candidates pass the trigram index's filter and reach the word threshold; they rank by word similarity, number of
-    claims, whole similarity, name. The first hit of each survivor stays, with the alias that matched.
+    Names pass the trigram index's filter and reach the word threshold; the ``candidates`` best of them by word and
+    whole similarity are looked at, each under every entity that bears it. They rank by word similarity, number of
+    claims, whole similarity, canonical name, id; the first 2 * limit are resolved, and the first hit of each survivor
+    stays, with the alias that matched unless that is the survivor's own name.
     """
     near = matches(trigram_index(aliases), queries)
-    near = near.withColumn("word", trigram.word_similarity(text.ascii_name(F.col("query")), text.ascii_name(F.col("name")))).where(F.col("word") >= trigram.WORD_MATCH)
-    near = bearers(near, aliases)
+    word = trigram.word_similarity(text.ascii_name(F.col("query")), F.col("normalized_name"))
+    near = bearers(near.withColumn("word", word).where(F.col("word") >= trigram.WORD_MATCH), aliases)
+    best = Window.partitionBy("query").orderBy(F.round("word", 9).desc(), F.round("whole", 9).desc(), "name", "entity_id")
+    near = cut(near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidates).drop("k"))  # read twice
     of = entities.select(F.col("id").alias("entity_id"), "kind", "canonical_name")
-    near = near.join(of.where(F.col("kind") == kind) if kind else of, "entity_id")
-    ranked = near.join(claim_degree(claims), "entity_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
-    through = ranked.join(survivors.select(F.col("id").alias("entity_id"), "survivor_id"), "entity_id", "left").withColumn("survivor", F.coalesce("survivor_id", "entity_id"))
-    order = (F.round("word", 9).desc(), F.desc("claims"), F.round("whole", 9).desc(), F.col("name"), F.col("entity_id"))
-    first = through.withColumn("k", F.row_number().over(Window.partitionBy("query", "survivor").orderBy(*order))).where("k = 1")
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= limit)
-    return best.select("query", "rank", F.col("survivor").alias("entity_id"), F.col("name").alias("matched_alias"), F.round("word", 6).alias("word"), F.round("whole", 6).alias("whole"), "claims")
+    named = near.join(of.where(F.col("kind") == kind) if kind else of, "entity_id")
+    ranked = named.join(claim_degree(claims, near), "entity_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
+    order = (F.round("word", 9).desc(), F.desc("claims"), F.round("whole", 9).desc(), F.col("canonical_name"), F.col("entity_id"), F.col("name"))
+    page = ranked.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("k") <= 2 * limit)
+    through = followed(page.drop("kind", "canonical_name"), survivors, "entity_id", "survivor")
+    first = through.withColumn("j", F.row_number().over(Window.partitionBy("query", "survivor").orderBy("k"))).where("j = 1")
+    hits = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("k"))).where(F.col("rank") <= limit)
+    hits = hits.join(of.withColumnRenamed("entity_id", "survivor"), "survivor")
+    alias = F.when(F.col("name") != F.col("canonical_name"), F.col("name")).alias("matched_alias")
+    return hits.select("query", "rank", F.col("survivor").alias("entity_id"), "kind", "canonical_name", alias, F.round("word", 6).alias("word"), F.round("whole", 6).alias("whole"), "claims")
 
 
 def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind: str, floor: float = LOOKALIKE, limit: int = 5) -> DataFrame:
@@ -68,10 +86,18 @@ def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind:
 
 def entity(entities: DataFrame, survivors: DataFrame, ids: DataFrame) -> DataFrame:
     """Q25: the entities of ids (column ``id``), through redirects."""
-    through = ids.join(survivors.select("id", "survivor_id"), "id", "left").select(F.col("id").alias("asked_id"), F.coalesce("survivor_id", "id").alias("id"))
+    through = followed(ids.select(F.col("id").alias("asked_id")), survivors, "asked_id", "id")
     return through.join(entities, "id").select("asked_id", "id", "kind", "canonical_name")
 
 
+def entity_detail(entities: DataFrame, survivors: DataFrame, identifiers: DataFrame, claims: DataFrame, ids: DataFrame) -> DataFrame:
+    """Q25, Q26: the entities of ids with what tells them from their namesakes."""
+    found = entity(entities, survivors, ids)
+    only = lambda df, c: df.join(found.select(F.col("id").alias(c)).distinct(), c, "left_semi")
+    told = contexts(only(entities, "id"), only(identifiers, "entity_id"), only(claims, "subject_id"))
+    return found.join(told, "id", "left").select("asked_id", "id", "kind", "canonical_name", "context")
+
+
 def contexts(entities: DataFrame, identifiers: DataFrame, claims: DataFrame) -> DataFrame:
     """Q26: what tells an entity from its namesakes: a person's party, else the first identifier by namespace."""
     first = identifiers.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct("namespace", "value")).alias("i"))

@@ -88,10 +88,11 @@ class Graph:
     def results(self) -> DataFrame:
         """Votes are orders per (customer, contest); contests of even years say who won, others do not."""
         votes = self.orders().groupBy("contest_id", "o_custkey", "year").agg(F.count("*").alias("votes"), F.max("o_orderdate").alias("at"))
-        first = F.row_number().over(Window.partitionBy("contest_id").orderBy(F.desc("votes"), "o_custkey")) == 1
-        won = F.when(F.col("year") % 2 == 0, first)
-        value = F.to_json(F.struct("votes", won.alias("won")), {"ignoreNullFields": "false"})
-        rows = votes.withColumn("value", value)
+        place = F.row_number().over(Window.partitionBy("contest_id").orderBy(F.desc("votes"), "o_custkey"))
+        part = F.floor(F.col("votes") * 10000 / F.sum("votes").over(Window.partitionBy("contest_id"))).cast("decimal(8,0)") / 100
+        rows = votes.withColumns({"place": place, "share": part.cast("decimal(6,2)").cast("string")})
+        won = F.when(F.col("year") % 2 == 0, F.col("place") == 1)
+        rows = rows.withColumn("value", F.to_json(F.struct("votes", "share", "place", won.alias("won")), {"ignoreNullFields": "false"}))
         return self._claims(rows, "contest_result", F.concat_ws(":", F.lit("cr"), "contest_id", F.col("o_custkey").cast("string")), _id("c", "o_custkey"), F.col("contest_id"), F.col("value"), created=F.col("at"))
 
     def donations(self) -> DataFrame:
@@ -137,11 +138,11 @@ class Graph:
         return self.lines().select(F.col("line").alias("seq"), _id("ci", "l_orderkey").alias("claim_id"), writer.alias("asserted_by"), stance.alias("stance"), F.concat(F.lit("run-"), F.col("l_linestatus")).alias("run_id"), (F.col("l_partkey") % 200).alias("page_id"), bad.isNull().alias("aligned"), bad.alias("violation"), F.col("l_shipdate").alias("created_at"))
 
     def readings(self) -> DataFrame:
-        """Poll readings: revision_id, pollster_id, contest_id, population, option_id, response_count."""
+        """Poll readings: revision_id, pollster_id, contest_id, population, option_id, response_count, margin."""
         line = self.lines()
         month = F.date_format("l_shipdate", "yyyyMM")
         contest = F.concat_ws("/", F.lit("k"), (F.col("l_suppkey") % 25).cast("string"), F.lit("building"), F.year("l_shipdate").cast("string"))
-        return line.select(F.concat_ws("-", F.concat(F.lit("pr"), F.col("l_suppkey").cast("string")), month).alias("revision_id"), _id("s", "l_suppkey").alias("pollster_id"), contest.alias("contest_id"), F.lower("l_returnflag").alias("population"), _id("p", "l_partkey").alias("option_id"), F.col("l_quantity").cast("long").alias("response_count"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_suppkey") * 7 % 150).alias("review_key"))
+        return line.select(F.concat_ws("-", F.concat(F.lit("pr"), F.col("l_suppkey").cast("string")), month).alias("revision_id"), _id("s", "l_suppkey").alias("pollster_id"), contest.alias("contest_id"), F.lower("l_returnflag").alias("population"), _id("p", "l_partkey").alias("option_id"), F.col("l_quantity").cast("long").alias("response_count"), (F.col("l_tax") * 100).cast("decimal(6,3)").alias("margin"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_suppkey") * 7 % 150).alias("review_key"))
 
     def revisions(self) -> DataFrame:
         """revision_id, pollster_id, contest_id, review_key, started, ended."""
@@ -179,7 +180,8 @@ ORACLE = {
         o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to, o_orderdate AS created_at FROM g_orders""",
     "g_votes": "SELECT contest_id, o_custkey, yr, count(*) AS votes, max(o_orderdate) AS seen_at FROM g_orders GROUP BY ALL",
     "g_result": """SELECT 'cr:' || contest_id || ':' || o_custkey AS id, 'contest_result' AS predicate, 'c' || o_custkey AS subject_id, contest_id AS object_id,
-        '{"votes":' || votes || ',"won":' || CASE WHEN yr % 2 = 1 THEN 'null' WHEN row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC, o_custkey) = 1 THEN 'true' ELSE 'false' END || '}' AS value,
+        '{"votes":' || votes || ',"share":"' || (floor(votes * 10000 / sum(votes) OVER (PARTITION BY contest_id)) / 100)::DECIMAL(6,2) || '","place":' || row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC, o_custkey)
+        || ',"won":' || CASE WHEN yr % 2 = 1 THEN 'null' WHEN row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC, o_custkey) = 1 THEN 'true' ELSE 'false' END || '}' AS value,
         NULL::TIMESTAMP AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, seen_at AS created_at FROM g_votes""",
     "g_donation": """SELECT 'do' || line AS id, 'donated_to' AS predicate, 's' || l_suppkey AS subject_id, 'p' || l_partkey AS object_id,
         '{"amount":"' || l_extendedprice::DECIMAL(18,2) || '","currency":"USD"}' AS value, l_shipdate AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, l_shipdate AS created_at FROM g_lines""",
@@ -194,7 +196,7 @@ ORACLE = {
         CASE l_returnflag WHEN 'R' THEN 'contradicts' WHEN 'A' THEN 'supports' ELSE 'mentions' END AS stance, 'run-' || l_linestatus AS run_id, l_partkey % 200 AS page_id,
         l_discount <= 0.08 AS aligned, CASE WHEN l_discount > 0.08 THEN 'discount ' || l_discount::DECIMAL(4,2) END AS violation, l_shipdate AS created_at FROM g_lines""",
     "g_reading": """SELECT 'pr' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m') AS revision_id, 's' || l_suppkey AS pollster_id, 'k/' || (l_suppkey % 25) || '/building/' || year(l_shipdate) AS contest_id,
-        lower(l_returnflag) AS population, 'p' || l_partkey AS option_id, l_quantity::BIGINT AS response_count, l_shipdate::DATE AS day, l_suppkey * 7 % 150 AS review_key FROM g_lines""",
+        lower(l_returnflag) AS population, 'p' || l_partkey AS option_id, l_quantity::BIGINT AS response_count, (l_tax * 100)::DECIMAL(6,3) AS margin, l_shipdate::DATE AS day, l_suppkey * 7 % 150 AS review_key FROM g_lines""",
     "g_revision": "SELECT revision_id, pollster_id, contest_id, review_key, min(day) AS started, max(day) AS ended FROM g_reading GROUP BY ALL",
     "g_decision": "SELECT event_id AS seq, user_id AS target, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'changes_requested' END AS outcome, ts AS created_at FROM events",
     "g_task": "SELECT 'q' || event_id AS id, user_id AS target, CASE WHEN event_type IN ('click', 'signup') THEN 'pending' WHEN event_type = 'view' THEN 'claimed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'cancelled' END AS status, user_id % 100 AS priority, ts AS created_at FROM events",

@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="claimweave-")
+    return _LOCAL[context.applicationId]
+
+
+def landing(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the shared folder; what is there goes when the driver's process ends."""
+    parent = f"{_folder(spark)}/claimweave/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{parent}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder of ``spark.checkpoint.dir``, which survives lost executors.
-
-    Where none is set, a local session gets a temporary one; on a cluster that is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="claimweave-"))
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back: survives lost executors, and later plans know its size."""
+    where = landing(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

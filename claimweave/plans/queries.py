@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from claimweave.functions import canon, keys, parse, text
 from claimweave.operators import claims as C, contests as K, ingest as I, integrity as G, polls as P, resolve as R, review as V, search as S, validate as X
 from claimweave.plans import catalog
-from claimweave.plans.graph import Graph, oracle
-from claimweave.sources import html
+from claimweave.plans.graph import Graph
+from claimweave.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 INSTANT = "1998-06-01"
 DATES = ("1995-06-01", "1996-06-01", "1997-06-01", "1998-06-01", "1999-06-01")
 SEARCHES = ("supplier 000000012", "red widget", "nation 7", "building", "purchase 42", "supp 7")
 
 
-def query(sql: str | None = None):
-    """Register a function of a Graph under its name."""
-
-    def keep(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Graph(spark, folder))
-        if sql:
-            ORACLES[f.__name__] = oracle(sql)
-        return f
-
-    return keep
-
-
 def _at(day: str):
     return F.lit(day).cast("timestamp_ntz")
 
@@ -39,28 +23,36 @@ def _survivors(g: Graph) -> DataFrame:
     return G.survivors(g.redirect())
 
 
-_LATEST = """SELECT id, predicate, {side}, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {side} ORDER BY coalesce(valid_from, valid_at) DESC NULLS LAST, created_at DESC NULLS LAST, id) AS rank
-    FROM g_claim WHERE {side} IS NOT NULL) WHERE rank <= 3"""
-
-
-def _ranked(g: Graph, side: str) -> DataFrame:
-    unique = g.claim().dropDuplicates(["id"])
-    return C.latest(unique, side).select("id", "predicate", side, "rank")
+_ORDER = "coalesce(valid_from, valid_at) DESC NULLS LAST, created_at DESC NULLS LAST, id, subject_id NULLS FIRST, object_id NULLS FIRST, value NULLS FIRST"
+_LATEST = f"""SELECT id, predicate, {{side}}, rank::INTEGER AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY {{side}} ORDER BY {_ORDER}) AS rank FROM g_claim WHERE {{side}} IS NOT NULL) WHERE rank <= 100"""
 
 
-_UNIQUE = "(SELECT DISTINCT ON (id) * FROM g_claim)"
-
-
-@query(_LATEST.format(side="subject_id").replace("FROM g_claim", f"FROM {_UNIQUE}"))
+@query(_LATEST.format(side="subject_id"))
 def claims_about_subject(g: Graph) -> DataFrame:
     """Q1: the page of the 100 latest claims of every subject."""
-    return _ranked(g, "subject_id")
+    return C.latest(g.claim(), "subject_id").select("id", "predicate", "subject_id", "rank")
 
 
-@query(_LATEST.format(side="object_id").replace("FROM g_claim", f"FROM {_UNIQUE}"))
+@query(_LATEST.format(side="object_id"))
 def claims_about_object(g: Graph) -> DataFrame:
     """Q1, as object."""
-    return _ranked(g, "object_id")
+    return C.latest(g.claim(), "object_id").select("id", "predicate", "object_id", "rank")
+
+
+@query(f"SELECT id, predicate, object_id, created_at FROM g_claim WHERE subject_id = 's3' ORDER BY {_ORDER} LIMIT 100")
+def claims_about_entity(g: Graph) -> DataFrame:
+    """Q1: the page of claims of which one organisation is the subject."""
+    return C.claims_about(g.claim(), "s3").select("id", "predicate", "object_id", "created_at")
+
+
+@query(f"""SELECT id, subject_id, object_id FROM g_claim WHERE subject_id IN ('s10', 's11', 's12') AND predicate = 'donated_to'
+    AND substr(id, -1) <> '1'""")
+def claims_about_merged(g: Graph) -> DataFrame:
+    """Q1 with what it leaves out unless asked: claims of merged entities, but not those that were replaced."""
+    gone = g.donations().where("id like '%1'").select("id")
+    found = C.claims_about(g.claim(), "s10", "donated_to", limit=None, merged=_survivors(g), superseded=gone)
+    return found.select("id", "subject_id", "object_id")
 
 
 _PROVENANCE = "SELECT claim_id, count(*) AS n, coalesce(array_to_string(list_sort(list(DISTINCT asserted_by) FILTER (asserted_by IS NOT NULL)), ','), '') AS w FROM g_assertion GROUP BY claim_id"
@@ -113,10 +105,11 @@ def candidates_at_dates(g: Graph) -> DataFrame:
     return g.candidacies().select("object_id", F.explode(days).alias("day")).groupBy("day", F.col("object_id").alias("contest_id")).agg(F.count("*").alias("candidates"))
 
 
-@query("SELECT contest_id, candidate_id, votes, won, row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC NULLS LAST, candidate_id)::INTEGER AS rank FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes, (value->>'won')::BOOLEAN AS won FROM g_result)")
+@query("""SELECT contest_id, candidate_id, votes, share, place, won, row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC NULLS LAST, candidate_id)::INTEGER AS rank
+    FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes, (value->>'share')::DECIMAL(6,3) AS share, (value->>'place')::INTEGER AS place, (value->>'won')::BOOLEAN AS won FROM g_result)""")
 def results_ranked(g: Graph) -> DataFrame:
-    """Results by rank; won stays null where unsaid."""
-    return K.results(g.results()).drop("share")
+    """Results by rank, all of the payload; won stays null where unsaid."""
+    return K.results(g.results())
 
 
 @query("SELECT office_id, contest_id, candidate_id, votes FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes FROM g_result WHERE value->>'won' = 'true') JOIN g_contests USING (contest_id)")
@@ -157,13 +150,20 @@ def contest_by_key(g: Graph) -> DataFrame:
 
 _SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1 FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
     closure AS (SELECT id, arg_max(s, d) AS survivor_id, max(d) AS depth FROM surv GROUP BY id)"""
-_SAMPLES = """opt AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n FROM g_reading GROUP BY ALL),
-    samp AS (SELECT revision_id, population, sum(n)::BIGINT AS sample_size, count(*) AS options, array_to_string(list(option_id || ' ' || n ORDER BY n DESC, option_id)[1:3], ', ') AS readings FROM opt GROUP BY ALL)"""
-
-
-@query(f"WITH RECURSIVE {_SURVIVOR}, {_SAMPLES}, last AS (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target) SELECT contest_id, r.revision_id, coalesce(survivor_id, pollster_id) AS pollster, started, ended, population, sample_size, options, readings FROM g_revision r JOIN samp USING (revision_id) LEFT JOIN closure ON id = pollster_id WHERE review_key NOT IN (SELECT target FROM last WHERE o = 'rejected')")
+_OPTIONS = "opt AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n, max(margin) AS margin FROM g_reading GROUP BY ALL)"
+_POINTS = f"""{_OPTIONS}, samp AS (SELECT revision_id, population, sum(n)::BIGINT AS sample_size, max(margin) AS margin_of_error, count(*) AS options,
+        array_to_string(list(option_id || ' ' || n ORDER BY n DESC, option_id), ', ') AS readings FROM opt GROUP BY ALL),
+    lab AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY revision_id) = 1 THEN 'overall' ELSE population END AS sample_label FROM samp),
+    last AS (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target)"""
+
+
+@query(f"""WITH RECURSIVE {_SURVIVOR}, {_POINTS}, pts AS (SELECT contest_id, r.revision_id, coalesce(survivor_id, pollster_id) AS pollster, started, ended, sample_label, population,
+        sample_size, margin_of_error, options, readings, o IS NOT NULL AS reviewed,
+        row_number() OVER (PARTITION BY contest_id ORDER BY ended NULLS LAST, sample_label, r.revision_id, population)::INTEGER AS place
+        FROM g_revision r JOIN lab USING (revision_id) LEFT JOIN closure ON id = pollster_id LEFT JOIN last ON target = review_key WHERE o IS NULL OR o <> 'rejected')
+    SELECT * FROM pts WHERE place <= 500""")
 def poll_timeline(g: Graph) -> DataFrame:
-    """Q17-Q20, F40."""
+    """Every reading of every sample, in order of time."""
     return P.timeline(g.revisions(), g.readings(), g.decision(), _survivors(g))
 
 
@@ -173,7 +173,7 @@ def poll_verdicts_latest(g: Graph) -> DataFrame:
     return P.latest_verdicts(g.decision())
 
 
-@query("WITH o AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n FROM g_reading GROUP BY ALL), t AS (SELECT revision_id, population, sum(n) AS total FROM o GROUP BY ALL) SELECT revision_id, population, option_id, n, round(100.0::DOUBLE * n / total, 3) AS percentage FROM o JOIN t USING (revision_id, population) WHERE round(100.0::DOUBLE * n / total, 3) >= 5")
+@query("WITH o AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n FROM g_reading GROUP BY ALL), t AS (SELECT revision_id, population, sum(n) AS total FROM o GROUP BY ALL) SELECT revision_id, population, option_id, n, round(100.0::DOUBLE * n / total, 3) AS percentage FROM o JOIN t USING (revision_id, population)")
 def poll_readings(g: Graph) -> DataFrame:
     """Q20: percentages in every sample."""
     return P.series(g.readings())
@@ -203,14 +203,17 @@ def redirect_chains(g: Graph) -> DataFrame:
     return G.chains(g.redirect())
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, (s_suppkey * 5 + 1) % (SELECT max(s_suppkey) + 1 FROM supplier) AS dst FROM supplier WHERE s_suppkey % 3 <> 0),
-    w AS (SELECT src, dst, 1 AS d FROM e UNION ALL SELECT w.src, e.dst, d + 1 FROM w JOIN e ON w.dst = e.src WHERE d <= (SELECT count(*) FROM e))
-    SELECT 'redirect' AS graph, duplicate_id AS id FROM g_redirect WHERE false UNION ALL SELECT DISTINCT 'supplier', src::VARCHAR FROM w WHERE d > (SELECT count(*) FROM e)""")
+_RING = "CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey + 1 WHEN s_suppkey // 10 % 2 = 1 THEN s_suppkey - 9 END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT s_suppkey AS src, {_RING} AS dst FROM supplier) WHERE dst IS NOT NULL),
+    w AS (SELECT src, dst, 1 AS d FROM e UNION ALL SELECT w.src, e.dst, d + 1 FROM w JOIN e ON w.dst = e.src WHERE d <= 12)
+    SELECT 'redirect' AS graph, duplicate_id AS id FROM g_redirect WHERE false UNION ALL SELECT DISTINCT 'supplier', src::VARCHAR FROM w WHERE d > 12""")
 def graph_cycle_check(g: Graph) -> DataFrame:
-    """Nodes that cycles hold, in the redirects (none) and in a made-up functional graph."""
-    s = g.raw("supplier")
-    top = s.agg((F.max("s_suppkey") + 1).alias("n"))
-    made = s.where("s_suppkey % 3 <> 0").join(top).select(F.col("s_suppkey").cast("string").alias("src"), ((F.col("s_suppkey") * 5 + 1) % F.col("n")).cast("string").alias("dst"))
+    """Nodes that never come to an end, in the redirects (none) and in chains of ten of which every other one closes."""
+    k = F.col("s_suppkey")
+    to = F.when(k % 10 != 9, k + 1).when(F.expr("s_suppkey div 10 % 2 = 1"), k - 9)
+    made = g.raw("supplier").select(k.cast("string").alias("src"), to.cast("string").alias("dst")).where("dst is not null")
     return G.check({"redirect": G.edges(g.redirect(), "duplicate_id", "canonical_id"), "supplier": made})
 
 
@@ -240,11 +243,15 @@ def _asked(g: Graph) -> DataFrame:
     near AS (SELECT * FROM hits WHERE whole >= 0.3),
     ext AS (SELECT query, entity_id, name, whole, q, list_distinct(o[i:j]) AS x FROM near, unnest(range(1, len(o) + 1)) AS a(i), unnest(range(i, len(o) + 1)) AS b(j)),
     word AS (SELECT query, entity_id, name, any_value(whole) AS whole, max(len(list_intersect(q, x))::DOUBLE / (len(q) + len(x) - len(list_intersect(q, x)))) AS word FROM ext GROUP BY ALL),
+    cand AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, round(whole, 9) DESC, name, entity_id) AS c FROM word WHERE word >= 0.5),
     deg AS (SELECT e, count(DISTINCT id) AS claims FROM (SELECT id, subject_id AS e FROM g_claim UNION ALL SELECT id, object_id FROM g_claim) WHERE e IS NOT NULL GROUP BY e),
-    r AS (SELECT query, entity_id, coalesce(survivor_id, entity_id) AS s, name, word, whole, coalesce(claims, 0) AS claims FROM word LEFT JOIN closure ON id = entity_id LEFT JOIN deg ON e = entity_id),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query, s ORDER BY round(word, 9) DESC, claims DESC, round(whole, 9) DESC, name, entity_id) AS k FROM r),
-    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, claims DESC, round(whole, 9) DESC, name, entity_id) AS rank FROM f WHERE k = 1)
-    SELECT query, rank::INTEGER AS rank, s AS entity_id, name AS matched_alias, round(word, 6) AS word, round(whole, 6) AS whole, claims FROM t WHERE rank <= 20""")
+    r AS (SELECT query, entity_id, coalesce(survivor_id, entity_id) AS s, name, canonical_name, word, whole, coalesce(claims, 0) AS claims
+        FROM cand JOIN g_entity g ON g.id = entity_id LEFT JOIN closure ON closure.id = entity_id LEFT JOIN deg ON e = entity_id WHERE c <= 200),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, claims DESC, round(whole, 9) DESC, canonical_name, entity_id, name) AS k FROM r),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query, s ORDER BY k) AS j FROM p WHERE k <= 40),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY k) AS rank FROM f WHERE j = 1)
+    SELECT query, rank::INTEGER AS rank, s AS entity_id, g.kind, g.canonical_name, CASE WHEN name <> g.canonical_name THEN name END AS matched_alias, round(word, 6) AS word, round(whole, 6) AS whole, claims
+    FROM t JOIN g_entity g ON g.id = s WHERE rank <= 20""")
 def entity_search_topk(g: Graph) -> DataFrame:
     """The 20 best entities for each of some search texts."""
     return S.search(g.alias(), g.entity(), g.claim(), _survivors(g), _asked(g))
@@ -301,21 +308,46 @@ def _no_ids():
     return F.from_json(F.lit("[]"), "array<struct<namespace:string,value:string>>")
 
 
-@query(f"WITH RECURSIVE {_SURVIVOR}, a AS (SELECT DISTINCT normalized_name, coalesce(survivor_id, entity_id) AS e FROM g_alias LEFT JOIN closure ON id = entity_id WHERE starts_with(entity_id, 's')), u AS (SELECT normalized_name, min(e) AS e FROM a GROUP BY 1 HAVING count(*) = 1) SELECT 'm' || s_suppkey AS mention_id, e AS entity_id FROM supplier JOIN u ON normalized_name = 'supp ' || (s_suppkey % 40)")
+@query(f"""WITH RECURSIVE {_SURVIVOR}, a AS (SELECT DISTINCT normalized_name, coalesce(survivor_id, entity_id) AS e FROM g_alias LEFT JOIN closure ON id = entity_id WHERE starts_with(entity_id, 's')),
+    u AS (SELECT normalized_name, min(e) AS e, array_to_string(list_sort(list(e)), ',') AS l, count(*) AS n FROM a GROUP BY 1),
+    m AS (SELECT 'm' || s_suppkey AS mention_id, 'supp ' || (s_suppkey % 40) AS name FROM supplier UNION ALL SELECT 'f' || s_suppkey, lower(s_name) FROM supplier)
+    SELECT mention_id, CASE WHEN n = 1 THEN e END AS entity_id, CASE WHEN n > 1 THEN l END AS ambiguous_with FROM m JOIN u ON normalized_name = name""")
 def alias_resolution(g: Graph) -> DataFrame:
-    """Mentions by short name, where it leads to one survivor only."""
-    rows = g.raw("supplier").withColumn("mention_id", F.concat(F.lit("m"), F.col("s_suppkey").cast("string")))
-    mentions = _mentions(rows, "organization", F.concat(F.lit("Supp "), (F.col("s_suppkey") % 40).cast("string")), _no_ids())
-    return R.by_alias(mentions, g.alias(), g.entity(), g.identifier(), _survivors(g))
+    """Mentions by the full name of a supplier, which leads to its survivor, and by a short name that several bear."""
+    s = g.raw("supplier")
+    ident = lambda p: F.concat(F.lit(p), F.col("s_suppkey").cast("string")).alias("mention_id")
+    short = s.select(ident("m"), F.concat(F.lit("Supp "), (F.col("s_suppkey") % 40).cast("string")).alias("name"))
+    rows = short.unionByName(s.select(ident("f"), F.col("s_name").alias("name")))
+    found = R.by_alias(_mentions(rows, "organization", F.col("name"), _no_ids()), g.alias(), g.entity(), g.identifier(), _survivors(g))
+    return found.withColumn("ambiguous_with", F.when(F.col("ambiguous_with").isNotNull(), F.array_join("ambiguous_with", ",")))
 
 
-@query("SELECT 'm' || o_orderkey AS mention_id, CASE WHEN o_custkey % 4 = 0 THEN 'x' || substr(sha256('person' || chr(31) || 'wikidata=new' || o_custkey), 1, 32) ELSE 'c' || o_custkey END AS entity_id, CASE WHEN o_custkey % 4 = 0 THEN 'created' ELSE 'identifier' END AS method FROM orders")
+@query("""SELECT 'm' || o_orderkey AS mention_id, CASE WHEN o_custkey % 4 = 0 THEN 'x' || substr(sha256('person' || chr(31) || 'wikidata=new' || o_custkey), 1, 32) ELSE 'c' || o_custkey END AS entity_id,
+    CASE WHEN o_custkey % 4 = 0 THEN 'created' ELSE 'identifier' END AS method FROM orders""")
 def identifier_resolution(g: Graph) -> DataFrame:
     """A mention per order by its customer's key; a quarter of the customers have a key that nobody owns."""
     rows = g.raw("orders").withColumn("mention_id", F.concat(F.lit("m"), F.col("o_orderkey").cast("string")))
     key = F.concat(F.when(F.col("o_custkey") % 4 == 0, "new").otherwise("Q"), F.col("o_custkey").cast("string"))
     mentions = _mentions(rows, "person", F.concat(F.lit("Buyer "), F.col("o_custkey").cast("string")), R.mention(wikidata=key))
-    return R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g))
+    return R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g)).select("mention_id", "entity_id", "method")
+
+
+_NEW = "'x' || substr(sha256('{kind}' || chr(31) || '{key}' || {of}), 1, 32)"
+
+
+@query(f"""SELECT mention_id, CASE c % 6 WHEN 0 THEN 'c' || c WHEN 1 THEN {_NEW.format(kind='person', key='wikidata=Z', of='c')} WHEN 2 THEN {_NEW.format(kind='person', key='fec=F', of='c')}
+        WHEN 3 THEN 'c' || c WHEN 4 THEN NULL ELSE 'c' || c END AS entity_id, CASE c % 6 WHEN 0 THEN 'identifier' WHEN 1 THEN 'created' WHEN 2 THEN 'created' WHEN 3 THEN 'alias' WHEN 4 THEN NULL ELSE 'alias' END AS method,
+        CASE WHEN c % 6 = 4 THEN 'wikidata:Q' || c || ' already identifies person c' || c || ', not a contest' END AS error
+    FROM (SELECT 'm' || c_custkey AS mention_id, c_custkey AS c FROM customer)""")
+def mention_resolution(g: Graph) -> DataFrame:
+    """By key, against a contradicting key, past a missed defining key, by name with a new key, with a key of another kind, by name alone."""
+    k, n = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    pair = lambda ns, v: F.array(F.struct(F.lit(ns).alias("namespace"), F.concat(F.lit(v), n).alias("value")))
+    ids = F.when(k.isin(0, 4), pair(" Wikidata ", "Q")).when(k == 1, pair("wikidata", "Z")).when(k.isin(2, 3), pair("fec", "F")).otherwise(_no_ids())
+    rows = g.raw("customer").withColumn("mention_id", F.concat(F.lit("m"), n))
+    mentions = _mentions(rows, "person", F.col("c_name"), ids).withColumn("k", F.substring("mention_id", 2, 99).cast("long") % 6)
+    mentions = mentions.withColumn("kind", F.when(F.col("k") == 4, "contest").otherwise("person")).withColumn("authoritative", F.col("k") == 2)
+    return R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g)).select("mention_id", "entity_id", "method", "error")
 
 
 @query("SELECT normalized_name, namespace, count(DISTINCT value) AS values, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT entity_id, normalized_name FROM g_alias) JOIN g_identifier USING (entity_id) GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
@@ -374,12 +406,6 @@ def snapshot_reuse(g: Graph) -> DataFrame:
     return I.snapshot_reuse(prior, d.select("run_id", "sha256", F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("snapshot_id")))
 
 
-@query()
-def page_items(g: Graph) -> DataFrame:
-    """List items of all pages, with the headings above them."""
-    return html.items(g.raw("pages").select("page_id", "html"))
-
-
 @query("""SELECT 'interval_order' AS "constraint", id AS key FROM g_candidacy WHERE valid_to <= valid_from
     UNION ALL SELECT 'claim_unique', id FROM g_donation GROUP BY id HAVING count(*) > 1
     UNION ALL SELECT 'amount_positive', 'do' || line FROM g_lines WHERE l_extendedprice <= 1000
@@ -532,14 +558,17 @@ def decision_guard(g: Graph) -> DataFrame:
     return appended.select(F.lit(None).cast("string").alias("why")).unionByName(refused.select("why")).groupBy("why").agg(F.count("*").alias("tasks"))
 
 
-@query("SELECT b.revision_id, count(*) AS accepted_n FROM g_revision a JOIN (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target) v ON v.target = a.review_key AND v.o = 'accepted' JOIN g_revision b ON b.pollster_id = a.pollster_id AND b.contest_id = a.contest_id AND b.revision_id <> a.revision_id GROUP BY 1")
+@query("""SELECT b.revision_id, count(*) AS accepted_n FROM g_revision a JOIN (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target) v ON v.target = a.review_key AND v.o = 'accepted'
+    JOIN g_revision b ON b.pollster_id = a.pollster_id AND b.contest_id = a.contest_id AND b.revision_id <> a.revision_id
+    WHERE b.review_key NOT IN (SELECT target FROM g_task WHERE status IN ('pending', 'claimed') AND priority < 20) GROUP BY 1""")
 def rival_revisions(g: Graph) -> DataFrame:
-    """Other revisions of the polls of which one is accepted now."""
+    """Other revisions of the polls of which one is accepted now, but those that an urgent open task holds."""
     accepted = P.latest_verdicts(g.decision()).where("outcome = 'accepted'").select(F.col("target").alias("review_key"))
     revisions = g.revisions().withColumn("poll_id", F.concat_ws("|", "pollster_id", "contest_id"))
     done = revisions.join(accepted, "review_key", "left_semi").select("revision_id")
-    open_ = g.spark.createDataFrame([], "status string, target string")  # no revision here has a task of its own
-    return V.rivals(revisions, open_, done).groupBy("revision_id").agg(F.count("*").alias("accepted_n"))
+    urgent = g.task().where("priority < 20").select("status", F.col("target").alias("review_key")).distinct()
+    held = urgent.join(revisions.select("review_key", F.col("revision_id").alias("target")), "review_key").select("status", "target")
+    return V.rivals(revisions, held, done).groupBy("revision_id").agg(F.count("*").alias("accepted_n"))
 
 
 @query("SELECT region.r_name, n_name, count(*) AS candidacies, count(DISTINCT subject_id) AS people FROM g_candidacy JOIN g_contests ON contest_id = object_id JOIN nation ON nation_id = 'n' || n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
@@ -549,3 +578,5 @@ def candidacies_by_region(g: Graph) -> DataFrame:
     c = g.candidacies().join(g.contests().select(F.col("contest_id").alias("object_id"), "nation_id"), "object_id").join(places, "nation_id")
     return c.groupBy("r_name", "n_name").agg(F.count("*").alias("candidacies"), F.count_distinct("subject_id").alias("people"))
 
+
+from claimweave.plans import cell_queries, record_queries  # noqa: E402, F401  (they register theirs)

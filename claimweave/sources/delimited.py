@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,47 +18,77 @@ OFFICES, STATUSES = ("H", "S", "P"), ("C", "N")
 
 
 def unwrapped(raw: bytes) -> bytes:
-    """The only member of a zip archive; other bytes as they are; several members are an error."""
-    if not raw.startswith(b"PK\x03\x04"):
+    """What a zip archive of one file holds; other bytes as they are. Archives of none or several are an error."""
+    held = io.BytesIO(raw)
+    if not raw.startswith(b"PK") or not zipfile.is_zipfile(held):
         return raw
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = [n for n in z.namelist() if not n.endswith("/")]
-        if len(names) != 1:
-            raise ValueError(f"an archive of {len(names)} members")
-        return z.read(names[0])
+    with zipfile.ZipFile(held) as archive:
+        files = [entry for entry in archive.infolist() if not entry.is_dir()]
+        if len(files) == 1:
+            return archive.read(files[0])
+    raise ValueError(f"an archive of {len(files)} members")
 
 
-def parsed(raw: bytes, names: Iterable[str] | None = None, delimiter: str = ",") -> Iterator[dict[str, str]]:
-    """Rows as maps: UTF-8 with replacement, values stripped, what is missing empty."""
-    text = io.StringIO(unwrapped(raw).decode("utf-8-sig", "replace"), newline="")
-    for row in csv.DictReader(text, fieldnames=list(names) if names else None, delimiter=delimiter, quoting=csv.QUOTE_MINIMAL if delimiter == "," else csv.QUOTE_NONE):
-        yield {k: (v or "").strip() for k, v in row.items() if k is not None}
+def _goes_on(line: str, delimiter: str, inside: bool) -> bool:
+    """Whether a quoted field is open at the end of a line, given whether one was at its beginning.
 
-
-def rows(spark: SparkSession, path: str, names: Iterable[str] | None = None, delimiter: str = ",") -> DataFrame:
-    """Files, also zipped, as ``path, index, data`` with a zero-based index that stays the same on every read.
-
-    A file is one task's work, since a row's index is its place in the file; many files are read in parallel.
+    Only a quote at the beginning of a field opens one.
+    """
+    at = 0
+    while True:
+        if not inside and line[at : at + 1] == '"':
+            inside, at = True, at + 1
+        if inside:
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if line[at + 1 : at + 2] == '"':
+                at += 2
+                continue
+            inside = False
+        at = line.find(delimiter, at)
+        if at < 0:
+            return False
+        at += 1
+
+
+def records(raw: bytes, delimiter: str = ",") -> Iterator[str]:
+    """The records of a delimited file as text, blank ones left out; a record ends at a line's end outside quotes."""
+    held, inside = [], False
+    for line in io.StringIO(unwrapped(raw).decode("utf-8-sig", "replace"), newline=""):
+        held.append(line)
+        inside = _goes_on(line, delimiter, inside)
+        if not inside:
+            if record := "".join(held).rstrip("\r\n"):
+                yield record
+            held = []
+    if held:
+        yield "".join(held)
+
+
+def rows(spark: SparkSession, path: str, names: Iterable[str], delimiter: str = ",", header: bool = False) -> DataFrame:
+    """Files, also zipped, as ``path, index`` and the named columns, stripped; what is missing is empty.
+
+    The index is zero-based and the same on every read: a record's place in its file. So cutting a file into records
+    is one task's work, many files are read in parallel, and fields are parsed by Spark. Bytes that are no UTF-8
+    become replacement characters.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    given = list(names) if names else None
-
-    def batch(file: str, at: int, held: list[dict]) -> pa.RecordBatch:
-        data = pa.array([list(r.items()) for r in held], pa.map_(pa.string(), pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array([file] * len(held), pa.string()), pa.array(range(at, at + len(held)), pa.int64()), data], ["path", "index", "data"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for file, raw in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
-                at, held = 0, []
-                for row in parsed(raw, given, delimiter):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield batch(file, at, held)
-                        at, held = at + len(held), []
-                yield batch(file, at, held)
+                found = records(raw, delimiter)
+                if header:
+                    next(found, None)
+                numbered = enumerate(found)
+                while held := list(islice(numbered, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array([k for k, _ in held], pa.int64()), pa.array([x for _, x in held])], ["path", "index", "record"])
 
-    return files.mapInArrow(run, "path string, index long, data map<string,string>")
+    fields = ", ".join(f"`{n}` string" for n in names)
+    quoted = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    cut = files.mapInArrow(run, "path string, index long, record string").select("path", "index", F.from_csv("record", fields, quoted).alias("r"))
+    return cut.select("path", "index", *(F.coalesce(F.trim(F.col("r")[n]), F.lit("")).alias(n) for n in names))
 
 
 def locator(index: Column) -> Column:
@@ -68,7 +98,7 @@ def locator(index: Column) -> Column:
 
 def table(spark: SparkSession, path: str, ddl: str, delimiter: str = ",", header: bool = True) -> DataFrame:
     """S1 where no index is needed: a splittable scan with a declared schema, values trimmed."""
-    read = spark.read.schema(ddl).csv(path, sep=delimiter, header=header, mode="PERMISSIVE", quote='"' if delimiter == "," else "\u0000")
+    read = spark.read.schema(ddl).csv(path, sep=delimiter, header=header, mode="PERMISSIVE", quote='"', escape='"')
     return read.select(*(F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in read.dtypes))
 
 
@@ -79,10 +109,14 @@ def divisions(scan: DataFrame, kinds: Iterable[str]) -> DataFrame:
 
 
 def federal_candidates(scan: DataFrame, cycle: int, offices: Iterable[str] = OFFICES) -> DataFrame:
-    """Usable rows of the candidate file, with their contest key; an accidental header is dropped."""
-    usable = F.col("CAND_OFFICE").isin(*offices) & F.col("CAND_STATUS").isin(*STATUSES) & (F.col("CAND_ELECTION_YR") == str(cycle)) & (F.trim("CAND_ID") != "") & (F.trim("CAND_NAME") != "")
-    key = keys.federal_contest_key(F.col("CAND_OFFICE"), F.col("CAND_OFFICE_ST"), F.coalesce("CAND_OFFICE_DISTRICT", F.lit("")), F.lit(cycle))
-    return scan.where(F.coalesce(usable, F.lit(False))).withColumn("contest_key", key)
+    """Usable rows of the candidate file, an accidental header dropped, with their contest key.
+
+    A row that lacks the state of its seat has no key, and ``error`` says so.
+    """
+    usable = F.col("CAND_OFFICE").isin(*offices) & F.col("CAND_STATUS").isin(*STATUSES) & (F.trim("CAND_ELECTION_YR") == str(cycle)) & (F.upper("CAND_ID") != "CAND_ID") & (F.trim("CAND_ID") != "") & (F.trim("CAND_NAME") != "")
+    key = keys.federal_contest_key(F.col("CAND_OFFICE"), F.col("CAND_OFFICE_ST"), F.col("CAND_OFFICE_DISTRICT"), F.lit(cycle), F.col("CAND_PTY_AFFILIATION"))
+    kept = scan.where(F.coalesce(usable, F.lit(False))).withColumn("contest_key", key)
+    return kept.withColumn("error", F.when(F.col("contest_key").isNull(), F.concat(F.col("CAND_ID"), F.lit(" has no office state"))))
 
 
 def report(scan: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_verdicts(spark):
     t = spark.createDataFrame([("p", "pending"), ("c", "cancelled")], "id string, status string")
     assert V.backlog(t, d).first().asDict() == {"pending": 1, "claimed": 0, "completed": 0, "decisions": 3, "accepted": 1, "rejected": 1}
     revisions = spark.createDataFrame([("r1", "s", "k", 7), ("r2", "s", "k", 8)], "revision_id string, pollster_id string, contest_id string, review_key long").withColumns({"started": F.lit(None).cast("date"), "ended": F.lit(None).cast("date")})
-    readings = spark.createDataFrame([("r1", "lv", "x", 10), ("r2", "lv", "x", 20)], "revision_id string, population string, option_id string, response_count long")
+    readings = spark.createDataFrame([("r1", "lv", "x", 10), ("r2", "lv", "x", 20)], "revision_id string, population string, option_id string, response_count long").withColumn("margin", F.lit(None).cast("decimal(6,3)"))
     merged = spark.createDataFrame([("s", "t")], "id string, survivor_id string")
     assert [r["pollster"] for r in P.timeline(revisions, readings, d, merged).collect()] == ["t"]
     assert P.timeline(revisions, readings, d, merged, include_rejected=True).count() == 2
@@ -68,7 +68,9 @@ def test_search_prefers_the_claimed(spark):
     ask = lambda q: S.search(a, e, c, merged, spark.createDataFrame([(q,)], "query string")).orderBy("rank").collect()
     assert [r["entity_id"] for r in ask("crowley")] == ["1", "2"]
     hit = ask("uc berkeley")
-    assert [(r["entity_id"], r["matched_alias"]) for r in hit] == [("4", "UC Berkeley")]
+    assert [(r["entity_id"], r["matched_alias"], r["canonical_name"]) for r in hit] == [("4", "UC Berkeley", "UC Berkeley IGS")]
+    few = S.search(a, e, c, merged, spark.createDataFrame([("crowley",)], "query string"), candidates=1).collect()
+    assert [r["entity_id"] for r in few] == ["2"]  # the best names are looked at before claims count
     page = S.find_entities(e, a, "crowley", limit=1).collect()
     assert len(page) == 1 and page[0]["truncated"]
     assert not S.find_entities(e, a, "crowley", limit=2).first()["truncated"]
@@ -83,6 +85,7 @@ def test_resolution(spark):
     none = spark.createDataFrame([], "id string, survivor_id string")
     ids = "array<struct<namespace:string,value:string>>"
     m = spark.createDataFrame([("m1", "person", "Annie", "annie", [("wikidata", "Q1")]), ("m2", "person", "Ann", "ann", [("wikidata", "Q9")]), ("m3", "person", "Ann", "ann", []), ("m4", "person", "Bob", "bob", []), ("m5", "person", "Cy", "cy", []), ("m6", "contest", "Cy", "cy", [("contest-key", "k2")]), ("m7", "person", "Dee", "dee", []), ("m8", "person", "Dee", "dee", [])], f"mention_id string, kind string, name string, normalized_name string, identifiers {ids}")
+    m = m.withColumn("authoritative", F.col("mention_id") == "m6")
     got = {r["mention_id"]: (r["entity_id"], r["method"]) for r in R.resolve(m, e, a, i, none).collect()}
     assert got["m1"] == ("e1", "identifier") and got["m3"] == ("e1", "alias") and got["m5"] == ("e4", "alias")
     assert got["m2"][1] == "created"  # the name fits, but the key contradicts
@@ -90,11 +93,30 @@ def test_resolution(spark):
     assert got["m6"][1] == "created"  # a computed key that misses is a new thing
     assert got["m7"] == got["m8"] and got["m7"][1] == "created"
     resolved = R.resolve(m, e, a, i, none)
-    names, fresh, owned = R.recorded(resolved, m, a, i)
+    names, fresh, owned = R.recorded(resolved, m, a, i, none)
     assert ("e1", "Annie") in {(r["entity_id"], r["name"]) for r in names.collect()} and owned.count() == 0 and fresh.count() == 2
     assert R.kind_promotions(resolved, m, e).collect()[0]["new_kind"] == "person"
 
 
+def test_resolution_keeps_apart_what_it_must(spark):
+    e = spark.createDataFrame([("e1", "person", "Bob"), ("e2", "person", "Bob"), ("e3", "person", "Zed"), ("e4", "jurisdiction", "Michigan"), ("e5", "other", "Val"), ("e6", "person", "Lost")], "id string, kind string, canonical_name string")
+    a = e.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"), F.lower("canonical_name").alias("normalized_name"))
+    i = spark.createDataFrame([("wikidata", "Q1", "e1"), ("wikidata", "Q5", "e3")], "namespace string, value string, entity_id string")
+    none = spark.createDataFrame([], "id string, survivor_id string")
+    ids = "array<struct<namespace:string,value:string>>"
+    rows = [("bob", "person", "Bob", "bob", [("wikidata", "Q9")], False), ("zed", "other", "Zed", "zed", [], False), ("adopts", "jurisdiction", "Michigan", "michigan", [("ocd-division", "mi")], False), ("defines", "jurisdiction", "Michigan", "michigan", [("ocd-division", "mi")], True), ("refines", "person", "Val", "val", [], False), ("clash", "contest", "Zed", "zed", [(" WikiData ", " Q5 ")], False)]
+    m = spark.createDataFrame(rows, f"mention_id string, kind string, name string, normalized_name string, identifiers {ids}, authoritative boolean")
+    got = {r["mention_id"]: r for r in R.resolve(m, e, a, i, none).collect()}
+    assert got["bob"]["method"] == "created" and got["bob"]["ambiguous_with"] == ["e1", "e2"]  # ambiguous first, whatever the keys
+    assert got["zed"]["method"] == "created"  # a mention of unknown kind joins stored kind other only
+    assert got["adopts"]["entity_id"] == "e4" and got["defines"]["method"] == "created"
+    assert got["refines"]["entity_id"] == "e5"
+    assert got["clash"]["entity_id"] is None and "already identifies person e3" in got["clash"]["error"]
+    lost = spark.createDataFrame([("e6", None)], "id string, survivor_id string")
+    with pytest.raises(Exception, match="cycle or too far"):
+        R.resolve(spark.createDataFrame([("l", "person", "Lost", "lost", [], False)], m.schema), e, a, i, lost).collect()
+
+
 def test_recording_twice_changes_nothing(spark):
     staged = spark.createDataFrame([("k1", "f1"), ("k2", "f1"), ("k3", "f2")], "idempotency_key string, fingerprint string")
     none = spark.createDataFrame([], "idempotency_key string, fingerprint string, seq long")
@@ -132,7 +154,9 @@ def test_near_duplicates_and_concerns(spark):
     near = I.near_duplicates(r)
     assert {(x["a"], x["b"]) for x in near.collect()} == {("a", "b")}
     like = spark.createDataFrame([("t",)], "pollster_id string")
-    assert {tuple(x) for x in I.concerns(r, near, like).collect()} == {("e", "no end of fieldwork"), ("a", "near duplicate"), ("b", "near duplicate"), ("d", "lookalike pollster"), ("e", "lookalike pollster")}
+    stored = spark.createDataFrame([("pb",)], "poll_id string")
+    told = I.concerns(r.withColumn("poll_id", F.concat(F.lit("p"), "revision_id")), near, like, stored)
+    assert {tuple(x) for x in told.collect()} == {("b", "another reading of this poll exists"), ("e", "no end of fieldwork"), ("a", "near duplicate"), ("b", "near duplicate"), ("d", "lookalike pollster"), ("e", "lookalike pollster")}
 
 
 def test_decisions_and_merges(spark):

@@ -33,11 +33,14 @@ def test_poll_tables(spark):
     assert {(r["stage"], r["party"]) for r in got} == {("primary", "republican")}
     readings = html.poll_readings(html.polls(html.cells(pages(spark, POLLS)))).collect()
     fine = {(r["population"], r["option"]): r["percentage"] for r in readings if not r["error"]}
-    assert fine == {("lv", "Ann"): Decimal("41.000"), ("rv", "Ann"): Decimal("38.000")}  # a dash is no reading, not zero
-    assert sorted(r["error"] for r in readings if r["error"]) == ["dates; sample", "dates; sample; reading", "reading"]
+    assert fine == {}  # one unreadable cell refuses the whole poll
+    assert {(r["pollster"], r["error"]) for r in readings} == {("Acme", "reading"), ("Zeta", "dates; reading; sample")}
+    good = pages(spark, POLLS.replace("&lt;1%", "2%"))
+    fine = {(r["population"], r["option"]): r["percentage"] for r in html.poll_readings(html.polls(html.cells(good))).collect() if not r["error"]}
+    assert fine == {("lv", "Ann"): Decimal("41.000"), ("rv", "Ann"): Decimal("38.000"), ("rv", "Bob"): Decimal("2.000")}  # a dash is no reading, not zero
 
 
-@pytest.mark.parametrize("old, new", [("Poll source", "Firm"), ("<h3>Polling", "<h3>Notes"), ("Republican primary", "Background")])
+@pytest.mark.parametrize("old, new", [("Poll source", "Firm"), ("<h3>Polling", "<h3>Notes"), ("Republican primary", "Background"), ("Republican primary", "Green primary"), ("Sample size", "Size"), ("Margin of error", "Margin"), ("<th>Poll source</th><th>Date(s)<br>administered</th>", "<th>Dates</th><th>Poll source</th>")])
 def test_changed_pages_give_no_polls(spark, old, new):
     assert html.polls(html.cells(pages(spark, POLLS.replace(old, new, 1)))).count() == 0
 
@@ -45,9 +48,21 @@ def test_changed_pages_give_no_polls(spark, old, new):
 def test_results(spark):
     p = pages(spark, RESULTS)
     got = {r["candidate"]: r for r in html.results(html.cells(p), html.items(p)).collect()}
-    assert set(got) == {"Ann Lee", "Bob Ray", "Cy"}
+    assert set(got) == {"Ann Lee", "Bob Ray"}  # a table without shares is none of results
     assert got["Ann Lee"]["votes"] == 315278 and got["Ann Lee"]["share"] == Decimal("39.810") and got["Ann Lee"]["won"] is True
-    assert got["Bob Ray"]["won"] is False and got["Cy"]["won"] is None and got["Cy"]["stage"] == "runoff"
+    assert got["Bob Ray"]["won"] is False
+
+
+@pytest.mark.parametrize("heading, stage, party", [("Democratic primary runoff", "runoff", "democratic"), ("Republican primary runoff", "runoff", "republican"), ("2026 Democratic primary", "primary", "democratic"), ("General election runoff", "general", None), ("Runoff", "runoff", None), ("Nonpartisan blanket primary", "primary", None), ("Primary elections", "primary", None), ("Green primary", None, None), ("Primary results", None, None), ("Special election", None, None), ("Caucus", None, None)])
+def test_sections(spark, heading, stage, party):
+    assert tuple(spark.range(1).select(html.section(F.lit(heading))).first()[0]) == (stage, party)
+
+
+def test_rows_that_are_no_candidates(spark):
+    rows = "".join(f"<tr><td>{n}</td><td>1,000</td><td>x</td></tr>" for n in ("Turnout", "Others", "Other", "Majority", "Plurality", "N/A", "NA", "Write-in", "Writein votes", "Total", "", "Otherly Jones", "Totally Real"))
+    page = f"<h2>General election</h2><h3>Results by county</h3><table><tr><th>Candidate</th><th>Votes</th><th>%</th></tr>{rows}</table>"
+    got = html.results(html.cells(pages(spark, page)), html.items(pages(spark, page))).collect()
+    assert {(r["candidate"], r["won"], r["share"]) for r in got} == {("Otherly Jones", None, None), ("Totally Real", None, None)}
 
 
 def test_spans_and_silence(spark):
@@ -66,14 +81,16 @@ def test_divisions(spark, tmp_path):
 
 
 def test_federal_file(spark, tmp_path):
-    rows = ["H6WI01|DOE, JANE|DEM|2026|WI|H|01|C|C|||||WI|5", "S6WI01|ROE|REP|2026|WI|S||C|N|||||WI|5", "H4WI01|OLD|REP|2024|WI|H|01|C|P|||||WI|5", "H6WI02|GONE|REP|2026|WI|H|02|C|F|||||WI|5", "P8|POE|LIB|2026|US|P|00|C|N|||||DC|2"]
+    rows = ["H6WI01|DOE, JANE|DEM|2026|WI|H|01|C|C|||||WI|5", "S6WI01|ROE|REP|2026|WI|S||C|N|||||WI|5", "H4WI01|OLD|REP|2024|WI|H|01|C|P|||||WI|5", "H6WI02|GONE|REP|2026|WI|H|02|C|F|||||WI|5", "P8|POE|LIB|2026|US|P|00|C|N|||||DC|2", "S6XX01|MOE|REP|2026||S||C|N|||||WI|5"]
     with zipfile.ZipFile(tmp_path / "cn.zip", "w") as z:
         z.writestr("cn.txt", "\n".join(rows))
-    got = delimited.rows(spark, str(tmp_path / "cn.zip"), delimited.FEDERAL_COLUMNS, "|")
-    assert [r["index"] for r in got.orderBy("index").collect()] == [0, 1, 2, 3, 4]
-    scan = got.select("index", *(F.col("data")[c].alias(c) for c in delimited.FEDERAL_COLUMNS))
-    keys = {r["CAND_ID"]: r["contest_key"] for r in delimited.federal_candidates(scan, 2026).collect()}
-    assert keys == {"H6WI01": "ocd-division/country:us/state:wi/cd:1/us-house/2026/primary", "S6WI01": "ocd-division/country:us/state:wi/us-senate/2026/primary", "P8": "ocd-division/country:us/president/2026/primary"}
+    scan = delimited.rows(spark, str(tmp_path / "cn.zip"), delimited.FEDERAL_COLUMNS, "|")
+    assert [r["index"] for r in scan.orderBy("index").collect()] == [0, 1, 2, 3, 4, 5]
+    found = delimited.federal_candidates(scan, 2026)
+    keys = {r["CAND_ID"]: r["contest_key"] for r in found.collect()}
+    us = "ocd-division/country:us"
+    assert keys == {"H6WI01": f"{us}/state:wi/cd:1/us-house/2026/primary/democratic", "S6WI01": f"{us}/state:wi/us-senate/2026/primary/republican", "P8": f"{us}/president/2026/primary/libertarian", "S6XX01": None}
+    assert [r["error"] for r in found.where("error is not null").collect()] == ["S6XX01 has no office state"]
     two = io.BytesIO()
     with zipfile.ZipFile(two, "w") as z:
         z.writestr("a", "1"), z.writestr("b", "2")
@@ -82,6 +99,13 @@ def test_federal_file(spark, tmp_path):
     assert delimited.unwrapped(b"plain") == b"plain"
 
 
+def test_records_of_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfid,name\r\n1,"two\nlines, ""quoted"""\r\n\r\n2\n3,caf\xe9,extra\n4, 5" pipe\n')
+    got = delimited.rows(spark, str(tmp_path / "a.csv"), ("id", "name"), header=True).orderBy("index").collect()
+    assert [(r["index"], r["id"], r["name"]) for r in got] == [(0, "1", 'two\nlines, "quoted"'), (1, "2", ""), (2, "3", "caf\ufffd"), (3, "4", '5" pipe')]
+    assert list(delimited.records(b"")) == [] and list(delimited.records(b'a,"open\n')) == ['a,"open\n']
+
+
 def test_store_is_idempotent(spark, tmp_path):
     s = store.ObjectStore(spark, str(tmp_path / "objects"))
     c = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b""),), (None,)], "content binary")
