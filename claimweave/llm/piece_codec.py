@@ -4,9 +4,9 @@ Texts up to GIANT characters are encoded by the library, a row at a time. Longer
 different tasks encode:
 
 * Unigram models: a max-plus scan. The state at a chunk's border is how far the piece that crosses it reaches into
-  the next chunk. Each chunk yields the matrix of best scores from entry state to exit state; the matrices combine
-  associatively in the max-plus semiring; then each chunk traces its own best path back between the two states that
-  the combination gives it.
+  the next chunk. Each chunk yields the matrix of best scores from entry state to exit state. The matrices combine
+  associatively in the max-plus semiring, runs of chunks in tasks of their own; the states at the ends of runs follow
+  from the runs' products, those within a run from its own. Then each chunk traces its best path back between its two.
 * BPE models: the pieces follow from merges in order of rank, not from a sum of scores, so a max-plus path gives other
   pieces than the model does. Merges never cross a place where a space follows another character, provided no piece
   of the vocabulary does; chunks are cut at such places and encoded apart, which is exact.
@@ -28,6 +28,7 @@ from claimweave.llm.common import Scratch, small_batches
 
 GIANT = 65_536
 CHUNK = 16_384
+RUN = 256  # chunks whose matrices one task multiplies
 MEMO_WORDS = 250_000
 SPACE = "▁"
 #: Fixed values of the SentencePiece format: model kinds, piece kinds, and the penalty of an unknown character.
@@ -170,16 +171,24 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(entry, exit) state of every chunk on the best path from state 0 to state 0."""
-    before = [np.where(np.arange(len(matrices[0])) == 0, 0.0, -np.inf)[None, :]]
-    for m in matrices:
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrix of consecutive chunks taken together."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = max_plus(out, m)
+    return out
+
+
+def states(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """(entry, exit) state of every chunk on the best path from one state before all to one behind all."""
+    before = [np.where(np.arange(len(matrices[0])) == entry, 0.0, -np.inf)[None, :]]
+    for m in matrices[:-1]:
         before.append(max_plus(before[-1], m))
-    out, leave = [], 0
-    for v, m in zip(reversed(before[:-1]), reversed(matrices)):
-        entry = int((v[0] + m[:, leave]).argmax())
-        out.append((entry, leave))
-        leave = entry
+    out = []
+    for v, m in zip(reversed(before), reversed(matrices)):
+        start = int((v[0] + m[:, leave]).argmax())
+        out.append((start, leave))
+        leave = start
     return out[::-1]
 
 
@@ -228,18 +237,31 @@ def _encode_giants(docs: DataFrame, path: str, size: int) -> DataFrame:
                 m = [PieceModel.of(path).transfer(s, z).tobytes() for s, z in zip(b.column("s").to_pylist(), b.column("last").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("part"), pa.array(m, pa.binary())], ["__row", "part", "m"])
 
-        def combine(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("part")
-            r = PieceModel.of(path).reach
-            found = states([np.frombuffer(m).reshape(r, r) for m in rows["m"]])
-            return pd.DataFrame({"__row": rows["__row"].to_numpy(), "part": rows["part"].to_numpy(), "entry": [e for e, _ in found], "leave": [x for _, x in found]})
+        def stacked(rows: pd.DataFrame, order: str) -> tuple[pd.DataFrame, list[np.ndarray]]:
+            r, rows = PieceModel.of(path).reach, rows.sort_values(order)
+            return rows, [np.frombuffer(m).reshape(r, r) for m in rows["m"]]
+
+        def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+            rows, held = stacked(rows, "part")
+            return rows[["__row", "run"]].head(1).assign(m=[product(held).tobytes()])
+
+        def walk(rows: pd.DataFrame, order: str) -> pd.DataFrame:
+            rows, held = stacked(rows, order)
+            ends = (int(rows["entry"].iloc[0]), int(rows["leave"].iloc[0])) if order == "part" else (0, 0)
+            found = states(held, *ends)
+            return rows[["__row", order]].assign(entry=[e for e, _ in found], leave=[x for _, x in found])
 
         def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = [_packed(PieceModel.of(path).trace(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("s", "last", "entry", "leave")))]
                 yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("part"), _lists(ids)], ["__row", "part", "ids"])
 
-        found = chunks.mapInArrow(matrices, "__row long, part int, m binary").groupBy("__row").applyInPandas(combine, "__row long, part int, entry int, leave int")
+        # A tree of two levels: runs of chunks are multiplied apart, one task walks a text's runs, then each run its chunks.
+        each = scratch.table(chunks.mapInArrow(matrices, "__row long, part int, m binary").withColumn("run", F.floor(F.col("part") / RUN).cast("int")), "matrices")
+        runs = each.groupBy("__row", "run").applyInPandas(multiply, "__row long, run int, m binary")
+        ends = runs.groupBy("__row").applyInPandas(lambda rows: walk(rows, "run"), "__row long, run int, entry int, leave int")
+        told = each.join(ends, ["__row", "run"]).groupBy("__row", "run")
+        found = told.applyInPandas(lambda rows: walk(rows, "part"), "__row long, part int, entry int, leave int")
         done = chunks.join(found, ["__row", "part"]).mapInArrow(trace, "__row long, part int, ids array<int>")
     else:
         done = _encode_rows(chunks.withColumnRenamed("s", "text"), path).select("__row", "part", "ids")
