@@ -33,12 +33,20 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def word_similarity(query: Column, target: Column) -> Column:
-    """the best similarity of the query to any contiguous extent of the target's ordered trigrams."""
+    """the best similarity of the query to any contiguous extent of the target's ordered trigrams.
+
+    The best extent begins and ends with a trigram of the query: others at its ends only make it larger. So only
+    extents between such trigrams are tried.
+    """
     pair = F.struct(trigrams(query).alias("q"), ordered_trigrams(target).alias("t"))
 
+    def extents(p: Column) -> Column:
+        places = F.transform(p["t"], lambda g, i: F.when(F.array_contains(p["q"], g), i + 1))
+        return F.struct(p["q"].alias("q"), p["t"].alias("t"), F.filter(places, lambda i: i.isNotNull()).alias("at"))
+
     def best(p: Column) -> Column:
-        n = F.size(p["t"])
-        starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: let(F.array_distinct(F.slice(p["t"], i, k)), lambda x: set_similarity(p["q"], x))))
-        return F.when(n > 0, F.array_max(F.flatten(starts))).otherwise(F.lit(0.0))
+        extent = lambda a, b: let(F.array_distinct(F.slice(p["t"], a, b - a + 1)), lambda x: set_similarity(p["q"], x))
+        tried = F.transform(p["at"], lambda a: F.transform(F.filter(p["at"], lambda b: b >= a), lambda b: extent(a, b)))
+        return F.coalesce(F.array_max(F.flatten(tried)), F.lit(0.0))
 
-    return let(pair, best)
+    return let(let(pair, extents), best)
