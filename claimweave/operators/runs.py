@@ -1,4 +1,4 @@
-"""Import runs over batches (rows I9, I11, I13, I16, O2, O4-O6, H44-H45)."""
+"""Import runs over batches (rows I9, I11, I13, I16, O2-O6, H44-H45)."""
 
 from __future__ import annotations
 
@@ -78,3 +78,13 @@ def already_recorded(entities: DataFrame, aliases: DataFrame, claims: DataFrame,
     """The persons of a name, and the latest events of a kind that they took part in."""
     people = search.find_entities(entities, aliases, name, "person")
     return people, search.find_events(entities, claims, kind, participants=people.select("id"))
+
+
+#: How an answer may end that is not whole.
+NOT_WHOLE = ("length", "content_filter", "error", "incomplete")
+
+
+def whole_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """O3: ``answers(finish_reason, …)`` -> (those that ended by themselves, those cut short, which fail their run)."""
+    cut = F.coalesce(F.lower("finish_reason").isin(*NOT_WHOLE), F.lit(True))
+    return answers.where(~cut), answers.where(cut).withColumn("error", F.concat(F.lit("the answer ended by "), F.coalesce("finish_reason", F.lit("nothing"))))

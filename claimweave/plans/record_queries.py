@@ -312,3 +312,29 @@ def kind_promotions(g: Graph) -> DataFrame:
     mentions = g.raw("customer").select(_id("m", "c_custkey").alias("mention_id"), F.when(k % 2 == 0, "person").otherwise("organization").alias("kind"))
     resolved = g.raw("customer").select(_id("m", "c_custkey").alias("mention_id"), _id("c", "c_custkey").alias("entity_id"))
     return R.kind_promotions(resolved, mentions, entities)
+
+
+@query("""WITH p AS (SELECT page_id, 'http://' || page_id % 40 AS url, page_id % 40 AS k FROM pages)
+    SELECT page_id AS record_id, CASE WHEN k % 5 < 2 THEN sha256('body ' || k) END AS sha256, CASE k % 5 WHEN 2 THEN 'status 404' WHEN 3 THEN 'TimeoutError: too slow' WHEN 4 THEN '33554433 bytes' END AS error, CASE WHEN k % 5 > 1 THEN k % 5 = 3 END AS retryable FROM p""")
+def cited_sources(g: Graph) -> DataFrame:
+    """Records citing sources, fetched once each from a client made up here; refused, slow and huge ones skip their records only."""
+    from claimweave.sources import fetch
+
+    def get(url: str, seconds: float) -> tuple[int, bytes]:
+        k = int(url.removeprefix("http://"))
+        if k % 5 == 3:
+            raise TimeoutError("too slow")
+        return (404, b"") if k % 5 == 2 else (200, bytes((32 << 20) + 1) if k % 5 == 4 else f"body {k}".encode())
+
+    records = g.raw("pages").select(F.col("page_id").alias("record_id"), F.concat(F.lit("http://"), (F.col("page_id") % 40).cast("string")).alias("url"))
+    fine, skipped = fetch.cited(records, fetch.fetched(records.select("url"), get))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return fine.select("record_id", "sha256", none("string", "error"), none("boolean", "retryable")).unionByName(skipped.select("record_id", none("string", "sha256"), "error", "retryable"))
+
+
+@query("""SELECT event_type AS finish_reason, count(*) AS answers, event_type IN ('error') AS failed FROM events GROUP BY 1""")
+def answer_guard(g: Graph) -> DataFrame:
+    """O3: answers that were cut short fail; here events stand for answers, and their type for how they ended."""
+    whole, cut = runs.whole_answers(g.raw("events").select(F.col("event_type").alias("finish_reason")))
+    told = whole.withColumn("failed", F.lit(False)).unionByName(cut.select("finish_reason").withColumn("failed", F.lit(True)))
+    return told.groupBy("finish_reason", "failed").agg(F.count("*").alias("answers")).select("finish_reason", "answers", "failed")

@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: These join tables of one row each.
 ONE_ROW = {"review_backlog", "decision_guard", "graph_cycle_check", "reading_verdicts", "import_report"}
 #: These read files or pages, name things beyond ASCII, or call a service.
-PYTHON = {"page_items", "poll_rows", "result_rows", "federal_contest_keys", "division_rows", "normalized_names", "geocode_results"}
+PYTHON = {"page_items", "poll_rows", "result_rows", "federal_contest_keys", "division_rows", "normalized_names", "geocode_results", "cited_sources"}
 
 
 def plan(spark, name):
