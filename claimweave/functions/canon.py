@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import Column, functions as F
 
 #: The claim's fingerprint covers these, in sorted order.
-CLAIM_KEYS = ("object_id", "predicate_version_id", "subject_id", "target_kind", "valid_at", "valid_at_precision", "valid_from", "valid_from_precision", "valid_to", "valid_to_precision", "value")
+CLAIM_KEYS = (
+    "object_id", "predicate_version_id", "subject_id", "target_kind", "valid_at", "valid_at_precision", "valid_from", "valid_from_precision",
+    "valid_to", "valid_to_precision", "value"
+)
 
 
 def decimal(text: Column) -> Column:
@@ -83,7 +86,10 @@ def uuid5(space: uuid.UUID, name: Column) -> Column:
     """name-based UUID of version 5."""
     h = F.sha1(F.concat(F.unhex(F.lit(space.hex)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.concat_ws(
+        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)),
+        F.substring(h, 21, 12)
+    )
 
 
 def content_key(digest: Column) -> Column:

@@ -26,7 +26,10 @@ def contest_parts(key: Column) -> Column:
     cycle = _part(key, CONTEST, 3).cast("int")
     fine = key.rlike(CONTEST) & cycle.between(FIRST_CYCLE, LAST_CYCLE) & ~((_part(key, CONTEST, 4) == "general") & _part(key, CONTEST, 5).isNotNull())
     pick = lambda c: F.when(fine, c)
-    return F.struct(pick(_part(key, CONTEST, 1)).alias("division"), pick(_part(key, CONTEST, 2)).alias("office"), pick(cycle).alias("cycle"), pick(_part(key, CONTEST, 4)).alias("stage"), pick(_part(key, CONTEST, 5)).alias("party"))
+    return F.struct(
+        pick(_part(key, CONTEST, 1)).alias("division"), pick(_part(key, CONTEST, 2)).alias("office"), pick(cycle).alias("cycle"),
+        pick(_part(key, CONTEST, 4)).alias("stage"), pick(_part(key, CONTEST, 5)).alias("party")
+    )
 
 
 def contest_key(division: Column, office: Column, cycle: Column, stage: Column, party: Column | None = None) -> Column:
@@ -57,7 +60,9 @@ def division_level(division: Column) -> Column:
 def contest_label(parts: Column) -> Column:
     """for people to read."""
     words = lambda c: F.initcap(F.replace(c, F.lit("-"), F.lit(" ")))
-    return F.concat_ws(" ", division_label(parts["division"]), words(parts["office"]), parts["cycle"].cast("string"), words(parts["party"]), words(parts["stage"]))
+    return F.concat_ws(
+        " ", division_label(parts["division"]), words(parts["office"]), parts["cycle"].cast("string"), words(parts["party"]), words(parts["stage"])
+    )
 
 
 def at_stage(parts: Column, stage: Column) -> Column:
@@ -75,7 +80,9 @@ def election_key(division: Column, cycle: Column, stage: Column) -> Column:
 
 def event_key(division: Column, kind: Column, at: Column, precision: Column, host: Column) -> Column:
     """null where the date is coarser than a day."""
-    return F.when(precision.isin(*DAY_OR_FINER) & division.isNotNull() & at.isNotNull(), F.concat_ws("/", division, kind, F.date_format(at, "yyyy-MM-dd"), host))
+    return F.when(
+        precision.isin(*DAY_OR_FINER) & division.isNotNull() & at.isNotNull(), F.concat_ws("/", division, kind, F.date_format(at, "yyyy-MM-dd"), host)
+    )
 
 
 def event_parts(key: Column) -> Column:

@@ -36,11 +36,15 @@ def fieldwork(text: Column) -> Column:
 
     def side(said: Column) -> Column:
         part = lambda k: F.nullif(F.regexp_extract(said, _SIDE, k), F.lit(""))
-        return F.struct(said.rlike(_SIDE).alias("fine"), _month(part(1)).alias("month"), part(2).cast("int").alias("day"), part(3).cast("int").alias("year"))
+        return F.struct(
+            said.rlike(_SIDE).alias("fine"), _month(part(1)).alias("month"), part(2).cast("int").alias("day"), part(3).cast("int").alias("year")
+        )
 
     def split(parts: Column) -> Column:
         one = F.size(parts) == 1
-        return F.struct((F.size(parts) <= 2).alias("fine"), side(parts[0]).alias("a"), side(F.when(one, parts[0]).otherwise(F.get(parts, F.lit(1)))).alias("b"))
+        return F.struct(
+            (F.size(parts) <= 2).alias("fine"), side(parts[0]).alias("a"), side(F.when(one, parts[0]).otherwise(F.get(parts, F.lit(1)))).alias("b")
+        )
 
     def day(y: Column, m: Column, d: Column) -> Column:
         return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
@@ -72,7 +76,10 @@ def sample(text: Column) -> Column:
     population = F.nullif(F.regexp_extract(said, _SAMPLE, 2), F.lit(""))
     refused = ~_absent(text) & ~(said.rlike(_SAMPLE) & (size.isNotNull() | population.isNotNull()))
     told = lambda c: F.when(~refused & ~_absent(text), c).otherwise(none)
-    return F.struct(told(size).alias("size"), F.when(~refused, F.coalesce(told(population), F.lit("unknown"))).alias("population"), F.coalesce(refused, F.lit(False)).alias("refused"))
+    return F.struct(
+        told(size).alias("size"), F.when(~refused, F.coalesce(told(population), F.lit("unknown"))).alias("population"),
+        F.coalesce(refused, F.lit(False)).alias("refused")
+    )
 
 
 def _number(text: Column, signs: str) -> Column:

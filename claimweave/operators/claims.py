@@ -21,10 +21,15 @@ def is_open(since: Column, until: Column) -> Column:
 
 
 def _newest(claims: DataFrame, limit: int | None) -> DataFrame:
-    return claims.orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id").limit(limit) if limit else claims
+    return claims.orderBy(
+        F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id"
+    ).limit(limit) if limit else claims
 
 
-def claims_about(claims: DataFrame, entity_id: str, predicate: str | None = None, as_object: bool = False, at: Column | None = None, limit: int | None = PAGE, merged: DataFrame | None = None, superseded: DataFrame | None = None) -> DataFrame:
+def claims_about(
+    claims: DataFrame, entity_id: str, predicate: str | None = None, as_object: bool = False, at: Column | None = None, limit: int | None = PAGE,
+    merged: DataFrame | None = None, superseded: DataFrame | None = None
+) -> DataFrame:
     """Q1: the page of the latest claims of which an entity is the subject, or the object.
 
     Redirects, supersession and review play no part, unless asked for: ``merged`` (id, survivor_id) adds the claims of
@@ -35,13 +40,17 @@ def claims_about(claims: DataFrame, entity_id: str, predicate: str | None = None
         found = claims.where(F.col(side) == entity_id)
     else:
         theirs = merged.where(F.col("survivor_id") == entity_id).select(F.col("id").alias("__id"), F.lit(True).alias("__merged"))
-        found = claims.join(theirs, F.col(side) == F.col("__id"), "left").where((F.col(side) == entity_id) | F.col("__merged")).drop("__id", "__merged")
+        found = claims.join(theirs, F.col(side) == F.col("__id"), "left").where(
+            (F.col(side) == entity_id) | F.col("__merged")
+        ).drop("__id", "__merged")
     found = found.where(F.col("predicate") == predicate) if predicate else found
     found = found.where(valid_at(at)) if at is not None else found
     return _newest(found if superseded is None else found.join(superseded.select("id"), "id", "left_anti"), limit)
 
 
-def claims_with(claims: DataFrame, predicate: str, subjects: DataFrame | None = None, objects: DataFrame | None = None, at: Column | None = None) -> DataFrame:
+def claims_with(
+    claims: DataFrame, predicate: str, subjects: DataFrame | None = None, objects: DataFrame | None = None, at: Column | None = None
+) -> DataFrame:
     """Q2: claims of a predicate, with subject or object among the ids (column ``id``) of a table, at an instant."""
     found = claims.where(F.col("predicate") == predicate)
     for ids, c in ((subjects, "subject_id"), (objects, "object_id")):
@@ -52,14 +61,19 @@ def claims_with(claims: DataFrame, predicate: str, subjects: DataFrame | None =
 
 def latest(claims: DataFrame, side: str = "subject_id", k: int | None = PAGE) -> DataFrame:
     """Q1 for every entity at once: its k latest claims, or all of them, with their rank; all columns break ties."""
-    order = Window.partitionBy(side).orderBy(F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id", "subject_id", "object_id", *(c for c in ("value",) if c in claims.columns))
+    order = Window.partitionBy(side).orderBy(
+        F.coalesce("valid_from", "valid_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id", "subject_id", "object_id",
+        *(c for c in ("value",) if c in claims.columns)
+    )
     ranked = claims.where(F.col(side).isNotNull()).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
 def provenance(assertions: DataFrame) -> DataFrame:
     """Q6: per claim the number of assertions and the sorted distinct writers; a null writer is not listed."""
-    return assertions.groupBy("claim_id").agg(F.count("*").alias("assertions"), F.array_join(F.sort_array(F.collect_set("asserted_by")), ",").alias("writers"))
+    return assertions.groupBy("claim_id").agg(
+        F.count("*").alias("assertions"), F.array_join(F.sort_array(F.collect_set("asserted_by")), ",").alias("writers")
+    )
 
 
 def by_stance(assertions: DataFrame) -> DataFrame:
@@ -77,7 +91,11 @@ def materialized(claims: DataFrame, entities: DataFrame, assertions: DataFrame,
     as_ = lambda p: names.select(*(F.col(c).alias(f"{p}_{n}") for c, n in (("id", "id"), ("kind", "kind"), ("canonical_name", "name"))))
     seen = provenance(assertions.join(page.select(F.col("id").alias("claim_id")), "claim_id", "left_semi"))
     out = page.join(as_("subject"), "subject_id").join(as_("object"), "object_id", "left").join(seen, page["id"] == seen["claim_id"], "left")
-    return out.select("id", "predicate", "subject_id", "subject_kind", "subject_name", "object_id", "object_kind", "object_name", "value", "valid_at", "valid_from", "valid_to", F.coalesce("assertions", F.lit(0)).alias("assertions"), F.coalesce("writers", F.lit("")).alias("writers"), is_open(F.col("valid_from"), F.col("valid_to")).alias("is_open"))
+    return out.select(
+        "id", "predicate", "subject_id", "subject_kind", "subject_name", "object_id", "object_kind", "object_name", "value", "valid_at", "valid_from",
+        "valid_to", F.coalesce("assertions", F.lit(0)).alias("assertions"), F.coalesce("writers", F.lit("")).alias("writers"),
+        is_open(F.col("valid_from"), F.col("valid_to")).alias("is_open")
+    )
 
 
 def evidence(claims: DataFrame, assertions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ RESULT = "key string, quality string, matched_address string, lon double, lat do
 
 def request_line(key, street, city, state, postcode):
     """A line of the request."""
-    return F.to_csv(F.struct(key.alias("a"), street.alias("b"), city.alias("c"), state.alias("d"), postcode.alias("e")), {"quoteAll": "true", "escape": '"'})
+    return F.to_csv(
+        F.struct(key.alias("a"), street.alias("b"), city.alias("c"), state.alias("d"), postcode.alias("e")), {"quoteAll": "true", "escape": '"'}
+    )
 
 
 def parsed(answers: DataFrame) -> DataFrame:
@@ -26,9 +28,14 @@ def parsed(answers: DataFrame) -> DataFrame:
     row = answers.select(F.from_csv("line", _DDL, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
     point = parse.coordinates(F.col("coordinates"))
     found = (F.lower("match") == "match") & point["lon"].isNotNull()
-    quality = F.when(found & (F.lower("match_type") == "exact"), "exact").when(found, "approximate").when(F.lower("match") == "tie", "tie").otherwise("no_match")
+    quality = F.when(
+        found & (F.lower("match_type") == "exact"), "exact"
+    ).when(found, "approximate").when(F.lower("match") == "tie", "tie").otherwise("no_match")
     keep = lambda c: F.when(found, c)
-    return row.select("key", quality.alias("quality"), keep(F.col("matched_address")).alias("matched_address"), keep(point["lon"]).alias("lon"), keep(point["lat"]).alias("lat"), keep(parse.geoid(F.col("state"), F.col("county"), F.col("tract"), F.col("block"))).alias("geoid"))
+    return row.select(
+        "key", quality.alias("quality"), keep(F.col("matched_address")).alias("matched_address"), keep(point["lon"]).alias("lon"),
+        keep(point["lat"]).alias("lat"), keep(parse.geoid(F.col("state"), F.col("county"), F.col("tract"), F.col("block"))).alias("geoid")
+    )
 
 
 def geocode(addresses: DataFrame, service: Callable[[list[str]], list[str]], batch: int = BATCH) -> DataFrame:

@@ -47,7 +47,12 @@ def ontology(claims: DataFrame, entities: DataFrame, catalogue: DataFrame) -> Da
     kind = lambda p: entities.select(F.col("id").alias(f"{p}_id"), F.col("kind").alias(f"{p}_kind"))
     spec = catalogue.select(F.col("slug").alias("predicate"), "subjects", "objects")
     joined = claims.join(kind("subject"), "subject_id", "left").join(kind("object"), "object_id", "left").join(F.broadcast(spec), "predicate")
-    said = F.concat_ws("; ", F.when(~F.array_contains("subjects", F.col("subject_kind")), F.concat(F.lit("subject is "), F.col("subject_kind"))), F.when(F.col("object_kind").isNotNull() & ~F.array_contains("objects", F.col("object_kind")), F.concat(F.lit("object is "), F.col("object_kind"))))
+    said = F.concat_ws(
+        "; ", F.when(~F.array_contains("subjects", F.col("subject_kind")), F.concat(F.lit("subject is "), F.col("subject_kind"))),
+        F.when(
+            F.col("object_kind").isNotNull() & ~F.array_contains("objects", F.col("object_kind")), F.concat(F.lit("object is "), F.col("object_kind"))
+        )
+    )
     return joined.select("id", F.nullif(said, F.lit("")).alias("violation"))
 
 
@@ -55,7 +60,15 @@ def fingerprinted(claims: DataFrame) -> DataFrame:
     """Claims with their fingerprint; times carry day precision."""
     day = lambda c: F.when(F.col(c).isNotNull(), F.lit("day"))
     target = F.when(F.col("object_id").isNull(), "value").when(F.col("value").isNull(), "entity").otherwise("qualified")
-    return claims.withColumn("fingerprint", canon.claim_fingerprint(object_id=F.col("object_id"), predicate_version_id=F.col("predicate"), subject_id=F.col("subject_id"), target_kind=target, valid_at=canon.instant(F.col("valid_at")), valid_at_precision=day("valid_at"), valid_from=canon.instant(F.col("valid_from")), valid_from_precision=day("valid_from"), valid_to=canon.instant(F.col("valid_to")), valid_to_precision=day("valid_to"), value=F.col("value")))
+    return claims.withColumn(
+        "fingerprint",
+        canon.claim_fingerprint(
+            object_id=F.col("object_id"), predicate_version_id=F.col("predicate"), subject_id=F.col("subject_id"), target_kind=target,
+            valid_at=canon.instant(F.col("valid_at")), valid_at_precision=day("valid_at"), valid_from=canon.instant(F.col("valid_from")),
+            valid_from_precision=day("valid_from"), valid_to=canon.instant(F.col("valid_to")), valid_to_precision=day("valid_to"),
+            value=F.col("value")
+        )
+    )
 
 
 def outcomes(staged: DataFrame, claims: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -69,7 +82,10 @@ def outcomes(staged: DataFrame, claims: DataFrame, assertions: DataFrame) -> Dat
     one = staged.dropDuplicates(["idempotency_key"]).join(seen_keys, "idempotency_key", "left").join(seen_prints, "fingerprint", "left")
     first = one.where("k is null").groupBy("fingerprint").agg(F.min("idempotency_key").alias("first"))
     told = one.join(first, "fingerprint", "left")
-    return told.withColumn("outcome", F.when(F.col("k"), "unchanged").when(F.col("f") | (F.col("idempotency_key") != F.col("first")), "corroborated").otherwise("created")).drop("k", "f", "first")
+    return told.withColumn(
+        "outcome",
+        F.when(F.col("k"), "unchanged").when(F.col("f") | (F.col("idempotency_key") != F.col("first")), "corroborated").otherwise("created")
+    ).drop("k", "f", "first")
 
 
 def sequenced(rows: DataFrame, key: str, top: DataFrame, buckets: int = 1024) -> DataFrame:
@@ -79,9 +95,13 @@ def sequenced(rows: DataFrame, key: str, top: DataFrame, buckets: int = 1024) ->
     """
     dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
     sizes = dealt.groupBy("__b").agg(F.count("*").alias("n"))
-    before = sizes.select("__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    before = sizes.select(
+        "__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    )
     k = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return dealt.withColumn("__k", k).join(before, "__b").join(top).withColumn("seq", F.col("top") + F.col("__before") + F.col("__k")).drop("__b", "__before", "__k", "top")
+    return dealt.withColumn("__k", k).join(before, "__b").join(top).withColumn(
+        "seq", F.col("top") + F.col("__before") + F.col("__k")
+    ).drop("__b", "__before", "__k", "top")
 
 
 def appended(told: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,25 +113,36 @@ def appended(told: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFra
 
 def review_tasks(assertions: DataFrame) -> DataFrame:
     """A review task for every assertion outside the ontology."""
-    return assertions.where("not aligned").select(F.col("seq").alias("assertion_seq"), F.lit("pending").alias("status"), F.lit(50).alias("priority"), F.col("violation").alias("reason"))
+    return assertions.where("not aligned").select(
+        F.col("seq").alias("assertion_seq"), F.lit("pending").alias("status"), F.lit(50).alias("priority"), F.col("violation").alias("reason")
+    )
 
 
 def observed(contents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """contents(source, content) -> sources, artifacts by digest, snapshots (source, digest)."""
-    hashed = contents.select("source", canon.sha256(F.coalesce("content", F.lit(""))).alias("sha256"), F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("byte_length"))
-    return hashed.select("source").distinct(), hashed.groupBy("sha256").agg(F.max("byte_length").alias("byte_length"), F.count("*").alias("copies")), hashed.select("source", "sha256").distinct()
+    hashed = contents.select(
+        "source", canon.sha256(F.coalesce("content", F.lit(""))).alias("sha256"),
+        F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("byte_length")
+    )
+    return hashed.select("source").distinct(), hashed.groupBy("sha256").agg(
+        F.max("byte_length").alias("byte_length"), F.count("*").alias("copies")
+    ), hashed.select("source", "sha256").distinct()
 
 
 def snapshot_reuse(inputs: DataFrame, retrieved: DataFrame) -> DataFrame:
     """A run's earliest snapshot of an artifact, else the one just retrieved."""
     prior = inputs.groupBy("run_id", "sha256").agg(F.min_by("snapshot_id", "retrieved_at").alias("prior"))
-    return retrieved.join(prior, ["run_id", "sha256"], "left").select("run_id", "sha256", F.coalesce("prior", "snapshot_id").alias("snapshot_id"), F.col("prior").isNotNull().alias("reused"))
+    return retrieved.join(prior, ["run_id", "sha256"], "left").select(
+        "run_id", "sha256", F.coalesce("prior", "snapshot_id").alias("snapshot_id"), F.col("prior").isNotNull().alias("reused")
+    )
 
 
 def supersede(links: DataFrame, stored: DataFrame) -> DataFrame:
     """Supersessions to append, by a key of both ends; who and why are required and no claim supersedes itself."""
     fine = links.where("predecessor_id <> successor_id and coalesce(trim(created_by), '') <> '' and coalesce(trim(reason), '') <> ''")
-    keyed = fine.withColumn("idempotency_key", canon.idempotency_key("supersede", predecessor=F.col("predecessor_id"), successor=F.col("successor_id")))
+    keyed = fine.withColumn(
+        "idempotency_key", canon.idempotency_key("supersede", predecessor=F.col("predecessor_id"), successor=F.col("successor_id"))
+    )
     return absent(keyed, stored, ["idempotency_key"])
 
 
@@ -122,12 +153,18 @@ def derive(edges: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _claim(slug: str, subject: str, obj: str | None = None, value: Column | None = None, when: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(F.lit(slug).alias("predicate"), F.col(subject).alias("subject_id"), (F.col(obj) if obj else none).alias("object_id"), (none if value is None else value).alias("value"), *(((validity() if when is None else when)[c]).alias(c) for c in ("valid_at", "valid_from", "valid_to")))
+    return F.struct(
+        F.lit(slug).alias("predicate"), F.col(subject).alias("subject_id"), (F.col(obj) if obj else none).alias("object_id"),
+        (none if value is None else value).alias("value"),
+        *(((validity() if when is None else when)[c]).alias(c) for c in ("valid_at", "valid_from", "valid_to"))
+    )
 
 
 def _emitted(records: DataFrame, *claims: Column) -> DataFrame:
     """The claims of every record, those with a null predicate or subject, or a null object that was named, left out."""
-    return records.select("record_id", F.explode(F.filter(F.array(*claims), lambda c: c["predicate"].isNotNull())).alias("c")).select("record_id", "c.*").where("subject_id is not null")
+    return records.select(
+        "record_id", F.explode(F.filter(F.array(*claims), lambda c: c["predicate"].isNotNull())).alias("c")
+    ).select("record_id", "c.*").where("subject_id is not null")
 
 
 def _if(condition: Column, claim: Column) -> Column:
@@ -143,7 +180,9 @@ def candidacies(records: DataFrame) -> DataFrame:
 def overlapping_stints(records: DataFrame) -> DataFrame:
     """Records whose dated stints overlap, in order of entry; an open stint overlaps any later one."""
     s = records.select("record_id", F.explode("stints").alias("s")).where("s.entered is not null")
-    far = F.max(F.coalesce("s.left", F.lit("9999-12-31").cast("timestamp"))).over(Window.partitionBy("record_id").orderBy("s.entered").rowsBetween(Window.unboundedPreceding, -1))
+    far = F.max(F.coalesce("s.left", F.lit("9999-12-31").cast("timestamp"))).over(
+        Window.partitionBy("record_id").orderBy("s.entered").rowsBetween(Window.unboundedPreceding, -1)
+    )
     return s.withColumn("before", far).where("s.entered < before").select("record_id").distinct()
 
 
@@ -155,38 +194,63 @@ def endorsements(records: DataFrame) -> DataFrame:
 
 def donations(records: DataFrame) -> DataFrame:
     """records(record_id, donor_id, recipient_id, amount, currency, kind, supporting, purpose, given)."""
-    value = canon.canonical_object(amount=canon.json_text(canon.decimal(F.col("amount"))), currency=canon.json_text(F.coalesce("currency", F.lit("USD"))), kind=canon.json_text(F.coalesce("kind", F.lit("contribution"))), supporting=F.col("supporting").cast("string"), purpose=canon.json_text(F.col("purpose")))
+    value = canon.canonical_object(
+        amount=canon.json_text(canon.decimal(F.col("amount"))), currency=canon.json_text(F.coalesce("currency", F.lit("USD"))),
+        kind=canon.json_text(F.coalesce("kind", F.lit("contribution"))), supporting=F.col("supporting").cast("string"),
+        purpose=canon.json_text(F.col("purpose"))
+    )
     return _emitted(records, _claim("donated_to", "donor_id", "recipient_id", value, validity(at=F.col("given"))))
 
 
 def race_structures(records: DataFrame) -> DataFrame:
     """records(record_id, contest_id, stage, jurisdiction_id, office_id, election_id, party_id, next_id)."""
     stage = canon.canonical_object(stage=canon.json_text(F.col("stage")))
-    links = (("contest_in_jurisdiction", "jurisdiction_id"), ("contest_for_office", "office_id"), ("contest_of_election", "election_id"), ("contest_party", "party_id"), ("advances_to", "next_id"))
-    return _emitted(records, _claim("contest_stage", "contest_id", value=stage), *(_if(F.col(c).isNotNull(), _claim(s, "contest_id", c)) for s, c in links))
+    links = (
+        ("contest_in_jurisdiction", "jurisdiction_id"), ("contest_for_office", "office_id"), ("contest_of_election", "election_id"),
+        ("contest_party", "party_id"), ("advances_to", "next_id")
+    )
+    return _emitted(
+        records, _claim("contest_stage", "contest_id", value=stage), *(_if(F.col(c).isNotNull(), _claim(s, "contest_id", c)) for s, c in links)
+    )
 
 
 def debates(records: DataFrame) -> DataFrame:
     """records(record_id, event_id, status, starts, ends, participants ARRAY<STRUCT<id, role>>, contest_id, jurisdiction_id)."""
     kind, status = canon.canonical_object(kind=F.lit('"debate"')), canon.canonical_object(status=canon.json_text(F.col("status")))
-    own = _emitted(records, _claim("event_kind", "event_id", value=kind), _claim("event_occurrence", "event_id", value=status, when=validity(since=F.col("starts"), until=F.col("ends"))), _if(F.col("contest_id").isNotNull(), _claim("event_about_contest", "event_id", "contest_id")), _if(F.col("jurisdiction_id").isNotNull(), _claim("event_in_jurisdiction", "event_id", "jurisdiction_id")))
-    who = records.select("record_id", "event_id", F.explode("participants").alias("p")).select("record_id", "event_id", F.col("p.id").alias("who"), F.col("p.role").alias("role"))
+    own = _emitted(
+        records, _claim("event_kind", "event_id", value=kind),
+        _claim("event_occurrence", "event_id", value=status, when=validity(since=F.col("starts"), until=F.col("ends"))),
+        _if(F.col("contest_id").isNotNull(), _claim("event_about_contest", "event_id", "contest_id")),
+        _if(F.col("jurisdiction_id").isNotNull(), _claim("event_in_jurisdiction", "event_id", "jurisdiction_id"))
+    )
+    who = records.select("record_id", "event_id", F.explode("participants").alias("p")).select(
+        "record_id", "event_id", F.col("p.id").alias("who"), F.col("p.role").alias("role")
+    )
     return own.unionByName(_emitted(who, _claim("participated_in", "who", "event_id", canon.canonical_object(role=canon.json_text(F.col("role"))))))
 
 
 def results(records: DataFrame) -> DataFrame:
     """records(record_id, candidate_id, contest_id, votes, share, won); won stays null if unsaid."""
-    value = canon.canonical_object(votes=F.col("votes").cast("string"), share=canon.json_text(canon.decimal(F.col("share"))), place=F.lit(None).cast("string"), won=F.col("won").cast("string"))
+    value = canon.canonical_object(
+        votes=F.col("votes").cast("string"), share=canon.json_text(canon.decimal(F.col("share"))), place=F.lit(None).cast("string"),
+        won=F.col("won").cast("string")
+    )
     return _emitted(records, _claim("contest_result", "candidate_id", "contest_id", value))
 
 
 def federal_candidacies(records: DataFrame) -> DataFrame:
     """records(record_id, candidate_id, contest_id, party_id)."""
-    return _emitted(records, _claim("candidate_in", "candidate_id", "contest_id"), _if(F.col("party_id").isNotNull(), _claim("party_affiliation", "candidate_id", "party_id")))
+    return _emitted(
+        records, _claim("candidate_in", "candidate_id", "contest_id"),
+        _if(F.col("party_id").isNotNull(), _claim("party_affiliation", "candidate_id", "party_id"))
+    )
 
 
 #: What each record type becomes.
-INGESTORS = {"candidacy": candidacies, "endorsement": endorsements, "donation": donations, "race_structure": race_structures, "debate": debates, "contest_result": results, "federal_candidacy": federal_candidacies}
+INGESTORS = {
+    "candidacy": candidacies, "endorsement": endorsements, "donation": donations, "race_structure": race_structures, "debate": debates,
+    "contest_result": results, "federal_candidacy": federal_candidacies
+}
 
 
 def ingestor(record_type: str):
@@ -198,7 +262,10 @@ def written_readings(polls: DataFrame) -> DataFrame:
     """polls(revision_id, samples ARRAY<STRUCT<population, sample_size, readings ARRAY<STRUCT<label, percentage>>>>), a row per reading with both positions."""
     s = polls.select("revision_id", F.size("samples").alias("n"), F.posexplode("samples").alias("sample", "s"))
     r = s.select("revision_id", "n", "sample", "s", F.posexplode("s.readings").alias("position", "r"))
-    return r.select("revision_id", "sample", F.when(F.col("n") == 1, "overall").otherwise(F.col("s.population")).alias("label"), "s.population", "s.sample_size", "position", F.col("r.label").alias("option"), "r.percentage")
+    return r.select(
+        "revision_id", "sample", F.when(F.col("n") == 1, "overall").otherwise(F.col("s.population")).alias("label"), "s.population", "s.sample_size",
+        "position", F.col("r.label").alias("option"), "r.percentage"
+    )
 
 
 def near_duplicates(revisions: DataFrame, days: int = 3) -> DataFrame:
@@ -208,9 +275,16 @@ def near_duplicates(revisions: DataFrame, days: int = 3) -> DataFrame:
     """
     width = days + 1
     bucket = F.floor(F.datediff("ended", F.lit("1970-01-01").cast("date")) / width)
-    left = revisions.where("ended is not null").select("contest_id", "pollster_id", F.col("revision_id").alias("a"), F.col("ended").alias("a_ended"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = revisions.where("ended is not null").select("contest_id", "pollster_id", F.col("revision_id").alias("b"), F.col("ended").alias("b_ended"), bucket.alias("bucket"))
-    return left.join(right, ["contest_id", "pollster_id", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("a_ended", "b_ended")) <= days)).select("contest_id", "pollster_id", "a", "b")
+    left = revisions.where("ended is not null").select(
+        "contest_id", "pollster_id", F.col("revision_id").alias("a"), F.col("ended").alias("a_ended"),
+        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
+    )
+    right = revisions.where("ended is not null").select(
+        "contest_id", "pollster_id", F.col("revision_id").alias("b"), F.col("ended").alias("b_ended"), bucket.alias("bucket")
+    )
+    return left.join(right, ["contest_id", "pollster_id", "bucket"]).where(
+        (F.col("a") < F.col("b")) & (F.abs(F.datediff("a_ended", "b_ended")) <= days)
+    ).select("contest_id", "pollster_id", "a", "b")
 
 
 def concerns(revisions: DataFrame, near: DataFrame, lookalikes: DataFrame, stored: DataFrame) -> DataFrame:
@@ -218,8 +292,12 @@ def concerns(revisions: DataFrame, near: DataFrame, lookalikes: DataFrame, store
     ``stored`` (poll_id) has another reading already."""
     undated = revisions.where("ended is null").select("revision_id", F.lit("no end of fieldwork").alias("concern"))
     ends = near.select(F.explode(F.array("a", "b")).alias("revision_id")).distinct().withColumn("concern", F.lit("near duplicate"))
-    like = revisions.join(lookalikes.select("pollster_id").distinct(), "pollster_id", "left_semi").select("revision_id", F.lit("lookalike pollster").alias("concern"))
-    prior = revisions.join(stored.select("poll_id").distinct(), "poll_id", "left_semi").select("revision_id", F.lit("another reading of this poll exists").alias("concern"))
+    like = revisions.join(
+        lookalikes.select("pollster_id").distinct(), "pollster_id", "left_semi"
+    ).select("revision_id", F.lit("lookalike pollster").alias("concern"))
+    prior = revisions.join(stored.select("poll_id").distinct(), "poll_id", "left_semi").select(
+        "revision_id", F.lit("another reading of this poll exists").alias("concern")
+    )
     return undated.unionByName(ends).unionByName(like).unionByName(prior)
 
 

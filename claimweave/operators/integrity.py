@@ -30,7 +30,12 @@ def survivors(redirects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             break
         on = now.select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("depth").alias("further"), F.col("more").alias("still"))
         joined = now.join(on, "end", "left")
-        now = cut(joined.select("id", F.coalesce("next", "end").alias("end"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), F.coalesce("still", F.lit(False)).alias("more")))
+        now = cut(
+            joined.select(
+                "id", F.coalesce("next", "end").alias("end"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
+                F.coalesce("still", F.lit(False)).alias("more")
+            )
+        )
     done = ~F.col("more") & (F.col("depth") <= max_depth)
     return now.select("id", F.when(done, F.col("end")).alias("survivor_id"), F.when(done, F.col("depth")).alias("depth"))
 

@@ -36,7 +36,9 @@ def new_estimates(estimates: DataFrame, options: DataFrame, samples: DataFrame)
     of = lambda df, k: df.select(F.col("id").alias(k), F.col("poll_revision_id").alias(f"__{k}"))
     both = estimates.join(of(options, "option_id"), "option_id", "left").join(of(samples, "sample_id"), "sample_id", "left")
     same = F.coalesce(F.col("__option_id") == F.col("__sample_id"), F.lit(False))
-    return both.where(same).withColumn("poll_revision_id", F.col("__option_id")).drop("__option_id", "__sample_id"), both.where(~same).drop("__option_id", "__sample_id")
+    return both.where(same).withColumn(
+        "poll_revision_id", F.col("__option_id")
+    ).drop("__option_id", "__sample_id"), both.where(~same).drop("__option_id", "__sample_id")
 
 
 def new_average_revisions(averages: DataFrame, stored: DataFrame) -> DataFrame:

@@ -17,13 +17,19 @@ def samples(readings: DataFrame) -> DataFrame:
     options = readings.groupBy("revision_id", "population", "option_id").agg(F.sum("response_count").alias("n"), F.max("margin").alias("margin"))
     listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "option_id")))
     said = F.array_join(F.transform(listed, lambda x: F.concat(x["option_id"], F.lit(" "), (-x["m"]).cast("string"))), ", ")
-    found = options.groupBy("revision_id", "population").agg(F.sum("n").alias("sample_size"), F.max("margin").alias("margin_of_error"), F.count("*").alias("options"), said.alias("readings"))
+    found = options.groupBy("revision_id", "population").agg(
+        F.sum("n").alias("sample_size"), F.max("margin").alias("margin_of_error"), F.count("*").alias("options"), said.alias("readings")
+    )
     # The only sample of a revision is called overall.
     many = found.groupBy("revision_id").agg(F.count("*").alias("samples"))
-    return found.join(many, "revision_id").withColumn("sample_label", F.when(F.col("samples") == 1, "overall").otherwise(F.col("population"))).drop("samples")
+    return found.join(many, "revision_id").withColumn(
+        "sample_label", F.when(F.col("samples") == 1, "overall").otherwise(F.col("population"))
+    ).drop("samples")
 
 
-def timeline(revisions: DataFrame, readings: DataFrame, decisions: DataFrame, survivors: DataFrame, include_rejected: bool = False, limit: int | None = 500) -> DataFrame:
+def timeline(
+    revisions: DataFrame, readings: DataFrame, decisions: DataFrame, survivors: DataFrame, include_rejected: bool = False, limit: int | None = 500
+) -> DataFrame:
     """Q17, Q19: one point per sample of every revision that is not now rejected, under its pollster's survivor.
 
     ``place`` orders a contest's points: oldest end of fieldwork first, undated ones last, then by label and revision;
@@ -37,7 +43,10 @@ def timeline(revisions: DataFrame, readings: DataFrame, decisions: DataFrame, su
     order = Window.partitionBy("contest_id").orderBy(F.col("ended").asc_nulls_last(), "sample_label", "revision_id", "population")
     points = named.join(samples(readings), "revision_id").withColumn("place", F.row_number().over(order))
     points = points.where(F.col("place") <= limit) if limit else points
-    return points.select("contest_id", "place", "revision_id", "pollster", "started", "ended", "sample_label", "population", "sample_size", "margin_of_error", "options", "readings", "reviewed")
+    return points.select(
+        "contest_id", "place", "revision_id", "pollster", "started", "ended", "sample_label", "population", "sample_size", "margin_of_error",
+        "options", "readings", "reviewed"
+    )
 
 
 def series(readings: DataFrame) -> DataFrame:

@@ -58,11 +58,15 @@ def by_alias(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, ident
     found = found.join(entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("stored")), "entity_id")
     found = found.where((F.col("stored") == F.col("kind")) | (F.col("stored") == "other"))
     ends = followed(found, survivors, "entity_id", "end").select("mention_id", "end").distinct()
-    named = ends.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("end").alias("entity_id"), F.sort_array(F.collect_list("end")).alias("ends"))
+    named = ends.groupBy("mention_id").agg(
+        F.count("*").alias("n"), F.min("end").alias("entity_id"), F.sort_array(F.collect_list("end")).alias("ends")
+    )
     against = contradictions(named.where("n = 1"), mentions, identifiers).withColumn("against", F.lit(True))
     told = named.join(against, ["mention_id", "entity_id"], "left")
     one = (F.col("n") == 1) & F.col("against").isNull()
-    return told.select("mention_id", F.when(one, F.col("entity_id")).alias("entity_id"), F.when(F.col("n") > 1, F.col("ends")).alias("ambiguous_with"))
+    return told.select(
+        "mention_id", F.when(one, F.col("entity_id")).alias("entity_id"), F.when(F.col("n") > 1, F.col("ends")).alias("ambiguous_with")
+    )
 
 
 def minted(kind: Column, key: Column) -> Column:
@@ -84,27 +88,43 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, identi
     named = by_alias(rest.where(~sure), aliases, entities, identifiers, survivors)
     new = rest.join(named.select("mention_id", F.col("entity_id").alias("named"), "ambiguous_with"), "mention_id", "left")
     first = F.element_at("identifiers", 1)
-    key = F.when(F.size("identifiers") > 0, F.concat_ws("=", text.namespace(first["namespace"]), F.trim(first["value"]))).otherwise(F.col("normalized_name"))
+    key = F.when(
+        F.size("identifiers") > 0, F.concat_ws("=", text.namespace(first["namespace"]), F.trim(first["value"]))
+    ).otherwise(F.col("normalized_name"))
     none = F.lit(None).cast("string").alias("error")
-    made = new.select("mention_id", F.coalesce("named", minted(F.col("kind"), key)).alias("entity_id"), F.when(F.col("named").isNotNull(), "alias").otherwise("created").alias("method"), "ambiguous_with", none)
-    exact = known.select("mention_id", "entity_id", F.when(F.col("error").isNull(), "identifier").alias("method"), F.lit(None).cast("array<string>").alias("ambiguous_with"), "error")
+    made = new.select(
+        "mention_id", F.coalesce("named", minted(F.col("kind"), key)).alias("entity_id"),
+        F.when(F.col("named").isNotNull(), "alias").otherwise("created").alias("method"), "ambiguous_with", none
+    )
+    exact = known.select(
+        "mention_id", "entity_id", F.when(F.col("error").isNull(), "identifier").alias("method"),
+        F.lit(None).cast("array<string>").alias("ambiguous_with"), "error"
+    )
     return exact.unionByName(made)
 
 
-def recorded(resolved: DataFrame, mentions: DataFrame, aliases: DataFrame, identifiers: DataFrame, survivors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recorded(
+    resolved: DataFrame, mentions: DataFrame, aliases: DataFrame, identifiers: DataFrame, survivors: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Aliases and identifiers to append, and identifiers whose owner's survivor is another entity."""
     rows = mentions.join(resolved.where("entity_id is not null").select("mention_id", "entity_id"), "mention_id")
     names = rows.select("entity_id", "name", "normalized_name").where("normalized_name is not null")
-    names = names.groupBy("entity_id", "normalized_name").agg(F.min("name").alias("name")).join(aliases.select("entity_id", "normalized_name"), ["entity_id", "normalized_name"], "left_anti")
+    names = names.groupBy("entity_id", "normalized_name").agg(F.min("name").alias("name")).join(
+        aliases.select("entity_id", "normalized_name"), ["entity_id", "normalized_name"], "left_anti"
+    )
     ids = _asserted(mentions).join(rows.select("mention_id", "entity_id"), "mention_id").select("entity_id", "namespace", "value").distinct()
     owner = identifiers.select("namespace", "value", F.col("entity_id").alias("owner"))
     state = followed(ids.join(owner, ["namespace", "value"], "left"), survivors, "owner", "end")
-    return names, state.where("owner is null").select("entity_id", "namespace", "value"), state.where("end <> entity_id").select("entity_id", "namespace", "value", "owner")
+    return names, state.where("owner is null").select("entity_id", "namespace", "value"), state.where("end <> entity_id").select(
+        "entity_id", "namespace", "value", "owner"
+    )
 
 
 def pollsters(names: DataFrame, aliases: DataFrame, survivors: DataFrame) -> DataFrame:
     """(name, entity_id) by slug of an alias, the smallest id of several, through redirects; null if unknown."""
-    slugs = aliases.select(slug(F.col("name")).alias("slug"), "entity_id").where("slug is not null").groupBy("slug").agg(F.min("entity_id").alias("id"))
+    slugs = aliases.select(
+        slug(F.col("name")).alias("slug"), "entity_id"
+    ).where("slug is not null").groupBy("slug").agg(F.min("entity_id").alias("id"))
     found = names.select("name", slug(F.col("name")).alias("slug")).join(slugs, "slug", "left")
     return followed(found, survivors, "id", "entity_id").select("name", "entity_id")
 
@@ -112,7 +132,9 @@ def pollsters(names: DataFrame, aliases: DataFrame, survivors: DataFrame) -> Dat
 def namesakes(aliases: DataFrame, identifiers: DataFrame) -> DataFrame:
     """Names under which entities stay apart because their keys in one namespace differ: (name, namespace, entities)."""
     keyed = aliases.select("entity_id", "normalized_name").distinct().join(identifiers, "entity_id")
-    return keyed.groupBy("normalized_name", "namespace").agg(F.count_distinct("value").alias("values"), F.count_distinct("entity_id").alias("entities")).where("values > 1")
+    return keyed.groupBy("normalized_name", "namespace").agg(
+        F.count_distinct("value").alias("values"), F.count_distinct("entity_id").alias("entities")
+    ).where("values > 1")
 
 
 def kind_promotions(resolved: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ OPEN = ("pending", "claimed")
 def backlog(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
     """Q21: one row: tasks by status, and targets by their latest verdict. Other verdicts count as decisions only."""
     t = tasks.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "claimed", "completed")))
-    d = polls.latest_verdicts(decisions).agg(F.count("*").alias("decisions"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "rejected")))
+    d = polls.latest_verdicts(decisions).agg(
+        F.count("*").alias("decisions"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "rejected"))
+    )
     return t.join(d)  # one row each
 
 
@@ -36,7 +38,11 @@ def find_task(tasks: DataFrame, prefix: str) -> DataFrame:
 
 def decision_errors(decisions: DataFrame) -> DataFrame:
     """V9: rows with what is wrong: an unknown outcome, no reviewer, no token, or no reason where one is needed."""
-    wrong = F.concat_ws("; ", F.when(~F.col("outcome").isin(*OUTCOMES), "unknown outcome"), F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "no reviewer"), F.when(F.coalesce(F.trim("token"), F.lit("")) == "", "no token"), F.when((F.col("outcome") != "accepted") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "no reason"))
+    wrong = F.concat_ws(
+        "; ", F.when(~F.col("outcome").isin(*OUTCOMES), "unknown outcome"), F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "no reviewer"),
+        F.when(F.coalesce(F.trim("token"), F.lit("")) == "", "no token"),
+        F.when((F.col("outcome") != "accepted") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "no reason")
+    )
     return decisions.withColumn("error", wrong).where("error <> ''")
 
 
@@ -52,7 +58,10 @@ def decide(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[D
     state = state.join(used, "token", "left") if used is not None else state.withColumn("used", F.lit(None).cast("boolean"))
     first = state.groupBy("task_id").agg(F.min("token").alias("first"))
     state = state.join(first, "task_id")
-    why = F.coalesce(F.col("error"), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"), F.when(F.col("used"), "token was used"), F.when(F.col("token") != F.col("first"), "task has another decision"))
+    why = F.coalesce(
+        F.col("error"), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"),
+        F.when(F.col("used"), "token was used"), F.when(F.col("token") != F.col("first"), "task has another decision")
+    )
     judged = state.withColumn("why", why)
     top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
     appended = sequenced(judged.where("why is null"), "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason", "task_id")
@@ -65,9 +74,13 @@ def decide_readings(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -
     Refused where an open task holds the revision, or no reason is given.
     """
     open_ = tasks.where(F.col("status").isin(*OPEN)).select("target").distinct().withColumn("open", F.lit(True))
-    judged = wanted.join(open_, "target", "left").withColumn("why", F.when(F.col("open"), "has an open task").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason"))
+    judged = wanted.join(open_, "target", "left").withColumn(
+        "why", F.when(F.col("open"), "has an open task").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason")
+    )
     top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    return sequenced(judged.where("why is null"), "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason"), judged.where("why is not null").select("target", "token", "why")
+    return sequenced(judged.where("why is null"), "token", top).select(
+        "seq", "target", "outcome", "reviewer", "token", "reason"
+    ), judged.where("why is not null").select("target", "token", "why")
 
 
 def merge_candidates(lookalikes: DataFrame, survivors: DataFrame, own: DataFrame) -> DataFrame:
@@ -95,9 +108,13 @@ def merges(redirects: DataFrame, survivors: DataFrame, wanted: DataFrame) -> tup
     ends = followed(wanted, survivors, "canonical_id", "end")
     done = redirects.select("duplicate_id").withColumn("done", F.lit(True))
     state = ends.join(done, "duplicate_id", "left")
-    why = F.when(F.col("duplicate_id") == F.col("canonical_id"), "merged into itself").when(F.col("end") == F.col("duplicate_id"), "would make a cycle").when(F.col("done"), "is merged already")
+    why = F.when(
+        F.col("duplicate_id") == F.col("canonical_id"), "merged into itself"
+    ).when(F.col("end") == F.col("duplicate_id"), "would make a cycle").when(F.col("done"), "is merged already")
     judged = state.withColumn("why", why)
-    return judged.where("why is null").select("duplicate_id", F.col("end").alias("canonical_id")), judged.where("why is not null").select("duplicate_id", "canonical_id", "why")
+    return judged.where("why is null").select(
+        "duplicate_id", F.col("end").alias("canonical_id")
+    ), judged.where("why is not null").select("duplicate_id", "canonical_id", "why")
 
 
 def rivals(revisions: DataFrame, tasks: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -117,7 +134,10 @@ def task_views(tasks: DataFrame, revisions: DataFrame, samples: DataFrame) -> Da
     """V6: open tasks with their revisions' fieldwork and all readings, one row each."""
     said = F.concat_ws(": ", F.upper("population"), "readings")
     lines = samples.groupBy("revision_id").agg(F.array_join(F.sort_array(F.collect_list(said)), " | ").alias("readings"))
-    return tasks.where(F.col("status").isin(*OPEN)).join(revisions, tasks["target"] == revisions["review_key"]).join(lines, "revision_id").select("id", "revision_id", F.concat_ws(" to ", F.date_format("started", "yyyy-MM-dd"), F.date_format("ended", "yyyy-MM-dd")).alias("fieldwork"), "readings")
+    return tasks.where(F.col("status").isin(*OPEN)).join(revisions, tasks["target"] == revisions["review_key"]).join(lines, "revision_id").select(
+        "id", "revision_id", F.concat_ws(" to ", F.date_format("started", "yyyy-MM-dd"), F.date_format("ended", "yyyy-MM-dd")).alias("fieldwork"),
+        "readings"
+    )
 
 
 def action_token(operation: str, **parts: Column) -> Column:

@@ -21,7 +21,9 @@ def run_key(importer: str, subject: str, digest: str) -> str:
 
 def started(spark: SparkSession, runs: DataFrame, key: str, task: str) -> DataFrame:
     """The run's row to append; none if the run is known."""
-    row = spark.createDataFrame([(key, task, "running")], "idempotency_key string, task_type string, status string").withColumn("started_at", F.current_timestamp())
+    row = spark.createDataFrame(
+        [(key, task, "running")], "idempotency_key string, task_type string, status string"
+    ).withColumn("started_at", F.current_timestamp())
     return row.join(runs.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
@@ -33,12 +35,18 @@ def finished(states: DataFrame) -> DataFrame:
 def in_context(claims: DataFrame, run: str, origin: str, snapshot: Column, index: Column) -> DataFrame:
     """I16: claims with what attributes them; the key is of run, place and claim."""
     place = F.concat(F.lit("/rows/"), index.cast("string"))
-    anchor = canon.anchor_fingerprint(snapshot, canon.canonical_object(kind=F.lit('"json"'), json_pointer=canon.json_text(place)), F.lit(None).cast("string"))
+    anchor = canon.anchor_fingerprint(
+        snapshot, canon.canonical_object(kind=F.lit('"json"'), json_pointer=canon.json_text(place)), F.lit(None).cast("string")
+    )
     whole = ingest.fingerprinted(claims.withColumns({"run_id": F.lit(run), "origin": F.lit(origin), "anchor": anchor}))
-    return whole.withColumn("idempotency_key", canon.idempotency_key("assert", run=F.col("run_id"), anchor=F.col("anchor"), claim=F.col("fingerprint")))
+    return whole.withColumn(
+        "idempotency_key", canon.idempotency_key("assert", run=F.col("run_id"), anchor=F.col("anchor"), claim=F.col("fingerprint"))
+    )
 
 
-def run_import(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], error: Column, run: str, claims: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def run_import(
+    rows: DataFrame, emit: Callable[[DataFrame], DataFrame], error: Column, run: str, claims: DataFrame, assertions: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """rows(record_id, index, snapshot, …) -> (claims with outcome, report).
 
     A row with a non-null ``error`` fails alone: it is counted and emits nothing. The rest goes through ``emit`` to
@@ -59,18 +67,26 @@ def outcome_counts(told: DataFrame) -> DataFrame:
 def division_mentions(kept: DataFrame) -> DataFrame:
     """Divisions as mentions to resolve; they make no claims."""
     ident = F.array(F.struct(F.lit("ocd-division").alias("namespace"), F.col("id").alias("value")))
-    return kept.select(F.col("id").alias("mention_id"), F.lit("jurisdiction").alias("kind"), F.col("name"), text.normalize_name(F.col("name")).alias("normalized_name"), ident.alias("identifiers"))
+    return kept.select(
+        F.col("id").alias("mention_id"), F.lit("jurisdiction").alias("kind"), F.col("name"),
+        text.normalize_name(F.col("name")).alias("normalized_name"), ident.alias("identifiers")
+    )
 
 
 def derived_mention(kind: str, namespace: str, value: Column, label: Column) -> Column:
     """A mention known by a computed key."""
-    return F.struct(F.lit(kind).alias("kind"), label.alias("name"), F.array(F.struct(F.lit(namespace).alias("namespace"), value.alias("value"))).alias("identifiers"))
+    return F.struct(
+        F.lit(kind).alias("kind"), label.alias("name"),
+        F.array(F.struct(F.lit(namespace).alias("namespace"), value.alias("value"))).alias("identifiers")
+    )
 
 
 def event_mention(division: Column, kind: Column, at: Column, precision: Column, host: Column, title: Column) -> Column:
     """By its computed key, else by title only."""
     key = keys.event_key(division, kind, at, precision, host)
-    ids = F.when(key.isNotNull(), F.array(F.struct(F.lit("event-key").alias("namespace"), key.alias("value")))).otherwise(F.from_json(F.lit("[]"), "array<struct<namespace:string,value:string>>"))
+    ids = F.when(
+        key.isNotNull(), F.array(F.struct(F.lit("event-key").alias("namespace"), key.alias("value")))
+    ).otherwise(F.from_json(F.lit("[]"), "array<struct<namespace:string,value:string>>"))
     return F.struct(F.lit("event").alias("kind"), title.alias("name"), ids.alias("identifiers"), key.isNotNull().alias("keyed"))
 
 
@@ -87,4 +103,6 @@ NOT_WHOLE = ("length", "content_filter", "error", "incomplete")
 def whole_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """O3: ``answers(finish_reason, …)`` -> (those that ended by themselves, those cut short, which fail their run)."""
     cut = F.coalesce(F.lower("finish_reason").isin(*NOT_WHOLE), F.lit(True))
-    return answers.where(~cut), answers.where(cut).withColumn("error", F.concat(F.lit("the answer ended by "), F.coalesce("finish_reason", F.lit("nothing"))))
+    return answers.where(~cut), answers.where(cut).withColumn(
+        "error", F.concat(F.lit("the answer ended by "), F.coalesce("finish_reason", F.lit("nothing")))
+    )

@@ -27,7 +27,9 @@ def matches(index: DataFrame, queries: DataFrame, floor: float = trigram.MATCH)
     never made. Sizes tell most pairs apart before: sets of n and m trigrams are no more alike than min / max. Names
     are compared once, however many entities bear them.
     """
-    asked = queries.select("query", trigram.trigrams(text.ascii_name(F.col("query"))).alias("q")).select("query", F.size("q").alias("n"), F.explode("q").alias("gram"))
+    asked = queries.select(
+        "query", trigram.trigrams(text.ascii_name(F.col("query"))).alias("q")
+    ).select("query", F.size("q").alias("n"), F.explode("q").alias("gram"))
     near = index.join(asked, "gram").where(F.least("n", "size") >= floor * F.greatest("n", "size"))
     shared = near.groupBy("query", "n", "name", "normalized_name", "size").agg(F.count("*").alias("shared"))
     whole = F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))
@@ -50,7 +52,10 @@ def claim_degree(claims: DataFrame, entities: DataFrame | None = None) -> DataFr
     return ends.groupBy("entity_id").agg(F.count_distinct("id").alias("claims"))
 
 
-def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 20, candidates: int = CANDIDATES) -> DataFrame:
+def search(
+    aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors: DataFrame, queries: DataFrame, kind: str | None = None, limit: int = 20,
+    candidates: int = CANDIDATES
+) -> DataFrame:
     """Q22, Q24: the best entities for each query, merged ones under their survivor.
 
     Names pass the trigram index's filter and reach the word threshold; the ``candidates`` best of them by word and
@@ -73,7 +78,10 @@ def search(aliases: DataFrame, entities: DataFrame, claims: DataFrame, survivors
     hits = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("k"))).where(F.col("rank") <= limit)
     hits = hits.join(of.withColumnRenamed("entity_id", "survivor"), "survivor")
     alias = F.when(F.col("name") != F.col("canonical_name"), F.col("name")).alias("matched_alias")
-    return hits.select("query", "rank", F.col("survivor").alias("entity_id"), "kind", "canonical_name", alias, F.round("word", 6).alias("word"), F.round("whole", 6).alias("whole"), "claims")
+    return hits.select(
+        "query", "rank", F.col("survivor").alias("entity_id"), "kind", "canonical_name", alias, F.round("word", 6).alias("word"),
+        F.round("whole", 6).alias("whole"), "claims"
+    )
 
 
 def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind: str, floor: float = LOOKALIKE, limit: int = 5) -> DataFrame:
@@ -81,7 +89,9 @@ def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind:
     own = aliases.join(entities.where(F.col("kind") == kind).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     found = bearers(matches(trigram_index(own), names, floor), own)
     best = Window.partitionBy("query").orderBy(F.round("whole", 9).desc(), "name", "entity_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "rank", "entity_id", "name", F.round("whole", 6).alias("whole"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(
+        "query", "rank", "entity_id", "name", F.round("whole", 6).alias("whole")
+    )
 
 
 def entity(entities: DataFrame, survivors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -101,7 +111,9 @@ def entity_detail(entities: DataFrame, survivors: DataFrame, identifiers: DataFr
 def contexts(entities: DataFrame, identifiers: DataFrame, claims: DataFrame) -> DataFrame:
     """Q26: what tells an entity from its namesakes: a person's party, else the first identifier by namespace."""
     first = identifiers.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct("namespace", "value")).alias("i"))
-    party = claims.where("predicate = 'party_affiliation'").groupBy(F.col("subject_id").alias("id")).agg(F.max_by("object_id", "created_at").alias("party"))
+    party = claims.where("predicate = 'party_affiliation'").groupBy(F.col("subject_id").alias("id")).agg(
+        F.max_by("object_id", "created_at").alias("party")
+    )
     joined = entities.join(first, "id", "left").join(party, "id", "left")
     named = F.concat_ws(":", "i.namespace", "i.value")
     return joined.select("id", F.coalesce(F.when(F.col("kind") == "person", F.col("party")), F.when(F.col("i").isNotNull(), named)).alias("context"))
@@ -111,29 +123,45 @@ def find_entities(entities: DataFrame, aliases: DataFrame, name: str, kind: str
     """Q27, Q31, Q32: by a fragment of a name or alias, in order of name; truncated tells whether there are more."""
     wanted = " ".join(name.lower().split())
     own = F.lower("canonical_name").contains(wanted)
-    by_alias = aliases.where(F.col("normalized_name").contains(wanted)).select(F.col("entity_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    by_alias = aliases.where(
+        F.col("normalized_name").contains(wanted)
+    ).select(F.col("entity_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     found = entities.where(F.col("kind") == kind) if kind else entities
-    found = found.join(by_alias, "id", "left").where(own | F.col("hit")).select("id", "kind", "canonical_name").orderBy("canonical_name", "id").limit(limit + 1)
-    k = found.withColumn("k", F.row_number().over(Window.orderBy("canonical_name", "id"))).withColumn("truncated", F.max("k").over(Window.partitionBy()) > limit)
+    found = found.join(by_alias, "id", "left").where(own | F.col("hit")).select(
+        "id", "kind", "canonical_name"
+    ).orderBy("canonical_name", "id").limit(limit + 1)
+    k = found.withColumn(
+        "k", F.row_number().over(Window.orderBy("canonical_name", "id"))
+    ).withColumn("truncated", F.max("k").over(Window.partitionBy()) > limit)
     page = k.where(F.col("k") <= limit)
-    listed = aliases.join(page.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("name")), "|").alias("aliases"))
+    listed = aliases.join(page.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(
+        F.array_join(F.sort_array(F.collect_set("name")), "|").alias("aliases")
+    )
     return page.join(listed, "id", "left").select("id", "kind", "canonical_name", "truncated", "aliases")
 
 
 def latest_occurrence(claims: DataFrame) -> DataFrame:
     """Q30: the moment of the occurrence claim that was made last, per event; ties go to the later moment."""
     seen = claims.where("predicate = 'event_occurrence'").withColumn("moment", F.coalesce("valid_from", "valid_at"))
-    return seen.groupBy(F.col("subject_id").alias("id")).agg(F.max(F.struct("created_at", "moment")).alias("m")).select("id", F.col("m.moment").alias("moment"))
+    return seen.groupBy(F.col("subject_id").alias("id")).agg(
+        F.max(F.struct("created_at", "moment")).alias("m")
+    ).select("id", F.col("m.moment").alias("moment"))
 
 
-def find_events(entities: DataFrame, claims: DataFrame, kind: str | None = None, participants: DataFrame | None = None, jurisdiction: str | None = None, after: Column | None = None, before: Column | None = None, limit: int | None = 20) -> DataFrame:
+def find_events(
+    entities: DataFrame, claims: DataFrame, kind: str | None = None, participants: DataFrame | None = None, jurisdiction: str | None = None,
+    after: Column | None = None, before: Column | None = None, limit: int | None = 20
+) -> DataFrame:
     """Q28: events by what is claimed of them, latest first (nulls last), then by name and id."""
     found = entities.where("kind = 'event'").select("id", "canonical_name")
     of = lambda p, c="subject_id": claims.where(F.col("predicate") == p).select(F.col(c).alias("id"), "subject_id", "object_id", "value", "valid_from", "valid_at")
     if kind:
         found = found.join(of("event_kind").where(F.get_json_object("value", "$.kind") == kind), "id", "left_semi")
     if participants is not None:
-        found = found.join(of("participated_in", "object_id").join(participants.select(F.col("id").alias("subject_id")), "subject_id", "left_semi"), "id", "left_semi")
+        found = found.join(
+            of("participated_in", "object_id").join(participants.select(F.col("id").alias("subject_id")), "subject_id", "left_semi"), "id",
+            "left_semi"
+        )
     if jurisdiction:
         found = found.join(of("event_in_jurisdiction").where(F.col("object_id") == jurisdiction), "id", "left_semi")
     if after is not None or before is not None:

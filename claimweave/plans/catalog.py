@@ -44,7 +44,11 @@ PREDICATES = (
     Predicate("assessed", "qualified", "required", ("person", "organization"), ("person", "organization", "event", "contest"), "rating STRING, basis STRING"),
 )
 #: namespace, status, precedence.
-NAMESPACES = (("ocd-division", "active", 5), ("wikidata", "active", 10), ("fec", "active", 20), ("bioguide", "active", 20), ("kalshi", "active", 30), ("ballotpedia", "active", 50), ("contest-key", "active", 60), ("office-key", "active", 60), ("election-key", "active", 60), ("event-key", "active", 60))
+NAMESPACES = (
+    ("ocd-division", "active", 5), ("wikidata", "active", 10), ("fec", "active", 20), ("bioguide", "active", 20), ("kalshi", "active", 30),
+    ("ballotpedia", "active", 50), ("contest-key", "active", 60), ("office-key", "active", 60), ("election-key", "active", 60),
+    ("event-key", "active", 60)
+)
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "claimweave/predicates")
 
 
@@ -67,7 +71,9 @@ def by_version(version: str) -> Predicate:
 def predicates(spark: SparkSession) -> DataFrame:
     """The catalogue as a table; a constant of the library, so it may be broadcast."""
     rows = [(p.slug, version_id(p.slug), p.target, p.time, list(p.subjects), list(p.objects), p.value) for p in PREDICATES]
-    return spark.createDataFrame(rows, "slug string, version_id string, target string, time string, subjects array<string>, objects array<string>, value_ddl string")
+    return spark.createDataFrame(
+        rows, "slug string, version_id string, target string, time string, subjects array<string>, objects array<string>, value_ddl string"
+    )
 
 
 def namespaces(spark: SparkSession) -> DataFrame:

@@ -57,7 +57,10 @@ def normalized_names(g: Graph) -> DataFrame:
     line = text.one_line(F.col("c_name"), F.lit("  "), F.concat(F.col("c_mktsegment"), F.lit(" ")))
     named = F.concat(F.lit("E  "), _text("c_custkey"), F.lit("--"), F.col("c_mktsegment"), F.lit("!"))
     slug = F.regexp_replace(text.slug(named), "^e-", "e")
-    return g.raw("customer").select("c_custkey", text.normalize_name(wide).alias("name"), text.namespace(F.lit(" Name-Space ")).alias("namespace"), slug.alias("slug"), line.alias("line"))
+    return g.raw("customer").select(
+        "c_custkey", text.normalize_name(wide).alias("name"), text.namespace(F.lit(" Name-Space ")).alias("namespace"), slug.alias("slug"),
+        line.alias("line")
+    )
 
 
 _FILE = """f AS (SELECT c_custkey AS k, 'C' || c_custkey AS id, ['P', 'S', 'H', 'X'][c_custkey % 4 + 1] AS office, ['WI', 'mi', ''][c_custkey % 3 + 1] AS state, lpad((c_custkey % 11)::VARCHAR, 2, '0') AS district,
@@ -91,7 +94,10 @@ def federal_contest_keys(g: Graph) -> DataFrame:
     return delimited.federal_candidates(scan, 2026).select("CAND_ID", "CAND_NAME", "contest_key", "error")
 
 
-_DIVISIONS = ("ocd-division/country:us", " OCD-Division/country:us/state:wi ", "ocd-division/Bad Div!/x", "country:us", "ocd-division/country:us/district:d_c.x~1")
+_DIVISIONS = (
+    "ocd-division/country:us", " OCD-Division/country:us/state:wi ", "ocd-division/Bad Div!/x", "country:us",
+    "ocd-division/country:us/district:d_c.x~1"
+)
 _FINE = ("ocd-division/country:us", "ocd-division/country:us/state:wi", None, None, "ocd-division/country:us/district:d_c.x~1")
 
 
@@ -104,9 +110,14 @@ def contest_key_rules(g: Graph) -> DataFrame:
     k = F.col("o_orderkey")
     year = F.year("o_orderdate") - F.when(k % 11 == 0, 300).otherwise(0)
     whole = lambda n: F.floor(k / n)
-    key = keys.built_contest_key(_pick(k, *_DIVISIONS), F.lit(" US Senate "), year, _pick(whole(5), "primary", "general", "runoff", "Primary"), _pick(whole(20), None, "Working Families"))
+    key = keys.built_contest_key(
+        _pick(k, *_DIVISIONS), F.lit(" US Senate "), year, _pick(whole(5), "primary", "general", "runoff", "Primary"),
+        _pick(whole(20), None, "Working Families")
+    )
     parts = keys.contest_parts(key)
-    return g.raw("orders").select("o_orderkey", key.alias("key"), parts["party"].alias("party"), keys.at_stage(parts, F.lit("general")).alias("successor"))
+    return g.raw("orders").select(
+        "o_orderkey", key.alias("key"), parts["party"].alias("party"), keys.at_stage(parts, F.lit("general")).alias("successor")
+    )
 
 
 _LEVEL = "CASE n_nationkey % 4 WHEN 0 THEN 'state' WHEN 1 THEN 'county' WHEN 2 THEN 'precinct' ELSE 'state' END"
@@ -126,14 +137,18 @@ def division_rows(g: Graph) -> DataFrame:
     ordered.select("value").write.text(folder)
     found = delimited.divisions(delimited.rows(g.spark, f"{folder}/*.txt", ("id", "name"), header=True), ("state", "county"))
     mentions = runs.division_mentions(found.where("kept")).select(F.col("mention_id").alias("id"), "normalized_name")
-    return found.withColumn("level", keys.division_level(F.col("id"))).join(mentions, "id", "left").select("id", "name", "level", "kept", "normalized_name")
+    return found.withColumn("level", keys.division_level(F.col("id"))).join(mentions, "id", "left").select(
+        "id", "name", "level", "kept", "normalized_name"
+    )
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice)::BIGINT WHEN 1 THEN o_orderkey * 1000 END AS votes, CASE WHEN o_orderkey % 3 < 2 THEN (o_custkey % 1000 / 10)::DECIMAL(6,3) END AS share FROM orders""")
 def vote_cells(g: Graph) -> DataFrame:
     """counts with and without commas, shares with and without a sign; what is no number is null."""
     k = F.col("o_orderkey")
-    said = F.when(k % 4 == 0, F.format_number(F.floor("o_totalprice"), 0)).when(k % 4 == 1, F.concat(F.lit(" "), (k * 1000).cast("string"))).when(k % 4 == 2, F.concat(_text("o_orderkey"), F.lit(".5"))).otherwise("n/a")
+    said = F.when(k % 4 == 0, F.format_number(F.floor("o_totalprice"), 0)).when(
+        k % 4 == 1, F.concat(F.lit(" "), (k * 1000).cast("string"))
+    ).when(k % 4 == 2, F.concat(_text("o_orderkey"), F.lit(".5"))).otherwise("n/a")
     share = F.concat((F.col("o_custkey") % 1000 / 10).cast("decimal(5,1)").cast("string"), _pick(k, "%", " ", "[a]"))
     return g.raw("orders").select("o_orderkey", parse.votes(said).alias("votes"), parse.share(share).alias("share"))
 
@@ -144,10 +159,17 @@ def vote_cells(g: Graph) -> DataFrame:
 def poll_cells(g: Graph) -> DataFrame:
     """Margins, shares and samples as pages print them, absent and refused ones among them."""
     k, t = (F.col("l_orderkey") + F.col("l_linenumber")) % 8, (F.col("l_tax") * 100).cast("decimal(6,3)").cast("string")
-    margin = F.when(k == 0, F.concat(F.lit("± "), t, F.lit("%"))).when(k == 1, F.concat(F.lit("±"), t)).when(k == 2, F.concat(t, F.lit("%"))).otherwise(_pick(k - 3, "—", "TBA", "n/a", "?", "about 3"))
+    margin = F.when(
+        k == 0, F.concat(F.lit("± "), t, F.lit("%"))
+    ).when(k == 1, F.concat(F.lit("±"), t)).when(k == 2, F.concat(t, F.lit("%"))).otherwise(
+        _pick(k - 3, "—", "TBA", "n/a", "?", "about 3")
+    )
     size = _pick(k, "1,234 (LV)", "905 RV", "3,045 LV)", "tba", "–", "– (V)", "~329", "?")
     m, p, s = parse.margin(margin), parse.percentage(margin), parse.sample(size)
-    return g.raw("lineitem").select("l_orderkey", "l_linenumber", parse.margin_or_null(margin).alias("margin"), m["refused"].alias("margin_refused"), p["value"].alias("share"), p["refused"].alias("share_refused"), s["size"].alias("size"), s["population"].alias("population"), s["refused"].alias("size_refused"))
+    return g.raw("lineitem").select(
+        "l_orderkey", "l_linenumber", parse.margin_or_null(margin).alias("margin"), m["refused"].alias("margin_refused"), p["value"].alias("share"),
+        p["refused"].alias("share_refused"), s["size"].alias("size"), s["population"].alias("population"), s["refused"].alias("size_refused")
+    )
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderdate::DATE AS a FROM orders)
@@ -166,7 +188,9 @@ def fieldwork_cells(g: Graph) -> DataFrame:
         .otherwise(_pick(k - 4, "through July 30", "July 2026", "February 30, 2026", "July 1 to July 3, 2026", "TBA"))
     )
     f = parse.fieldwork(said)
-    return g.raw("orders").select("o_orderkey", f["started"].alias("started"), f["ended"].alias("ended"), parse.fieldwork_text(f["started"], f["ended"]).alias("said"))
+    return g.raw("orders").select(
+        "o_orderkey", f["started"].alias("started"), f["ended"].alias("ended"), parse.fieldwork_text(f["started"], f["ended"]).alias("said")
+    )
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, (c_custkey % 360 - 180)::DOUBLE AS lon, (c_custkey % 200 - 100)::DOUBLE AS lat FROM customer)
@@ -179,7 +203,9 @@ def place_codes(g: Graph) -> DataFrame:
     code = parse.geoid(F.when(k % 10 != 0, "55"), F.when(k % 10 != 1, "025"), F.when(k % 10 != 2, "000100"), (k % 1000).cast("string"))
     said = F.concat((k % 360 - 180).cast("string"), F.when(k % 7 == 0, ";").otherwise(","), (k % 200 - 100).cast("string"))
     p = parse.coordinates(F.coalesce(said, none))
-    return g.raw("customer").select(k.alias("k"), code.alias("geoid"), p["lon"].alias("lon"), p["lat"].alias("lat"), parse.wkt(p["lon"], p["lat"]).alias("wkt"))
+    return g.raw("customer").select(
+        k.alias("k"), code.alias("geoid"), p["lon"].alias("lon"), p["lat"].alias("lat"), parse.wkt(p["lon"], p["lat"]).alias("wkt")
+    )
 
 
 _JSON = """'{"amount":"' || l_quantity::INTEGER || '","line":' || l_linenumber || ',"note":' || CASE WHEN l_returnflag = 'A' THEN 'null' ELSE '"' || l_returnflag || ' \\"x\\""' END || '}'"""
@@ -193,7 +219,10 @@ def canonical_hashes(g: Graph) -> DataFrame:
     body = canon.canonical_object(note=note, amount=canon.json_text(canon.decimal(F.format_string("%.2f", "l_quantity"))), line=_text("l_linenumber"))
     at = canon.locator(F.lit("json"), F.concat(F.lit('{"json_pointer": "'), delimited.locator(F.col("l_linenumber")), F.lit('"}')))
     anchor = canon.anchor_fingerprint(F.concat(F.lit("s"), _text("l_suppkey")), at, F.lit(None).cast("string"))
-    return g.raw("lineitem").select("l_orderkey", "l_linenumber", body.alias("canonical"), canon.sha256(body).alias("hash"), canon.idempotency_key("assert", run=F.lit("r&"), anchor=F.col("l_partkey")).alias("idempotency_key"), anchor.alias("anchor"))
+    return g.raw("lineitem").select(
+        "l_orderkey", "l_linenumber", body.alias("canonical"), canon.sha256(body).alias("hash"),
+        canon.idempotency_key("assert", run=F.lit("r&"), anchor=F.col("l_partkey")).alias("idempotency_key"), anchor.alias("anchor")
+    )
 
 
 @query(f"""WITH h AS (SELECT p_partkey, sha1(unhex('{catalog.SPACE.hex}') || encode('part/' || p_partkey)) AS h FROM part)
@@ -213,13 +242,18 @@ def stored_objects(g: Graph) -> DataFrame:
     some = texts.where("doc_id % 3 > 0").select("content")
     kept.put(some)
     kept.put(some)
-    everything = texts.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("byte_length")).groupBy("sha256").agg(F.max("byte_length").alias("byte_length"))
+    everything = texts.select(
+        F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("byte_length")
+    ).groupBy("sha256").agg(F.max("byte_length").alias("byte_length"))
     seen = store.already_archived(some.select(F.sha2("content", 256).alias("sha256"))).select("sha256", F.lit(True).alias("twice"))
     gone = kept.missing(everything).withColumn("stored", F.lit(False))
     held = kept.get(everything).select("sha256", F.lit(True).alias("there"))
     out = everything.join(gone, "sha256", "left").join(held, "sha256", "left").join(seen, "sha256", "left")
     stored = F.coalesce("there", F.lit(False)) & F.coalesce("stored", F.lit(True))
-    return out.select("sha256", "byte_length", canon.content_key(F.col("sha256")).alias("key"), stored.alias("stored"), F.coalesce("twice", F.lit(False)).alias("archived_twice"))
+    return out.select(
+        "sha256", "byte_length", canon.content_key(F.col("sha256")).alias("key"), stored.alias("stored"),
+        F.coalesce("twice", F.lit(False)).alias("archived_twice")
+    )
 
 
 @query("""SELECT 'E' || p_size AS event_ticker, 'M' || p_partkey AS ticker, p_name AS title, CASE WHEN p_partkey % 9 > 0 THEN (p_retailprice / 10000)::DECIMAL(28,6) END AS last_price_dollars, CASE WHEN p_partkey % 5 > 0 THEN TIMESTAMP '2026-01-01 00:00:00' END AS open_time, p_partkey AS volume FROM part""")
@@ -227,12 +261,17 @@ def market_records(g: Graph) -> DataFrame:
     """Landed events of an exchange, dollars as decimals, times as timestamps, null where unreadable."""
     price = F.when(F.col("p_partkey") % 9 > 0, (F.col("p_retailprice") / 10000).cast("decimal(28,6)").cast("string")).otherwise("x")
     opened = F.when(F.col("p_partkey") % 5 > 0, "2026-01-01T00:00:00Z").otherwise("soon")
-    market = F.struct(F.concat(F.lit("M"), _text("p_partkey")).alias("ticker"), F.col("p_name").alias("title"), F.lit("open").alias("status"), opened.alias("open_time"), F.col("p_partkey").alias("volume"), price.alias("last_price_dollars"))
+    market = F.struct(
+        F.concat(F.lit("M"), _text("p_partkey")).alias("ticker"), F.col("p_name").alias("title"), F.lit("open").alias("status"),
+        opened.alias("open_time"), F.col("p_partkey").alias("volume"), price.alias("last_price_dollars")
+    )
     event = F.struct(F.concat(F.lit("E"), _text("p_size")).alias("event_ticker"), F.lit("t").alias("title"))
     nested = g.raw("part").groupBy("p_size").agg(F.collect_list(market).alias("markets")).select(event.alias("event"), "markets")
     folder = landing(g.spark, "exchange")
     nested.select(F.to_json(F.struct("event", "markets")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(folder)
-    return exchange.markets(exchange.events(g.spark, f"{folder}/*.txt")).select("event_ticker", "ticker", "title", "last_price_dollars", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "volume")
+    return exchange.markets(exchange.events(g.spark, f"{folder}/*.txt")).select(
+        "event_ticker", "ticker", "title", "last_price_dollars", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "volume"
+    )
 
 
 @query("""WITH c AS (SELECT 'k' || c_custkey AS key, c_custkey AS k, c_name FROM customer)
@@ -258,7 +297,10 @@ def geocode_results(g: Graph) -> DataFrame:
             answers.writerow(said)
         return out.getvalue().splitlines()
 
-    rows = g.raw("customer").select(F.concat(F.lit("k"), _text("c_custkey")).alias("key"), F.col("c_name").alias("street"), F.lit("MADISON").alias("city"), F.lit("WI").alias("state"), F.lit("53703").alias("postcode"))
+    rows = g.raw("customer").select(
+        F.concat(F.lit("k"), _text("c_custkey")).alias("key"), F.col("c_name").alias("street"), F.lit("MADISON").alias("city"),
+        F.lit("WI").alias("state"), F.lit("53703").alias("postcode")
+    )
     return geocode.geocode(rows, service, 500)
 
 
@@ -266,7 +308,10 @@ def _page_of(section: Column, *parts: Column) -> Column:
     return F.concat(F.lit("<html><style>h2 {}</style><h2>"), section, F.lit("</h2>"), *parts, F.lit("</html>"))
 
 
-_HEADINGS = ("Republican primary runoff", "Democratic primary", "General election", "Nonpartisan blanket primary", "Primary elections", "Runoff election", "Green primary", "Background")
+_HEADINGS = (
+    "Republican primary runoff", "Democratic primary", "General election", "Nonpartisan blanket primary", "Primary elections", "Runoff election",
+    "Green primary", "Background"
+)
 _STAGES = ("runoff", "primary", "general", "primary", "primary", "runoff", None, None)
 _PARTIES = ("republican", "democratic", None, None, None, None, None, None)
 
@@ -278,14 +323,22 @@ def _poll_pages(g: Graph) -> DataFrame:
     day = F.date_format("l_shipdate", "MMMM d, yyyy")
     share = F.col("l_quantity").cast("int").cast("string")
     size = F.when(F.col("l_linenumber") == 7, "~329").otherwise(F.concat(share, F.lit("00 (LV)")))
-    lead = F.concat(F.lit('<tr><td rowspan="2">Firm '), line, F.lit('<sup class="mw-ref reference">[1]</sup></td><td rowspan=2>'), day, F.lit("</td><td>"))
+    lead = F.concat(
+        F.lit('<tr><td rowspan="2">Firm '), line, F.lit('<sup class="mw-ref reference">[1]</sup></td><td rowspan=2>'), day, F.lit("</td><td>")
+    )
     first = F.concat(lead, size, F.lit("</td><td>±&nbsp;3.5%</td><td>"), share, F.lit("%</td><td>—</td><td></td></tr>"))
-    second = F.concat(F.lit("<tr><td>tba</td><td>–</td><td>1</td><td>2%</td><td></td></tr>"), F.when(F.col("l_linenumber") == 1, F.lit('<tr><td colspan="7">Bob withdraws</td></tr>')).otherwise(""))
+    second = F.concat(
+        F.lit("<tr><td>tba</td><td>–</td><td>1</td><td>2%</td><td></td></tr>"),
+        F.when(F.col("l_linenumber") == 1, F.lit('<tr><td colspan="7">Bob withdraws</td></tr>')).otherwise("")
+    )
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat(first, second).alias("t")))), lambda x: x["t"]), "")
     head = "<h3>Polling</h3><table><tr><th>Poll source</th><th>Date(s)<br>administered</th><th>Sample size</th><th>Margin<br>of error</th><th>Ann</th><th>Bob</th><th> </th></tr>"
     mean = "<h3>Polling</h3><table><tr><th>Source of poll aggregation</th><th>Dates</th><th>Sample</th><th>Margin of error</th><th>Ann</th></tr><tr><td>Mean</td><td>July 1, 2026</td><td>1</td><td>1</td><td>40</td></tr></table>"
     pages = g.lines().groupBy("l_suppkey").agg(rows.alias("t"))
-    return pages.select(F.col("l_suppkey").alias("page_id"), _page_of(_pick(F.col("l_suppkey"), *_HEADINGS), F.lit(head), F.col("t"), F.lit("</table>" + mean)).alias("html"))
+    return pages.select(
+        F.col("l_suppkey").alias("page_id"),
+        _page_of(_pick(F.col("l_suppkey"), *_HEADINGS), F.lit(head), F.col("t"), F.lit("</table>" + mean)).alias("html")
+    )
 
 
 @query(f"""WITH l AS (SELECT l_suppkey AS page_id, 'Firm ' || line AS pollster, min(l_shipdate::DATE) AS day, min(l_quantity::INTEGER) AS q, min(l_linenumber) AS n, count(*) AS c FROM g_lines
@@ -296,24 +349,43 @@ def _poll_pages(g: Graph) -> DataFrame:
     UNION ALL SELECT page_id, stage, party, pollster, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'sample' FROM r WHERE n = 7""")
 def poll_rows(g: Graph) -> DataFrame:
     """Pages with poll tables made from lines, read back; a poll with a refused cell is refused whole."""
-    twice = g.lines().groupBy("l_suppkey", "line").agg(F.count("*").alias("c")).where("c > 1").select(F.col("l_suppkey").alias("page_id"), F.concat(F.lit("Firm "), _text("line")).alias("pollster"))
+    twice = g.lines().groupBy("l_suppkey", "line").agg(F.count("*").alias("c")).where("c > 1").select(
+        F.col("l_suppkey").alias("page_id"), F.concat(F.lit("Firm "), _text("line")).alias("pollster")
+    )
     found = html.poll_readings(html.polls(html.cells(_poll_pages(g))))
-    return found.join(twice, ["page_id", "pollster"], "left_anti").select("page_id", "stage", "party", "pollster", "started", "ended", "sample_size", "population", "margin", "option", "percentage", "error")
+    return found.join(twice, ["page_id", "pollster"], "left_anti").select(
+        "page_id", "stage", "party", "pollster", "started", "ended", "sample_size", "population", "margin", "option", "percentage", "error"
+    )
 
 
 def _result_pages(g: Graph) -> DataFrame:
     line = F.col("c_custkey").cast("string")
     note = _pick(F.col("c_custkey"), " (incumbent)", " (withdrawn)", "", " (write-in)")
     votes = F.format_number("c_custkey", 0)
-    row = F.concat(F.lit("<tr><td>A</td><td>"), F.col("c_name"), note, F.lit("</td><td>"), votes, F.lit("</td><td>"), (F.col("c_custkey") % 100).cast("string"), F.when(F.col("c_custkey") % 3 > 0, "%").otherwise("?"), F.lit("</td></tr>"))
+    row = F.concat(
+        F.lit("<tr><td>A</td><td>"), F.col("c_name"), note, F.lit("</td><td>"), votes, F.lit("</td><td>"), (F.col("c_custkey") % 100).cast("string"),
+        F.when(F.col("c_custkey") % 3 > 0, "%").otherwise("?"), F.lit("</td></tr>")
+    )
     who = F.concat(F.lit("<li><b>"), F.col("c_name"), F.lit("</b> , mayor, of &amp; in "), line, F.lit("</li>"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", c.alias("t")))), lambda x: x["t"]), "")
-    pages = g.raw("customer").groupBy("c_nationkey").agg(joined(row).alias("rows"), joined(F.when(F.col("c_custkey") % 5 == 0, who).otherwise("")).alias("listed"))
-    nominees = F.when(F.col("c_nationkey") % 3 > 0, F.concat(F.lit("<h3>Candidates</h3><h4>Nominee</h4><ul>"), F.col("listed"), F.lit("</ul><h4>Withdrawn</h4><ul><li>Nobody</li></ul>"))).otherwise("")
+    pages = g.raw("customer").groupBy("c_nationkey").agg(
+        joined(row).alias("rows"), joined(F.when(F.col("c_custkey") % 5 == 0, who).otherwise("")).alias("listed")
+    )
+    nominees = F.when(
+        F.col("c_nationkey") % 3 > 0,
+        F.concat(F.lit("<h3>Candidates</h3><h4>Nominee</h4><ul>"), F.col("listed"), F.lit("</ul><h4>Withdrawn</h4><ul><li>Nobody</li></ul>"))
+    ).otherwise("")
     table = "<h3>Results</h3><table><tr><th>Party</th><th>Candidate</th><th>Votes</th><th> %</th></tr>"
-    other = "".join(f"<tr><td></td><td>{n}</td><td>5</td><td>1</td></tr>" for n in ("Turnout", "Others", "Majority", "N/A", "Write-in", "Total votes", "", "Plurality"))
+    other = "".join(
+        f"<tr><td></td><td>{n}</td><td>5</td><td>1</td></tr>" for n in (
+            "Turnout", "Others", "Majority", "N/A", "Write-in", "Total votes", "", "Plurality"
+        )
+    )
     plain = "<table><tr><th>Candidate</th><th>Votes</th></tr><tr><td>Cy</td><td>5</td></tr></table>"
-    return pages.select(F.col("c_nationkey").cast("long").alias("page_id"), _page_of(_pick(F.col("c_nationkey"), *_HEADINGS), nominees, F.lit(table), F.col("rows"), F.lit(other + "</table>" + plain)).alias("html"))
+    return pages.select(
+        F.col("c_nationkey").cast("long").alias("page_id"),
+        _page_of(_pick(F.col("c_nationkey"), *_HEADINGS), nominees, F.lit(table), F.col("rows"), F.lit(other + "</table>" + plain)).alias("html")
+    )
 
 
 @query(f"""SELECT c_nationkey::BIGINT AS page_id, {_sql_pick('c_nationkey', *_STAGES)} AS stage, {_sql_pick('c_nationkey', *_PARTIES)} AS party, c_name AS candidate, c_custkey AS votes,

@@ -31,25 +31,45 @@ class Graph:
         customers = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         year = F.year("o_orderdate")
         joined = self.raw("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        return joined.withColumn("contest_id", F.concat_ws("/", F.lit("k"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"), year.cast("string"))).withColumn("year", year)
+        return joined.withColumn(
+            "contest_id", F.concat_ws("/", F.lit("k"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"), year.cast("string"))
+        ).withColumn("year", year)
 
     def contests(self) -> DataFrame:
         """contest_id, contest_key, nation_id, office_id for every (nation, segment, year) with an order."""
         nations = self.raw("nation").select("n_nationkey", "n_regionkey")
         seen = self.orders().select("contest_id", "c_nationkey", F.lower("c_mktsegment").alias("segment"), "year").distinct()
         joined = seen.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        division = F.concat(F.lit("ocd-division/country:r"), F.col("n_regionkey").cast("string"), F.lit("/state:n"), F.col("n_nationkey").cast("string"))
+        division = F.concat(
+            F.lit("ocd-division/country:r"), F.col("n_regionkey").cast("string"), F.lit("/state:n"), F.col("n_nationkey").cast("string")
+        )
         key = keys.contest_key(division, F.col("segment"), F.col("year"), F.lit("general"))
-        return joined.select("contest_id", key.alias("contest_key"), _id("n", "n_nationkey").alias("nation_id"), F.concat(F.lit("o/"), F.col("segment")).alias("office_id"))
+        return joined.select(
+            "contest_id", key.alias("contest_key"), _id("n", "n_nationkey").alias("nation_id"),
+            F.concat(F.lit("o/"), F.col("segment")).alias("office_id")
+        )
 
     def entity(self) -> DataFrame:
         """id, kind, canonical_name."""
-        named = (("region", "r", "r_regionkey", "jurisdiction", "r_name"), ("nation", "n", "n_nationkey", "jurisdiction", "n_name"), ("customer", "c", "c_custkey", "person", "c_name"), ("supplier", "s", "s_suppkey", "organization", "s_name"), ("part", "p", "p_partkey", "option", "p_name"))
+        named = (
+            ("region", "r", "r_regionkey", "jurisdiction", "r_name"), ("nation", "n", "n_nationkey", "jurisdiction", "n_name"),
+            ("customer", "c", "c_custkey", "person", "c_name"), ("supplier", "s", "s_suppkey", "organization", "s_name"),
+            ("part", "p", "p_partkey", "option", "p_name")
+        )
         parts = [self.raw(t).select(_id(p, k).alias("id"), F.lit(kind).alias("kind"), F.col(n).alias("canonical_name")) for t, p, k, kind, n in named]
         contests = self.contests()
         parts.append(contests.select(F.col("contest_id").alias("id"), F.lit("contest").alias("kind"), F.col("contest_key").alias("canonical_name")))
-        parts.append(contests.select(F.col("office_id").alias("id"), F.lit("office").alias("kind"), F.substring("office_id", 3, 99).alias("canonical_name")).distinct())
-        parts.append(self.raw("events").select(_id("e", "event_id").alias("id"), F.lit("event").alias("kind"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("canonical_name")))
+        parts.append(
+            contests.select(
+                F.col("office_id").alias("id"), F.lit("office").alias("kind"), F.substring("office_id", 3, 99).alias("canonical_name")
+            ).distinct()
+        )
+        parts.append(
+            self.raw("events").select(
+                _id("e", "event_id").alias("id"), F.lit("event").alias("kind"),
+                F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("canonical_name")
+            )
+        )
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -58,32 +78,58 @@ class Graph:
     def alias(self) -> DataFrame:
         """entity_id, name, normalized_name: the names of entities, and for suppliers a short form."""
         own = self.entity().select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
-        short = self.raw("supplier").select(_id("s", "s_suppkey").alias("entity_id"), F.concat(F.lit("Supp "), (F.col("s_suppkey") % 40).cast("string")).alias("name"))
+        short = self.raw("supplier").select(
+            _id("s", "s_suppkey").alias("entity_id"), F.concat(F.lit("Supp "), (F.col("s_suppkey") % 40).cast("string")).alias("name")
+        )
         return own.unionByName(short).withColumn("normalized_name", text.ascii_name(F.col("name")))
 
     def identifier(self) -> DataFrame:
         """entity_id, namespace, value."""
-        nations = self.raw("nation").select(_id("n", "n_nationkey").alias("entity_id"), F.lit("ocd-division").alias("namespace"), F.concat(F.lit("ocd-division/country:r"), F.col("n_regionkey").cast("string"), F.lit("/state:n"), F.col("n_nationkey").cast("string")).alias("value"))
-        contests = self.contests().select(F.col("contest_id").alias("entity_id"), F.lit("contest-key").alias("namespace"), F.col("contest_key").alias("value"))
-        people = self.raw("customer").select(_id("c", "c_custkey").alias("entity_id"), F.lit("wikidata").alias("namespace"), F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("value"))
-        parts = self.raw("part").select(_id("p", "p_partkey").alias("entity_id"), F.lit("ballotpedia").alias("namespace"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("value"))
+        nations = self.raw("nation").select(
+            _id("n", "n_nationkey").alias("entity_id"), F.lit("ocd-division").alias("namespace"),
+            F.concat(
+                F.lit("ocd-division/country:r"), F.col("n_regionkey").cast("string"), F.lit("/state:n"), F.col("n_nationkey").cast("string")
+            ).alias("value")
+        )
+        contests = self.contests().select(
+            F.col("contest_id").alias("entity_id"), F.lit("contest-key").alias("namespace"), F.col("contest_key").alias("value")
+        )
+        people = self.raw("customer").select(
+            _id("c", "c_custkey").alias("entity_id"), F.lit("wikidata").alias("namespace"),
+            F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("value")
+        )
+        parts = self.raw("part").select(
+            _id("p", "p_partkey").alias("entity_id"), F.lit("ballotpedia").alias("namespace"),
+            F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("value")
+        )
         return nations.unionByName(contests).unionByName(people).unionByName(parts)
 
     def redirect(self) -> DataFrame:
         """duplicate_id, canonical_id: chains of up to two steps among suppliers."""
         s = self.raw("supplier").where("s_suppkey % 10 in (1, 2)")
-        return s.select(_id("s", "s_suppkey").alias("duplicate_id"), F.concat(F.lit("s"), (F.col("s_suppkey") - 1).cast("string")).alias("canonical_id"))
-
-    def _claims(self, df: DataFrame, slug: str, claim_id: Column, subject: Column, obj: Column | None = None, value: Column | None = None, at: Column | None = None, since: Column | None = None, until: Column | None = None, created: Column | None = None) -> DataFrame:
+        return s.select(
+            _id("s", "s_suppkey").alias("duplicate_id"), F.concat(F.lit("s"), (F.col("s_suppkey") - 1).cast("string")).alias("canonical_id")
+        )
+
+    def _claims(
+        self, df: DataFrame, slug: str, claim_id: Column, subject: Column, obj: Column | None = None, value: Column | None = None,
+        at: Column | None = None, since: Column | None = None, until: Column | None = None, created: Column | None = None
+    ) -> DataFrame:
         none, when = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
         pick = lambda c, d, n: (d if c is None else c).alias(n)
         first = F.coalesce(*(c for c in (created, at, since) if c is not None), when)
-        return df.select(claim_id.alias("id"), F.lit(slug).alias("predicate"), subject.alias("subject_id"), pick(obj, none, "object_id"), pick(value, none, "value"), pick(at, when, "valid_at"), pick(since, when, "valid_from"), pick(until, when, "valid_to"), first.alias("created_at"))
+        return df.select(
+            claim_id.alias("id"), F.lit(slug).alias("predicate"), subject.alias("subject_id"), pick(obj, none, "object_id"),
+            pick(value, none, "value"), pick(at, when, "valid_at"), pick(since, when, "valid_from"), pick(until, when, "valid_to"),
+            first.alias("created_at")
+        )
 
     def candidacies(self) -> DataFrame:
         later = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
         o = self.orders().withColumn("until", later)
-        return self._claims(o, "candidate_in", _id("ci", "o_orderkey"), _id("c", "o_custkey"), F.col("contest_id"), since=F.col("o_orderdate"), until=F.col("until"))
+        return self._claims(
+            o, "candidate_in", _id("ci", "o_orderkey"), _id("c", "o_custkey"), F.col("contest_id"), since=F.col("o_orderdate"), until=F.col("until")
+        )
 
     def results(self) -> DataFrame:
         """Votes are orders per (customer, contest); contests of even years say who won, others do not."""
@@ -93,12 +139,18 @@ class Graph:
         rows = votes.withColumns({"place": place, "share": part.cast("decimal(6,2)").cast("string")})
         won = F.when(F.col("year") % 2 == 0, F.col("place") == 1)
         rows = rows.withColumn("value", F.to_json(F.struct("votes", "share", "place", won.alias("won")), {"ignoreNullFields": "false"}))
-        return self._claims(rows, "contest_result", F.concat_ws(":", F.lit("cr"), "contest_id", F.col("o_custkey").cast("string")), _id("c", "o_custkey"), F.col("contest_id"), F.col("value"), created=F.col("at"))
+        return self._claims(
+            rows, "contest_result", F.concat_ws(":", F.lit("cr"), "contest_id", F.col("o_custkey").cast("string")), _id("c", "o_custkey"),
+            F.col("contest_id"), F.col("value"), created=F.col("at")
+        )
 
     def donations(self) -> DataFrame:
         lines = self.lines()
         value = F.to_json(F.struct(F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"), F.lit("USD").alias("currency")))
-        return self._claims(lines, "donated_to", F.concat(F.lit("do"), F.col("line").cast("string")), _id("s", "l_suppkey"), _id("p", "l_partkey"), value, at=F.col("l_shipdate"))
+        return self._claims(
+            lines, "donated_to", F.concat(F.lit("do"), F.col("line").cast("string")), _id("s", "l_suppkey"), _id("p", "l_partkey"), value,
+            at=F.col("l_shipdate")
+        )
 
     def structure(self) -> DataFrame:
         c = self.contests()
@@ -114,7 +166,9 @@ class Graph:
         status = F.when(F.col("event_type") == "error", "cancelled").otherwise("occurred")
         kind = self._claims(e, "event_kind", ids("ek"), me, value=value("kind", F.col("event_type")), created=F.col("ts"))
         who = self._claims(e, "participated_in", ids("pi"), _id("c", "user_id"), me, value("role", F.lit("candidate")), created=F.col("ts"))
-        where = self._claims(e, "event_in_jurisdiction", ids("ej"), me, F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")), created=F.col("ts"))
+        where = self._claims(
+            e, "event_in_jurisdiction", ids("ej"), me, F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")), created=F.col("ts")
+        )
         when = self._claims(e, "event_occurrence", ids("eo"), me, value=value("status", status), since=F.col("ts"))
         return kind.unionByName(who).unionByName(where).unionByName(when)
 
@@ -135,28 +189,49 @@ class Graph:
         writer = F.when(F.col("l_linenumber") < 7, _id("s", "l_suppkey"))
         stance = F.when(F.col("l_returnflag") == "R", "contradicts").when(F.col("l_returnflag") == "A", "supports").otherwise("mentions")
         bad = F.when(F.col("l_discount") > 0.08, F.concat(F.lit("discount "), F.col("l_discount").cast("decimal(4,2)").cast("string")))
-        return self.lines().select(F.col("line").alias("seq"), _id("ci", "l_orderkey").alias("claim_id"), writer.alias("asserted_by"), stance.alias("stance"), F.concat(F.lit("run-"), F.col("l_linestatus")).alias("run_id"), (F.col("l_partkey") % 200).alias("page_id"), bad.isNull().alias("aligned"), bad.alias("violation"), F.col("l_shipdate").alias("created_at"))
+        return self.lines().select(
+            F.col("line").alias("seq"), _id("ci", "l_orderkey").alias("claim_id"), writer.alias("asserted_by"), stance.alias("stance"),
+            F.concat(F.lit("run-"), F.col("l_linestatus")).alias("run_id"), (F.col("l_partkey") % 200).alias("page_id"),
+            bad.isNull().alias("aligned"), bad.alias("violation"), F.col("l_shipdate").alias("created_at")
+        )
 
     def readings(self) -> DataFrame:
         """Poll readings: revision_id, pollster_id, contest_id, population, option_id, response_count, margin."""
         line = self.lines()
         month = F.date_format("l_shipdate", "yyyyMM")
         contest = F.concat_ws("/", F.lit("k"), (F.col("l_suppkey") % 25).cast("string"), F.lit("building"), F.year("l_shipdate").cast("string"))
-        return line.select(F.concat_ws("-", F.concat(F.lit("pr"), F.col("l_suppkey").cast("string")), month).alias("revision_id"), _id("s", "l_suppkey").alias("pollster_id"), contest.alias("contest_id"), F.lower("l_returnflag").alias("population"), _id("p", "l_partkey").alias("option_id"), F.col("l_quantity").cast("long").alias("response_count"), (F.col("l_tax") * 100).cast("decimal(6,3)").alias("margin"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_suppkey") * 7 % 150).alias("review_key"))
+        return line.select(
+            F.concat_ws("-", F.concat(F.lit("pr"), F.col("l_suppkey").cast("string")), month).alias("revision_id"),
+            _id("s", "l_suppkey").alias("pollster_id"), contest.alias("contest_id"), F.lower("l_returnflag").alias("population"),
+            _id("p", "l_partkey").alias("option_id"), F.col("l_quantity").cast("long").alias("response_count"),
+            (F.col("l_tax") * 100).cast("decimal(6,3)").alias("margin"), F.col("l_shipdate").cast("date").alias("day"),
+            (F.col("l_suppkey") * 7 % 150).alias("review_key")
+        )
 
     def revisions(self) -> DataFrame:
         """revision_id, pollster_id, contest_id, review_key, started, ended."""
-        return self.readings().groupBy("revision_id", "pollster_id", "contest_id", "review_key").agg(F.min("day").alias("started"), F.max("day").alias("ended"))
+        return self.readings().groupBy("revision_id", "pollster_id", "contest_id", "review_key").agg(
+            F.min("day").alias("started"), F.max("day").alias("ended")
+        )
 
     def decision(self) -> DataFrame:
         """seq, target (of review), outcome."""
-        outcome = F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "error", "rejected").otherwise("changes_requested")
-        return self.raw("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("target"), outcome.alias("outcome"), F.col("ts").alias("created_at"))
+        outcome = F.when(
+            F.col("event_type") == "purchase", "accepted"
+        ).when(F.col("event_type") == "error", "rejected").otherwise("changes_requested")
+        return self.raw("events").select(
+            F.col("event_id").alias("seq"), F.col("user_id").alias("target"), outcome.alias("outcome"), F.col("ts").alias("created_at")
+        )
 
     def task(self) -> DataFrame:
         """id, target, status, priority, created_at."""
-        status = F.when(F.col("event_type").isin("click", "signup"), "pending").when(F.col("event_type") == "view", "claimed").when(F.col("event_type") == "purchase", "completed").otherwise("cancelled")
-        return self.raw("events").select(_id("q", "event_id").alias("id"), F.col("user_id").alias("target"), status.alias("status"), (F.col("user_id") % 100).alias("priority"), F.col("ts").alias("created_at"))
+        status = F.when(
+            F.col("event_type").isin("click", "signup"), "pending"
+        ).when(F.col("event_type") == "view", "claimed").when(F.col("event_type") == "purchase", "completed").otherwise("cancelled")
+        return self.raw("events").select(
+            _id("q", "event_id").alias("id"), F.col("user_id").alias("target"), status.alias("status"), (F.col("user_id") % 100).alias("priority"),
+            F.col("ts").alias("created_at")
+        )
 
 
 ORACLE = {

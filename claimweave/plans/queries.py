@@ -101,8 +101,13 @@ def candidate_stints(g: Graph) -> DataFrame:
 @query("SELECT day, object_id AS contest_id, count(*) AS candidates FROM g_candidacy, (VALUES " + ", ".join(f"('{d}')" for d in DATES) + ") AS t(day) WHERE valid_from <= day::TIMESTAMP AND (valid_to IS NULL OR valid_to > day::TIMESTAMP) GROUP BY ALL")
 def candidates_at_dates(g: Graph) -> DataFrame:
     """Q3, Q12: the field of every contest at five dates, in one pass: each stint is expanded to the dates it covers."""
-    days = F.filter(F.array(*map(F.lit, DATES)), lambda d: (F.col("valid_from") <= d.cast("timestamp_ntz")) & (F.col("valid_to").isNull() | (F.col("valid_to") > d.cast("timestamp_ntz"))))
-    return g.candidacies().select("object_id", F.explode(days).alias("day")).groupBy("day", F.col("object_id").alias("contest_id")).agg(F.count("*").alias("candidates"))
+    days = F.filter(
+        F.array(*map(F.lit, DATES)),
+        lambda d: (F.col("valid_from") <= d.cast("timestamp_ntz")) & (F.col("valid_to").isNull() | (F.col("valid_to") > d.cast("timestamp_ntz")))
+    )
+    return g.candidacies().select("object_id", F.explode(days).alias("day")).groupBy(
+        "day", F.col("object_id").alias("contest_id")
+    ).agg(F.count("*").alias("candidates"))
 
 
 @query("""SELECT contest_id, candidate_id, votes, share, place, won, row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC NULLS LAST, candidate_id)::INTEGER AS rank
@@ -144,8 +149,12 @@ def contests_by_cycle_stage(g: Graph) -> DataFrame:
 def contest_by_key(g: Graph) -> DataFrame:
     """Q11, F16: every contest looked up under the key that its parts give, and its key a stage earlier."""
     parts = F.struct("division", "office", "cycle", "stage", "party")
-    asked = K.contests(g.identifier()).select(keys.at_stage(parts, F.lit("general")).alias("value"), keys.at_stage(parts, F.lit("primary")).alias("primary_key"))
-    return asked.join(g.identifier().where("namespace = 'contest-key'"), "value").select(F.col("value").alias("contest_key"), "primary_key", F.col("entity_id").alias("contest_id"))
+    asked = K.contests(g.identifier()).select(
+        keys.at_stage(parts, F.lit("general")).alias("value"), keys.at_stage(parts, F.lit("primary")).alias("primary_key")
+    )
+    return asked.join(g.identifier().where("namespace = 'contest-key'"), "value").select(
+        F.col("value").alias("contest_key"), "primary_key", F.col("entity_id").alias("contest_id")
+    )
 
 
 _SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1 FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
@@ -260,7 +269,9 @@ def entity_search_topk(g: Graph) -> DataFrame:
 @query(f"WITH {_MATCHES} SELECT query, entity_id, name, round(whole, 6) AS whole FROM hits WHERE whole >= 0.3")
 def entity_similarity(g: Graph) -> DataFrame:
     """all aliases over the match threshold."""
-    return S.bearers(S.matches(S.trigram_index(g.alias()), _asked(g)), g.alias()).select("query", "entity_id", "name", F.round("whole", 6).alias("whole"))
+    return S.bearers(S.matches(S.trigram_index(g.alias()), _asked(g)), g.alias()).select(
+        "query", "entity_id", "name", F.round("whole", 6).alias("whole")
+    )
 
 
 @query("WITH s AS (SELECT entity_id, name, list_distinct(" + _grams("normalized_name") + ") AS g FROM g_alias WHERE starts_with(entity_id, 's')), n AS (SELECT DISTINCT 'Supp ' || (s_suppkey % 40) AS query FROM supplier), q AS (SELECT query, list_distinct(" + _grams("query") + ") AS q FROM n), m AS (SELECT query, entity_id, name, len(list_intersect(q, g))::DOUBLE / (len(q) + len(g) - len(list_intersect(q, g))) AS w FROM q, s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, name, entity_id) AS rank FROM m WHERE w >= 0.55) SELECT query, rank::INTEGER AS rank, entity_id, name, round(w, 6) AS whole FROM r WHERE rank <= 5")
@@ -301,7 +312,9 @@ def claim_degree(g: Graph) -> DataFrame:
 
 
 def _mentions(rows: DataFrame, kind: str, name, identifiers) -> DataFrame:
-    return rows.select("mention_id", F.lit(kind).alias("kind"), name.alias("name"), text.ascii_name(name).alias("normalized_name"), identifiers.alias("identifiers"))
+    return rows.select(
+        "mention_id", F.lit(kind).alias("kind"), name.alias("name"), text.ascii_name(name).alias("normalized_name"), identifiers.alias("identifiers")
+    )
 
 
 def _no_ids():
@@ -402,7 +415,9 @@ def artifact_dedup(g: Graph) -> DataFrame:
 def snapshot_reuse(g: Graph) -> DataFrame:
     """Documents retrieved again, against the earlier snapshots of every source but one."""
     d = g.raw("documents").select(F.col("lang").alias("run_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id", "source")
-    prior = d.where("source <> 'src0'").select("run_id", "sha256", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("snapshot_id"), F.col("doc_id").alias("retrieved_at"))
+    prior = d.where("source <> 'src0'").select(
+        "run_id", "sha256", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("snapshot_id"), F.col("doc_id").alias("retrieved_at")
+    )
     return I.snapshot_reuse(prior, d.select("run_id", "sha256", F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("snapshot_id")))
 
 
@@ -433,14 +448,21 @@ def event_projection(g: Graph) -> DataFrame:
     c = g.happenings()
     event = F.when(F.col("predicate") == "participated_in", F.col("object_id")).otherwise(F.col("subject_id"))
     of = lambda p, v: F.max_by(F.when(F.col("predicate") == p, v), F.when(F.col("predicate") == p, F.col("created_at")))
-    return c.groupBy(event.alias("id")).agg(of("event_kind", F.get_json_object("value", "$.kind")).alias("event_kind"), of("event_occurrence", F.get_json_object("value", "$.status")).alias("status"), of("event_occurrence", F.col("valid_from")).alias("starts_at"), of("event_in_jurisdiction", F.col("object_id")).alias("jurisdiction_id"), F.count_if(F.col("predicate") == "participated_in").alias("participants"), F.count("*").alias("claims"))
+    return c.groupBy(event.alias("id")).agg(
+        of("event_kind", F.get_json_object("value", "$.kind")).alias("event_kind"),
+        of("event_occurrence", F.get_json_object("value", "$.status")).alias("status"),
+        of("event_occurrence", F.col("valid_from")).alias("starts_at"), of("event_in_jurisdiction", F.col("object_id")).alias("jurisdiction_id"),
+        F.count_if(F.col("predicate") == "participated_in").alias("participants"), F.count("*").alias("claims")
+    )
 
 
 @query("SELECT subject_id AS donor_id, year(valid_at)::INTEGER AS year, count(*) AS gifts, sum((value->>'amount')::DECIMAL(18,2))::DOUBLE AS total FROM g_donation GROUP BY 1, 2")
 def donation_rollup(g: Graph) -> DataFrame:
     """Donations per donor and year, summed as decimals."""
     amount = F.get_json_object("value", "$.amount").cast("decimal(18,2)")
-    return g.donations().groupBy(F.col("subject_id").alias("donor_id"), F.year("valid_at").alias("year")).agg(F.count("*").alias("gifts"), F.sum(amount).cast("double").alias("total"))
+    return g.donations().groupBy(F.col("subject_id").alias("donor_id"), F.year("valid_at").alias("year")).agg(
+        F.count("*").alias("gifts"), F.sum(amount).cast("double").alias("total")
+    )
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderdate AS a, max(o_orderdate + INTERVAL 20 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM orders) SELECT DISTINCT 'c' || o_custkey AS record_id FROM o WHERE a < b")
@@ -448,7 +470,9 @@ def stint_overlaps(g: Graph) -> DataFrame:
     """Customers with orders less than 20 days apart."""
     entered = F.col("o_orderdate").cast("timestamp")
     stint = F.struct(entered.alias("entered"), (entered + F.expr("interval 20 days")).alias("left"))
-    records = g.raw("orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("record_id")).agg(F.collect_list(stint).alias("stints"))
+    records = g.raw("orders").groupBy(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("record_id")
+    ).agg(F.collect_list(stint).alias("stints"))
     return I.overlapping_stints(records)
 
 
@@ -457,7 +481,9 @@ def idempotent_reingest(g: Graph) -> DataFrame:
     """The same assertions a second time change nothing."""
     a = g.assertion().select(F.col("seq").cast("string").alias("idempotency_key"), F.col("claim_id").alias("fingerprint"))
     again = I.outcomes(a, a, a)
-    return again.agg(F.count("*").alias("assertions"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "corroborated", "unchanged")))
+    return again.agg(
+        F.count("*").alias("assertions"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "corroborated", "unchanged"))
+    )
 
 
 @query("SELECT id, CASE predicate WHEN 'donated_to' THEN 'object is option' END AS violation FROM g_claim")
@@ -477,7 +503,9 @@ def fieldwork_parsing(g: Graph) -> DataFrame:
     """ranges printed from order dates, within and across months and years, read back."""
     a, b = F.col("o_orderdate").cast("date"), F.date_add(F.col("o_orderdate").cast("date"), 5)
     month = lambda d: F.date_format(d, "MMMM d")
-    printed = F.when((F.month(a) == F.month(b)), F.concat(month(a), F.lit("–"), F.date_format(b, "d, yyyy"))).otherwise(F.concat(month(a), F.lit(" – "), month(b), F.date_format(b, ", yyyy")))
+    printed = F.when(
+        (F.month(a) == F.month(b)), F.concat(month(a), F.lit("–"), F.date_format(b, "d, yyyy"))
+    ).otherwise(F.concat(month(a), F.lit(" – "), month(b), F.date_format(b, ", yyyy")))
     return g.raw("orders").select("o_orderkey", parse.fieldwork(printed).alias("f")).select("o_orderkey", "f.started", "f.ended")
 
 
@@ -486,14 +514,21 @@ def cell_parsing(g: Graph) -> DataFrame:
     """Sample and percentage cells printed from lines; rough samples and "<n%" are refused, not zero."""
     n = F.col("l_quantity").cast("int").cast("string")
     cell = F.when(F.col("l_returnflag") == "A", F.concat(n, F.lit(" (A)"))).when(F.col("l_returnflag") == "R", n).otherwise(F.concat(F.lit("~"), n))
-    share = F.concat(F.when(F.col("l_linestatus") == "O", "").otherwise("<"), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))
-    return g.raw("lineitem").select("l_orderkey", "l_linenumber", parse.sample(cell).alias("s"), parse.percentage(share).alias("p")).select("l_orderkey", "l_linenumber", "s.size", "s.population", "s.refused", F.col("p.value").cast("int").alias("percentage"))
+    share = F.concat(
+        F.when(F.col("l_linestatus") == "O", "").otherwise("<"), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")
+    )
+    return g.raw("lineitem").select("l_orderkey", "l_linenumber", parse.sample(cell).alias("s"), parse.percentage(share).alias("p")).select(
+        "l_orderkey", "l_linenumber", "s.size", "s.population", "s.refused", F.col("p.value").cast("int").alias("percentage")
+    )
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(regexp_replace(p_retailprice::DECIMAL(18,4)::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS price FROM part")
 def slugs_and_decimals(g: Graph) -> DataFrame:
     """F2, F4."""
-    return g.raw("part").select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), canon.decimal(F.col("p_retailprice").cast("decimal(18,4)")).alias("price"))
+    return g.raw("part").select(
+        "p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"),
+        canon.decimal(F.col("p_retailprice").cast("decimal(18,4)")).alias("price")
+    )
 
 
 @query("SELECT 'k' || o_orderkey AS id, 'ocd-division/country:us/debate/' || strftime(o_orderdate, '%Y-%m-%d') || '/host-' || o_custkey AS event_key, 'host-' || o_custkey AS host, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'c/p-' || o_custkey || '/' || strftime(o_orderdate, '%Y-%m-%d') END AS poll_key FROM orders")
@@ -501,22 +536,38 @@ def derived_keys(g: Graph) -> DataFrame:
     """Event and poll keys built and parsed."""
     host = F.concat(F.lit("host-"), F.col("o_custkey").cast("string"))
     key = keys.event_key(F.lit("ocd-division/country:us"), F.lit("debate"), F.col("o_orderdate"), F.lit("day"), host)
-    poll = keys.poll_key(F.lit("c"), F.concat(F.lit("p-"), F.col("o_custkey").cast("string")), F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")))
-    return g.raw("orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("id"), key.alias("event_key"), keys.event_parts(key)["host"].alias("host"), poll.alias("poll_key"))
+    poll = keys.poll_key(
+        F.lit("c"), F.concat(F.lit("p-"), F.col("o_custkey").cast("string")), F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate"))
+    )
+    return g.raw("orders").select(
+        F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("id"), key.alias("event_key"), keys.event_parts(key)["host"].alias("host"),
+        poll.alias("poll_key")
+    )
 
 
 @query("SELECT l_orderkey || '-' || l_linenumber AS record_id, 'donated_to' AS predicate, 's' || l_suppkey AS subject_id, 'p' || l_partkey AS object_id, '{\"amount\":\"' || l_quantity::INTEGER || '\",\"currency\":\"USD\",\"kind\":\"contribution\",\"purpose\":null,\"supporting\":' || (l_tax > 0.04)::VARCHAR || '}' AS value, l_shipdate AS valid_at FROM lineitem")
 def ingest_donations(g: Graph) -> DataFrame:
     """Lines as donation records, fanned out to claims."""
-    records = g.raw("lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("donor_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("recipient_id"), F.format_string("%.2f", "l_quantity").alias("amount"), F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("kind"), (F.col("l_tax") > 0.04).alias("supporting"), F.lit(None).cast("string").alias("purpose"), F.col("l_shipdate").cast("timestamp").alias("given"))
-    return I.donations(records).select("record_id", "predicate", "subject_id", "object_id", "value", F.col("valid_at").cast("timestamp_ntz").alias("valid_at"))
+    records = g.raw("lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("donor_id"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("recipient_id"), F.format_string("%.2f", "l_quantity").alias("amount"),
+        F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("kind"), (F.col("l_tax") > 0.04).alias("supporting"),
+        F.lit(None).cast("string").alias("purpose"), F.col("l_shipdate").cast("timestamp").alias("given")
+    )
+    return I.donations(records).select(
+        "record_id", "predicate", "subject_id", "object_id", "value", F.col("valid_at").cast("timestamp_ntz").alias("valid_at")
+    )
 
 
 @query("SELECT contest_id AS record_id, predicate, contest_id AS subject_id, CASE predicate WHEN 'contest_in_jurisdiction' THEN nation_id WHEN 'contest_for_office' THEN office_id END AS object_id, CASE predicate WHEN 'contest_stage' THEN '{\"stage\":\"general\"}' END AS value FROM g_contests, (VALUES ('contest_stage'), ('contest_in_jurisdiction'), ('contest_for_office')) AS t(predicate)")
 def ingest_race_structures(g: Graph) -> DataFrame:
     """I2."""
     none = F.lit(None).cast("string")
-    records = g.contests().select(F.col("contest_id").alias("record_id"), "contest_id", F.lit("general").alias("stage"), F.col("nation_id").alias("jurisdiction_id"), "office_id", none.alias("election_id"), none.alias("party_id"), none.alias("next_id"))
+    records = g.contests().select(
+        F.col("contest_id").alias("record_id"), "contest_id", F.lit("general").alias("stage"), F.col("nation_id").alias("jurisdiction_id"),
+        "office_id", none.alias("election_id"), none.alias("party_id"), none.alias("next_id")
+    )
     return I.race_structures(records).select("record_id", "predicate", "subject_id", "object_id", "value")
 
 
@@ -524,8 +575,12 @@ def ingest_race_structures(g: Graph) -> DataFrame:
 def ingest_candidacies(g: Graph) -> DataFrame:
     """A record per customer and contest, with a stint per order."""
     stint = F.struct(F.col("o_orderdate").cast("timestamp").alias("entered"), F.lit(None).cast("timestamp").alias("left"))
-    records = g.orders().groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("record_id"), "contest_id").agg(F.collect_list(stint).alias("stints")).withColumn("candidate_id", F.col("record_id"))
-    return I.candidacies(records).groupBy("record_id", "predicate", "object_id").agg(F.count("*").alias("stints"), F.min("valid_from").cast("timestamp_ntz").alias("first"))
+    records = g.orders().groupBy(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("record_id"), "contest_id"
+    ).agg(F.collect_list(stint).alias("stints")).withColumn("candidate_id", F.col("record_id"))
+    return I.candidacies(records).groupBy("record_id", "predicate", "object_id").agg(
+        F.count("*").alias("stints"), F.min("valid_from").cast("timestamp_ntz").alias("first")
+    )
 
 
 @query("""SELECT 'e' || event_id AS record_id, p AS predicate, CASE p WHEN 'participated_in' THEN 'c' || user_id ELSE 'e' || event_id END AS subject_id, CASE p WHEN 'participated_in' THEN 'e' || event_id WHEN 'event_in_jurisdiction' THEN 'n' || (user_id % 25) END AS object_id,
@@ -534,7 +589,11 @@ def ingest_debates(g: Graph) -> DataFrame:
     """I1."""
     ident = F.concat(F.lit("e"), F.col("event_id").cast("string"))
     who = F.array(F.struct(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("id"), F.lit("candidate").alias("role")))
-    records = g.raw("events").select(ident.alias("record_id"), ident.alias("event_id"), F.lit("occurred").alias("status"), F.col("ts").cast("timestamp").alias("starts"), F.lit(None).cast("timestamp").alias("ends"), who.alias("participants"), F.lit(None).cast("string").alias("contest_id"), F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")).alias("jurisdiction_id"))
+    records = g.raw("events").select(
+        ident.alias("record_id"), ident.alias("event_id"), F.lit("occurred").alias("status"), F.col("ts").cast("timestamp").alias("starts"),
+        F.lit(None).cast("timestamp").alias("ends"), who.alias("participants"), F.lit(None).cast("string").alias("contest_id"),
+        F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")).alias("jurisdiction_id")
+    )
     return I.debates(records).select("record_id", "predicate", "subject_id", "object_id", "value")
 
 
@@ -543,7 +602,9 @@ def merge_guard(g: Graph) -> DataFrame:
     """V5: merges wanted for every supplier: taken to the terminal end, or refused with a reason."""
     k = F.col("s_suppkey")
     to = F.when(k % 10 == 3, k - 1).when(k % 10 == 0, k + 2).when((k % 10).isin(1, 2), k + 3).otherwise(k)
-    wanted = g.raw("supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("duplicate_id"), F.concat(F.lit("s"), to.cast("string")).alias("canonical_id"))
+    wanted = g.raw("supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("duplicate_id"), F.concat(F.lit("s"), to.cast("string")).alias("canonical_id")
+    )
     done, refused = V.merges(g.redirect(), _survivors(g), wanted)
     none = F.lit(None).cast("string")
     return done.withColumn("why", none).unionByName(refused.withColumn("canonical_id", none))
@@ -553,7 +614,11 @@ def merge_guard(g: Graph) -> DataFrame:
 def decision_guard(g: Graph) -> DataFrame:
     """V3, V9: a rejection wanted for every task: appended, or refused since the task is closed or no reason is given."""
     e = g.raw("events")
-    wanted = e.select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("task_id"), F.lit("rejected").alias("outcome"), F.lit("ann").alias("reviewer"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token"), F.when((F.col("value") >= 5) | F.col("event_type").isin("purchase", "error"), F.lit("seen")).alias("reason"))
+    wanted = e.select(
+        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("task_id"), F.lit("rejected").alias("outcome"), F.lit("ann").alias("reviewer"),
+        F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token"),
+        F.when((F.col("value") >= 5) | F.col("event_type").isin("purchase", "error"), F.lit("seen")).alias("reason")
+    )
     appended, refused = V.decide(g.task(), g.decision(), wanted)
     return appended.select(F.lit(None).cast("string").alias("why")).unionByName(refused.select("why")).groupBy("why").agg(F.count("*").alias("tasks"))
 
@@ -574,7 +639,9 @@ def rival_revisions(g: Graph) -> DataFrame:
 @query("SELECT region.r_name, n_name, count(*) AS candidacies, count(DISTINCT subject_id) AS people FROM g_candidacy JOIN g_contests ON contest_id = object_id JOIN nation ON nation_id = 'n' || n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
 def candidacies_by_region(g: Graph) -> DataFrame:
     """A roll-up over three joins."""
-    places = g.raw("nation").join(g.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("nation_id"), "n_name", "r_name")
+    places = g.raw("nation").join(g.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("nation_id"), "n_name", "r_name"
+    )
     c = g.candidacies().join(g.contests().select(F.col("contest_id").alias("object_id"), "nation_id"), "object_id").join(places, "nation_id")
     return c.groupBy("r_name", "n_name").agg(F.count("*").alias("candidacies"), F.count_distinct("subject_id").alias("people"))
 

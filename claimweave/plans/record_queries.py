@@ -46,7 +46,9 @@ def entity_detail(g: Graph) -> DataFrame:
 def pollster_resolution(g: Graph) -> DataFrame:
     """Pollsters by slug of a known name, through merges; unknown ones are null."""
     s = g.raw("supplier")
-    names = s.select(F.concat(F.upper("s_name"), F.lit(" !")).alias("name")).unionByName(s.select(F.concat(F.lit("Unknown "), _text("s_suppkey"), F.lit("x")).alias("name")))
+    names = s.select(F.concat(F.upper("s_name"), F.lit(" !")).alias("name")).unionByName(
+        s.select(F.concat(F.lit("Unknown "), _text("s_suppkey"), F.lit("x")).alias("name"))
+    )
     return R.pollsters(names, g.alias(), _survivors(g))
 
 
@@ -61,11 +63,16 @@ def recorded_names(g: Graph) -> DataFrame:
     k = F.col("c_custkey")
     ids = R.mention(wikidata=_id("Q", "c_custkey"), fec=_id("F", "c_custkey"), ballotpedia=F.when(k % 5 == 0, "P1"))
     name = F.when(k % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(" Jr")))
-    mentions = g.raw("customer").select(_id("m", "c_custkey").alias("mention_id"), F.lit("person").alias("kind"), name.alias("name"), text.ascii_name(name).alias("normalized_name"), ids.alias("identifiers"))
+    mentions = g.raw("customer").select(
+        _id("m", "c_custkey").alias("mention_id"), F.lit("person").alias("kind"), name.alias("name"), text.ascii_name(name).alias("normalized_name"),
+        ids.alias("identifiers")
+    )
     resolved = R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g))
     names, fresh, owned = R.recorded(resolved, mentions, g.alias(), g.identifier(), _survivors(g))
     tell = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), "entity_id", F.col(a).alias("a"), F.col(b).alias("b"))
-    return tell(names, "alias", "normalized_name", "name").unionByName(tell(fresh, "identifier", "namespace", "value")).unionByName(tell(owned, "owned elsewhere", "namespace", "value"))
+    return tell(names, "alias", "normalized_name", "name").unionByName(tell(fresh, "identifier", "namespace", "value")).unionByName(
+        tell(owned, "owned elsewhere", "namespace", "value")
+    )
 
 
 @query("""SELECT 'r' || o_orderkey AS record_id, 'c' || o_custkey AS subject_id, 'p' || o_custkey AS object_id, '{"context":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderpriority || '"' END || ',"strength":"' || CASE WHEN o_orderstatus = 'O' THEN 'partial' ELSE 'full' END || '"}' AS value,
@@ -74,9 +81,16 @@ def ingest_endorsements(g: Graph) -> DataFrame:
     """Orders as endorsements; a record without an endorser makes no claim."""
     o = g.raw("orders")
     began = F.col("o_orderdate").cast("timestamp")
-    records = o.select(_id("r", "o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 7 > 0, _id("c", "o_custkey")).alias("endorser_id"), _id("p", "o_custkey").alias("endorsee_id"), F.when(F.col("o_orderstatus") == "O", "partial").alias("strength"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("context"), began.alias("announced"), F.when(F.col("o_orderkey") % 2 == 0, began + F.expr("interval 30 days")).alias("ended"))
+    records = o.select(
+        _id("r", "o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 7 > 0, _id("c", "o_custkey")).alias("endorser_id"),
+        _id("p", "o_custkey").alias("endorsee_id"), F.when(F.col("o_orderstatus") == "O", "partial").alias("strength"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("context"), began.alias("announced"),
+        F.when(F.col("o_orderkey") % 2 == 0, began + F.expr("interval 30 days")).alias("ended")
+    )
     made = I.ingestor("endorsement")(records)
-    return made.select("record_id", "subject_id", "object_id", "value", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to")))
+    return made.select(
+        "record_id", "subject_id", "object_id", "value", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to"))
+    )
 
 
 @query("""SELECT 'r' || o_orderkey AS record_id, 'contest_result' AS predicate, '{"place":null,"share":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderkey % 90 + 10 || '.5"' END || ',"votes":' || o_custkey || ',"won":' || CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE 'null' END || '}' AS value FROM orders
@@ -87,7 +101,9 @@ def ingest_results(g: Graph) -> DataFrame:
     share = F.when(F.col("o_orderkey") % 3 > 0, F.concat((F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(".50")))
     won = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
     base = (_id("c", "o_custkey").alias("candidate_id"), F.concat(F.lit("k"), key).alias("contest_id"))
-    results = I.results(o.select(F.concat(F.lit("r"), key).alias("record_id"), *base, F.col("o_custkey").alias("votes"), share.alias("share"), won.alias("won")))
+    results = I.results(
+        o.select(F.concat(F.lit("r"), key).alias("record_id"), *base, F.col("o_custkey").alias("votes"), share.alias("share"), won.alias("won"))
+    )
     party = F.when(F.col("o_orderstatus") != "F", F.lit("party"))
     federal = I.federal_candidacies(o.select(F.concat(F.lit("f"), key).alias("record_id"), *base, party.alias("party_id")))
     return results.unionByName(federal).select("record_id", "predicate", "value")
@@ -98,10 +114,15 @@ def ingest_results(g: Graph) -> DataFrame:
     SELECT 'r' || k AS revision_id, sample, CASE WHEN c = 1 THEN 'overall' ELSE p END AS label, p AS population, n::INTEGER AS sample_size, u.pos::INTEGER AS position, u.o AS option, CASE u.o WHEN 'Ann' THEN q ELSE 50 - q END::DECIMAL(6,3) AS percentage FROM o, (VALUES (0, 'Ann'), (1, 'Bob')) AS u(pos, o)""")
 def written_readings(g: Graph) -> DataFrame:
     """Orders as polls with a sample per line and two readings each."""
-    once = g.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"), F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag")).where("c = 1")
+    once = g.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("c"), F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag")
+    ).where("c = 1")
     q = F.col("l_quantity").cast("decimal(6,3)")
     reading = lambda n, v: F.struct(F.lit(n).alias("label"), v.cast("decimal(6,3)").alias("percentage"))
-    sample = F.struct(F.col("l_linenumber").alias("k"), F.lower("l_returnflag").alias("population"), F.col("l_linenumber").cast("int").alias("sample_size"), F.array(reading("Ann", q), reading("Bob", 50 - q)).alias("readings"))
+    sample = F.struct(
+        F.col("l_linenumber").alias("k"), F.lower("l_returnflag").alias("population"), F.col("l_linenumber").cast("int").alias("sample_size"),
+        F.array(reading("Ann", q), reading("Bob", 50 - q)).alias("readings")
+    )
     polls = once.groupBy(_id("r", "l_orderkey").alias("revision_id")).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
     return I.written_readings(polls)
 
@@ -112,7 +133,9 @@ def written_readings(g: Graph) -> DataFrame:
     UNION ALL SELECT revision_id, 'lookalike pollster' FROM r WHERE pollster_id LIKE '%5' UNION ALL SELECT revision_id, 'another reading of this poll exists' FROM r WHERE contest_id LIKE '%1998'""")
 def poll_concerns(g: Graph) -> DataFrame:
     """I8: undated polls, near duplicates, lookalike pollsters, polls of which another reading is stored."""
-    revisions = g.revisions().withColumn("ended", F.when(~F.col("revision_id").like("%7"), F.col("ended"))).withColumn("poll_id", F.col("revision_id"))
+    revisions = g.revisions().withColumn(
+        "ended", F.when(~F.col("revision_id").like("%7"), F.col("ended"))
+    ).withColumn("poll_id", F.col("revision_id"))
     like = revisions.where("pollster_id like '%5'").select("pollster_id")
     stored = revisions.where("contest_id like '%1998'").select("poll_id")
     return I.concerns(revisions, I.near_duplicates(revisions), like, stored)
@@ -123,19 +146,33 @@ def poll_concerns(g: Graph) -> DataFrame:
     UNION ALL SELECT 'supersession', 'supersede:' || sha256('{"predecessor":"k' || o_orderkey || '","successor":"k' || o_orderkey + 1 || '"}') FROM orders WHERE o_orderkey % 4 = 1""")
 def lineage_appended(g: Graph) -> DataFrame:
     """Lineage of artifacts and supersessions to append: not those stored, without a reason, or of themselves."""
-    edges = g.raw("lineitem").select(_id("p", "l_partkey").alias("parent_id"), _id("d", "l_suppkey").alias("derived_id"), F.when(F.col("l_tax") > 0.04, "text").otherwise("table").alias("kind"))
+    edges = g.raw("lineitem").select(
+        _id("p", "l_partkey").alias("parent_id"), _id("d", "l_suppkey").alias("derived_id"),
+        F.when(F.col("l_tax") > 0.04, "text").otherwise("table").alias("kind")
+    )
     stored = edges.where("kind = 'table' and derived_id like '%1'")
-    lineage = I.derive(edges, stored).select(F.lit("lineage").alias("what"), F.concat("parent_id", F.lit(">"), "derived_id", F.lit(":"), "kind").alias("key"))
+    lineage = I.derive(edges, stored).select(
+        F.lit("lineage").alias("what"), F.concat("parent_id", F.lit(">"), "derived_id", F.lit(":"), "kind").alias("key")
+    )
     k = F.col("o_orderkey")
-    links = g.raw("orders").select(F.concat(F.lit("k"), k).alias("predecessor_id"), F.concat(F.lit("k"), F.when(k % 4 == 2, k).otherwise(k + 1)).alias("successor_id"), F.when(k % 4 != 3, "ann").alias("created_by"), F.when(k % 4 != 0, "newer").otherwise(" ").alias("reason"))
-    return lineage.unionByName(I.supersede(links, _nothing(g, "idempotency_key string")).select(F.lit("supersession").alias("what"), F.col("idempotency_key").alias("key")))
+    links = g.raw("orders").select(
+        F.concat(F.lit("k"), k).alias("predecessor_id"), F.concat(F.lit("k"), F.when(k % 4 == 2, k).otherwise(k + 1)).alias("successor_id"),
+        F.when(k % 4 != 3, "ann").alias("created_by"), F.when(k % 4 != 0, "newer").otherwise(" ").alias("reason")
+    )
+    return lineage.unionByName(
+        I.supersede(links, _nothing(g, "idempotency_key string")).select(F.lit("supersession").alias("what"), F.col("idempotency_key").alias("key"))
+    )
 
 
 @query("""SELECT count(*) FILTER (o_totalprice >= 2000) AS imported, count(*) FILTER (o_totalprice < 2000) AS failed,
     count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS created, count(*) FILTER (o_totalprice >= 2000) - count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS corroborated, 0::BIGINT AS unchanged FROM orders""")
 def import_report(g: Graph) -> DataFrame:
     """Orders imported as candidacies row by row; a bad row fails alone, a claim seen before is corroborated."""
-    rows = g.raw("orders").select(_id("r", "o_orderkey").alias("record_id"), F.col("o_orderkey").alias("index"), F.lit("s").alias("snapshot"), _id("c", "o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("contest_id"), F.lit(None).cast("array<struct<entered:timestamp,left:timestamp>>").alias("stints"), "o_totalprice")
+    rows = g.raw("orders").select(
+        _id("r", "o_orderkey").alias("record_id"), F.col("o_orderkey").alias("index"), F.lit("s").alias("snapshot"),
+        _id("c", "o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("contest_id"),
+        F.lit(None).cast("array<struct<entered:timestamp,left:timestamp>>").alias("stints"), "o_totalprice"
+    )
     bad = F.when(F.col("o_totalprice") < 2000, "too small")
     none = _nothing(g, "idempotency_key string, fingerprint string")
     told, report = runs.run_import(rows, I.candidacies, bad, "run", none, none)
@@ -151,10 +188,14 @@ def run_states(g: Graph) -> DataFrame:
     key = _id("run-", "s_suppkey").alias("idempotency_key")
     moment = lambda d: F.lit(f"2026-01-0{d}").cast("timestamp")
     s = g.raw("supplier")
-    states = s.select(key, F.lit("running").alias("status"), moment(1).alias("at")).unionByName(s.select(key, F.when(k % 3 == 0, "failed").otherwise("completed").alias("status"), moment(2).alias("at")))
+    states = s.select(key, F.lit("running").alias("status"), moment(1).alias("at")).unionByName(
+        s.select(key, F.when(k % 3 == 0, "failed").otherwise("completed").alias("status"), moment(2).alias("at"))
+    )
     known = s.where("s_suppkey % 2 = 1").select(key)
     new = I.absent(s.select(key), known, ["idempotency_key"]).withColumn("appended", F.lit(True))
-    return runs.finished(states).join(new, "idempotency_key", "left").select("idempotency_key", "status", F.coalesce("appended", F.lit(False)).alias("appended"))
+    return runs.finished(states).join(new, "idempotency_key", "left").select(
+        "idempotency_key", "status", F.coalesce("appended", F.lit(False)).alias("appended")
+    )
 
 
 @query("""SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS name, CASE WHEN event_type <> 'error' THEN 'ocd-division/country:us/' || event_type || '/' || strftime(ts, '%Y-%m-%d') END AS value, event_type <> 'error' AS keyed, 'contest-key' AS namespace FROM events""")
@@ -165,7 +206,9 @@ def event_mentions(g: Graph) -> DataFrame:
     m = runs.event_mention(F.lit("ocd-division/country:us"), F.col("event_type"), F.col("ts"), fine, F.lit(None).cast("string"), title)
     derived = runs.derived_mention("contest", "contest-key", F.lit("k"), F.lit("a contest"))
     made = g.raw("events").select(_id("e", "event_id").alias("id"), m.alias("m"), derived.alias("d"))
-    return made.select("id", "m.name", F.get("m.identifiers", F.lit(0))["value"].alias("value"), "m.keyed", F.col("d.identifiers")[0]["namespace"].alias("namespace"))
+    return made.select(
+        "id", "m.name", F.get("m.identifiers", F.lit(0))["value"].alias("value"), "m.keyed", F.col("d.identifiers")[0]["namespace"].alias("namespace")
+    )
 
 
 @query("""WITH who AS (SELECT id FROM g_entity WHERE kind = 'person' AND canonical_name ILIKE '%00000001%' ORDER BY canonical_name, id LIMIT 20)
@@ -196,7 +239,10 @@ def merge_candidates(g: Graph) -> DataFrame:
 def reading_verdicts(g: Graph) -> DataFrame:
     """V4: verdicts wanted on all readings: appended, or refused for an open task or a missing reason."""
     keys = g.revisions().select(F.col("review_key").alias("target")).distinct()
-    wanted = keys.select("target", F.lit("rejected").alias("outcome"), F.lit("ann").alias("reviewer"), _id("t", "target").alias("token"), F.when(F.col("target") % 4 > 0, "seen").otherwise(" ").alias("reason"))
+    wanted = keys.select(
+        "target", F.lit("rejected").alias("outcome"), F.lit("ann").alias("reviewer"), _id("t", "target").alias("token"),
+        F.when(F.col("target") % 4 > 0, "seen").otherwise(" ").alias("reason")
+    )
     done, refused = V.decide_readings(g.task().where("priority < 30"), g.decision(), wanted)
     return done.select("target", F.lit(None).cast("string").alias("why")).unionByName(refused.select("target", "why"))
 
@@ -215,7 +261,9 @@ def task_views(g: Graph) -> DataFrame:
 def assertion_sentences(g: Graph) -> DataFrame:
     """Headlines of candidacies, and the key of a reviewer's action on each."""
     token = V.action_token("decide", claim=F.col("id"), reviewer=F.lit("ann"))
-    return g.candidacies().select("id", V.sentence(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("sentence"), token.alias("token"))
+    return g.candidacies().select(
+        "id", V.sentence(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("sentence"), token.alias("token")
+    )
 
 
 @query("SELECT id, target, status FROM g_task WHERE id = 'q77'")
@@ -229,22 +277,36 @@ def task_by_prefix(g: Graph) -> DataFrame:
     SELECT 'p' || k AS poll_id, c AS fresh, (2 + c)::INTEGER AS last, 'k' || k AS contest_id, 1::BIGINT AS estimates, 1::BIGINT AS refused FROM n""")
 def poll_revisions(g: Graph) -> DataFrame:
     """Revisions whose payload is new, numbered on; options, estimates and averages under them."""
-    polls = g.raw("lineitem").select(F.concat(F.lit("p"), (F.col("l_suppkey") % 20).cast("string")).alias("poll_id"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"), F.lit("http://x").alias("source_url")).distinct()
+    polls = g.raw("lineitem").select(
+        F.concat(F.lit("p"), (F.col("l_suppkey") % 20).cast("string")).alias("poll_id"), F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("state"), F.lit("http://x").alias("source_url")
+    ).distinct()
     seen = polling.payload(polls).where("flag = 'A' and state = 'F'").select("poll_id", "payload_hash", F.lit(2).alias("revision_number"))
     ids = polls.select("poll_id").distinct()
     stored = seen.unionByName(ids.select("poll_id", F.lit("old").alias("payload_hash"), F.lit(2).alias("revision_number")))
     new = polling.new_revisions(polls, stored)
-    averages = polling.new_average_revisions(polls.withColumnRenamed("poll_id", "poll_average_id"), stored.withColumnRenamed("poll_id", "poll_average_id"))
+    averages = polling.new_average_revisions(
+        polls.withColumnRenamed("poll_id", "poll_average_id"), stored.withColumnRenamed("poll_id", "poll_average_id")
+    )
     last = new.groupBy("poll_id").agg(F.count("*").alias("fresh"), F.max("revision_number").alias("last"))
     also = averages.groupBy(F.col("poll_average_id").alias("poll_id")).agg(F.count("*").alias("fresh"), F.max("revision_number").alias("last"))
-    questions = ids.select(F.concat(F.lit("q"), "poll_id").alias("id"), F.col("poll_id").alias("poll_revision_id"), F.concat(F.lit("k"), F.substring("poll_id", 2, 9)).alias("contest_id"), F.lit(0).alias("position"))
-    options = polling.new_options(ids.select(F.concat(F.lit("o"), "poll_id").alias("id"), F.concat(F.lit("q"), "poll_id").alias("question_id")), questions)
+    questions = ids.select(
+        F.concat(F.lit("q"), "poll_id").alias("id"), F.col("poll_id").alias("poll_revision_id"),
+        F.concat(F.lit("k"), F.substring("poll_id", 2, 9)).alias("contest_id"), F.lit(0).alias("position")
+    )
+    options = polling.new_options(
+        ids.select(F.concat(F.lit("o"), "poll_id").alias("id"), F.concat(F.lit("q"), "poll_id").alias("question_id")), questions
+    )
     samples = ids.select(F.concat(F.lit("s"), "poll_id").alias("id"), F.col("poll_id").alias("poll_revision_id"))
-    wanted = ids.select(F.concat(F.lit("o"), "poll_id").alias("option_id"), F.concat(F.lit("s"), "poll_id").alias("sample_id")).unionByName(ids.select(F.concat(F.lit("o"), "poll_id").alias("option_id"), F.lit("sx").alias("sample_id")))
+    wanted = ids.select(
+        F.concat(F.lit("o"), "poll_id").alias("option_id"), F.concat(F.lit("s"), "poll_id").alias("sample_id")
+    ).unionByName(ids.select(F.concat(F.lit("o"), "poll_id").alias("option_id"), F.lit("sx").alias("sample_id")))
     fine, refused = polling.new_estimates(wanted, options, samples)
     per = lambda df, name: df.groupBy(F.substring("option_id", 2, 9).alias("poll_id")).agg(F.count("*").alias(name))
     contests = polling.contest_of(questions).withColumnRenamed("poll_revision_id", "poll_id")
-    out = last.join(also, ["poll_id", "fresh", "last"]).join(contests, "poll_id").join(per(fine, "estimates"), "poll_id").join(per(refused, "refused"), "poll_id")
+    out = last.join(
+        also, ["poll_id", "fresh", "last"]
+    ).join(contests, "poll_id").join(per(fine, "estimates"), "poll_id").join(per(refused, "refused"), "poll_id")
     return out.select("poll_id", "fresh", "last", "contest_id", "estimates", "refused")
 
 
@@ -259,7 +321,10 @@ def catalogue_rows(g: Graph) -> DataFrame:
     stored = catalog.predicates(g.spark).where("slug = 'endorsed'")
     spec = F.concat_ws("/", "target", "time", F.array_join("subjects", "|"))
     left = catalog.seed(g.spark, stored).select(F.lit("predicate").alias("what"), "slug", "version_id", spec.alias("spec"))
-    spaces = catalog.active_namespaces(g.spark).select(F.lit("namespace").alias("what"), F.col("namespace").alias("slug"), F.lit(None).cast("string").alias("version_id"), _text("precedence").alias("spec"))
+    spaces = catalog.active_namespaces(g.spark).select(
+        F.lit("namespace").alias("what"), F.col("namespace").alias("slug"), F.lit(None).cast("string").alias("version_id"),
+        _text("precedence").alias("spec")
+    )
     return left.unionByName(spaces)
 
 
@@ -300,16 +365,24 @@ def checked_columns(g: Graph) -> DataFrame:
 @query("""SELECT id, id LIKE '%7' AS bad_value, CASE WHEN id NOT LIKE '%7' THEN (value->>'votes')::BIGINT END AS votes FROM g_result""")
 def typed_payloads(g: Graph) -> DataFrame:
     """Payloads read by their contract; one with an unknown key is flagged and void."""
-    rows = g.results().withColumn("value", F.when(F.col("id").like("%7"), F.replace("value", F.lit("}"), F.lit(',"extra":1}'))).otherwise(F.col("value")))
-    return C.values(rows, "votes BIGINT, share STRING, place INT, won BOOLEAN", ("votes", "share", "place", "won")).select("id", "bad_value", F.col("payload.votes").alias("votes"))
+    rows = g.results().withColumn(
+        "value", F.when(F.col("id").like("%7"), F.replace("value", F.lit("}"), F.lit(',"extra":1}'))).otherwise(F.col("value"))
+    )
+    return C.values(
+        rows, "votes BIGINT, share STRING, place INT, won BOOLEAN", ("votes", "share", "place", "won")
+    ).select("id", "bad_value", F.col("payload.votes").alias("votes"))
 
 
 @query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE 'organization' END AS new_kind FROM customer WHERE c_custkey % 3 = 0""")
 def kind_promotions(g: Graph) -> DataFrame:
     """R2: entities stored as other that a mention knows better."""
-    entities = g.entity().where("kind = 'person'").withColumn("kind", F.when(F.substring("id", 2, 9).cast("long") % 3 == 0, "other").otherwise("person"))
+    entities = g.entity().where("kind = 'person'").withColumn(
+        "kind", F.when(F.substring("id", 2, 9).cast("long") % 3 == 0, "other").otherwise("person")
+    )
     k = F.col("c_custkey")
-    mentions = g.raw("customer").select(_id("m", "c_custkey").alias("mention_id"), F.when(k % 2 == 0, "person").otherwise("organization").alias("kind"))
+    mentions = g.raw("customer").select(
+        _id("m", "c_custkey").alias("mention_id"), F.when(k % 2 == 0, "person").otherwise("organization").alias("kind")
+    )
     resolved = g.raw("customer").select(_id("m", "c_custkey").alias("mention_id"), _id("c", "c_custkey").alias("entity_id"))
     return R.kind_promotions(resolved, mentions, entities)
 
@@ -326,10 +399,14 @@ def cited_sources(g: Graph) -> DataFrame:
             raise TimeoutError("too slow")
         return (404, b"") if k % 5 == 2 else (200, bytes((32 << 20) + 1) if k % 5 == 4 else f"body {k}".encode())
 
-    records = g.raw("pages").select(F.col("page_id").alias("record_id"), F.concat(F.lit("http://"), (F.col("page_id") % 40).cast("string")).alias("url"))
+    records = g.raw("pages").select(
+        F.col("page_id").alias("record_id"), F.concat(F.lit("http://"), (F.col("page_id") % 40).cast("string")).alias("url")
+    )
     fine, skipped = fetch.cited(records, fetch.fetched(records.select("url"), get))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    return fine.select("record_id", "sha256", none("string", "error"), none("boolean", "retryable")).unionByName(skipped.select("record_id", none("string", "sha256"), "error", "retryable"))
+    return fine.select(
+        "record_id", "sha256", none("string", "error"), none("boolean", "retryable")
+    ).unionByName(skipped.select("record_id", none("string", "sha256"), "error", "retryable"))
 
 
 @query("""SELECT event_type AS finish_reason, count(*) AS answers, event_type IN ('error') AS failed FROM events GROUP BY 1""")

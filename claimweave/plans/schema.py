@@ -44,7 +44,11 @@ TABLES = {
     "political_event_projection_claim": "event_entity_id STRING, claim_id STRING, field_name STRING, created_at TIMESTAMP",
 }
 #: Tables that only ever grow.
-APPEND_ONLY = ("claim", "claim_assertion", "claim_supersession", "evidence_anchor", "artifact", "source_snapshot", "artifact_derivation", "poll_revision", "poll_sample", "poll_question", "poll_option", "poll_estimate", "poll_average_revision", "poll_average_estimate", "review_decision", "entity_redirect")
+APPEND_ONLY = (
+    "claim", "claim_assertion", "claim_supersession", "evidence_anchor", "artifact", "source_snapshot", "artifact_derivation", "poll_revision",
+    "poll_sample", "poll_question", "poll_option", "poll_estimate", "poll_average_revision", "poll_average_estimate", "review_decision",
+    "entity_redirect"
+)
 
 
 def schema(name: str) -> StructType:

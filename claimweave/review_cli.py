@@ -61,7 +61,10 @@ class Desk:
     def decide(self, prefix: str, outcome: str, reviewer: str, reason: str) -> str:
         task = review.find_task(self.tasks(), prefix).first()
         token = F.lit(f"{outcome}:{task['id']}")
-        wanted = self.spark.range(1).select(F.lit(task["id"]).alias("task_id"), F.lit(outcome).alias("outcome"), F.lit(reviewer).alias("reviewer"), token.alias("token"), F.lit(reason).alias("reason"))
+        wanted = self.spark.range(1).select(
+            F.lit(task["id"]).alias("task_id"), F.lit(outcome).alias("outcome"), F.lit(reviewer).alias("reviewer"), token.alias("token"),
+            F.lit(reason).alias("reason")
+        )
         appended, refused = review.decide(self.tasks(), self.table("decisions"), wanted)
         if why := refused.first():
             raise ValueError(why["why"])

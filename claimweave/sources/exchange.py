@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Prices are decimal strings of dollars.
 DOLLARS = ("yes_bid_dollars", "yes_ask_dollars", "no_bid_dollars", "no_ask_dollars", "last_price_dollars")
-_MARKET = "ticker STRING, title STRING, status STRING, open_time STRING, close_time STRING, volume BIGINT, " + ", ".join(f"{c} STRING" for c in DOLLARS)
+_MARKET = "ticker STRING, title STRING, status STRING, open_time STRING, close_time STRING, volume BIGINT, " + ", ".join(
+    f"{c} STRING" for c in DOLLARS
+)
 EVENT = f"event STRUCT<event_ticker: STRING, title: STRING, category: STRING>, markets ARRAY<STRUCT<{', '.join(p.replace(' ', ': ', 1) for p in _MARKET.split(', '))}>>"
 
 

@@ -50,4 +50,6 @@ def cited(records: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     told = records.join(found.select("url", F.sha2("content", 256).alias("sha256"), "error", "retryable"), "url", "left")
     fine = told.where("sha256 is not null").select("record_id", "url", "sha256", canon.content_key(F.col("sha256")).alias("content_key"))
-    return fine, told.where("sha256 is null").select("record_id", "url", F.coalesce("error", F.lit("no url")).alias("error"), F.coalesce("retryable", F.lit(False)).alias("retryable"))
+    return fine, told.where("sha256 is null").select(
+        "record_id", "url", F.coalesce("error", F.lit("no url")).alias("error"), F.coalesce("retryable", F.lit(False)).alias("retryable")
+    )

@@ -26,7 +26,9 @@ class ObjectStore:
 
     def put(self, contents: DataFrame) -> DataFrame:
         """Store ``contents(content)`` once each; objects over the size limit are refused. -> (sha256, key)."""
-        hashed = contents.where("content is not null").select(F.sha2("content", 256).alias("sha256"), "content", F.octet_length("content").cast("long").alias("byte_length"))
+        hashed = contents.where("content is not null").select(
+            F.sha2("content", 256).alias("sha256"), "content", F.octet_length("content").cast("long").alias("byte_length")
+        )
         fine = hashed.where(F.col("byte_length") <= MAX_BYTES).dropDuplicates(["sha256"])
         fine.join(self.objects().select("sha256"), "sha256", "left_anti").write.mode("append").parquet(self.path)
         return hashed.where(F.col("byte_length") <= MAX_BYTES).select("sha256", canon.content_key(F.col("sha256")).alias("key")).distinct()
