@@ -22,7 +22,12 @@ class BoostedTrees:
         if len(np.unique(y)) < 2:
             return self
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        edges = [e if e.min(initial=0) > c.min() or len(np.unique(c)) < 2 else np.unique(np.concatenate((e, np.quantile(c[c > c.min()], np.linspace(0, 0.9, 8)) - 1e-12))) for e, c in zip(edges, x.T)]
+        edges = [
+            e if e.min(initial=0) > c.min() or len(np.unique(c)) < 2 else np.unique(
+                np.concatenate((e, np.quantile(c[c > c.min()], np.linspace(0, 0.9, 8)) - 1e-12))
+            ) for e,
+            c in zip(edges, x.T)
+        ]
         bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
         width, margin = max(len(e) for e in edges) + 1, np.full(len(y), self.base)
         features, cuts, leaves = [], [], []

@@ -47,7 +47,9 @@ def _usable(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0)
     fine = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
-    return rows.where(fine).select("vec_id", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g")), rows.where(~fine).select("vec_id")
+    return rows.where(fine).select(
+        "vec_id", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g")
+    ), rows.where(~fine).select("vec_id")
 
 
 def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -66,7 +68,13 @@ def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 codes = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(whole)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
                 payload = np.hstack([np.ascontiguousarray(x).view(np.uint8), codes.view(np.uint8)])
-                yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(mine)), pa.array(np.full(len(mine), dim, np.int32)), lists, pa.array([p.tobytes() for p in payload], pa.binary())], ["c", "dim", "codes", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("c").take(pa.array(mine)), pa.array(np.full(len(mine), dim, np.int32)), lists,
+                        pa.array([p.tobytes() for p in payload], pa.binary())
+                    ],
+                    ["c", "dim", "codes", "payload"]
+                )
 
     return classes.select("c", "x").mapInArrow(run, f"c long, dim int, codes array<{'int' if bits < 32 else 'long'}>, payload binary")
 
@@ -135,9 +143,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     found = scratch.table(found, "links")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("c").alias("u"), F.col("other").alias("v")), scratch)
-    each = classes.select("h", "g", "c", "n", "least").join(links, "c", "left").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left")
-    each = scratch.table(each.select("h", "g", "least", F.coalesce("root", "c").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "each")
-    each = scratch.table(each.join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h", "g", "n_links", "component_id"), "told")
+    each = classes.select("h", "g", "c", "n", "least").join(links, "c", "left").join(
+        roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left"
+    )
+    each = scratch.table(
+        each.select("h", "g", "least", F.coalesce("root", "c").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
+        "each"
+    )
+    each = scratch.table(
+        each.join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h", "g", "n_links", "component_id"), "told"
+    )
     linked = usable.select("vec_id", "h", "g").join(each, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("component_id") == F.col("vec_id"))

@@ -114,7 +114,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = met.select("sh").distinct()
     sizes = scratch.table(each.join(members, "sh").select("sh", "n", "least.doc_id", "least.th"), "members")
     sets = scratch.table(_sets(docs, sizes), "sets")
-    first = scratch.table(alike(met.where("sh <> lead").select(F.least("lead", "sh").alias("u"), F.greatest("lead", "sh").alias("v")).distinct(), sizes, sets), "first")
+    first = scratch.table(
+        alike(met.where("sh <> lead").select(F.least("lead", "sh").alias("u"), F.greatest("lead", "sh").alias("v")).distinct(), sizes, sets), "first"
+    )
     joined = connected_components(first, scratch, "first").select(F.col("u").alias("sh"), F.col("v").alias("root"))
     placed = scratch.table(met.join(joined, "sh", "left").select("key", "sh", "lead", F.coalesce("root", "sh").alias("root")), "placed")
     open_ = scratch.table(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "open")

@@ -60,7 +60,9 @@ class PieceModel:
             scores = [p.score for p in proto.pieces if p.type == NORMAL]
             low, high = min(scores, default=0.0), max(scores, default=0.0)
             self.ids = {p.piece: i for i, p in enumerate(proto.pieces)}
-            self.score = {p.piece: p.score if p.type == NORMAL else len(p.piece) * high - 0.1 for p in proto.pieces if p.type in (NORMAL, USER_DEFINED)}
+            self.score = {
+                p.piece: p.score if p.type == NORMAL else len(p.piece) * high - 0.1 for p in proto.pieces if p.type in (NORMAL, USER_DEFINED)
+            }
             self.unknown, self.unk_id = low - UNK_PENALTY, self.processor.unk_id()
             self.reach = max(map(len, self.score), default=1)
             self.bytes = [self.ids.get(f"<0x{b:02X}>") for b in range(256)] if proto.trainer_spec.byte_fallback else None
@@ -225,7 +227,10 @@ def _encode_giants(docs: DataFrame, path: str, size: int) -> DataFrame:
             for row, text in zip(b.column("__row").to_pylist(), b.column("text").to_pylist()):
                 chunks = PieceModel.of(path).cut(text, size)
                 n = len(chunks)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n), pa.array(range(n), pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array(chunks)], ["__row", "part", "last", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * n), pa.array(range(n), pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array(chunks)],
+                    ["__row", "part", "last", "s"]
+                )
 
     chunks = giants.select("__row", "text").mapInArrow(cut, "__row long, part int, last boolean, s string").repartition(parts, "__row", "part")
 
@@ -257,7 +262,9 @@ def _encode_giants(docs: DataFrame, path: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("part"), _lists(ids)], ["__row", "part", "ids"])
 
         # A tree of two levels: runs of chunks are multiplied apart, one task walks a text's runs, then each run its chunks.
-        each = scratch.table(chunks.mapInArrow(matrices, "__row long, part int, m binary").withColumn("run", F.floor(F.col("part") / RUN).cast("int")), "matrices")
+        each = scratch.table(
+            chunks.mapInArrow(matrices, "__row long, part int, m binary").withColumn("run", F.floor(F.col("part") / RUN).cast("int")), "matrices"
+        )
         runs = each.groupBy("__row", "run").applyInPandas(multiply, "__row long, run int, m binary")
         ends = runs.groupBy("__row").applyInPandas(lambda rows: walk(rows, "run"), "__row long, run int, entry int, leave int")
         told = each.join(ends, ["__row", "run"]).groupBy("__row", "run")
@@ -299,7 +306,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = b.column("ids").to_pylist()
             texts = iter(PieceModel.of(path).decode([x for x in ids if x is not None]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else next(texts) for x in ids], pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([None if x is None else next(texts) for x in ids], pa.string())], [*b.schema.names, "decoded"]
+            )
 
     return own.mapInArrow(run, f"{_schema(own)}, decoded string")
 
@@ -315,7 +324,12 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
             lists = b.column("ids")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(values[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), b.column("round_trip")], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
-
-    same = decode(encoded, path).select(F.col("doc_id").cast("long").alias("doc_id"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), b.column("round_trip")],
+                ["doc_id", "n_tokens", "ids_crc32", "round_trip"]
+            )
+
+    same = decode(encoded, path).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
     return same.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

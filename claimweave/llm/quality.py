@@ -25,7 +25,9 @@ RIDGE = 1e-4
 SEED = 7
 SUM_PARTITIONS = 16  # matrices of (FEATURES + 1)^2 doubles that reach the driver
 BINS = 400
-_CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:'\"()-", b"!?", b"|", b"%&$#*@^~=+<>/\\_{}[]`")
+_CLASSES = (
+    b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:'\"()-", b"!?", b"|", b"%&$#*@^~=+<>/\\_{}[]`"
+)
 _KIND = np.zeros(256, np.uint8)
 for _k, _c in enumerate(_CLASSES, 1):
     _KIND[list(_c)] = _k
@@ -47,7 +49,10 @@ def statistics(text: str | None) -> list[float]:
     repeated = sum(map(eq, words, words[1:])) / n
     dup_lines = 1 - len(set(lines)) / max(1, len(lines))
     upper = kinds[2] / max(1e-9, kinds[1] + kinds[2])
-    return [*kinds.tolist(), float(np.log1p(n)), len(raw) / n, len(count) / n, max(count.values()) / n, repeated, dup_lines, float(np.log1p(n / max(1, len(lines)))), float(-(share * np.log(share)).sum()), float(upper)]
+    return [
+        *kinds.tolist(), float(np.log1p(n)), len(raw) / n, len(count) / n, max(count.values()) / n, repeated, dup_lines,
+        float(np.log1p(n / max(1, len(lines)))), float(-(share * np.log(share)).sum()), float(upper)
+    ]
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -57,7 +62,9 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """``rows`` with a column ``label`` (0 or 1) for ids that have one; repeated ids take their largest label."""
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("double").alias("label"))
+    one = labels.where(
+        F.col(label).isNotNull() & F.col("doc_id").isNotNull()
+    ).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("double").alias("label"))
     return rows.join(one, "doc_id")
 
 
@@ -142,7 +149,9 @@ def fit(rows: DataFrame) -> KernelRidge:
 
     unseen = rows.where(aside)
     for held in (unseen, rows):  # all rows where none is set aside
-        found = held.mapInArrow(bins, "bin long, label double").groupBy("bin").agg(F.sum("label").alias("good"), F.count("*").alias("total")).collect()
+        found = held.mapInArrow(bins, "bin long, label double").groupBy("bin").agg(
+            F.sum("label").alias("good"), F.count("*").alias("total")
+        ).collect()
         if found:
             model.calibrate = Isotonic(*(np.array([float(r[k]) for r in found]) for k in ("bin", "good", "total")))
             break
@@ -168,4 +177,6 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     held = (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out")
-    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "doc_id long, score double").select(
+        "doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

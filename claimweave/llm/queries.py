@@ -77,7 +77,12 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_toxicity, op4_warc, op5_token_store, op6_topk, op7_simhash, op8_mixing, op9_embedding_dedup, op10_substring)}
+    return {
+        f.__name__: f for f in (
+            op1_quality, op2_sentencepiece, op3_toxicity, op4_warc, op5_token_store, op6_topk, op7_simhash, op8_mixing, op9_embedding_dedup,
+            op10_substring
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

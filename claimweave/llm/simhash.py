@@ -91,7 +91,12 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 def linked(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct ``fp`` -> ``(u, v)``: the component of every fingerprint that is not the smallest of its own."""
     masks = covering_masks()
-    cand = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)))).alias("c")).select("fp", "c.t", "c.key")
+    cand = fps.select(
+        "fp",
+        F.explode(
+            F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)))
+        ).alias("c")
+    ).select("fp", "c.t", "c.key")
     shared = cand.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "key")
     near = cand.join(shared, ["t", "key"], "left_semi")
     flips = F.lit(None)
@@ -119,9 +124,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.table(with_fingerprints(docs), "rows")
     who = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
     each = scratch.table(rows.groupBy("fp").agg(F.min(who).alias("least")), "each")
-    joined = each.join(linked(each.select("fp"), scratch), each["fp"] == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    joined = each.join(
+        linked(each.select("fp"), scratch), each["fp"] == F.col("u"), "left"
+    ).select("fp", "least", F.coalesce("v", "fp").alias("root"))
     roots = joined.groupBy("root").agg(F.min("least").alias("best"))
-    of = joined.join(roots, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th"))
+    of = joined.join(roots, "root").select(
+        "fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th")
+    )
     return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id", "keep_id", "keep_th")
 
 

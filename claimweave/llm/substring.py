@@ -112,7 +112,13 @@ def _parse(docs: DataFrame) -> DataFrame:
             if parts:
                 key, run_, i0, n = (np.concatenate(x) for x in zip(*parts))
                 own = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(own), b.column("th").take(own), pa.array(key.view(np.int64)), pa.array(run_.view(np.int64)), pa.array(i0.astype(np.int64)), pa.array(n.astype(np.int32))], ["id", "th", "key", "run", "i0", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id").take(own), b.column("th").take(own), pa.array(key.view(np.int64)), pa.array(run_.view(np.int64)),
+                        pa.array(i0.astype(np.int64)), pa.array(n.astype(np.int32))
+                    ],
+                    ["id", "th", "key", "run", "i0", "n"]
+                )
 
     return _rows(docs).drop("doc_id").mapInArrow(run, "id long, th long, key long, run long, i0 long, n int")
 
@@ -132,7 +138,9 @@ def _look_inside(docs: DataFrame, runs: DataFrame) -> DataFrame:
                     h = _windows(words[r["i0"] : r["i0"] + r["n"] + WINDOW - 1])
                     for x, y in zip(out, ([r["key"]] * r["n"], [r["run"]] * r["n"], [r["c"]] * r["n"], range(r["n"]), h.view(np.int64).tolist())):
                         x.extend(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["key", "run", "c", "o", "h"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["key", "run", "c", "o", "h"]
+            )
 
     return both.mapInArrow(run, "key long, run long, c long, o int, h long")
 
@@ -220,7 +228,10 @@ def replace_text(docs: DataFrame) -> DataFrame:
                     words = t.encode().split()
                     t = b" ".join(w for w, x in zip(words, covered(len(words), s).tolist()) if not x).decode()
                 kept.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else c for n, c in zip(b.schema.names, b.columns) if n != "__spans"], [n for n in b.schema.names if n != "__spans"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kept, pa.string()) if n == "text" else c for n, c in zip(b.schema.names, b.columns) if n != "__spans"],
+                [n for n in b.schema.names if n != "__spans"]
+            )
 
     out = both.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

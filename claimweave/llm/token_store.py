@@ -107,7 +107,10 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             n = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = np.concatenate(([0], np.cumsum(n)))
             arrays = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), b.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(n), arrays], ["block", "doc_id", "start_in_block", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), block, np.int32)), b.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(n), arrays],
+                ["block", "doc_id", "start_in_block", "n_tokens", "ids"]
+            )
             start += int(offsets[-1])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -146,7 +149,10 @@ def digests(store: DataFrame) -> DataFrame:
             lists = b.column("ids")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(values[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
+                ["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
 
     return store.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

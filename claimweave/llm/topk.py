@@ -68,7 +68,9 @@ class ImpactIndex:
         """Rows (segment, ids, starts, rows, values) as bytes; read() makes the index of them again."""
         for s, (starts, rows, values) in enumerate(self.segments):
             small = len(values) and np.abs(values).max() >= 1 << 31
-            yield s, self.ids.tobytes() if not s else b"", starts.astype(np.int32).tobytes(), rows.tobytes(), values.astype(np.int64 if small else np.int32).tobytes()
+            yield s, self.ids.tobytes() if not s else b"", starts.astype(np.int32).tobytes(), rows.tobytes(), values.astype(
+                np.int64 if small else np.int32
+            ).tobytes()
 
     @classmethod
     def read(cls, stored: pd.DataFrame) -> "ImpactIndex":

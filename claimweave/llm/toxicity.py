@@ -33,9 +33,13 @@ STEMS = range(3, 9)
 NEAR = 5
 MEMO_WORDS = 300_000
 #: Words that address the reader, in some European languages.
-SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros su sus".split())
+SECOND_PERSON = frozenset(
+    "you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros su sus".split()
+)
 #: Common insults in the same languages, known before anything is learned.
-INSULTS = frozenset("idiot moron stupid dumb loser pathetic scum worthless trash disgusting imbecile jerk bastard bitch filth vermin retard idiote débile connard salope ordure crétin dummkopf trottel arschloch abschaum versager miststück estúpido imbécil basura asqueroso inútil escoria pendejo".split())
+INSULTS = frozenset(
+    "idiot moron stupid dumb loser pathetic scum worthless trash disgusting imbecile jerk bastard bitch filth vermin retard idiote débile connard salope ordure crétin dummkopf trottel arschloch abschaum versager miststück estúpido imbécil basura asqueroso inútil escoria pendejo".split()
+)
 KNOWN_WEIGHT = 3.0
 #: Signs and digits that stand for letters.
 _PLAIN = str.maketrans("0134578@$!€", "oieastbasie")
@@ -126,12 +130,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     upper, lower = count[65:91].sum(), count[97:123].sum()
     signs = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
     hidden, shaped = int((code & _HIDDEN > 0).sum()), int((code & _SHAPE > 0).sum())
-    return [len(hit) / n, float(np.log1p(len(hit))), most, weight / n, hidden / n, float(hidden), shaped / n, len(you) / n, near / n, float(near), float(upper / max(1, upper + lower)), float(count[33] / size), float(signs / size), float(count[48:58].sum() / size), float(np.log1p(n))]
+    return [
+        len(hit) / n, float(np.log1p(len(hit))), most, weight / n, hidden / n, float(hidden), shaped / n, len(you) / n, near / n, float(near),
+        float(upper / max(1, upper + lower)), float(count[33] / size), float(signs / size), float(count[48:58].sum() / size), float(np.log1p(n))
+    ]
 
 
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` training labels (doc_id, label), the same in every run."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    rows = labels.where(
+        F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
+    ).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     train = rows.where(fold(F.col("doc_id"), FOLDS) != HELD)
     n = train.count()
     if n > 2 * limit:  # most rows needn't reach the sort: those kept have hashes near the bottom of the range
@@ -176,7 +185,9 @@ def learn_lexicon(train: DataFrame) -> tuple[Lexicon, tuple[Lexicon, Lexicon]]:
                 words = {w.strip(_EDGE) for w in set((t or "").lower().split())}
                 counts[2 * half + y].update({g for w in words if len(w) > 2 and w not in SECOND_PERSON for g in grams(w)})
             keys = list(set().union(*counts))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["gram", "c0", "t0", "c1", "t1"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["gram", "c0", "t0", "c1", "t1"]
+            )
 
     totals = {(r["half"], r["label"]): r["count"] for r in apart.groupBy("half", "label").count().collect()}
     toxic, clean = (sum(totals.get((h, y), 0) for h in (0, 1)) for y in (1, 0))
@@ -185,14 +196,21 @@ def learn_lexicon(train: DataFrame) -> tuple[Lexicon, tuple[Lexicon, Lexicon]]:
     counted = apart.select("text", "label", "half").mapInArrow(run, "gram string, c0 long, t0 long, c1 long, t1 long")
     found = counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
     found = Scratch(train.sparkSession, "lexicon").table(found.where("t0 + t1 > 0"), "grams")
-    spread = found.groupBy((F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")).alias("k")).agg(F.count("*"), F.count_if(F.expr("c0 + c1 = 0"))).collect()
+    spread = found.groupBy(
+        (F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")).alias("k")
+    ).agg(F.count("*"), F.count_if(F.expr("c0 + c1 = 0"))).collect()
     least = least_support([tuple(r) for r in spread], toxic / (toxic + clean))
     best = found.where(f"t0 + t1 >= {least} and t0 + t1 >= {LEAST_PRECISION} * (t0 + t1 + c0 + c1)").collect()
 
     def lexicon(halves: tuple[int, ...]) -> Lexicon:
         nt, nc = (sum(totals.get((h, y), 0) for h in halves) for y in (1, 0))
         rows = ((r["gram"], sum(r[f"t{h}"] for h in halves), sum(r[f"c{h}"] for h in halves)) for r in best)
-        return Lexicon({g: float(np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))) for g, t, c in rows if t >= least * len(halves) / 2 and t >= LEAST_PRECISION * (t + c)})
+        return Lexicon(
+            {
+                g: float(np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))) for g, t,
+                c in rows if t >= least * len(halves) / 2 and t >= LEAST_PRECISION * (t + c)
+            }
+        )
 
     return lexicon((0, 1)), (lexicon((1,)), lexicon((0,)))
 

@@ -34,7 +34,9 @@ def decided(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, digest, refers_to`` per row: refers_to is null for a response."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")
+    ).where("n > 1").drop("n")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -42,7 +44,10 @@ def decided(pages: DataFrame) -> DataFrame:
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member. A revisit holds the HTTP head, whose Content-Length tells the payload's size, and no payload."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}"]
+    head = [
+        "WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {_DATE}"
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
@@ -84,7 +89,10 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame
         if out is not None:
             out.close()
             done.append((path, size))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}{p.removeprefix(top)}" for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f"{folder}{p.removeprefix(top)}" for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())],
+            ["path", "bytes"]
+        )
 
     return scratch.table(decided(pages).mapInArrow(run, "path string, bytes long"), "files")
 
@@ -157,15 +165,23 @@ def parsed(record: bytes) -> dict:
     digest = hashlib.sha256(payload).hexdigest() if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if digest != fields["WARC-Payload-Digest"].removeprefix("sha256:") or kind == "response" and len(payload) != size:
         raise ValueError("a payload differs from its digest")
-    return {"page_id": ident("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": ident("WARC-Refers-To"), "payload": payload if kind == "response" else None}
+    return {
+        "page_id": ident("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
+        "record_type": kind, "refers_to": ident("WARC-Refers-To"), "payload": payload if kind == "response" else None
+    }
 
 
-_FIELDS = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "payload": "binary"}
+_FIELDS = {
+    "page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long",
+    "payload": "binary"
+}
 
 
 def read_archives(spark: SparkSession, files: DataFrame, columns: tuple[str, ...] = tuple(_FIELDS), split: int = SPLIT_BYTES) -> DataFrame:
     """Records of ``files(path, bytes)``: the named columns, one row per record. Payloads are decoded one at a time."""
-    ranges = files.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
+    ranges = files.where("bytes > 0").select(
+        "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")
+    )
     schema = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[_FIELDS[c]]) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
