@@ -1,13 +1,16 @@
 """The pipeline's stages, each against what it must do."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import mixing, near_copies, queries, toxicity
+from claimweave.llm import mixing, near_copies, piece_codec, queries, toxicity
+from tests.llm.test_near_copies import brute_links, keepers
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,3 +66,46 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == columns
     theirs = Counter(tuple(row[names.index(c)] for c in columns) for row in relation.fetchall())
     assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == theirs
+
+
+def brute_kept_words(texts, w=35):
+    """The texts without the words of windows that start anywhere else, too; untouched texts as they are."""
+    cut = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(x[i : i + w]) for x in cut for i in range(len(x) - w + 1))
+    for t, x in zip(texts, cut):
+        gone = {j for i in range(len(x) - w + 1) if seen[tuple(x[i : i + w])] > 1 for j in range(i, i + w)}
+        yield b" ".join(y for i, y in enumerate(x) if i not in gone).decode() if gone else t
+
+
+def brute_copies(rows):
+    """How often each (doc_id, text, source) is taken: targets by bisection, then the whole part and one draw."""
+    size = {r: len((r[1] or "").encode().split()) for r in rows}
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[r] for r in rows if r[2] == s) for s in sources}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    low, high, whole = 0.0, 3.0 * sum(own.values()), sum(own.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * own[s], level * weight[s]) for s in sources) < whole else (low, level)
+    rate = {s: min(3 * own[s], high * weight[s]) / own[s] if own[s] else 0.0 for s in sources}
+    for r in rows:
+        seeded = f"{mixing.SEED}|{'' if r[0] is None else r[0]}|{r[1] or ''}"
+        draw = int(hashlib.md5(seeded.encode()).hexdigest()[:13], 16) / 2**52
+        yield int(rate[r[2]]) + (draw < rate[r[2]] - int(rate[r[2]]))
+
+
+def test_run_equals_brute_force_from_end_to_end(spark, docs):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    model = toxicity.fit(docs, labels)
+    rows = [r for r, s in zip(rows, model.scores([r[1] for r in rows])) if s < toxicity.THRESHOLD]
+    links = [(i, j) for i, j, apart in brute_links([r[:2] for r in rows]) if apart < 99]
+    kept = set(keepers([r[:2] for r in rows], links))
+    rows = [r for r in rows if r[0] in kept]
+    rows = [(r[0], t, r[2]) for r, t in zip(rows, brute_kept_words([r[1] for r in rows]))]
+    piece = piece_codec.PieceModel.of(public_tokenizers.path("piece_bpe_32k.model")).processor
+    expected = Counter()
+    for r, n in zip(rows, brute_copies(rows)):
+        expected[r[0], tuple(piece.encode(r[1] or ""))] += n
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, FOLDER).collect())
+    assert got == +expected
