@@ -84,8 +84,10 @@ def _federal_file(g: Graph) -> DataFrame:
     return g.raw("customer").select(F.concat_ws("|", *(fields.get(c, F.lit("")) for c in delimited.FEDERAL_COLUMNS)).alias("value"))
 
 
-@query(f"""WITH {_FILE} SELECT id AS "CAND_ID", 'DOE, ' || c_name AS "CAND_NAME", CASE WHEN office = 'P' OR state <> '' THEN {_PLACE} || '/2026/primary/' || ['democratic', 'republican', 'independent', 'wfp'][k % 13 % 4 + 1] END AS contest_key,
-    CASE WHEN office <> 'P' AND state = '' THEN id || ' has no office state' END AS error FROM f JOIN customer ON c_custkey = k WHERE office <> 'X' AND status <> 'P' AND year = 2026""")
+@query(f"""WITH {_FILE} SELECT id AS "CAND_ID", 'DOE, ' || c_name AS "CAND_NAME", CASE WHEN office = 'P'
+    OR state <> '' THEN {_PLACE} || '/2026/primary/' || ['democratic', 'republican', 'independent', 'wfp'][k % 13 % 4 + 1] END AS contest_key,
+    CASE WHEN office <> 'P' AND state = '' THEN id || ' has no office state' END AS error FROM f JOIN customer ON c_custkey = k WHERE office <> 'X'
+    AND status <> 'P' AND year = 2026""")
 def federal_contest_keys(g: Graph) -> DataFrame:
     """A candidate file, written and read; usable rows with the party in their key."""
     folder = landing(g.spark, "federal")
@@ -101,10 +103,13 @@ _DIVISIONS = (
 _FINE = ("ocd-division/country:us", "ocd-division/country:us/state:wi", None, None, "ocd-division/country:us/district:d_c.x~1")
 
 
-@query(f"""WITH k AS (SELECT o_orderkey, {_sql_pick('o_orderkey', *_FINE)} AS d, year(o_orderdate) - CASE WHEN o_orderkey % 11 = 0 THEN 300 ELSE 0 END AS y, {_sql_pick('o_orderkey // 5', 'primary', 'general', 'runoff', 'Primary')} AS s,
+@query(f"""WITH k AS (SELECT o_orderkey, {_sql_pick('o_orderkey', *_FINE)} AS d, year(o_orderdate) - CASE
+    WHEN o_orderkey % 11 = 0 THEN 300 ELSE 0 END AS y, {_sql_pick('o_orderkey // 5', 'primary', 'general', 'runoff', 'Primary')} AS s,
         {_sql_pick('o_orderkey // 20', None, 'working-families')} AS p FROM orders),
-    b AS (SELECT *, CASE WHEN d IS NOT NULL AND y >= 1788 AND s <> 'Primary' AND (p IS NULL OR s <> 'general') THEN d || '/us-senate/' || y || '/' || s || coalesce('/' || p, '') END AS key FROM k)
-    SELECT o_orderkey, key, CASE WHEN key IS NOT NULL THEN p END AS party, CASE WHEN key IS NOT NULL THEN d || '/us-senate/' || y || '/general' END AS successor FROM b""")
+    b AS (SELECT *, CASE WHEN d IS NOT NULL AND y >= 1788 AND s <> 'Primary' AND (p IS NULL
+    OR s <> 'general') THEN d || '/us-senate/' || y || '/' || s || coalesce('/' || p, '') END AS key FROM k)
+    SELECT o_orderkey, key, CASE WHEN key IS NOT NULL THEN p END AS party, CASE
+    WHEN key IS NOT NULL THEN d || '/us-senate/' || y || '/general' END AS successor FROM b""")
 def contest_key_rules(g: Graph) -> DataFrame:
     """Built from text for people; odd characters, other prefixes, cycles and stages, and a general's party are refused."""
     k = F.col("o_orderkey")
@@ -123,8 +128,10 @@ def contest_key_rules(g: Graph) -> DataFrame:
 _LEVEL = "CASE n_nationkey % 4 WHEN 0 THEN 'state' WHEN 1 THEN 'county' WHEN 2 THEN 'precinct' ELSE 'state' END"
 
 
-@query(f"""WITH d AS (SELECT n_nationkey AS k, 'ocd-division/country:us/' || {_LEVEL} || ':n' || n_nationkey AS id, CASE WHEN n_nationkey % 5 = 3 THEN '' ELSE n_name || ', "the"' END AS name, {_LEVEL} AS level FROM nation)
-    SELECT id, name, level, name <> '' AND level <> 'precinct' AS kept, CASE WHEN name <> '' AND level <> 'precinct' THEN lower(name) END AS normalized_name FROM d""")
+@query(f"""WITH d AS (SELECT n_nationkey AS k, 'ocd-division/country:us/' || {_LEVEL} || ':n' || n_nationkey AS id, CASE
+    WHEN n_nationkey % 5 = 3 THEN '' ELSE n_name || ', "the"' END AS name, {_LEVEL} AS level FROM nation)
+    SELECT id, name, level, name <> '' AND level <> 'precinct' AS kept, CASE WHEN name <> ''
+    AND level <> 'precinct' THEN lower(name) END AS normalized_name FROM d""")
 def division_rows(g: Graph) -> DataFrame:
     """A division file, quoted and with a header, written and read; rows kept become mentions."""
     level = _pick(F.col("n_nationkey"), "state", "county", "precinct", "state")
@@ -232,7 +239,8 @@ def named_ids(g: Graph) -> DataFrame:
     return g.raw("part").select("p_partkey", canon.uuid5(catalog.SPACE, F.concat(F.lit("part/"), _text("p_partkey"))).alias("id"))
 
 
-@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS byte_length FROM documents),
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS byte_length
+    FROM documents),
     k AS (SELECT sha256, max(byte_length) AS byte_length, count(*) AS n, min(doc_id) AS first FROM d WHERE doc_id % 3 > 0 GROUP BY 1)
     SELECT d.sha256, any_value(d.byte_length) AS byte_length, 'sha256/' || substr(d.sha256, 1, 2) || '/' || substr(d.sha256, 3, 2) || '/' || d.sha256 AS key, bool_or(k.sha256 IS NOT NULL) AS stored, coalesce(max(k.n), 0) > 1 AS archived_twice FROM d LEFT JOIN k USING (sha256) GROUP BY d.sha256""")
 def stored_objects(g: Graph) -> DataFrame:
@@ -341,7 +349,8 @@ def _poll_pages(g: Graph) -> DataFrame:
     )
 
 
-@query(f"""WITH l AS (SELECT l_suppkey AS page_id, 'Firm ' || line AS pollster, min(l_shipdate::DATE) AS day, min(l_quantity::INTEGER) AS q, min(l_linenumber) AS n, count(*) AS c FROM g_lines
+@query(f"""WITH l AS (SELECT l_suppkey AS page_id, 'Firm ' || line AS pollster, min(l_shipdate::DATE) AS day, min(l_quantity::INTEGER) AS q,
+    min(l_linenumber) AS n, count(*) AS c FROM g_lines
         WHERE l_suppkey % 8 < 6 GROUP BY l_suppkey, line HAVING count(*) = 1),
     r AS (SELECT *, {_sql_pick('page_id', *_STAGES)} AS stage, {_sql_pick('page_id', *_PARTIES)} AS party FROM l)
     SELECT page_id, stage, party, pollster, day AS started, day AS ended, q * 100 AS sample_size, 'lv' AS population, 3.5::DECIMAL(6,3) AS margin, 'Ann' AS option, q::DECIMAL(6,3) AS percentage, NULL AS error FROM r WHERE n <> 7

@@ -236,40 +236,48 @@ class Graph:
 
 ORACLE = {
     "g_orders": """SELECT o.*, c_nationkey, lower(c_mktsegment) AS segment, year(o_orderdate) AS yr,
-        'k/' || c_nationkey || '/' || lower(c_mktsegment) || '/' || year(o_orderdate) AS contest_id FROM orders o JOIN customer ON o_custkey = c_custkey""",
+        'k/' || c_nationkey || '/' || lower(c_mktsegment) || '/' || year(o_orderdate) AS contest_id FROM orders o
+    JOIN customer ON o_custkey = c_custkey""",
     "g_contests": """SELECT DISTINCT contest_id, 'ocd-division/country:r' || n_regionkey || '/state:n' || n_nationkey || '/' || segment || '/' || yr || '/general' AS contest_key,
         'n' || n_nationkey AS nation_id, 'o/' || segment AS office_id FROM g_orders JOIN nation ON c_nationkey = n_nationkey""",
     "g_entity": """SELECT 'r' || r_regionkey AS id, 'jurisdiction' AS kind, r_name AS canonical_name FROM region
         UNION ALL SELECT 'n' || n_nationkey, 'jurisdiction', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'person', c_name FROM customer
         UNION ALL SELECT 's' || s_suppkey, 'organization', s_name FROM supplier UNION ALL SELECT 'p' || p_partkey, 'option', p_name FROM part
-        UNION ALL SELECT contest_id, 'contest', contest_key FROM g_contests UNION ALL SELECT DISTINCT office_id, 'office', substr(office_id, 3) FROM g_contests
+        UNION ALL SELECT contest_id, 'contest', contest_key FROM g_contests UNION ALL SELECT DISTINCT office_id, 'office', substr(office_id, 3)
+    FROM g_contests
         UNION ALL SELECT 'e' || event_id, 'event', event_type || ' ' || user_id FROM events""",
     "g_alias": """SELECT id AS entity_id, canonical_name AS name, lower(canonical_name) AS normalized_name FROM g_entity
         UNION ALL SELECT 's' || s_suppkey, 'Supp ' || (s_suppkey % 40), 'supp ' || (s_suppkey % 40) FROM supplier""",
     "g_identifier": """SELECT 'n' || n_nationkey AS entity_id, 'ocd-division' AS namespace, 'ocd-division/country:r' || n_regionkey || '/state:n' || n_nationkey AS value FROM nation
-        UNION ALL SELECT contest_id, 'contest-key', contest_key FROM g_contests UNION ALL SELECT 'c' || c_custkey, 'wikidata', 'Q' || c_custkey FROM customer
+        UNION ALL SELECT contest_id, 'contest-key', contest_key FROM g_contests UNION ALL SELECT 'c' || c_custkey, 'wikidata', 'Q' || c_custkey
+    FROM customer
         UNION ALL SELECT 'p' || p_partkey, 'ballotpedia', 'P' || p_partkey FROM part""",
     "g_redirect": "SELECT 's' || s_suppkey AS duplicate_id, 's' || (s_suppkey - 1) AS canonical_id FROM supplier WHERE s_suppkey % 10 IN (1, 2)",
     "g_lines": "SELECT *, l_orderkey * 10 + l_linenumber AS line FROM lineitem",
     "g_candidacy": """SELECT 'ci' || o_orderkey AS id, 'candidate_in' AS predicate, 'c' || o_custkey AS subject_id, contest_id AS object_id, NULL::VARCHAR AS value, NULL::TIMESTAMP AS valid_at,
-        o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to, o_orderdate AS created_at FROM g_orders""",
+        o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey) AS valid_to, o_orderdate AS created_at FROM g_orders""",
     "g_votes": "SELECT contest_id, o_custkey, yr, count(*) AS votes, max(o_orderdate) AS seen_at FROM g_orders GROUP BY ALL",
     "g_result": """SELECT 'cr:' || contest_id || ':' || o_custkey AS id, 'contest_result' AS predicate, 'c' || o_custkey AS subject_id, contest_id AS object_id,
         '{"votes":' || votes || ',"share":"' || (floor(votes * 10000 / sum(votes) OVER (PARTITION BY contest_id)) / 100)::DECIMAL(6,2) || '","place":' || row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC, o_custkey)
-        || ',"won":' || CASE WHEN yr % 2 = 1 THEN 'null' WHEN row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC, o_custkey) = 1 THEN 'true' ELSE 'false' END || '}' AS value,
+        || ',"won":' || CASE WHEN yr % 2 = 1 THEN 'null' WHEN row_number() OVER (PARTITION BY contest_id
+    ORDER BY votes DESC, o_custkey) = 1 THEN 'true' ELSE 'false' END || '}' AS value,
         NULL::TIMESTAMP AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, seen_at AS created_at FROM g_votes""",
     "g_donation": """SELECT 'do' || line AS id, 'donated_to' AS predicate, 's' || l_suppkey AS subject_id, 'p' || l_partkey AS object_id,
         '{"amount":"' || l_extendedprice::DECIMAL(18,2) || '","currency":"USD"}' AS value, l_shipdate AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, l_shipdate AS created_at FROM g_lines""",
     "g_structure": """SELECT 'cf:' || contest_id AS id, 'contest_for_office' AS predicate, contest_id AS subject_id, office_id AS object_id, NULL::VARCHAR AS value, NULL::TIMESTAMP AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, NULL::TIMESTAMP AS created_at FROM g_contests
         UNION ALL SELECT 'cj:' || contest_id, 'contest_in_jurisdiction', contest_id, nation_id, NULL, NULL, NULL, NULL, NULL FROM g_contests""",
     "g_happening": """SELECT 'ek' || event_id AS id, 'event_kind' AS predicate, 'e' || event_id AS subject_id, NULL::VARCHAR AS object_id, '{"kind":"' || event_type || '"}' AS value, NULL::TIMESTAMP AS valid_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, ts AS created_at FROM events
-        UNION ALL SELECT 'pi' || event_id, 'participated_in', 'c' || user_id, 'e' || event_id, '{"role":"candidate"}', NULL, NULL, NULL, ts FROM events
+        UNION ALL SELECT 'pi' || event_id, 'participated_in', 'c' || user_id, 'e' || event_id, '{"role":"candidate"}', NULL, NULL, NULL, ts
+    FROM events
         UNION ALL SELECT 'ej' || event_id, 'event_in_jurisdiction', 'e' || event_id, 'n' || (user_id % 25), NULL, NULL, NULL, NULL, ts FROM events
         UNION ALL SELECT 'eo' || event_id, 'event_occurrence', 'e' || event_id, NULL, '{"status":"' || CASE WHEN event_type = 'error' THEN 'cancelled' ELSE 'occurred' END || '"}', NULL, ts, NULL, ts FROM events""",
     "g_claim": "FROM g_candidacy UNION ALL FROM g_result UNION ALL FROM g_donation UNION ALL FROM g_structure UNION ALL FROM g_happening",
     "g_assertion": """SELECT line AS seq, 'ci' || l_orderkey AS claim_id, CASE WHEN l_linenumber < 7 THEN 's' || l_suppkey END AS asserted_by,
-        CASE l_returnflag WHEN 'R' THEN 'contradicts' WHEN 'A' THEN 'supports' ELSE 'mentions' END AS stance, 'run-' || l_linestatus AS run_id, l_partkey % 200 AS page_id,
-        l_discount <= 0.08 AS aligned, CASE WHEN l_discount > 0.08 THEN 'discount ' || l_discount::DECIMAL(4,2) END AS violation, l_shipdate AS created_at FROM g_lines""",
+        CASE l_returnflag WHEN 'R' THEN 'contradicts'
+    WHEN 'A' THEN 'supports' ELSE 'mentions' END AS stance, 'run-' || l_linestatus AS run_id, l_partkey % 200 AS page_id,
+        l_discount <= 0.08 AS aligned, CASE
+    WHEN l_discount > 0.08 THEN 'discount ' || l_discount::DECIMAL(4,2) END AS violation, l_shipdate AS created_at FROM g_lines""",
     "g_reading": """SELECT 'pr' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m') AS revision_id, 's' || l_suppkey AS pollster_id, 'k/' || (l_suppkey % 25) || '/building/' || year(l_shipdate) AS contest_id,
         lower(l_returnflag) AS population, 'p' || l_partkey AS option_id, l_quantity::BIGINT AS response_count, (l_tax * 100)::DECIMAL(6,3) AS margin, l_shipdate::DATE AS day, l_suppkey * 7 % 150 AS review_key FROM g_lines""",
     "g_revision": "SELECT revision_id, pollster_id, contest_id, review_key, min(day) AS started, max(day) AS ended FROM g_reading GROUP BY ALL",

@@ -58,8 +58,10 @@ def claims_about_merged(g: Graph) -> DataFrame:
 _PROVENANCE = "SELECT claim_id, count(*) AS n, coalesce(array_to_string(list_sort(list(DISTINCT asserted_by) FILTER (asserted_by IS NOT NULL)), ','), '') AS w FROM g_assertion GROUP BY claim_id"
 
 
-@query(f"""WITH page AS (SELECT * FROM g_claim WHERE predicate = 'candidate_in' ORDER BY valid_from DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 100), pr AS ({_PROVENANCE})
-    SELECT p.id, subject_id, s.canonical_name AS subject_name, object_id, o.canonical_name AS object_name, valid_from, coalesce(n, 0) AS assertions, coalesce(w, '') AS writers, valid_from IS NOT NULL AND valid_to IS NULL AS is_open
+@query(f"""WITH page AS (SELECT * FROM g_claim WHERE predicate = 'candidate_in'
+    ORDER BY valid_from DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 100), pr AS ({_PROVENANCE})
+    SELECT p.id, subject_id, s.canonical_name AS subject_name, object_id, o.canonical_name AS object_name, valid_from, coalesce(n, 0) AS assertions,
+    coalesce(w, '') AS writers, valid_from IS NOT NULL AND valid_to IS NULL AS is_open
     FROM page p JOIN g_entity s ON s.id = subject_id LEFT JOIN g_entity o ON o.id = object_id LEFT JOIN pr ON pr.claim_id = p.id""")
 def claims_with_predicate(g: Graph) -> DataFrame:
     """Q2, Q4, Q6, Q8: the page of the 100 latest candidacies with names and provenance."""
@@ -67,26 +69,31 @@ def claims_with_predicate(g: Graph) -> DataFrame:
     return out.select("id", "subject_id", "subject_name", "object_id", "object_name", "valid_from", "assertions", "writers", "is_open")
 
 
-@query(f"SELECT id, predicate, subject_id, object_id FROM g_claim WHERE (valid_from <= TIMESTAMP '{INSTANT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{INSTANT}')) OR valid_at = TIMESTAMP '{INSTANT}'")
+@query(f"""SELECT id, predicate, subject_id, object_id FROM g_claim WHERE (valid_from <= TIMESTAMP '{INSTANT}' AND (valid_to IS NULL
+    OR valid_to > TIMESTAMP '{INSTANT}')) OR valid_at = TIMESTAMP '{INSTANT}'""")
 def claims_at_instant(g: Graph) -> DataFrame:
     """Q3: every claim that holds at an instant."""
     return g.claim().where(C.valid_at(_at(INSTANT))).select("id", "predicate", "subject_id", "object_id")
 
 
-@query("SELECT id, subject_id, object_id, valid_from FROM g_candidacy WHERE subject_id IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 5000)")
+@query("""SELECT id, subject_id, object_id, valid_from FROM g_candidacy WHERE subject_id IN (SELECT 'c' || c_custkey FROM customer
+    WHERE c_acctbal > 5000)""")
 def claims_in_subject_set(g: Graph) -> DataFrame:
     """Q2: candidacies of a set of persons given as a table."""
     rich = g.raw("customer").where("c_acctbal > 5000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return C.claims_with(g.candidacies(), "candidate_in", subjects=rich).select("id", "subject_id", "object_id", "valid_from")
 
 
-@query(f"SELECT claim_id, n AS assertions, w AS writers, supports, contradicts, mentions FROM ({_PROVENANCE}) JOIN (SELECT claim_id AS c, count(*) FILTER (stance = 'supports') AS supports, count(*) FILTER (stance = 'contradicts') AS contradicts, count(*) FILTER (stance = 'mentions') AS mentions FROM g_assertion GROUP BY 1) ON c = claim_id")
+@query(f"""SELECT claim_id, n AS assertions, w AS writers, supports, contradicts, mentions FROM ({_PROVENANCE}) JOIN (SELECT claim_id AS c,
+    count(*) FILTER (stance = 'supports') AS supports, count(*) FILTER (stance = 'contradicts') AS contradicts,
+    count(*) FILTER (stance = 'mentions') AS mentions FROM g_assertion GROUP BY 1) ON c = claim_id""")
 def claim_provenance_summary(g: Graph) -> DataFrame:
     """Q6 with counts by stance."""
     return C.provenance(g.assertion()).join(C.by_stance(g.assertion()), "claim_id")
 
 
-@query("SELECT claim_id, seq, stance, coalesce(asserted_by, '(unattributed)') AS asserted_by, a.page_id, url FROM g_assertion a JOIN pages p ON p.page_id = a.page_id JOIN g_candidacy c ON c.id = a.claim_id")
+@query("""SELECT claim_id, seq, stance, coalesce(asserted_by, '(unattributed)') AS asserted_by, a.page_id, url FROM g_assertion a
+    JOIN pages p ON p.page_id = a.page_id JOIN g_candidacy c ON c.id = a.claim_id""")
 def claim_evidence(g: Graph) -> DataFrame:
     """Q5."""
     return C.evidence(g.candidacies(), g.assertion(), g.raw("pages").select("page_id", "url"))
@@ -110,14 +117,17 @@ def candidates_at_dates(g: Graph) -> DataFrame:
     ).agg(F.count("*").alias("candidates"))
 
 
-@query("""SELECT contest_id, candidate_id, votes, share, place, won, row_number() OVER (PARTITION BY contest_id ORDER BY votes DESC NULLS LAST, candidate_id)::INTEGER AS rank
+@query("""SELECT contest_id, candidate_id, votes, share, place, won, row_number() OVER (PARTITION BY contest_id
+    ORDER BY votes DESC NULLS LAST, candidate_id)::INTEGER AS rank
     FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes, (value->>'share')::DECIMAL(6,3) AS share, (value->>'place')::INTEGER AS place, (value->>'won')::BOOLEAN AS won FROM g_result)""")
 def results_ranked(g: Graph) -> DataFrame:
     """Results by rank, all of the payload; won stays null where unsaid."""
     return K.results(g.results())
 
 
-@query("SELECT office_id, contest_id, candidate_id, votes FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes FROM g_result WHERE value->>'won' = 'true') JOIN g_contests USING (contest_id)")
+@query("""SELECT office_id, contest_id, candidate_id, votes
+    FROM (SELECT object_id AS contest_id, subject_id AS candidate_id, (value->>'votes')::BIGINT AS votes FROM g_result WHERE value->>'won' = 'true')
+    JOIN g_contests USING (contest_id)""")
 def winners_by_office(g: Graph) -> DataFrame:
     """Q14."""
     return K.winners_by_office(g.results().unionByName(g.structure()))
@@ -157,7 +167,8 @@ def contest_by_key(g: Graph) -> DataFrame:
     )
 
 
-_SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1 FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
+_SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1
+    FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
     closure AS (SELECT id, arg_max(s, d) AS survivor_id, max(d) AS depth FROM surv GROUP BY id)"""
 _OPTIONS = "opt AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n, max(margin) AS margin FROM g_reading GROUP BY ALL)"
 _POINTS = f"""{_OPTIONS}, samp AS (SELECT revision_id, population, sum(n)::BIGINT AS sample_size, max(margin) AS margin_of_error, count(*) AS options,
@@ -166,10 +177,12 @@ _POINTS = f"""{_OPTIONS}, samp AS (SELECT revision_id, population, sum(n)::BIGIN
     last AS (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target)"""
 
 
-@query(f"""WITH RECURSIVE {_SURVIVOR}, {_POINTS}, pts AS (SELECT contest_id, r.revision_id, coalesce(survivor_id, pollster_id) AS pollster, started, ended, sample_label, population,
+@query(f"""WITH RECURSIVE {_SURVIVOR}, {_POINTS}, pts AS (SELECT contest_id, r.revision_id,
+    coalesce(survivor_id, pollster_id) AS pollster, started, ended, sample_label, population,
         sample_size, margin_of_error, options, readings, o IS NOT NULL AS reviewed,
         row_number() OVER (PARTITION BY contest_id ORDER BY ended NULLS LAST, sample_label, r.revision_id, population)::INTEGER AS place
-        FROM g_revision r JOIN lab USING (revision_id) LEFT JOIN closure ON id = pollster_id LEFT JOIN last ON target = review_key WHERE o IS NULL OR o <> 'rejected')
+        FROM g_revision r JOIN lab USING (revision_id) LEFT JOIN closure ON id = pollster_id LEFT JOIN last ON target = review_key WHERE o IS NULL
+    OR o <> 'rejected')
     SELECT * FROM pts WHERE place <= 500""")
 def poll_timeline(g: Graph) -> DataFrame:
     """Every reading of every sample, in order of time."""
@@ -182,13 +195,18 @@ def poll_verdicts_latest(g: Graph) -> DataFrame:
     return P.latest_verdicts(g.decision())
 
 
-@query("WITH o AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n FROM g_reading GROUP BY ALL), t AS (SELECT revision_id, population, sum(n) AS total FROM o GROUP BY ALL) SELECT revision_id, population, option_id, n, round(100.0::DOUBLE * n / total, 3) AS percentage FROM o JOIN t USING (revision_id, population)")
+@query("""WITH o AS (SELECT revision_id, population, option_id, sum(response_count)::BIGINT AS n FROM g_reading GROUP BY ALL),
+    t AS (SELECT revision_id, population, sum(n) AS total FROM o GROUP BY ALL)
+    SELECT revision_id, population, option_id, n, round(100.0::DOUBLE * n / total, 3) AS percentage FROM o JOIN t USING (revision_id, population)""")
 def poll_readings(g: Graph) -> DataFrame:
     """Q20: percentages in every sample."""
     return P.series(g.readings())
 
 
-@query("SELECT (SELECT count(*) FROM g_task WHERE status = 'pending') AS pending, (SELECT count(*) FROM g_task WHERE status = 'claimed') AS claimed, (SELECT count(*) FROM g_task WHERE status = 'completed') AS completed, count(*) AS decisions, count(*) FILTER (o = 'accepted') AS accepted, count(*) FILTER (o = 'rejected') AS rejected FROM (SELECT arg_max(outcome, seq) AS o FROM g_decision GROUP BY target)")
+@query("""SELECT (SELECT count(*) FROM g_task WHERE status = 'pending') AS pending, (SELECT count(*) FROM g_task
+    WHERE status = 'claimed') AS claimed, (SELECT count(*) FROM g_task WHERE status = 'completed') AS completed, count(*) AS decisions,
+    count(*) FILTER (o = 'accepted') AS accepted, count(*) FILTER (o = 'rejected') AS rejected FROM (SELECT arg_max(outcome, seq) AS o
+    FROM g_decision GROUP BY target)""")
 def review_backlog(g: Graph) -> DataFrame:
     """Q21."""
     return V.backlog(g.task(), g.decision())
@@ -217,7 +235,8 @@ _RING = "CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey + 1 WHEN s_suppkey // 10 %
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT s_suppkey AS src, {_RING} AS dst FROM supplier) WHERE dst IS NOT NULL),
     w AS (SELECT src, dst, 1 AS d FROM e UNION ALL SELECT w.src, e.dst, d + 1 FROM w JOIN e ON w.dst = e.src WHERE d <= 12)
-    SELECT 'redirect' AS graph, duplicate_id AS id FROM g_redirect WHERE false UNION ALL SELECT DISTINCT 'supplier', src::VARCHAR FROM w WHERE d > 12""")
+    SELECT 'redirect' AS graph, duplicate_id AS id FROM g_redirect WHERE false UNION ALL SELECT DISTINCT 'supplier', src::VARCHAR FROM w
+    WHERE d > 12""")
 def graph_cycle_check(g: Graph) -> DataFrame:
     """Nodes that never come to an end, in the redirects (none) and in chains of ten of which every other one closes."""
     k = F.col("s_suppkey")
@@ -226,7 +245,10 @@ def graph_cycle_check(g: Graph) -> DataFrame:
     return G.check({"redirect": G.edges(g.redirect(), "duplicate_id", "canonical_id"), "supplier": made})
 
 
-@query("""WITH o AS (SELECT o_orderkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey) AS n, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER w AS k,
+    count(*) OVER (PARTITION BY o_custkey) AS n, last_value(o_orderkey) OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM orders WINDOW w AS (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey))
     SELECT o_orderkey::VARCHAR AS id, CASE WHEN n - k <= 16 THEN z::VARCHAR END AS survivor_id FROM o WHERE k < n""")
 def supersession_terminal(g: Graph) -> DataFrame:
     """The last successor of every order that a later order of its customer supersedes; null beyond 16 steps."""
@@ -250,16 +272,22 @@ def _asked(g: Graph) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_SURVIVOR}, {_MATCHES},
     near AS (SELECT * FROM hits WHERE whole >= 0.3),
-    ext AS (SELECT query, entity_id, name, whole, q, list_distinct(o[i:j]) AS x FROM near, unnest(range(1, len(o) + 1)) AS a(i), unnest(range(i, len(o) + 1)) AS b(j)),
-    word AS (SELECT query, entity_id, name, any_value(whole) AS whole, max(len(list_intersect(q, x))::DOUBLE / (len(q) + len(x) - len(list_intersect(q, x)))) AS word FROM ext GROUP BY ALL),
-    cand AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, round(whole, 9) DESC, name, entity_id) AS c FROM word WHERE word >= 0.5),
-    deg AS (SELECT e, count(DISTINCT id) AS claims FROM (SELECT id, subject_id AS e FROM g_claim UNION ALL SELECT id, object_id FROM g_claim) WHERE e IS NOT NULL GROUP BY e),
+    ext AS (SELECT query, entity_id, name, whole, q, list_distinct(o[i:j]) AS x
+    FROM near, unnest(range(1, len(o) + 1)) AS a(i), unnest(range(i, len(o) + 1)) AS b(j)),
+    word AS (SELECT query, entity_id, name, any_value(whole) AS whole,
+    max(len(list_intersect(q, x))::DOUBLE / (len(q) + len(x) - len(list_intersect(q, x)))) AS word FROM ext GROUP BY ALL),
+    cand AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, round(whole, 9) DESC, name, entity_id) AS c FROM word
+    WHERE word >= 0.5),
+    deg AS (SELECT e, count(DISTINCT id) AS claims FROM (SELECT id, subject_id AS e FROM g_claim UNION ALL SELECT id, object_id FROM g_claim)
+    WHERE e IS NOT NULL GROUP BY e),
     r AS (SELECT query, entity_id, coalesce(survivor_id, entity_id) AS s, name, canonical_name, word, whole, coalesce(claims, 0) AS claims
         FROM cand JOIN g_entity g ON g.id = entity_id LEFT JOIN closure ON closure.id = entity_id LEFT JOIN deg ON e = entity_id WHERE c <= 200),
-    p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(word, 9) DESC, claims DESC, round(whole, 9) DESC, canonical_name, entity_id, name) AS k FROM r),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query
+    ORDER BY round(word, 9) DESC, claims DESC, round(whole, 9) DESC, canonical_name, entity_id, name) AS k FROM r),
     f AS (SELECT *, row_number() OVER (PARTITION BY query, s ORDER BY k) AS j FROM p WHERE k <= 40),
     t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY k) AS rank FROM f WHERE j = 1)
-    SELECT query, rank::INTEGER AS rank, s AS entity_id, g.kind, g.canonical_name, CASE WHEN name <> g.canonical_name THEN name END AS matched_alias, round(word, 6) AS word, round(whole, 6) AS whole, claims
+    SELECT query, rank::INTEGER AS rank, s AS entity_id, g.kind, g.canonical_name, CASE
+    WHEN name <> g.canonical_name THEN name END AS matched_alias, round(word, 6) AS word, round(whole, 6) AS whole, claims
     FROM t JOIN g_entity g ON g.id = s WHERE rank <= 20""")
 def entity_search_topk(g: Graph) -> DataFrame:
     """The 20 best entities for each of some search texts."""
@@ -281,19 +309,24 @@ def lookalike_pairs(g: Graph) -> DataFrame:
     return S.lookalikes(g.alias(), g.entity(), names, "organization")
 
 
-@query("SELECT id, first AS context FROM g_entity LEFT JOIN (SELECT entity_id, arg_min(namespace || ':' || value, namespace) AS first FROM g_identifier GROUP BY 1) ON entity_id = id")
+@query("""SELECT id, first AS context FROM g_entity LEFT JOIN (SELECT entity_id, arg_min(namespace || ':' || value, namespace) AS first
+    FROM g_identifier GROUP BY 1) ON entity_id = id""")
 def entity_context(g: Graph) -> DataFrame:
     """Q26."""
     return S.contexts(g.entity(), g.identifier(), g.claim())
 
 
-@query("WITH f AS (SELECT id, kind, canonical_name FROM g_entity WHERE kind = 'option' AND canonical_name ILIKE '%widget%' ORDER BY canonical_name, id LIMIT 21) SELECT id, kind, canonical_name, (SELECT count(*) FROM f) > 20 AS truncated, aliases FROM (SELECT * FROM f ORDER BY canonical_name, id LIMIT 20) LEFT JOIN (SELECT entity_id, array_to_string(list_sort(list(DISTINCT name)), '|') AS aliases FROM g_alias GROUP BY 1) ON entity_id = id")
+@query("""WITH f AS (SELECT id, kind, canonical_name FROM g_entity WHERE kind = 'option' AND canonical_name ILIKE '%widget%'
+    ORDER BY canonical_name, id LIMIT 21) SELECT id, kind, canonical_name, (SELECT count(*) FROM f) > 20 AS truncated, aliases FROM (SELECT * FROM f
+    ORDER BY canonical_name, id LIMIT 20) LEFT JOIN (SELECT entity_id, array_to_string(list_sort(list(DISTINCT name)), '|') AS aliases FROM g_alias
+    GROUP BY 1) ON entity_id = id""")
 def find_entities_fragment(g: Graph) -> DataFrame:
     """Q27, Q31, Q32: a page of 20 and whether there is more."""
     return S.find_entities(g.entity(), g.alias(), "Widget", "option")
 
 
-@query("SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS canonical_name, ts AS moment FROM events WHERE event_type = 'purchase' AND user_id % 25 = 7 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25'")
+@query("""SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS canonical_name, ts AS moment FROM events WHERE event_type = 'purchase'
+    AND user_id % 25 = 7 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25'""")
 def find_events_recent(g: Graph) -> DataFrame:
     """Q28, F32: by kind, place and time."""
     return S.find_events(g.entity(), g.happenings(), "purchase", jurisdiction="n7", after=_at("2024-01-10"), before=_at("2024-01-25"), limit=None)
@@ -305,7 +338,8 @@ def latest_occurrence(g: Graph) -> DataFrame:
     return S.latest_occurrence(g.happenings())
 
 
-@query("SELECT entity_id, count(DISTINCT id) AS claims FROM (SELECT id, subject_id AS entity_id FROM g_claim UNION ALL SELECT id, object_id FROM g_claim) WHERE entity_id IS NOT NULL GROUP BY entity_id")
+@query("""SELECT entity_id, count(DISTINCT id) AS claims FROM (SELECT id, subject_id AS entity_id FROM g_claim UNION ALL SELECT id, object_id
+    FROM g_claim) WHERE entity_id IS NOT NULL GROUP BY entity_id""")
 def claim_degree(g: Graph) -> DataFrame:
     """Q23."""
     return S.claim_degree(g.claim())
@@ -321,10 +355,13 @@ def _no_ids():
     return F.from_json(F.lit("[]"), "array<struct<namespace:string,value:string>>")
 
 
-@query(f"""WITH RECURSIVE {_SURVIVOR}, a AS (SELECT DISTINCT normalized_name, coalesce(survivor_id, entity_id) AS e FROM g_alias LEFT JOIN closure ON id = entity_id WHERE starts_with(entity_id, 's')),
+@query(f"""WITH RECURSIVE {_SURVIVOR}, a AS (SELECT DISTINCT normalized_name, coalesce(survivor_id, entity_id) AS e FROM g_alias LEFT
+    JOIN closure ON id = entity_id WHERE starts_with(entity_id, 's')),
     u AS (SELECT normalized_name, min(e) AS e, array_to_string(list_sort(list(e)), ',') AS l, count(*) AS n FROM a GROUP BY 1),
-    m AS (SELECT 'm' || s_suppkey AS mention_id, 'supp ' || (s_suppkey % 40) AS name FROM supplier UNION ALL SELECT 'f' || s_suppkey, lower(s_name) FROM supplier)
-    SELECT mention_id, CASE WHEN n = 1 THEN e END AS entity_id, CASE WHEN n > 1 THEN l END AS ambiguous_with FROM m JOIN u ON normalized_name = name""")
+    m AS (SELECT 'm' || s_suppkey AS mention_id, 'supp ' || (s_suppkey % 40) AS name FROM supplier UNION ALL SELECT 'f' || s_suppkey, lower(s_name)
+    FROM supplier)
+    SELECT mention_id, CASE WHEN n = 1 THEN e END AS entity_id, CASE WHEN n > 1 THEN l END AS ambiguous_with FROM m
+    JOIN u ON normalized_name = name""")
 def alias_resolution(g: Graph) -> DataFrame:
     """Mentions by the full name of a supplier, which leads to its survivor, and by a short name that several bear."""
     s = g.raw("supplier")
@@ -335,7 +372,8 @@ def alias_resolution(g: Graph) -> DataFrame:
     return found.withColumn("ambiguous_with", F.when(F.col("ambiguous_with").isNotNull(), F.array_join("ambiguous_with", ",")))
 
 
-@query("""SELECT 'm' || o_orderkey AS mention_id, CASE WHEN o_custkey % 4 = 0 THEN 'x' || substr(sha256('person' || chr(31) || 'wikidata=new' || o_custkey), 1, 32) ELSE 'c' || o_custkey END AS entity_id,
+@query("""SELECT 'm' || o_orderkey AS mention_id, CASE
+    WHEN o_custkey % 4 = 0 THEN 'x' || substr(sha256('person' || chr(31) || 'wikidata=new' || o_custkey), 1, 32) ELSE 'c' || o_custkey END AS entity_id,
     CASE WHEN o_custkey % 4 = 0 THEN 'created' ELSE 'identifier' END AS method FROM orders""")
 def identifier_resolution(g: Graph) -> DataFrame:
     """A mention per order by its customer's key; a quarter of the customers have a key that nobody owns."""
@@ -348,8 +386,10 @@ def identifier_resolution(g: Graph) -> DataFrame:
 _NEW = "'x' || substr(sha256('{kind}' || chr(31) || '{key}' || {of}), 1, 32)"
 
 
-@query(f"""SELECT mention_id, CASE c % 6 WHEN 0 THEN 'c' || c WHEN 1 THEN {_NEW.format(kind='person', key='wikidata=Z', of='c')} WHEN 2 THEN {_NEW.format(kind='person', key='fec=F', of='c')}
-        WHEN 3 THEN 'c' || c WHEN 4 THEN NULL ELSE 'c' || c END AS entity_id, CASE c % 6 WHEN 0 THEN 'identifier' WHEN 1 THEN 'created' WHEN 2 THEN 'created' WHEN 3 THEN 'alias' WHEN 4 THEN NULL ELSE 'alias' END AS method,
+@query(f"""SELECT mention_id, CASE c % 6 WHEN 0 THEN 'c' || c WHEN 1 THEN {_NEW.format(kind='person', key='wikidata=Z', of='c')}
+    WHEN 2 THEN {_NEW.format(kind='person', key='fec=F', of='c')}
+        WHEN 3 THEN 'c' || c WHEN 4 THEN NULL ELSE 'c' || c END AS entity_id, CASE c % 6 WHEN 0 THEN 'identifier' WHEN 1 THEN 'created'
+    WHEN 2 THEN 'created' WHEN 3 THEN 'alias' WHEN 4 THEN NULL ELSE 'alias' END AS method,
         CASE WHEN c % 6 = 4 THEN 'wikidata:Q' || c || ' already identifies person c' || c || ', not a contest' END AS error
     FROM (SELECT 'm' || c_custkey AS mention_id, c_custkey AS c FROM customer)""")
 def mention_resolution(g: Graph) -> DataFrame:
@@ -363,7 +403,9 @@ def mention_resolution(g: Graph) -> DataFrame:
     return R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g)).select("mention_id", "entity_id", "method", "error")
 
 
-@query("SELECT normalized_name, namespace, count(DISTINCT value) AS values, count(DISTINCT entity_id) AS entities FROM (SELECT DISTINCT entity_id, normalized_name FROM g_alias) JOIN g_identifier USING (entity_id) GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+@query("""SELECT normalized_name, namespace, count(DISTINCT value) AS values, count(DISTINCT entity_id) AS entities
+    FROM (SELECT DISTINCT entity_id, normalized_name FROM g_alias) JOIN g_identifier USING (entity_id)
+    GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""")
 def namesake_contradictions(g: Graph) -> DataFrame:
     """Names whose bearers have different keys in one namespace."""
     return R.namesakes(g.alias(), g.identifier())
@@ -378,7 +420,12 @@ def fingerprint_dedup(g: Graph) -> DataFrame:
     return I.fingerprinted(g.donations()).groupBy("fingerprint").agg(F.count("*").alias("claims"))
 
 
-@query("WITH s AS (SELECT DISTINCT seq, claim_id FROM g_assertion WHERE run_id = 'run-O'), k AS (SELECT DISTINCT seq FROM g_assertion WHERE run_id = 'run-F'), f AS (SELECT DISTINCT claim_id FROM g_assertion WHERE run_id = 'run-F'), j AS (SELECT s.seq::VARCHAR AS seq, s.claim_id, k.seq IS NOT NULL AS kk, f.claim_id IS NOT NULL AS ff FROM s LEFT JOIN k ON k.seq = s.seq LEFT JOIN f ON f.claim_id = s.claim_id), m AS (SELECT claim_id, min(seq) AS first FROM j WHERE NOT kk GROUP BY 1) SELECT seq AS idempotency_key, j.claim_id AS fingerprint, CASE WHEN kk THEN 'unchanged' WHEN ff OR seq <> first THEN 'corroborated' ELSE 'created' END AS outcome FROM j LEFT JOIN m ON m.claim_id = j.claim_id")
+@query("""WITH s AS (SELECT DISTINCT seq, claim_id FROM g_assertion WHERE run_id = 'run-O'), k AS (SELECT DISTINCT seq FROM g_assertion
+    WHERE run_id = 'run-F'), f AS (SELECT DISTINCT claim_id FROM g_assertion WHERE run_id = 'run-F'),
+    j AS (SELECT s.seq::VARCHAR AS seq, s.claim_id, k.seq IS NOT NULL AS kk, f.claim_id IS NOT NULL AS ff FROM s LEFT JOIN k ON k.seq = s.seq LEFT
+    JOIN f ON f.claim_id = s.claim_id), m AS (SELECT claim_id, min(seq) AS first FROM j WHERE NOT kk GROUP BY 1)
+    SELECT seq AS idempotency_key, j.claim_id AS fingerprint, CASE WHEN kk THEN 'unchanged' WHEN ff
+    OR seq <> first THEN 'corroborated' ELSE 'created' END AS outcome FROM j LEFT JOIN m ON m.claim_id = j.claim_id""")
 def corroboration_outcomes(g: Graph) -> DataFrame:
     """One run's assertions recorded after another's."""
     a = g.assertion().select(F.col("seq").cast("string").alias("idempotency_key"), F.col("claim_id").alias("fingerprint"), "run_id")
@@ -386,7 +433,8 @@ def corroboration_outcomes(g: Graph) -> DataFrame:
     return I.outcomes(a.where("run_id = 'run-O'").drop("run_id").distinct(), before, before).select("idempotency_key", "fingerprint", "outcome")
 
 
-@query("SELECT run_id, count(*) AS assertions, count(*) FILTER (aligned) AS aligned_n, round(count(*) FILTER (aligned) / count(*)::DOUBLE, 6) AS score FROM g_assertion GROUP BY run_id")
+@query("""SELECT run_id, count(*) AS assertions,
+    count(*) FILTER (aligned) AS aligned_n, round(count(*) FILTER (aligned) / count(*)::DOUBLE, 6) AS score FROM g_assertion GROUP BY run_id""")
 def assertion_alignment(g: Graph) -> DataFrame:
     """R16 by run."""
     return C.alignment(g.assertion(), "run_id")
@@ -398,20 +446,25 @@ def misaligned_tasks(g: Graph) -> DataFrame:
     return I.review_tasks(g.assertion())
 
 
-@query("SELECT a.contest_id, a.pollster_id, a.revision_id AS a, b.revision_id AS b FROM g_revision a JOIN g_revision b ON a.contest_id = b.contest_id AND a.pollster_id = b.pollster_id AND a.revision_id < b.revision_id WHERE abs(date_diff('day', a.ended, b.ended)) <= 3")
+@query("""SELECT a.contest_id, a.pollster_id, a.revision_id AS a, b.revision_id AS b FROM g_revision a
+    JOIN g_revision b ON a.contest_id = b.contest_id AND a.pollster_id = b.pollster_id AND a.revision_id < b.revision_id
+    WHERE abs(date_diff('day', a.ended, b.ended)) <= 3""")
 def near_duplicate_polls(g: Graph) -> DataFrame:
     """I8."""
     return I.near_duplicates(g.revisions())
 
 
-@query("SELECT sha256(coalesce(text, '')) AS sha256, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS byte_length, count(*) AS copies, 'sha256/' || substr(sha256(coalesce(text, '')), 1, 2) || '/' || substr(sha256(coalesce(text, '')), 3, 2) || '/' || sha256(coalesce(text, '')) AS content_key FROM documents GROUP BY sha256(coalesce(text, ''))")
+@query("""SELECT sha256(coalesce(text, '')) AS sha256, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS byte_length,
+    count(*) AS copies, 'sha256/' || substr(sha256(coalesce(text, '')), 1, 2) || '/' || substr(sha256(coalesce(text, '')), 3, 2) || '/' || sha256(coalesce(text, '')) AS content_key FROM documents GROUP BY sha256(coalesce(text, ''))""")
 def artifact_dedup(g: Graph) -> DataFrame:
     """Artifacts of all documents, by digest."""
     artifacts = I.observed(g.raw("documents").select("source", F.col("text").alias("content")))[1]
     return artifacts.withColumn("content_key", canon.content_key(F.col("sha256")))
 
 
-@query("WITH d AS (SELECT lang AS run_id, sha256(coalesce(text, '')) AS sha256, doc_id, source FROM documents), p AS (SELECT run_id, sha256, 'd' || arg_min(doc_id, doc_id) AS prior FROM d WHERE source <> 'src0' GROUP BY 1, 2) SELECT run_id, sha256, coalesce(prior, 'new' || doc_id) AS snapshot_id, prior IS NOT NULL AS reused FROM d LEFT JOIN p USING (run_id, sha256)")
+@query("""WITH d AS (SELECT lang AS run_id, sha256(coalesce(text, '')) AS sha256, doc_id, source FROM documents),
+    p AS (SELECT run_id, sha256, 'd' || arg_min(doc_id, doc_id) AS prior FROM d WHERE source <> 'src0' GROUP BY 1, 2) SELECT run_id, sha256,
+    coalesce(prior, 'new' || doc_id) AS snapshot_id, prior IS NOT NULL AS reused FROM d LEFT JOIN p USING (run_id, sha256)""")
 def snapshot_reuse(g: Graph) -> DataFrame:
     """Documents retrieved again, against the earlier snapshots of every source but one."""
     d = g.raw("documents").select(F.col("lang").alias("run_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id", "source")
@@ -442,7 +495,8 @@ def constraint_violations(g: Graph) -> DataFrame:
     )
 
 
-@query("SELECT 'e' || event_id AS id, event_type AS event_kind, CASE WHEN event_type = 'error' THEN 'cancelled' ELSE 'occurred' END AS status, ts AS starts_at, 'n' || (user_id % 25) AS jurisdiction_id, 1::BIGINT AS participants, 4::BIGINT AS claims FROM events")
+@query("""SELECT 'e' || event_id AS id, event_type AS event_kind, CASE
+    WHEN event_type = 'error' THEN 'cancelled' ELSE 'occurred' END AS status, ts AS starts_at, 'n' || (user_id % 25) AS jurisdiction_id, 1::BIGINT AS participants, 4::BIGINT AS claims FROM events""")
 def event_projection(g: Graph) -> DataFrame:
     """The current state of every event, rebuilt from its claims in one aggregation."""
     c = g.happenings()
@@ -456,7 +510,8 @@ def event_projection(g: Graph) -> DataFrame:
     )
 
 
-@query("SELECT subject_id AS donor_id, year(valid_at)::INTEGER AS year, count(*) AS gifts, sum((value->>'amount')::DECIMAL(18,2))::DOUBLE AS total FROM g_donation GROUP BY 1, 2")
+@query("""SELECT subject_id AS donor_id, year(valid_at)::INTEGER AS year, count(*) AS gifts, sum((value->>'amount')::DECIMAL(18,2))::DOUBLE AS total
+    FROM g_donation GROUP BY 1, 2""")
 def donation_rollup(g: Graph) -> DataFrame:
     """Donations per donor and year, summed as decimals."""
     amount = F.get_json_object("value", "$.amount").cast("decimal(18,2)")
@@ -465,7 +520,9 @@ def donation_rollup(g: Graph) -> DataFrame:
     )
 
 
-@query("WITH o AS (SELECT o_custkey, o_orderdate AS a, max(o_orderdate + INTERVAL 20 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM orders) SELECT DISTINCT 'c' || o_custkey AS record_id FROM o WHERE a < b")
+@query("""WITH o AS (SELECT o_custkey, o_orderdate AS a, max(o_orderdate + INTERVAL 20 DAY) OVER (PARTITION BY o_custkey
+    ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM orders)
+    SELECT DISTINCT 'c' || o_custkey AS record_id FROM o WHERE a < b""")
 def stint_overlaps(g: Graph) -> DataFrame:
     """Customers with orders less than 20 days apart."""
     entered = F.col("o_orderdate").cast("timestamp")
@@ -509,7 +566,11 @@ def fieldwork_parsing(g: Graph) -> DataFrame:
     return g.raw("orders").select("o_orderkey", parse.fieldwork(printed).alias("f")).select("o_orderkey", "f.started", "f.ended")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS size, CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'R' THEN 'unknown' END AS population, l_returnflag = 'N' AS refused, CASE WHEN l_linestatus = 'O' THEN round(l_discount * 100)::INTEGER END AS percentage FROM lineitem WHERE l_returnflag <> 'N' UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, true, CASE WHEN l_linestatus = 'O' THEN round(l_discount * 100)::INTEGER END FROM lineitem WHERE l_returnflag = 'N'")
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS size, CASE l_returnflag WHEN 'A' THEN 'a'
+    WHEN 'R' THEN 'unknown' END AS population, l_returnflag = 'N' AS refused, CASE
+    WHEN l_linestatus = 'O' THEN round(l_discount * 100)::INTEGER END AS percentage FROM lineitem WHERE l_returnflag <> 'N'
+    UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, true, CASE WHEN l_linestatus = 'O' THEN round(l_discount * 100)::INTEGER END FROM lineitem
+    WHERE l_returnflag = 'N'""")
 def cell_parsing(g: Graph) -> DataFrame:
     """Sample and percentage cells printed from lines; rough samples and "<n%" are refused, not zero."""
     n = F.col("l_quantity").cast("int").cast("string")
@@ -531,7 +592,7 @@ def slugs_and_decimals(g: Graph) -> DataFrame:
     )
 
 
-@query("SELECT 'k' || o_orderkey AS id, 'ocd-division/country:us/debate/' || strftime(o_orderdate, '%Y-%m-%d') || '/host-' || o_custkey AS event_key, 'host-' || o_custkey AS host, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'c/p-' || o_custkey || '/' || strftime(o_orderdate, '%Y-%m-%d') END AS poll_key FROM orders")
+@query("""SELECT 'k' || o_orderkey AS id, 'ocd-division/country:us/debate/' || strftime(o_orderdate, '%Y-%m-%d') || '/host-' || o_custkey AS event_key, 'host-' || o_custkey AS host, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'c/p-' || o_custkey || '/' || strftime(o_orderdate, '%Y-%m-%d') END AS poll_key FROM orders""")
 def derived_keys(g: Graph) -> DataFrame:
     """Event and poll keys built and parsed."""
     host = F.concat(F.lit("host-"), F.col("o_custkey").cast("string"))
@@ -571,7 +632,8 @@ def ingest_race_structures(g: Graph) -> DataFrame:
     return I.race_structures(records).select("record_id", "predicate", "subject_id", "object_id", "value")
 
 
-@query("SELECT 'c' || o_custkey AS record_id, 'candidate_in' AS predicate, contest_id AS object_id, count(*) AS stints, min(o_orderdate) AS first FROM g_orders GROUP BY 1, 3")
+@query("""SELECT 'c' || o_custkey AS record_id, 'candidate_in' AS predicate, contest_id AS object_id, count(*) AS stints, min(o_orderdate) AS first
+    FROM g_orders GROUP BY 1, 3""")
 def ingest_candidacies(g: Graph) -> DataFrame:
     """A record per customer and contest, with a stint per order."""
     stint = F.struct(F.col("o_orderdate").cast("timestamp").alias("entered"), F.lit(None).cast("timestamp").alias("left"))
@@ -583,8 +645,12 @@ def ingest_candidacies(g: Graph) -> DataFrame:
     )
 
 
-@query("""SELECT 'e' || event_id AS record_id, p AS predicate, CASE p WHEN 'participated_in' THEN 'c' || user_id ELSE 'e' || event_id END AS subject_id, CASE p WHEN 'participated_in' THEN 'e' || event_id WHEN 'event_in_jurisdiction' THEN 'n' || (user_id % 25) END AS object_id,
-    CASE p WHEN 'participated_in' THEN '{"role":"candidate"}' WHEN 'event_kind' THEN '{"kind":"debate"}' WHEN 'event_occurrence' THEN '{"status":"occurred"}' END AS value FROM events, (VALUES ('participated_in'), ('event_kind'), ('event_occurrence'), ('event_in_jurisdiction')) AS t(p)""")
+@query("""SELECT 'e' || event_id AS record_id, p AS predicate, CASE p
+    WHEN 'participated_in' THEN 'c' || user_id ELSE 'e' || event_id END AS subject_id, CASE p WHEN 'participated_in' THEN 'e' || event_id
+    WHEN 'event_in_jurisdiction' THEN 'n' || (user_id % 25) END AS object_id,
+    CASE p WHEN 'participated_in' THEN '{"role":"candidate"}' WHEN 'event_kind' THEN '{"kind":"debate"}'
+    WHEN 'event_occurrence' THEN '{"status":"occurred"}' END AS value
+    FROM events, (VALUES ('participated_in'), ('event_kind'), ('event_occurrence'), ('event_in_jurisdiction')) AS t(p)""")
 def ingest_debates(g: Graph) -> DataFrame:
     """I1."""
     ident = F.concat(F.lit("e"), F.col("event_id").cast("string"))
@@ -597,7 +663,9 @@ def ingest_debates(g: Graph) -> DataFrame:
     return I.debates(records).select("record_id", "predicate", "subject_id", "object_id", "value")
 
 
-@query("SELECT 's' || s_suppkey AS duplicate_id, CASE WHEN s_suppkey % 10 = 3 THEN 's' || (s_suppkey - 3) END AS canonical_id, CASE WHEN s_suppkey % 10 = 3 THEN NULL WHEN s_suppkey % 10 = 0 THEN 'would make a cycle' WHEN s_suppkey % 10 IN (1, 2) THEN 'is merged already' ELSE 'merged into itself' END AS why FROM supplier")
+@query("""SELECT 's' || s_suppkey AS duplicate_id, CASE WHEN s_suppkey % 10 = 3 THEN 's' || (s_suppkey - 3) END AS canonical_id, CASE
+    WHEN s_suppkey % 10 = 3 THEN NULL WHEN s_suppkey % 10 = 0 THEN 'would make a cycle'
+    WHEN s_suppkey % 10 IN (1, 2) THEN 'is merged already' ELSE 'merged into itself' END AS why FROM supplier""")
 def merge_guard(g: Graph) -> DataFrame:
     """V5: merges wanted for every supplier: taken to the terminal end, or refused with a reason."""
     k = F.col("s_suppkey")
@@ -610,7 +678,8 @@ def merge_guard(g: Graph) -> DataFrame:
     return done.withColumn("why", none).unionByName(refused.withColumn("canonical_id", none))
 
 
-@query("WITH w AS (SELECT 'q' || event_id AS task_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'task is closed' WHEN value < 5 THEN 'no reason' END AS why FROM events) SELECT why, count(*) AS tasks FROM w GROUP BY why")
+@query("""WITH w AS (SELECT 'q' || event_id AS task_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'task is closed'
+    WHEN value < 5 THEN 'no reason' END AS why FROM events) SELECT why, count(*) AS tasks FROM w GROUP BY why""")
 def decision_guard(g: Graph) -> DataFrame:
     """V3, V9: a rejection wanted for every task: appended, or refused since the task is closed or no reason is given."""
     e = g.raw("events")
@@ -623,7 +692,8 @@ def decision_guard(g: Graph) -> DataFrame:
     return appended.select(F.lit(None).cast("string").alias("why")).unionByName(refused.select("why")).groupBy("why").agg(F.count("*").alias("tasks"))
 
 
-@query("""SELECT b.revision_id, count(*) AS accepted_n FROM g_revision a JOIN (SELECT target, arg_max(outcome, seq) AS o FROM g_decision GROUP BY target) v ON v.target = a.review_key AND v.o = 'accepted'
+@query("""SELECT b.revision_id, count(*) AS accepted_n FROM g_revision a JOIN (SELECT target, arg_max(outcome, seq) AS o FROM g_decision
+    GROUP BY target) v ON v.target = a.review_key AND v.o = 'accepted'
     JOIN g_revision b ON b.pollster_id = a.pollster_id AND b.contest_id = a.contest_id AND b.revision_id <> a.revision_id
     WHERE b.review_key NOT IN (SELECT target FROM g_task WHERE status IN ('pending', 'claimed') AND priority < 20) GROUP BY 1""")
 def rival_revisions(g: Graph) -> DataFrame:
@@ -636,7 +706,8 @@ def rival_revisions(g: Graph) -> DataFrame:
     return V.rivals(revisions, held, done).groupBy("revision_id").agg(F.count("*").alias("accepted_n"))
 
 
-@query("SELECT region.r_name, n_name, count(*) AS candidacies, count(DISTINCT subject_id) AS people FROM g_candidacy JOIN g_contests ON contest_id = object_id JOIN nation ON nation_id = 'n' || n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+@query("""SELECT region.r_name, n_name, count(*) AS candidacies, count(DISTINCT subject_id) AS people FROM g_candidacy
+    JOIN g_contests ON contest_id = object_id JOIN nation ON nation_id = 'n' || n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
 def candidacies_by_region(g: Graph) -> DataFrame:
     """A roll-up over three joins."""
     places = g.raw("nation").join(g.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(

@@ -23,7 +23,8 @@ def _survivors(g: Graph) -> DataFrame:
     return G.survivors(g.redirect())
 
 
-_SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1 FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
+_SURVIVOR = """surv AS (SELECT duplicate_id AS id, canonical_id AS s, 1 AS d FROM g_redirect UNION ALL SELECT surv.id, r.canonical_id, d + 1
+    FROM surv JOIN g_redirect r ON r.duplicate_id = surv.s WHERE d < 17),
     closure AS (SELECT id, arg_max(s, d) AS survivor_id FROM surv GROUP BY id)"""
 
 
@@ -32,7 +33,8 @@ def _nothing(g: Graph, ddl: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_SURVIVOR}, i AS (SELECT entity_id, arg_min(namespace || ':' || value, namespace) AS context FROM g_identifier GROUP BY 1)
-    SELECT a.id AS asked_id, g.id, g.kind, g.canonical_name, context FROM g_entity a LEFT JOIN closure ON closure.id = a.id JOIN g_entity g ON g.id = coalesce(survivor_id, a.id) LEFT JOIN i ON i.entity_id = g.id
+    SELECT a.id AS asked_id, g.id, g.kind, g.canonical_name, context FROM g_entity a LEFT JOIN closure ON closure.id = a.id
+    JOIN g_entity g ON g.id = coalesce(survivor_id, a.id) LEFT JOIN i ON i.entity_id = g.id
     WHERE a.kind IN ('organization', 'person', 'jurisdiction')""")
 def entity_detail(g: Graph) -> DataFrame:
     """Q25, Q26: people, organisations and places, merged ones under their survivor, with what tells them apart."""
@@ -40,8 +42,10 @@ def entity_detail(g: Graph) -> DataFrame:
     return S.entity_detail(g.entity(), _survivors(g), g.identifier(), g.claim(), ids)
 
 
-@query(f"""WITH RECURSIVE {_SURVIVOR}, s AS (SELECT trim(regexp_replace(normalized_name, '[^a-z0-9]+', '-', 'g'), '-') AS slug, min(entity_id) AS id FROM g_alias GROUP BY 1),
-    n AS (SELECT 's' || s_suppkey AS k, upper(s_name) || ' !' AS name, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier UNION ALL SELECT 'x' || s_suppkey, 'Unknown ' || s_suppkey || 'x', NULL FROM supplier)
+@query(f"""WITH RECURSIVE {_SURVIVOR}, s AS (SELECT trim(regexp_replace(normalized_name, '[^a-z0-9]+', '-', 'g'), '-') AS slug, min(entity_id) AS id
+    FROM g_alias GROUP BY 1),
+    n AS (SELECT 's' || s_suppkey AS k, upper(s_name) || ' !' AS name, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+    FROM supplier UNION ALL SELECT 'x' || s_suppkey, 'Unknown ' || s_suppkey || 'x', NULL FROM supplier)
     SELECT name, coalesce(survivor_id, s.id) AS entity_id FROM n LEFT JOIN s USING (slug) LEFT JOIN closure ON closure.id = s.id""")
 def pollster_resolution(g: Graph) -> DataFrame:
     """Pollsters by slug of a known name, through merges; unknown ones are null."""
@@ -56,7 +60,8 @@ _NAMED = "SELECT c_custkey AS k, 'c' || c_custkey AS e, CASE WHEN c_custkey % 2
 
 
 @query(f"""WITH m AS ({_NAMED})
-    SELECT 'alias' AS kind, e AS entity_id, lower(name) AS a, name AS b FROM m WHERE k % 2 = 1 UNION ALL SELECT 'identifier', e, 'fec', 'F' || k FROM m
+    SELECT 'alias' AS kind, e AS entity_id, lower(name) AS a, name AS b FROM m WHERE k % 2 = 1 UNION ALL SELECT 'identifier', e, 'fec', 'F' || k
+    FROM m
     UNION ALL SELECT 'owned elsewhere', e, 'ballotpedia', 'P1' FROM m WHERE k % 5 = 0""")
 def recorded_names(g: Graph) -> DataFrame:
     """What resolved mentions add: spellings and keys not seen before; keys that another entity owns."""
@@ -76,7 +81,8 @@ def recorded_names(g: Graph) -> DataFrame:
 
 
 @query("""SELECT 'r' || o_orderkey AS record_id, 'c' || o_custkey AS subject_id, 'p' || o_custkey AS object_id, '{"context":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderpriority || '"' END || ',"strength":"' || CASE WHEN o_orderstatus = 'O' THEN 'partial' ELSE 'full' END || '"}' AS value,
-    o_orderdate AS valid_from, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS valid_to FROM orders WHERE o_orderkey % 7 > 0""")
+    o_orderdate AS valid_from, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS valid_to FROM orders
+    WHERE o_orderkey % 7 > 0""")
 def ingest_endorsements(g: Graph) -> DataFrame:
     """Orders as endorsements; a record without an endorser makes no claim."""
     o = g.raw("orders")
@@ -94,7 +100,8 @@ def ingest_endorsements(g: Graph) -> DataFrame:
 
 
 @query("""SELECT 'r' || o_orderkey AS record_id, 'contest_result' AS predicate, '{"place":null,"share":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderkey % 90 + 10 || '.5"' END || ',"votes":' || o_custkey || ',"won":' || CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE 'null' END || '}' AS value FROM orders
-    UNION ALL SELECT 'f' || o_orderkey, p, NULL FROM orders, (VALUES ('candidate_in'), ('party_affiliation')) AS t(p) WHERE p = 'candidate_in' OR o_orderstatus <> 'F'""")
+    UNION ALL SELECT 'f' || o_orderkey, p, NULL FROM orders, (VALUES ('candidate_in'), ('party_affiliation')) AS t(p) WHERE p = 'candidate_in'
+    OR o_orderstatus <> 'F'""")
 def ingest_results(g: Graph) -> DataFrame:
     """Orders as results, won unsaid for some; and as federal candidacies, with a party for some."""
     o, key = g.raw("orders"), _text("o_orderkey")
@@ -109,9 +116,12 @@ def ingest_results(g: Graph) -> DataFrame:
     return results.unionByName(federal).select("record_id", "predicate", "value")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::DECIMAL(6,3) AS q, lower(l_returnflag) AS p FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::DECIMAL(6,3) AS q, lower(l_returnflag) AS p
+    FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
     o AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::INTEGER AS sample, count(*) OVER (PARTITION BY k) AS c FROM s)
-    SELECT 'r' || k AS revision_id, sample, CASE WHEN c = 1 THEN 'overall' ELSE p END AS label, p AS population, n::INTEGER AS sample_size, u.pos::INTEGER AS position, u.o AS option, CASE u.o WHEN 'Ann' THEN q ELSE 50 - q END::DECIMAL(6,3) AS percentage FROM o, (VALUES (0, 'Ann'), (1, 'Bob')) AS u(pos, o)""")
+    SELECT 'r' || k AS revision_id, sample, CASE
+    WHEN c = 1 THEN 'overall' ELSE p END AS label, p AS population, n::INTEGER AS sample_size, u.pos::INTEGER AS position, u.o AS option, CASE u.o
+    WHEN 'Ann' THEN q ELSE 50 - q END::DECIMAL(6,3) AS percentage FROM o, (VALUES (0, 'Ann'), (1, 'Bob')) AS u(pos, o)""")
 def written_readings(g: Graph) -> DataFrame:
     """Orders as polls with a sample per line and two readings each."""
     once = g.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
@@ -128,9 +138,11 @@ def written_readings(g: Graph) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT *, CASE WHEN revision_id LIKE '%7' THEN NULL ELSE ended END AS e FROM g_revision),
-    near AS (SELECT a.revision_id AS a, b.revision_id AS b FROM r a JOIN r b ON a.contest_id = b.contest_id AND a.pollster_id = b.pollster_id AND a.revision_id < b.revision_id WHERE abs(date_diff('day', a.e, b.e)) <= 3)
+    near AS (SELECT a.revision_id AS a, b.revision_id AS b FROM r a JOIN r b ON a.contest_id = b.contest_id AND a.pollster_id = b.pollster_id
+    AND a.revision_id < b.revision_id WHERE abs(date_diff('day', a.e, b.e)) <= 3)
     SELECT revision_id, 'no end of fieldwork' AS concern FROM r WHERE e IS NULL UNION ALL SELECT DISTINCT unnest([a, b]), 'near duplicate' FROM near
-    UNION ALL SELECT revision_id, 'lookalike pollster' FROM r WHERE pollster_id LIKE '%5' UNION ALL SELECT revision_id, 'another reading of this poll exists' FROM r WHERE contest_id LIKE '%1998'""")
+    UNION ALL SELECT revision_id, 'lookalike pollster' FROM r WHERE pollster_id LIKE '%5'
+    UNION ALL SELECT revision_id, 'another reading of this poll exists' FROM r WHERE contest_id LIKE '%1998'""")
 def poll_concerns(g: Graph) -> DataFrame:
     """I8: undated polls, near duplicates, lookalike pollsters, polls of which another reading is stored."""
     revisions = g.revisions().withColumn(
@@ -141,9 +153,12 @@ def poll_concerns(g: Graph) -> DataFrame:
     return I.concerns(revisions, I.near_duplicates(revisions), like, stored)
 
 
-@query("""WITH p AS (SELECT 'p' || l_partkey AS parent_id, 'd' || l_suppkey AS derived_id, CASE WHEN l_tax > 0.04 THEN 'text' ELSE 'table' END AS kind FROM lineitem)
-    SELECT 'lineage' AS what, parent_id || '>' || derived_id || ':' || kind AS key FROM (SELECT DISTINCT * FROM p WHERE kind = 'text' OR derived_id NOT LIKE '%1')
-    UNION ALL SELECT 'supersession', 'supersede:' || sha256('{"predecessor":"k' || o_orderkey || '","successor":"k' || o_orderkey + 1 || '"}') FROM orders WHERE o_orderkey % 4 = 1""")
+@query("""WITH p AS (SELECT 'p' || l_partkey AS parent_id, 'd' || l_suppkey AS derived_id, CASE
+    WHEN l_tax > 0.04 THEN 'text' ELSE 'table' END AS kind FROM lineitem)
+    SELECT 'lineage' AS what, parent_id || '>' || derived_id || ':' || kind AS key FROM (SELECT DISTINCT * FROM p WHERE kind = 'text'
+    OR derived_id NOT LIKE '%1')
+    UNION ALL SELECT 'supersession', 'supersede:' || sha256('{"predecessor":"k' || o_orderkey || '","successor":"k' || o_orderkey + 1 || '"}')
+    FROM orders WHERE o_orderkey % 4 = 1""")
 def lineage_appended(g: Graph) -> DataFrame:
     """Lineage of artifacts and supersessions to append: not those stored, without a reason, or of themselves."""
     edges = g.raw("lineitem").select(
@@ -165,7 +180,8 @@ def lineage_appended(g: Graph) -> DataFrame:
 
 
 @query("""SELECT count(*) FILTER (o_totalprice >= 2000) AS imported, count(*) FILTER (o_totalprice < 2000) AS failed,
-    count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS created, count(*) FILTER (o_totalprice >= 2000) - count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS corroborated, 0::BIGINT AS unchanged FROM orders""")
+    count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS created,
+    count(*) FILTER (o_totalprice >= 2000) - count(DISTINCT o_custkey || '/' || o_orderstatus) FILTER (o_totalprice >= 2000) AS corroborated, 0::BIGINT AS unchanged FROM orders""")
 def import_report(g: Graph) -> DataFrame:
     """Orders imported as candidacies row by row; a bad row fails alone, a claim seen before is corroborated."""
     rows = g.raw("orders").select(
@@ -181,7 +197,8 @@ def import_report(g: Graph) -> DataFrame:
     return sure.select("imported", "failed", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("created", "corroborated", "unchanged")))
 
 
-@query("""SELECT 'run-' || s AS idempotency_key, CASE WHEN s % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, s % 2 = 0 AS appended FROM (SELECT s_suppkey AS s FROM supplier)""")
+@query("""SELECT 'run-' || s AS idempotency_key, CASE WHEN s % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, s % 2 = 0 AS appended
+    FROM (SELECT s_suppkey AS s FROM supplier)""")
 def run_states(g: Graph) -> DataFrame:
     """The last state of every run, and whether starting it again would append a row."""
     k = F.col("s_suppkey")
@@ -198,7 +215,8 @@ def run_states(g: Graph) -> DataFrame:
     )
 
 
-@query("""SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS name, CASE WHEN event_type <> 'error' THEN 'ocd-division/country:us/' || event_type || '/' || strftime(ts, '%Y-%m-%d') END AS value, event_type <> 'error' AS keyed, 'contest-key' AS namespace FROM events""")
+@query("""SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS name, CASE
+    WHEN event_type <> 'error' THEN 'ocd-division/country:us/' || event_type || '/' || strftime(ts, '%Y-%m-%d') END AS value, event_type <> 'error' AS keyed, 'contest-key' AS namespace FROM events""")
 def event_mentions(g: Graph) -> DataFrame:
     """Events as mentions, by a computed key where the date is fine enough, else by title only."""
     fine = F.when(F.col("event_type") == "error", "month").otherwise("day")
@@ -212,7 +230,8 @@ def event_mentions(g: Graph) -> DataFrame:
 
 
 @query("""WITH who AS (SELECT id FROM g_entity WHERE kind = 'person' AND canonical_name ILIKE '%00000001%' ORDER BY canonical_name, id LIMIT 20)
-    SELECT 'person' AS what, id FROM who UNION ALL SELECT * FROM (SELECT 'event', 'e' || event_id FROM events WHERE event_type = 'view' AND 'c' || user_id IN (SELECT id FROM who) ORDER BY ts DESC, event_type || ' ' || user_id, 'e' || event_id LIMIT 20)""")
+    SELECT 'person' AS what, id FROM who UNION ALL SELECT * FROM (SELECT 'event', 'e' || event_id FROM events WHERE event_type = 'view'
+    AND 'c' || user_id IN (SELECT id FROM who) ORDER BY ts DESC, event_type || ' ' || user_id, 'e' || event_id LIMIT 20)""")
 def already_recorded(g: Graph) -> DataFrame:
     """The persons whose name holds a text, and the latest events of a kind that they took part in."""
     people, events = runs.already_recorded(g.entity(), g.alias(), g.happenings(), "00000001", "view")
@@ -220,7 +239,8 @@ def already_recorded(g: Graph) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_SURVIVOR}, q AS (SELECT 's' || s_suppkey AS own, 'Supp ' || (s_suppkey % 40) AS query FROM supplier),
-    same AS (SELECT DISTINCT query, coalesce(survivor_id, 's' || s_suppkey) AS e FROM supplier JOIN (SELECT DISTINCT query FROM q) ON query = 'Supp ' || (s_suppkey % 40) LEFT JOIN closure ON id = 's' || s_suppkey)
+    same AS (SELECT DISTINCT query, coalesce(survivor_id, 's' || s_suppkey) AS e FROM supplier JOIN (SELECT DISTINCT query
+    FROM q) ON query = 'Supp ' || (s_suppkey % 40) LEFT JOIN closure ON id = 's' || s_suppkey)
     SELECT own, count(e) AS candidates, min(e) AS first FROM q JOIN same USING (query) WHERE e <> own GROUP BY own""")
 def merge_candidates(g: Graph) -> DataFrame:
     """V8, Q29: for every supplier those that bear its short name, as survivors, without itself."""
@@ -234,8 +254,10 @@ def merge_candidates(g: Graph) -> DataFrame:
     return found.groupBy(F.col("query").alias("own")).agg(F.count("*").alias("candidates"), F.min("entity_id").alias("first"))
 
 
-@query("""WITH w AS (SELECT DISTINCT review_key FROM g_revision), o AS (SELECT DISTINCT target FROM g_task WHERE status IN ('pending', 'claimed') AND priority < 30)
-    SELECT review_key AS target, CASE WHEN review_key IN (SELECT target FROM o) THEN 'has an open task' WHEN review_key % 4 = 0 THEN 'no reason' END AS why FROM w""")
+@query("""WITH w AS (SELECT DISTINCT review_key FROM g_revision), o AS (SELECT DISTINCT target FROM g_task WHERE status IN ('pending', 'claimed')
+    AND priority < 30)
+    SELECT review_key AS target, CASE WHEN review_key IN (SELECT target FROM o) THEN 'has an open task'
+    WHEN review_key % 4 = 0 THEN 'no reason' END AS why FROM w""")
 def reading_verdicts(g: Graph) -> DataFrame:
     """V4: verdicts wanted on all readings: appended, or refused for an open task or a missing reason."""
     keys = g.revisions().select(F.col("review_key").alias("target")).distinct()
@@ -247,8 +269,10 @@ def reading_verdicts(g: Graph) -> DataFrame:
     return done.select("target", F.lit(None).cast("string").alias("why")).unionByName(refused.select("target", "why"))
 
 
-@query("""WITH s AS (SELECT DISTINCT revision_id, upper(population) || ': readings' AS said FROM g_reading), l AS (SELECT revision_id, count(*) AS populations FROM s GROUP BY 1)
-    SELECT t.id, r.revision_id, started || ' to ' || ended AS fieldwork, populations FROM g_task t JOIN g_revision r ON target = review_key JOIN l USING (revision_id) WHERE status IN ('pending', 'claimed') AND priority = 7""")
+@query("""WITH s AS (SELECT DISTINCT revision_id, upper(population) || ': readings' AS said FROM g_reading), l AS (SELECT revision_id,
+    count(*) AS populations FROM s GROUP BY 1)
+    SELECT t.id, r.revision_id, started || ' to ' || ended AS fieldwork, populations FROM g_task t JOIN g_revision r ON target = review_key
+    JOIN l USING (revision_id) WHERE status IN ('pending', 'claimed') AND priority = 7""")
 def task_views(g: Graph) -> DataFrame:
     """Open tasks of one priority with fieldwork and readings."""
     from claimweave.operators import polls
@@ -273,7 +297,8 @@ def task_by_prefix(g: Graph) -> DataFrame:
     return V.find_task(some, "q77").select("id", "target", "status")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey % 20 AS k, l_returnflag AS f, l_linestatus AS s FROM lineitem), n AS (SELECT k, count(*) AS c FROM p WHERE NOT (f = 'A' AND s = 'F') GROUP BY 1)
+@query("""WITH p AS (SELECT DISTINCT l_suppkey % 20 AS k, l_returnflag AS f, l_linestatus AS s FROM lineitem), n AS (SELECT k, count(*) AS c FROM p
+    WHERE NOT (f = 'A' AND s = 'F') GROUP BY 1)
     SELECT 'p' || k AS poll_id, c AS fresh, (2 + c)::INTEGER AS last, 'k' || k AS contest_id, 1::BIGINT AS estimates, 1::BIGINT AS refused FROM n""")
 def poll_revisions(g: Graph) -> DataFrame:
     """Revisions whose payload is new, numbered on; options, estimates and averages under them."""
@@ -314,7 +339,8 @@ _SPECS = ", ".join(f"('{p.slug}', '{catalog.version_id(p.slug)}', '{p.target}',
 _SPACES = ", ".join(f"('{n}', {k})" for n, _, k in catalog.NAMESPACES)
 
 
-@query(f"""SELECT 'predicate' AS what, slug, version_id, target || '/' || time || '/' || subjects AS spec FROM (VALUES {_SPECS}) AS t(slug, version_id, target, time, subjects) WHERE slug <> 'endorsed'
+@query(f"""SELECT 'predicate' AS what, slug, version_id, target || '/' || time || '/' || subjects AS spec
+    FROM (VALUES {_SPECS}) AS t(slug, version_id, target, time, subjects) WHERE slug <> 'endorsed'
     UNION ALL SELECT 'namespace', n, NULL, k::VARCHAR FROM (VALUES {_SPACES}) AS s(n, k)""")
 def catalogue_rows(g: Graph) -> DataFrame:
     """Predicates still to seed when one is stored, and the active namespaces."""
@@ -332,7 +358,9 @@ _WHO = ("redirect", "claim", "assertion", "poll_average_revision", "poll_revisio
 
 
 @query("""WITH k AS (SELECT o_orderkey, o_orderkey // 8 AS ring FROM orders), r AS (SELECT ring FROM k GROUP BY 1 HAVING count(*) = 8),
-    n AS (SELECT u.g, o_orderkey, ring FROM k, (VALUES ('redirect', 0), ('claim', 1), ('assertion', 2), ('poll_average_revision', 3), ('poll_revision', 4)) AS u(g, j) WHERE ring % 5 = j)
+    n AS (SELECT u.g, o_orderkey, ring
+    FROM k, (VALUES ('redirect', 0), ('claim', 1), ('assertion', 2), ('poll_average_revision', 3), ('poll_revision', 4)) AS u(g, j)
+    WHERE ring % 5 = j)
     SELECT g AS graph, o_orderkey::VARCHAR AS id FROM n SEMI JOIN r USING (ring)""")
 def integrity_cycles(g: Graph) -> DataFrame:
     """Five graphs of which each holds rings of eight orders; a ring that lacks an order is a chain."""
@@ -342,8 +370,10 @@ def integrity_cycles(g: Graph) -> DataFrame:
     return G.check({name: G.edges(rows.where(F.col("j") == j), "a", "b") for j, name in enumerate(_WHO)})
 
 
-@query("""SELECT 'target' AS "constraint", o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'hash', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 5 = 0
-    UNION ALL SELECT 'state', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'pair', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'decimal', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 11 = 0""")
+@query("""SELECT 'target' AS "constraint", o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT 'hash', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 5 = 0
+    UNION ALL SELECT 'state', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'pair', o_orderkey::VARCHAR FROM orders
+    WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'decimal', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 11 = 0""")
 def checked_columns(g: Graph) -> DataFrame:
     """One of two targets, digests, states of runs, pairs, decimals."""
     k = F.col("o_orderkey")
@@ -373,7 +403,8 @@ def typed_payloads(g: Graph) -> DataFrame:
     ).select("id", "bad_value", F.col("payload.votes").alias("votes"))
 
 
-@query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE 'organization' END AS new_kind FROM customer WHERE c_custkey % 3 = 0""")
+@query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE 'organization' END AS new_kind FROM customer
+    WHERE c_custkey % 3 = 0""")
 def kind_promotions(g: Graph) -> DataFrame:
     """R2: entities stored as other that a mention knows better."""
     entities = g.entity().where("kind = 'person'").withColumn(
@@ -388,7 +419,8 @@ def kind_promotions(g: Graph) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT page_id, 'http://' || page_id % 40 AS url, page_id % 40 AS k FROM pages)
-    SELECT page_id AS record_id, CASE WHEN k % 5 < 2 THEN sha256('body ' || k) END AS sha256, CASE k % 5 WHEN 2 THEN 'status 404' WHEN 3 THEN 'TimeoutError: too slow' WHEN 4 THEN '33554433 bytes' END AS error, CASE WHEN k % 5 > 1 THEN k % 5 = 3 END AS retryable FROM p""")
+    SELECT page_id AS record_id, CASE WHEN k % 5 < 2 THEN sha256('body ' || k) END AS sha256, CASE k % 5 WHEN 2 THEN 'status 404'
+    WHEN 3 THEN 'TimeoutError: too slow' WHEN 4 THEN '33554433 bytes' END AS error, CASE WHEN k % 5 > 1 THEN k % 5 = 3 END AS retryable FROM p""")
 def cited_sources(g: Graph) -> DataFrame:
     """Records citing sources, fetched once each from a client made up here; refused, slow and huge ones skip their records only."""
     from claimweave.sources import fetch
