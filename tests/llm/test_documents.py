@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimweave.llm import mixing, piece_codec, quality, simhash, substring, token_store, toxicity
+from claimweave.llm import mixing, near_copies, piece_codec, quality, simhash, substring, token_store, toxicity, warc
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -291,6 +291,12 @@ def test_batches_are_bounded_in_bytes(spark):
     assert {r["n_removed"] for r in substring.without_repeats(few, full=False).collect()} == {200_000}
     assert len({r["ids_crc32"] for r in token_store.round_trip(few, BPE).collect()}) == 1
     assert {r["round_trip"] for r in piece_codec.digests(piece_codec.encode(few, PIECES), PIECES).collect()} == {True}
+    assert near_copies.keep_one(few).count() == 1
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(few, labels).select("score").distinct().count() == 1
+    assert toxicity.score(few, labels).select("score").distinct().count() == 1
+    pages = few.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {(r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()} == {("response", None), ("revisit", 0)}
 
 
 def test_scratch_tables_can_be_dropped(spark):
