@@ -64,8 +64,12 @@ def search(
     stays, with the alias that matched unless that is the survivor's own name.
     """
     near = matches(trigram_index(aliases), queries)
+    # Dealt by number, since the few bytes of a pair say little of its work.
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query", "name")
     word = trigram.word_similarity(text.ascii_name(F.col("query")), F.col("normalized_name"))
-    near = bearers(near.withColumn("word", word).where(F.col("word") >= trigram.WORD_MATCH), aliases)
+    # As a generator: a filter on a column would be pushed below the exchange and the column computed twice.
+    reached = F.explode(F.filter(F.array(word), lambda w: w >= trigram.WORD_MATCH)).alias("word")
+    near = bearers(near.select("query", "name", "normalized_name", "whole", reached), aliases)
     best = Window.partitionBy("query").orderBy(F.round("word", 9).desc(), F.round("whole", 9).desc(), "name", "entity_id")
     near = cut(near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidates).drop("k"))  # read twice
     of = entities.select(F.col("id").alias("entity_id"), "kind", "canonical_name")
