@@ -135,7 +135,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.groupBy("block").agg(F.sum("n_tokens").alias("size"))
     before = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = sizes.select("block", F.coalesce(before, F.lit(0)).alias("before"))
-    if sizes.count() <= BROADCAST_BLOCKS:  # one row per file: 16 bytes each; beyond that an ordinary join
+    if len(rows.inputFiles()) <= BROADCAST_BLOCKS:  # at most one block per file: 16 bytes each; beyond that an ordinary join
         blocks = F.broadcast(blocks)
     return rows.join(blocks, "block").select("doc_id", (F.col("before") + F.col("start_in_block")).alias("start"), "n_tokens", "ids")
 
