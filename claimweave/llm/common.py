@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 _FALLBACK: dict[str, str] = {}
 
 
