@@ -133,7 +133,4 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that near_copies() keeps, one for each component, with all their columns."""
-    keep = near_copies(docs).select("keep_id", "keep_th").distinct()
-    mine = docs.withColumn("__th", F.xxhash64("text"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__th") == F.col("keep_th"))
-    return mine.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+    return simhash.keepers_only(docs, near_copies(docs))

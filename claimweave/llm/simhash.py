@@ -134,12 +134,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id", "keep_id", "keep_th")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, one for each component, with all their columns.
+def keepers_only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found(keep_id, keep_th)`` names, with all their columns.
 
     Of repeated rows with one doc_id and text, one stays.
     """
-    keep = near_duplicates(docs).select("keep_id", "keep_th").distinct()
+    keep = found.select("keep_id", "keep_th").distinct()
     mine = docs.select("*", F.xxhash64("text").alias("__th"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__th") == F.col("keep_th"))
     return mine.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates() keeps, one for each component, with all their columns."""
+    return keepers_only(docs, near_duplicates(docs))
