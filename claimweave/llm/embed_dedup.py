@@ -156,3 +156,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     linked = usable.select("vec_id", "h", "g").join(each, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("component_id") == F.col("vec_id"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS size FROM v),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+           WHERE list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.9),
+     r AS (SELECT vec_id, vec_id AS to_id FROM u UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.to_id = l.a),
+     c AS (SELECT vec_id, min(to_id) AS component_id FROM r GROUP BY vec_id),
+     n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""

@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op10_substring": substring.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op9_embedding_dedup": embed_dedup.ORACLE, "op10_substring": substring.ORACLE}
