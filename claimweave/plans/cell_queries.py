@@ -278,7 +278,7 @@ def market_records(g: Graph) -> DataFrame:
     folder = landing(g.spark, "exchange")
     nested.select(F.to_json(F.struct("event", "markets")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(folder)
     return exchange.markets(exchange.events(g.spark, f"{folder}/*.txt")).select(
-        "event_ticker", "ticker", "title", "last_price_dollars", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "volume"
+        "event_ticker", "ticker", "title", "last_price_dollars", F.convert_timezone(None, F.lit("UTC"), F.col("open_time").cast("timestamp_ntz")).alias("open_time"), "volume"
     )
 
 
