@@ -9,7 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimweave.llm import embed_dedup, mixing, piece_codec, quality, simhash, substring, token_store, topk, toxicity, warc
+from claimweave.llm import (
+    dialogue, embed_dedup, mixing, multi_index, periodicity, piece_codec, quality, simhash, substring, token_store, topk, toxicity, warc
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,14 +78,35 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(_table(spark, sf_dir, "documents"), full=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, a tenth of them with a planted periodic end: its runs, the longest one, and what stays of the text."""
+    return periodicity.digests(periodicity.collapsed(_table(spark, sf_dir, "documents"), periodicity.planted))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found for every vector whose id is divisible by 50, by cosine."""
+    vectors = multi_index.usable(_table(spark, sf_dir, "embeddings"))
+    return multi_index.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation with planted faults: what is wrong, the cheapest edits, and the repaired conversation's digest."""
+    rows = _table(spark, sf_dir, "conversations")
+    return dialogue.digests(dialogue.repair(dialogue.damaged(rows)), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_quality, op2_sentencepiece, op3_toxicity, op4_warc, op5_token_store, op6_topk, op7_simhash, op8_mixing, op9_embedding_dedup,
-            op10_substring
+            op10_substring, op11_periodic_runs, op12_nearest_neighbours, op13_conversation_repair
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op9_embedding_dedup": embed_dedup.ORACLE, "op10_substring": substring.ORACLE}
+    return {
+        "op4_warc": warc.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE,
+        "op9_embedding_dedup": embed_dedup.ORACLE, "op10_substring": substring.ORACLE,
+        "op12_nearest_neighbours": multi_index.ORACLE, "op13_conversation_repair": dialogue.ORACLE
+    }
