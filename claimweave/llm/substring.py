@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every block of the corpus.
+"""Substring dedup: windows of words that stand more than once, found by phrases that are cut by content.
 
 Each text is parsed from left to right into phrases cut by content: the anchor of a window of WINDOW words is the
 ANCHOR-gram in it with the smallest hash (the leftmost of equals), and consecutive windows with one anchor make a

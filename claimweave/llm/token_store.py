@@ -61,17 +61,19 @@ class _Words(dict):
 
 
 class ByteLevelEncoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library, special strings being ordinary text.
+    """Ids of texts by a byte-level BPE file of the tokenizers library, as its plain call gives them.
 
     The library's pre-tokenizer never merges across words, so the library's model encodes each distinct word once and
-    the ids are then looked up; the table holds at most twice CACHE_WORDS words, the latest.
+    the ids are then looked up; the table holds at most twice CACHE_WORDS words, the latest. Texts that hold one of the
+    file's added tokens go through the library whole, which gives such a token its own id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.words = _Words(self.tokenizer.model)
         probe = "A probe: it's 12 naïve\n\n  tests, \tÿ!"
         self.by_word = self._cut(probe) == self._whole(probe)
@@ -91,7 +93,8 @@ class ByteLevelEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [self._cut(t) if self.by_word and _PLAIN.fullmatch(t) else self._whole(t) for t in texts]
+        by_word = lambda t: self.by_word and _PLAIN.fullmatch(t) and not self.added.search(t)
+        return [self._cut(t) if by_word(t) else self._whole(t) for t in texts]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -17,6 +17,8 @@ from claimweave.llm import mixing, near_copies, piece_codec, quality, simhash, s
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The library with nothing set, as the contract calls it.
+PLAIN = Tokenizer.from_file(BPE)
 
 
 def words(n, seed=0):
@@ -159,7 +161,6 @@ def test_phrases_in_pieces(monkeypatch):
 
 def test_token_store(spark, odd, empty, tmp_path):
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     rows = sorted(odd_documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     got = sorted(map(tuple, token_store.round_trip(odd, BPE).collect()), key=lambda r: r[1])
     start = 0
@@ -435,12 +436,20 @@ def test_toxicity(spark, odd, empty):
 @given(st.text(alphabet=st.sampled_from("ab É'’12 \t\n!▁漢"), max_size=60))
 def test_encoders_equal_their_libraries(text):
     encoder, model = token_store.ByteLevelEncoder.of(BPE), piece_codec.PieceModel.of(PIECES)
-    assert encoder.encode([text]) == [encoder._whole(text)]
+    assert encoder.encode([text]) == [np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
     assert model.encode([text]) == model._whole([text])
     parts = [np.frombuffer(x, "<i4").tolist() for x in model.encode(model.cut(text, 7))]
     assert model.joined(parts) == model.processor.encode(text)
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}", f"word {end} word", f"{end}{end}", f"it's 12{end}\n tests", f"漢 {end}", "<|endoftext", f" {end} "]
+    got = token_store.ByteLevelEncoder(BPE).encode(texts)
+    assert got == [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(got[0], "<u4").tolist() == [PLAIN.token_to_id(end)]
+
+
 def test_isotonic_is_monotone():
     from claimweave.llm.isotonic import Isotonic
 
