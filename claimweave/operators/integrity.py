@@ -58,20 +58,51 @@ def followed(rows: DataFrame, survivors_: DataFrame, column: str, name: str) ->
     return rows.join(through, F.col(column) == F.col("__id"), "left").withColumn(name, end).drop("__id", "__s", "__m")
 
 
-def cycle_members(graph: DataFrame) -> DataFrame:
-    """G1: nodes of (src, dst), at most one edge from each, whose walk never ends: on a cycle or leading to one.
+def rings(graph: DataFrame) -> DataFrame:
+    """G1: ``id, leader, position, next`` of the nodes that are on a cycle of (src, dst), at most one edge from each node.
 
-    Walks double in length each round, until none is left or they are longer than there are edges.
+    Walks double in length each round until none goes on or all are longer than there are edges; what such walks end
+    on is on a cycle, and nodes that only lead into one are not listed. The leader is the cycle's smallest node, the
+    least label met by doubling once more among its nodes; a node's position is its distance from the leader, found by
+    list ranking with the leader's ring opened.
     """
-    now, rounds = cut(graph.select("src", "dst")), 0
-    edges_ = now.count()
-    while 2**rounds <= edges_:
-        step = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        now = cut(now.join(step, "dst").select("src", F.col("next").alias("dst")))
-        rounds += 1
-        if now.isEmpty():
+    steps = cut(graph.select("src", "dst").where("src is not null and dst is not null").distinct())
+    walks, rounds, edges_ = steps, 0, steps.count()
+    while 2**rounds <= edges_ and not walks.isEmpty():
+        on = walks.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        walks, rounds = cut(walks.join(on, "dst").select("src", F.col("next").alias("dst"))), rounds + 1
+    held = cut(steps.join(walks.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+    size = held.count()
+    if not size:
+        return held.select(F.col("src").alias("id"), F.col("src").alias("leader"), F.lit(0).cast("long").alias("position"), F.col("dst").alias("next"))
+    named, reach = held.select("src", "dst", F.least("src", "dst").alias("leader")), 1
+    while reach < size:
+        on = named.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("leader").alias("theirs"))
+        after = cut(named.join(on, "dst").select("src", F.col("next").alias("dst"), F.least("leader", "theirs").alias("leader"), F.col("leader").alias("was")))
+        named, reach = after.drop("was"), reach * 2
+        if after.where("leader <> was").isEmpty():
             break
-    return now.select(F.col("src").alias("id")).distinct()
+    led = cut(held.join(named.select("src", "leader"), "src"))
+    # Distance to the leader along the ring: the leader's own edge is left out, so that every walk ends.
+    left = led.select("src", "leader", F.when(F.col("src") == F.col("leader"), F.col("src")).otherwise(F.col("dst")).alias("at"))
+    left = left.withColumn("far", F.when(F.col("src") == F.col("leader"), 0).otherwise(1).cast("long"))
+    while not left.where("at <> leader").isEmpty():
+        on = left.select(F.col("src").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
+        left = cut(left.join(on, "at").select("src", "leader", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far")))
+    sizes = left.groupBy("leader").agg(F.count("*").alias("n"))
+    placed = left.join(sizes, "leader").select("src", "leader", F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("position"))
+    return placed.join(held, "src").select(F.col("src").alias("id"), "leader", "position", F.col("dst").alias("next"))
+
+
+def cycle_members(graph: DataFrame) -> DataFrame:
+    """G1: the nodes that are on a cycle."""
+    return rings(graph).select("id")
+
+
+def paths(graph: DataFrame) -> DataFrame:
+    """G1: ``leader, path`` of every cycle, as text from the leader and back to it; a path is as long as its cycle."""
+    found = rings(graph).groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("p"))
+    return found.select("leader", F.concat(F.array_join("p.id", " > "), F.lit(" > "), "leader").alias("path"))
 
 
 def chains(redirects: DataFrame) -> DataFrame:
@@ -81,18 +112,18 @@ def chains(redirects: DataFrame) -> DataFrame:
 
 
 def check(graphs: dict[str, DataFrame]) -> DataFrame:
-    """(graph, id) of every node that a cycle holds, over the named edge tables."""
-    parts = [cycle_members(g).select(F.lit(n).alias("graph"), "id") for n, g in sorted(graphs.items())]
-    out = parts[0]
+    """(graph, id, leader, position) of every node on a cycle, over the named edge tables, in one pass."""
+    parts = [g.select(F.struct(F.lit(n).alias("g"), F.col("src").cast("string").alias("n")).alias("src"), F.struct(F.lit(n).alias("g"), F.col("dst").cast("string").alias("n")).alias("dst")) for n, g in sorted(graphs.items())]
+    out = parts[0].where("src.n is not null and dst.n is not null")
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(p.where("src.n is not null and dst.n is not null"))
+    return rings(out).select(F.col("id.g").alias("graph"), F.col("id.n").alias("id"), F.col("leader.n").alias("leader"), "position")
 
 
 def assert_sound(graphs: dict[str, DataFrame]) -> None:
     """Raises if any graph has a cycle."""
     if found := check(graphs).limit(5).collect():
-        raise ValueError(f"cycles: {[tuple(r) for r in found]}")
+        raise ValueError(f"cycles: {[(r['graph'], r['id']) for r in found]}")
 
 
 def terminal(graph: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

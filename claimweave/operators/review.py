@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimweave.functions import canon
-from claimweave.operators import polls
+from claimweave.functions.text import slug
+from claimweave.operators import polls, search
 from claimweave.operators.ingest import sequenced
-from claimweave.operators.integrity import followed
+from claimweave.operators.integrity import followed, rings, survivors as closure
+from claimweave.plans.materialize import cut
 
 OUTCOMES = ("accepted", "rejected", "changes_requested")
 OPEN = ("pending", "claimed")
@@ -29,58 +31,116 @@ def pending(tasks: DataFrame, status: str = "pending", limit: int | None = 50) -
 
 
 def find_task(tasks: DataFrame, prefix: str) -> DataFrame:
-    """The task whose id begins with a text; none or several are an error."""
-    found = tasks.where(F.col("id").startswith(prefix))
+    """The task whose id is a text, or begins with it; blanks around it and its case don't matter.
+
+    None or several are an error, and so is a blank text.
+    """
+    said = prefix.strip().lower()
+    if not said:
+        raise LookupError("give a task's id or the beginning of one")
+    whole = tasks.where(F.lower("id") == said)
+    if not whole.isEmpty():
+        return whole
+    found = tasks.where(F.lower("id").startswith(said))
     if (n := found.limit(2).count()) != 1:
         raise LookupError(f"{'no' if not n else 'more than one'} task begins with {prefix!r}")
     return found
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+
+
+def _malformed(reason_always: bool = False) -> Column:
+    """V9: what is wrong with a decision by itself, an empty text if nothing is."""
+    needs = F.lit(True) if reason_always else F.col("outcome") != "accepted"
+    return F.concat_ws(
+        "; ", F.when(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False)), "unknown outcome"), F.when(_blank("reviewer"), "no reviewer"),
+        F.when(_blank("token"), "no token"), F.when(needs & _blank("reason"), "no reason")
+    )
+
+
 def decision_errors(decisions: DataFrame) -> DataFrame:
     """V9: rows with what is wrong: an unknown outcome, no reviewer, no token, or no reason where one is needed."""
-    wrong = F.concat_ws(
-        "; ", F.when(~F.col("outcome").isin(*OUTCOMES), "unknown outcome"), F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "no reviewer"),
-        F.when(F.coalesce(F.trim("token"), F.lit("")) == "", "no token"),
-        F.when((F.col("outcome") != "accepted") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "no reason")
-    )
-    return decisions.withColumn("error", wrong).where("error <> ''")
+    return decisions.withColumn("error", _malformed()).where("error <> ''")
+
 
+def first_come(rows: DataFrame, keys: tuple[str, str], why: tuple[str, str]) -> DataFrame:
+    """``rows`` with ``late``: null for the rows that stand, a reason for those that a row before them forestalls.
 
-def decide(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    Rows come in the order of all their columns, keys first. A row stands unless an earlier row that stands has one of
+    its keys; a row that does not stand forestalls none. Each round settles the rows that are first in both of their
+    groups and those that these forestall; chains of rows that forestall each other take further rounds.
+    """
+    order = [*keys, *(c for c in rows.columns if c not in keys)]
+    left = cut(rows.dropDuplicates().withColumn("late", F.lit(None).cast("string")))
+    done = left.limit(0)
+    while True:
+        first = [F.row_number().over(Window.partitionBy(k).orderBy(*order)) == 1 for k in keys]
+        ranked = cut(left.withColumn("stands", first[0] & first[1]))
+        taken = [F.max("stands").over(Window.partitionBy(k)) for k in keys]
+        judged = cut(ranked.withColumns({"a": taken[0], "b": taken[1]}))
+        late = F.when(F.col("stands"), F.lit(None)).when(F.col("a"), why[0]).when(F.col("b"), why[1])
+        done = done.unionByName(judged.where("stands or a or b").withColumn("late", late).select(*done.columns))
+        left = judged.where("not stands and not a and not b").select(*done.columns)
+        if left.isEmpty():
+            return done
+
+
+def _appended(judged: DataFrame, decisions: DataFrame, *columns: str) -> DataFrame:
+    top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
+    clean = judged.where("why is null").withColumns({"reviewer": F.trim("reviewer"), "reason": F.nullif(F.trim("reason"), F.lit(""))})
+    return sequenced(clean, "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason", *columns)
+
+
+def _used(decisions: DataFrame) -> DataFrame:
+    tokens = decisions.select("token") if "token" in decisions.columns else decisions.limit(0).select(F.lit("").alias("token"))
+    return tokens.distinct().withColumn("used", F.lit(True))
+
+
+def decide(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V3, V4: new decisions ``wanted(task_id, outcome, reviewer, token, reason)`` -> (rows to append, rows refused).
 
-    A closed task, a malformed decision, or a token that was used before is refused; several wanted decisions on one
-    task, too, but the first by token. Sequence numbers go on from the highest.
+    Refused: what is malformed, a task that is unknown or closed, a token that was used before, and the acceptance
+    without a reason of a task that offers merge candidates (``candidates(task_id)``). Of the others in the batch a token
+    counts once and a task is decided once, the first by (token, task) that nothing forestalls; a refused row forestalls
+    none. The same row twice is one. Sequence numbers go on from the highest.
     """
-    bad = decision_errors(wanted).select("token", "error")
-    state = wanted.join(tasks.select(F.col("id").alias("task_id"), "target", "status"), "task_id", "left").join(bad, "token", "left")
-    used = decisions.select("token").distinct().withColumn("used", F.lit(True)) if "token" in decisions.columns else None
-    state = state.join(used, "token", "left") if used is not None else state.withColumn("used", F.lit(None).cast("boolean"))
-    first = state.groupBy("task_id").agg(F.min("token").alias("first"))
-    state = state.join(first, "task_id")
+    state = wanted.join(tasks.select(F.col("id").alias("task_id"), "target", "status"), "task_id", "left").join(_used(decisions), "token", "left")
+    offers = candidates.select("task_id").distinct() if candidates is not None else wanted.limit(0).select("task_id")
+    state = state.join(offers.withColumn("offers", F.lit(True)), "task_id", "left")
     why = F.coalesce(
-        F.col("error"), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"),
-        F.when(F.col("used"), "token was used"), F.when(F.col("token") != F.col("first"), "task has another decision")
+        F.nullif(_malformed(), F.lit("")), F.when(F.col("status").isNull(), "no such task"), F.when(~F.col("status").isin(*OPEN), "task is closed"),
+        F.when(F.col("used"), "token was used"),
+        F.when(F.col("offers") & (F.col("outcome") == "accepted") & _blank("reason"), "say why the candidates are other things")
     )
-    judged = state.withColumn("why", why)
-    top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    appended = sequenced(judged.where("why is null"), "token", top).select("seq", "target", "outcome", "reviewer", "token", "reason", "task_id")
-    return appended, judged.where("why is not null").select("task_id", "token", "why")
+    judged = cut(state.withColumn("why", why).select("token", "task_id", "target", "outcome", "reviewer", "reason", "why"))
+    settled = cut(first_come(judged.where("why is null").drop("why"), ("token", "task_id"), ("token stands twice", "task has another decision")))
+    settled = settled.withColumnRenamed("late", "why")
+    refused = judged.where("why is not null").unionByName(settled.where("why is not null"))
+    return _appended(settled, decisions, "task_id"), refused.select("task_id", "token", "why")
 
 
-def decide_readings(tasks: DataFrame, decisions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decide_readings(
+    tasks: DataFrame, decisions: DataFrame, wanted: DataFrame, revisions: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """V4: verdicts on revisions, wanted(target, outcome, reviewer, token, reason): (to append, refused with reason).
 
-    Refused where an open task holds the revision, or no reason is given.
+    Refused: what is malformed, no reason whatever the outcome, a revision that ``revisions(target)`` does not hold, one
+    that an open task holds, a token that was used before. Within the batch as decide(), one verdict for a revision.
     """
     open_ = tasks.where(F.col("status").isin(*OPEN)).select("target").distinct().withColumn("open", F.lit(True))
-    judged = wanted.join(open_, "target", "left").withColumn(
-        "why", F.when(F.col("open"), "has an open task").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason")
+    state = wanted.join(open_, "target", "left").join(_used(decisions), "token", "left")
+    known = (revisions if revisions is not None else wanted).select("target").distinct().withColumn("known", F.lit(True))
+    why = F.coalesce(
+        F.nullif(_malformed(reason_always=True), F.lit("")), F.when(F.col("known").isNull(), "no such revision"), F.when(F.col("open"), "has an open task"),
+        F.when(F.col("used"), "token was used")
     )
-    top = decisions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    return sequenced(judged.where("why is null"), "token", top).select(
-        "seq", "target", "outcome", "reviewer", "token", "reason"
-    ), judged.where("why is not null").select("target", "token", "why")
+    judged = cut(state.join(known, "target", "left").withColumn("why", why).select("token", "target", "outcome", "reviewer", "reason", "why"))
+    settled = cut(first_come(judged.where("why is null").drop("why"), ("token", "target"), ("token stands twice", "revision has another verdict")))
+    settled = settled.withColumnRenamed("late", "why")
+    refused = judged.where("why is not null").unionByName(settled.where("why is not null"))
+    return _appended(settled, decisions), refused.select("target", "token", "why")
 
 
 def merge_candidates(lookalikes: DataFrame, survivors: DataFrame, own: DataFrame) -> DataFrame:
@@ -100,21 +160,50 @@ def chosen(candidates: list[dict], said: str) -> dict:
     raise LookupError(f"{said!r} names no single candidate")
 
 
-def merges(redirects: DataFrame, survivors: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Wanted ``(duplicate_id, canonical_id)`` -> (redirects to append, refused with reason).
+def merges(redirects: DataFrame, wanted: DataFrame, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Wanted ``(duplicate_id, canonical_id, reason)`` -> (redirects to append, refused with ``why``).
 
-    The canonical end is followed to its survivor; an entity is not merged into itself, into a cycle, or twice.
+    Refused by themselves: no reason (where there is that column), an entity that ``entities(id)`` does not hold, an
+    entity merged into itself, or one that is merged already. The rest is judged together with the stored redirects, in
+    rounds: each entity's first merge by canonical_id that was not refused yet is tried, and of those that close a ring
+    with what stands the last by duplicate_id is refused; its entity's next one is tried in the next round. So what is
+    refused forestalls nothing, and of several merges of one entity one stands at most. Appended redirects lead straight
+    to the end of all of them, so each is one step.
     """
-    ends = followed(wanted, survivors, "canonical_id", "end")
-    done = redirects.select("duplicate_id").withColumn("done", F.lit(True))
-    state = ends.join(done, "duplicate_id", "left")
-    why = F.when(
+    wanted = wanted.withColumn("reason", F.trim("reason")) if "reason" in wanted.columns else wanted.withColumn("reason", F.lit("-"))
+    stored = redirects.select("duplicate_id", "canonical_id").distinct()
+    state = wanted.select("duplicate_id", "canonical_id", "reason").distinct()
+    known = lambda c: entities.select(F.col("id").alias(c)).distinct().withColumn(f"{c}_known", F.lit(True))
+    for c in ("duplicate_id", "canonical_id"):
+        state = state.join(known(c), c, "left") if entities is not None else state.withColumn(f"{c}_known", F.lit(True))
+    state = state.join(stored.select("duplicate_id").distinct().withColumn("done", F.lit(True)), "duplicate_id", "left")
+    unknown = F.col("duplicate_id_known").isNull() | F.col("canonical_id_known").isNull()
+    why = F.when(F.coalesce("reason", F.lit("")) == "", "no reason").when(unknown, "no such entity").when(
         F.col("duplicate_id") == F.col("canonical_id"), "merged into itself"
-    ).when(F.col("end") == F.col("duplicate_id"), "would make a cycle").when(F.col("done"), "is merged already")
-    judged = state.withColumn("why", why)
-    return judged.where("why is null").select(
-        "duplicate_id", F.col("end").alias("canonical_id")
-    ), judged.where("why is not null").select("duplicate_id", "canonical_id", "why")
+    ).when(F.col("done"), "is merged already")
+    judged = cut(state.withColumn("why", why).select("duplicate_id", "canonical_id", "reason", "why"))
+    edge = lambda df: df.select(F.col("duplicate_id").alias("src"), F.col("canonical_id").alias("dst"))
+    left, stands, ringed = judged.where("why is null"), judged.limit(0), judged.limit(0)
+    first = Window.partitionBy("duplicate_id").orderBy("canonical_id", "reason")
+    while True:
+        tried = cut(left.withColumn("k", F.row_number().over(first)))
+        now = tried.where("k = 1").drop("k")
+        held = rings(edge(stored).unionByName(edge(stands)).unionByName(edge(now))).select(F.col("id").alias("duplicate_id"), "leader")
+        # A ring has one merge of this round at least, since those that stand hold none; the last of them closes it.
+        closing = now.join(held, "duplicate_id").groupBy("leader").agg(F.max("duplicate_id").alias("duplicate_id"))
+        closing = cut(closing.select("duplicate_id", F.lit(True).alias("closes")))
+        split = cut(now.join(closing, "duplicate_id", "left"))
+        stands = cut(stands.unionByName(split.where("closes is null").drop("closes")))
+        ringed = cut(ringed.unionByName(split.where("closes").drop("closes").withColumn("why", F.lit("would make a cycle"))))
+        left = cut(tried.where("k > 1").drop("k"))
+        late = left.join(stands.select("duplicate_id"), "duplicate_id", "left_semi").withColumn("why", F.lit("is merged already"))
+        ringed, left = ringed.unionByName(late), left.join(stands.select("duplicate_id"), "duplicate_id", "left_anti")
+        if left.isEmpty():
+            break
+    ends = closure(stored.unionByName(stands.select("duplicate_id", "canonical_id")), 1 << 40)
+    straight = stands.join(ends.select(F.col("id").alias("duplicate_id"), "survivor_id"), "duplicate_id")
+    refused = judged.where("why is not null").unionByName(ringed)
+    return straight.select("duplicate_id", F.col("survivor_id").alias("canonical_id")), refused.select("duplicate_id", "canonical_id", "why")
 
 
 def rivals(revisions: DataFrame, tasks: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -125,19 +214,103 @@ def rivals(revisions: DataFrame, tasks: DataFrame, accepted: DataFrame) -> DataF
     return others.join(open_, "revision_id", "left_anti").select("revision_id", "accepted_id")
 
 
-def sentence(subject: Column, predicate: Column, obj: Column) -> Column:
-    """V7: the headline of an assertion."""
-    return F.concat_ws(" — ", subject, F.replace(predicate, F.lit("_"), F.lit(" ")), obj)
+def sentence(subject: Column, predicate: Column, obj: Column, value: Column | None = None) -> Column:
+    """V7: the headline of an assertion: subject, predicate, and the object, or the value where there is none."""
+    return F.concat_ws(" — ", subject, predicate, obj if value is None else F.coalesce(obj, value))
+
+
+def _named(c: str, name: str) -> Column:
+    return F.concat(F.coalesce(name, c), F.lit("  ["), F.substring(c, 1, 8), F.lit("]"))
+
+
+def assertion_views(tasks: DataFrame, assertions: DataFrame, claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """V7: tasks on assertions(seq, claim_id, asserted_by, stance, excerpt) as ``id, headline, details`` (label and text, in order).
+
+    Details without a text are left out; evidence is cut at 200 characters.
+    """
+    of = lambda p: entities.select(F.col("id").alias(f"{p}_id"), F.col("canonical_name").alias(p))
+    own = claims.select(F.col("id").alias("claim_id"), "predicate", "subject_id", "object_id", "value")
+    rows = tasks.join(assertions, tasks["target"] == assertions["seq"]).join(own, "claim_id")
+    rows = rows.join(of("subject"), "subject_id", "left").join(of("object"), "object_id", "left")
+    subject, obj = F.coalesce("subject", "subject_id"), F.coalesce("object", "object_id")
+    line = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    details = F.array(
+        line("predicate", F.col("predicate")), line("subject", _named("subject_id", "subject")), line("object", _named("object_id", "object")),
+        line("value", F.col("value")), line("asserted by", F.coalesce("asserted_by", F.lit("(unattributed)"))), line("stance", F.col("stance")),
+        line("evidence", F.nullif(F.substring("excerpt", 1, 200), F.lit("")))
+    )
+    return rows.select(
+        tasks["id"], sentence(subject, F.col("predicate"), obj, F.col("value")).alias("headline"),
+        F.filter(details, lambda d: d["text"].isNotNull()).alias("details")
+    )
+
+
+def readings_text(estimates: DataFrame) -> DataFrame:
+    """V6: ``revision_id, readings`` of estimates(revision_id, position, label, option_position, option, percentage).
+
+    Samples by position, options by theirs; a sample's number stands before its label where a revision has several.
+    """
+    number = F.when(F.col("percentage").isNull(), "?").otherwise(canon.decimal(F.col("percentage").cast("decimal(9,3)").cast("string")))
+    each = F.struct("option_position", F.concat_ws(" ", "option", number).alias("said"))
+    samples = estimates.groupBy("revision_id", "position", "label").agg(F.array_sort(F.collect_list(each)).alias("r"))
+    line = F.struct("position", "label", F.array_join(F.col("r.said"), ", ").alias("said"))
+    lines = samples.groupBy("revision_id").agg(F.array_sort(F.collect_list(line)).alias("s"))
+    label = lambda x: F.when(F.size("s") == 1, x["label"]).otherwise(F.concat((x["position"] + 1).cast("string"), F.lit(". "), x["label"]))
+    return lines.select("revision_id", F.array_join(F.transform("s", lambda x: F.concat(label(x), F.lit(": "), x["said"])), "  |  ").alias("readings"))
+
+
+def poll_views(
+    tasks: DataFrame, revisions: DataFrame, readings: DataFrame, entities: DataFrame, candidates: DataFrame | None = None
+) -> DataFrame:
+    """V6: open tasks on revisions(revision_id, poll_id, revision_number, pollster_id, contest_id, started, ended, created_by, poll_key).
+
+    ``id, headline, details`` as assertion_views(), ``readings``: every revision of the poll in order, with number, text,
+    writer and whether it is the task's own; ``candidates(pollster_id, entity_id, name)`` as an array of names by id.
+    """
+    of = lambda c, n: entities.select(F.col("id").alias(c), F.col("canonical_name").alias(n))
+    texts = revisions.join(readings, "revision_id", "left").select(
+        "poll_id", F.struct(
+            "revision_number", "revision_id", F.coalesce("readings", F.lit("(no readings)")).alias("summary"),
+            F.coalesce("created_by", F.lit("(unattributed)")).alias("recorded_by")
+        ).alias("r")
+    ).groupBy("poll_id").agg(F.array_sort(F.collect_list("r")).alias("all"))
+    open_ = tasks.where(F.col("status").isin(*OPEN)).select("id", "target")
+    rows = open_.join(revisions, open_["target"] == revisions["revision_id"]).join(texts, "poll_id")
+    rows = rows.join(of("pollster_id", "pollster"), "pollster_id", "left").join(of("contest_id", "contest"), "contest_id", "left")
+    if candidates is not None:
+        each = candidates.groupBy("pollster_id").agg(F.sort_array(F.collect_set(F.struct("entity_id", "name"))).alias("c"))
+        rows = rows.join(each.select("pollster_id", F.col("c.name").alias("candidates")), "pollster_id", "left")
+    else:
+        rows = rows.withColumn("candidates", F.lit(None).cast("array<string>"))
+    pollster, day = F.coalesce("pollster", F.lit("(unknown pollster)")), lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("?"))
+    line = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    details = F.array(
+        line("pollster", F.concat(pollster, F.lit("  ["), F.substring("pollster_id", 1, 8), F.lit("]"))),
+        line("contest", F.coalesce("contest", F.lit("(none recorded)"))), line("fieldwork", F.concat(day("started"), F.lit(" to "), day("ended"))),
+        line("revision", F.col("revision_number").cast("string")), line("recorded by", F.coalesce("created_by", F.lit("(unattributed)"))),
+        line("poll key", F.nullif(F.col("poll_key"), F.lit("")))
+    )
+    own = F.col("revision_id")
+    told = F.transform("all", lambda r: F.struct(r["revision_number"], (r["revision_id"] == own).alias("is_subject"), r["summary"], r["recorded_by"]))
+    return rows.select(
+        "id", "revision_id", F.concat_ws(" — ", pollster, F.coalesce("contest", F.lit("unknown contest"))).alias("headline"),
+        F.filter(details, lambda d: d["text"].isNotNull()).alias("details"), told.alias("readings"),
+        F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")
+    )
 
 
-def task_views(tasks: DataFrame, revisions: DataFrame, samples: DataFrame) -> DataFrame:
-    """V6: open tasks with their revisions' fieldwork and all readings, one row each."""
-    said = F.concat_ws(": ", F.upper("population"), "readings")
-    lines = samples.groupBy("revision_id").agg(F.array_join(F.sort_array(F.collect_list(said)), " | ").alias("readings"))
-    return tasks.where(F.col("status").isin(*OPEN)).join(revisions, tasks["target"] == revisions["review_key"]).join(lines, "revision_id").select(
-        "id", "revision_id", F.concat_ws(" to ", F.date_format("started", "yyyy-MM-dd"), F.date_format("ended", "yyyy-MM-dd")).alias("fieldwork"),
-        "readings"
+def offered(tasks: DataFrame, revisions: DataFrame, aliases: DataFrame, entities: DataFrame, survivors: DataFrame) -> DataFrame:
+    """V8: ``pollster_id, entity_id, name``: organizations that the pollsters of tasks' revisions may be duplicates of."""
+    held = revisions.join(tasks.select(F.col("target").alias("revision_id")), "revision_id", "left_semi").select("pollster_id").distinct()
+    own = held.join(entities.select(F.col("id").alias("pollster_id"), "canonical_name"), "pollster_id")
+    asked = own.select("pollster_id", slug(F.col("canonical_name")).alias("query"))
+    like = search.lookalikes(aliases, entities, asked.select("query").distinct(), "organization").select("query", "entity_id")
+    found = merge_candidates(
+        asked.join(like, "query").select(F.col("pollster_id").alias("query"), "entity_id"), survivors,
+        asked.select(F.col("pollster_id").alias("query"), F.col("pollster_id").alias("entity_id"))
     )
+    named = entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    return found.join(named, "entity_id").select(F.col("query").alias("pollster_id"), "entity_id", "name")
 
 
 def action_token(operation: str, **parts: Column) -> Column:

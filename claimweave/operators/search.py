@@ -123,25 +123,32 @@ def contexts(entities: DataFrame, identifiers: DataFrame, claims: DataFrame) ->
     return joined.select("id", F.coalesce(F.when(F.col("kind") == "person", F.col("party")), F.when(F.col("i").isNotNull(), named)).alias("context"))
 
 
-def find_entities(entities: DataFrame, aliases: DataFrame, name: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """Q27, Q31, Q32: by a fragment of a name or alias, in order of name; truncated tells whether there are more."""
+def _name_hits(found: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """Q31: entities whose name holds a fragment, or one of whose aliases does."""
     wanted = " ".join(name.lower().split())
-    own = F.lower("canonical_name").contains(wanted)
-    by_alias = aliases.where(
-        F.col("normalized_name").contains(wanted)
-    ).select(F.col("entity_id").alias("id")).distinct().withColumn("hit", F.lit(True))
-    found = entities.where(F.col("kind") == kind) if kind else entities
-    found = found.join(by_alias, "id", "left").where(own | F.col("hit")).select(
-        "id", "kind", "canonical_name"
-    ).orderBy("canonical_name", "id").limit(limit + 1)
-    k = found.withColumn(
-        "k", F.row_number().over(Window.orderBy("canonical_name", "id"))
-    ).withColumn("truncated", F.max("k").over(Window.partitionBy()) > limit)
-    page = k.where(F.col("k") <= limit)
+    own = F.lower("canonical_name").contains(name.strip().lower())
+    by_alias = aliases.where(F.col("normalized_name").contains(wanted)).select(F.col("entity_id").alias("id")).distinct()
+    return found.join(by_alias.withColumn("hit", F.lit(True)), "id", "left").where(own | F.col("hit")).drop("hit")
+
+
+def _page(found: DataFrame, aliases: DataFrame, order: list, limit: int | None, columns: tuple[str, ...]) -> DataFrame:
+    """Q32: the first rows, whether there are more, and the aliases of those on the page, and of no others."""
+    if limit is None:
+        page = found.withColumn("truncated", F.lit(False))
+    else:
+        k = found.orderBy(*order).limit(limit + 1).withColumn("k", F.row_number().over(Window.orderBy(*order)))
+        page = k.withColumn("truncated", F.max("k").over(Window.partitionBy()) > limit).where(F.col("k") <= limit)
     listed = aliases.join(page.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(
         F.array_join(F.sort_array(F.collect_set("name")), "|").alias("aliases")
     )
-    return page.join(listed, "id", "left").select("id", "kind", "canonical_name", "truncated", "aliases")
+    return page.join(listed, "id", "left").select(*columns, "truncated", "aliases")
+
+
+def find_entities(entities: DataFrame, aliases: DataFrame, name: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+    """Q27, Q31, Q32: by a fragment of a name or alias, in order of name; truncated tells whether there are more."""
+    found = entities.where(F.col("kind") == kind) if kind else entities
+    found = _name_hits(found.select("id", "kind", "canonical_name"), aliases, name)
+    return _page(found, aliases, ["canonical_name", "id"], limit, ("id", "kind", "canonical_name"))
 
 
 def latest_occurrence(claims: DataFrame) -> DataFrame:
@@ -154,11 +161,17 @@ def latest_occurrence(claims: DataFrame) -> DataFrame:
 
 def find_events(
     entities: DataFrame, claims: DataFrame, kind: str | None = None, participants: DataFrame | None = None, jurisdiction: str | None = None,
-    after: Column | None = None, before: Column | None = None, limit: int | None = 20
+    after: Column | None = None, before: Column | None = None, limit: int | None = 20, name: str | None = None, aliases: DataFrame | None = None
 ) -> DataFrame:
-    """Q28: events by what is claimed of them, latest first (nulls last), then by name and id."""
-    found = entities.where("kind = 'event'").select("id", "canonical_name")
+    """Q28: events by what is claimed of them, latest first (nulls last), then by name and id; both bounds are inside.
+
+    A name is looked for in names and ``aliases``. With ``aliases`` the page is told as find_entities() tells it.
+    """
+    found = entities.where("kind = 'event'").select("id", "kind", "canonical_name")
     of = lambda p, c="subject_id": claims.where(F.col("predicate") == p).select(F.col(c).alias("id"), "subject_id", "object_id", "value", "valid_from", "valid_at")
+    if name:
+        known = aliases if aliases is not None else entities.limit(0).select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("normalized_name"))
+        found = _name_hits(found, known, name)
     if kind:
         found = found.join(of("event_kind").where(F.get_json_object("value", "$.kind") == kind), "id", "left_semi")
     if participants is not None:
@@ -172,6 +185,10 @@ def find_events(
         moment = F.coalesce("valid_from", "valid_at")
         seen = of("event_occurrence")
         seen = seen.where(moment >= after) if after is not None else seen
-        found = found.join(seen.where(moment < before) if before is not None else seen, "id", "left_semi")
-    out = found.join(latest_occurrence(claims), "id", "left").orderBy(F.col("moment").desc_nulls_last(), "canonical_name", "id")
+        found = found.join(seen.where(moment <= before) if before is not None else seen, "id", "left_semi")
+    dated = found.join(latest_occurrence(claims), "id", "left")
+    order = [F.col("moment").desc_nulls_last(), F.col("canonical_name"), F.col("id")]
+    if aliases is not None:
+        return _page(dated, aliases, order, limit, ("id", "kind", "canonical_name", "moment"))
+    out = dated.orderBy(*order)
     return (out.limit(limit) if limit else out).select("id", "canonical_name", "moment")

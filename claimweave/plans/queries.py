@@ -230,17 +230,20 @@ def redirect_chains(g: Graph) -> DataFrame:
     return G.chains(g.redirect())
 
 
-_RING = "CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey + 1 WHEN s_suppkey // 10 % 2 = 1 THEN s_suppkey - 9 END"
+_RING = "CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey + 1 WHEN s_suppkey // 10 % 2 = 1 THEN s_suppkey - 8 END"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT s_suppkey AS src, {_RING} AS dst FROM supplier) WHERE dst IS NOT NULL),
-    w AS (SELECT src, dst, 1 AS d FROM e UNION ALL SELECT w.src, e.dst, d + 1 FROM w JOIN e ON w.dst = e.src WHERE d <= 12)
-    SELECT 'redirect' AS graph, duplicate_id AS id FROM g_redirect WHERE false UNION ALL SELECT DISTINCT 'supplier', src::VARCHAR FROM w
-    WHERE d > 12""")
+    w AS (SELECT src AS start, dst, 1 AS d FROM e UNION ALL SELECT start, e.dst, d + 1 FROM w JOIN e ON w.dst = e.src WHERE d < 10 AND start <> w.dst),
+    r AS (SELECT start, max(d) AS n FROM w GROUP BY start HAVING bool_or(dst = start)),
+    m AS (SELECT start, min(dst::VARCHAR) AS leader FROM w SEMI JOIN r USING (start) GROUP BY 1)
+    SELECT 'supplier' AS graph, m.start::VARCHAR AS id, leader, CASE WHEN m.start::VARCHAR = leader THEN 0 ELSE n - (SELECT min(d) FROM w WHERE w.start = m.start
+    AND w.dst::VARCHAR = leader) END::BIGINT AS position FROM m JOIN r USING (start)""")
 def graph_cycle_check(g: Graph) -> DataFrame:
-    """Nodes that never come to an end, in the redirects (none) and in chains of ten of which every other one closes."""
+    """What is on a cycle, with its place from the cycle's smallest id, in the redirects (none) and in chains of ten of
+    which every other one closes on its second member, so that the first only leads into it."""
     k = F.col("s_suppkey")
-    to = F.when(k % 10 != 9, k + 1).when(F.expr("s_suppkey div 10 % 2 = 1"), k - 9)
+    to = F.when(k % 10 != 9, k + 1).when(F.expr("s_suppkey div 10 % 2 = 1"), k - 8)
     made = g.raw("supplier").select(k.cast("string").alias("src"), to.cast("string").alias("dst")).where("dst is not null")
     return G.check({"redirect": G.edges(g.redirect(), "duplicate_id", "canonical_id"), "supplier": made})
 
@@ -325,11 +328,30 @@ def find_entities_fragment(g: Graph) -> DataFrame:
     return S.find_entities(g.entity(), g.alias(), "Widget", "option")
 
 
-@query("""SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS canonical_name, ts AS moment FROM events WHERE event_type = 'purchase'
-    AND user_id % 25 = 7 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25'""")
+_LAST = "(SELECT max(ts) FROM events WHERE event_type = 'purchase' AND user_id % 25 = 7)"
+
+
+@query(f"""SELECT 'e' || event_id AS id, 'event' AS kind, event_type || ' ' || user_id AS canonical_name, ts AS moment, false AS truncated,
+    event_type || ' ' || user_id AS aliases FROM events WHERE event_type = 'purchase' AND user_id % 25 = 7 AND ts >= TIMESTAMP '2024-01-10' AND ts <= {_LAST}""")
 def find_events_recent(g: Graph) -> DataFrame:
-    """Q28, F32: by kind, place and time."""
-    return S.find_events(g.entity(), g.happenings(), "purchase", jurisdiction="n7", after=_at("2024-01-10"), before=_at("2024-01-25"), limit=None)
+    """Q28, F32: by kind, place and time; the window ends at the instant of the last such event, which is inside."""
+    end = g.raw("events").where("event_type = 'purchase' and user_id % 25 = 7").agg(F.max("ts").alias("at")).first()["at"]
+    until = F.lit(end).cast("timestamp_ntz")
+    return S.find_events(g.entity(), g.happenings(), "purchase", jurisdiction="n7", after=_at("2024-01-10"), before=until, limit=None, aliases=g.alias())
+
+
+@query("""WITH f AS (SELECT 'e' || event_id AS id, event_type || ' ' || user_id AS canonical_name, ts AS moment FROM events
+    WHERE contains(lower(event_type || ' ' || user_id), 'purchase 1') OR event_id % 50 = 3),
+    p AS (SELECT *, row_number() OVER (ORDER BY moment DESC NULLS LAST, canonical_name, id) AS k FROM f)
+    SELECT id, 'event' AS kind, canonical_name, moment, (SELECT count(*) FROM f) > 20 AS truncated,
+    CASE WHEN substr(id, 2)::BIGINT % 50 = 3 THEN 'Old purchase 1 name|' || canonical_name ELSE canonical_name END AS aliases FROM p WHERE k <= 20""")
+def find_events_by_name(g: Graph) -> DataFrame:
+    """Q28, Q31, Q32: a page of events by a fragment of their name or of one they had before, with aliases and whether there are more."""
+    old = g.raw("events").where("event_id % 50 = 3").select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entity_id"), F.lit("Old purchase 1 name").alias("name"),
+        F.lit("old purchase 1 name").alias("normalized_name")
+    )
+    return S.find_events(g.entity(), g.happenings(), name="Purchase 1", aliases=g.alias().unionByName(old))
 
 
 @query("SELECT 'e' || event_id AS id, ts AS moment FROM events")
@@ -663,32 +685,60 @@ def ingest_debates(g: Graph) -> DataFrame:
     return I.debates(records).select("record_id", "predicate", "subject_id", "object_id", "value")
 
 
-@query("""SELECT 's' || s_suppkey AS duplicate_id, CASE WHEN s_suppkey % 10 = 3 THEN 's' || (s_suppkey - 3) END AS canonical_id, CASE
-    WHEN s_suppkey % 10 = 3 THEN NULL WHEN s_suppkey % 10 = 0 THEN 'would make a cycle'
-    WHEN s_suppkey % 10 IN (1, 2) THEN 'is merged already' ELSE 'merged into itself' END AS why FROM supplier""")
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), w AS (
+        SELECT k, 's' || CASE k % 10 WHEN 0 THEN k + 2 WHEN 1 THEN k + 3 WHEN 2 THEN k + 3 WHEN 3 THEN k - 1 WHEN 4 THEN k + 1 WHEN 5 THEN k - 1 WHEN 6 THEN k + 1
+            WHEN 7 THEN k + 1 ELSE k END AS c, 1 AS j FROM s WHERE k % 10 <> 8 UNION ALL SELECT k, 'nobody', 1 FROM s WHERE k % 10 = 8
+        UNION ALL SELECT k, 's' || (k + 2), 2 FROM s WHERE k % 10 = 6 UNION ALL SELECT k, 's' || (k + 1), 2 FROM s WHERE k % 10 = 5),
+    j AS (SELECT *, CASE WHEN k % 10 = 7 THEN 'no reason' WHEN c NOT IN (SELECT 's' || k FROM s) THEN 'no such entity' WHEN c = 's' || k THEN 'merged into itself'
+        WHEN k % 10 IN (1, 2) THEN 'is merged already' WHEN k % 10 = 0 THEN 'would make a cycle' WHEN k % 10 = 5 AND j = 1 THEN 'would make a cycle'
+        WHEN k % 10 = 6 AND j = 2 THEN 'is merged already' END AS why FROM w)
+    SELECT 's' || k AS duplicate_id, CASE WHEN why IS NOT NULL THEN c WHEN k % 10 = 3 THEN 's' || (k - 3) ELSE 's' || (k - k % 10 + 7) END AS canonical_id, why
+    FROM j""")
 def merge_guard(g: Graph) -> DataFrame:
-    """V5: merges wanted for every supplier: taken to the terminal end, or refused with a reason."""
-    k = F.col("s_suppkey")
-    to = F.when(k % 10 == 3, k - 1).when(k % 10 == 0, k + 2).when((k % 10).isin(1, 2), k + 3).otherwise(k)
-    wanted = g.raw("supplier").select(
-        F.concat(F.lit("s"), k.cast("string")).alias("duplicate_id"), F.concat(F.lit("s"), to.cast("string")).alias("canonical_id")
+    """Merges wanted for every supplier, judged together: rings that the batch itself would close, two merges of one
+    entity, refused ones that forestall nothing, and whatever a merge is refused for by itself; the rest leads straight to its end."""
+    s = g.raw("supplier").select(F.col("s_suppkey").alias("k"))
+    want = lambda rows, step: rows.select("k", F.concat(F.lit("s"), (F.col("k") + step).cast("string")).alias("c"))
+    of = lambda r: s.where(F.col("k") % 10 == r)
+    made = want(of(0), 2)
+    for r, step in ((1, 3), (2, 3), (3, -1), (4, 1), (5, -1), (5, 1), (6, 1), (6, 2), (7, 1), (9, 0)):
+        made = made.unionByName(want(of(r), step))
+    made = made.unionByName(of(8).select("k", F.lit("nobody").alias("c")))
+    wanted = made.select(
+        F.concat(F.lit("s"), F.col("k").cast("string")).alias("duplicate_id"), F.col("c").alias("canonical_id"),
+        F.when(F.col("k") % 10 == 7, " ").otherwise("the same").alias("reason")
     )
-    done, refused = V.merges(g.redirect(), _survivors(g), wanted)
-    none = F.lit(None).cast("string")
-    return done.withColumn("why", none).unionByName(refused.withColumn("canonical_id", none))
-
-
-@query("""WITH w AS (SELECT 'q' || event_id AS task_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'task is closed'
-    WHEN value < 5 THEN 'no reason' END AS why FROM events) SELECT why, count(*) AS tasks FROM w GROUP BY why""")
+    done, refused = V.merges(g.redirect(), wanted, g.entity())
+    return done.withColumn("why", F.lit(None).cast("string")).unionByName(refused)
+
+
+@query("""WITH e AS (SELECT event_id AS k, event_id % 12 AS m, event_id // 12 AS p, event_type NOT IN ('purchase', 'error') AS open FROM events),
+    first AS (SELECT p, min(k) AS k FROM e WHERE m IN (6, 7) AND open GROUP BY 1),
+    w AS (SELECT k, CASE m WHEN 0 THEN 'no token' WHEN 1 THEN 'unknown outcome' WHEN 2 THEN 'no reviewer' WHEN 4 THEN 'no reason' WHEN 10 THEN 'no such task' END AS why, m, p, open
+        FROM e UNION ALL SELECT k, NULL, m + 100, p, open FROM e WHERE m IN (4, 5)),
+    j AS (SELECT m, CASE WHEN why IS NOT NULL THEN why WHEN NOT open THEN 'task is closed' WHEN m = 3 THEN 'token was used'
+        WHEN m = 8 THEN 'say why the candidates are other things' WHEN m = 105 THEN 'task has another decision'
+        WHEN m IN (6, 7) AND k <> first.k THEN 'token stands twice' END AS why FROM w LEFT JOIN first USING (p))
+    SELECT why, count(*) AS tasks FROM j GROUP BY why""".replace("SELECT m, CASE WHEN why", "SELECT w.m, CASE WHEN why").replace("AND k <> first.k", "AND w.k <> first.k"))
 def decision_guard(g: Graph) -> DataFrame:
-    """V3, V9: a rejection wanted for every task: appended, or refused since the task is closed or no reason is given."""
-    e = g.raw("events")
-    wanted = e.select(
-        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("task_id"), F.lit("rejected").alias("outcome"), F.lit("ann").alias("reviewer"),
-        F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token"),
-        F.when((F.col("value") >= 5) | F.col("event_type").isin("purchase", "error"), F.lit("seen")).alias("reason")
+    """V3, V9: decisions wanted for every task: malformed ones, unknown and closed tasks, used tokens, a token on two tasks,
+    two decisions on one, a bad one before a good one, and acceptance without a word where there are candidates."""
+    e = g.raw("events").select("event_id", (F.col("event_id") % 12).alias("m"), F.col("event_id").cast("string").alias("k"))
+    own, m = F.concat(F.lit("a"), F.col("k")), F.col("m")
+    token = F.when(m == 0, F.lit(None)).when(m == 3, "used").when(m.isin(6, 7), F.concat(F.lit("p"), F.floor(F.col("event_id") / 12).cast("string"))).otherwise(own)
+    main = e.select(
+        F.concat(F.when(m == 10, "z").otherwise("q"), "k").alias("task_id"),
+        F.when(m == 1, "banana").when(m.isin(8, 9), "accepted").otherwise("rejected").alias("outcome"), F.when(m == 2, " ").otherwise("ann").alias("reviewer"),
+        token.alias("token"), F.when(~m.isin(4, 8, 9), "seen").alias("reason")
+    )
+    more = e.where("m in (4, 5)").select(
+        F.concat(F.lit("q"), F.col("k")).alias("task_id"), F.lit("rejected").alias("outcome"), F.lit("bob").alias("reviewer"),
+        F.concat(F.lit("b"), F.col("k")).alias("token"), F.lit("seen too").alias("reason")
     )
-    appended, refused = V.decide(g.task(), g.decision(), wanted)
+    offers = e.where("m in (8, 11)").select(F.concat(F.lit("q"), F.col("k")).alias("task_id"))
+    stored = g.decision().withColumn("token", F.when(F.col("seq") == F.lit(1), "used").otherwise(F.concat(F.lit("old"), F.col("seq").cast("string"))))
+    stored = stored.unionByName(stored.limit(1).withColumn("token", F.lit("used")))
+    appended, refused = V.decide(g.task(), stored, main.unionByName(more), offers)
     return appended.select(F.lit(None).cast("string").alias("why")).unionByName(refused.select("why")).groupBy("why").agg(F.count("*").alias("tasks"))
 
 

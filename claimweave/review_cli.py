@@ -2,7 +2,7 @@
 
 ``python -m claimweave.review_cli --tables FOLDER COMMAND …`` reads FOLDER/tasks (id, target, status, priority,
 created_at), FOLDER/decisions (seq, target, outcome, reviewer, token, reason, task_id) and FOLDER/redirects
-(duplicate_id, canonical_id), and appends to the last two. Tables are only added to: a task with a decision is closed.
+(duplicate_id, canonical_id, reason, created_by), and appends to the last two. Tables are only added to: a task with a decision is closed.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimweave.operators import integrity, review
+from claimweave.operators import review
 
 SCHEMAS = {
     "tasks": "id string, target string, status string, priority int, created_at timestamp",
     "decisions": "seq long, target string, outcome string, reviewer string, token string, reason string, task_id string",
-    "redirects": "duplicate_id string, canonical_id string",
+    "redirects": "duplicate_id string, canonical_id string, reason string, created_by string",
 }
 
 
@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
             command.add_argument("--reason", default="" if name == "accept" else None, required=name == "reject")
     merge = commands.add_parser("merge")
     merge.add_argument("duplicate"), merge.add_argument("canonical")
+    merge.add_argument("--reviewer", required=True), merge.add_argument("--reason", required=True)
     return top
 
 
@@ -71,14 +72,14 @@ class Desk:
         self.append("decisions", appended)
         return f"{outcome} {task['id']}"
 
-    def merge(self, duplicate: str, canonical: str) -> str:
+    def merge(self, duplicate: str, canonical: str, reviewer: str, reason: str) -> str:
         redirects = self.table("redirects")
-        wanted = self.spark.createDataFrame([(duplicate, canonical)], SCHEMAS["redirects"])
-        done, refused = review.merges(redirects, integrity.survivors(redirects), wanted)
+        wanted = self.spark.createDataFrame([(duplicate, canonical, reason)], "duplicate_id string, canonical_id string, reason string")
+        done, refused = review.merges(redirects, wanted)
         if why := refused.first():
             raise ValueError(why["why"])
         end = done.first()["canonical_id"]
-        self.append("redirects", self.spark.createDataFrame([(duplicate, end)], SCHEMAS["redirects"]))
+        self.append("redirects", self.spark.createDataFrame([(duplicate, end, reason.strip(), reviewer.strip())], SCHEMAS["redirects"]))
         return f"{duplicate} is now {end}"
 
 
@@ -95,7 +96,7 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> list[str]:
     if given.command == "show":
         return [_said(review.find_task(desk.tasks(), given.task).first())]
     if given.command == "merge":
-        return [desk.merge(given.duplicate, given.canonical)]
+        return [desk.merge(given.duplicate, given.canonical, given.reviewer, given.reason)]
     return [desk.decide(given.task, {"accept": "accepted", "reject": "rejected"}[given.command], given.reviewer, given.reason)]
 
 

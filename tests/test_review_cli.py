@@ -23,9 +23,13 @@ def test_commands(spark, tmp_path):
     with pytest.raises(LookupError):
         ask("show", "t")
     assert ask("reject", "t1", "--reviewer", "bo", "--reason", "wrong") == ["rejected t1"] and ask("list") == []
-    assert ask("merge", "x", "y") == ["x is now y"] and ask("merge", "w", "x") == ["w is now y"]
+    why = ("--reviewer", "ann", "--reason", "the same")
+    assert ask("merge", "x", "y", *why) == ["x is now y"] and ask("merge", "w", "x", *why) == ["w is now y"]
     with pytest.raises(ValueError, match="cycle"):
-        ask("merge", "y", "x")
+        ask("merge", "y", "x", *why)
     with pytest.raises(ValueError, match="already"):
-        ask("merge", "x", "z")
+        ask("merge", "x", "z", *why)
+    with pytest.raises(ValueError, match="no reason"):
+        ask("merge", "p", "q", "--reviewer", "ann", "--reason", " ")
+    assert {r["created_by"] for r in spark.read.parquet(str(tmp_path / "redirects")).collect()} == {"ann"}
     assert [r["seq"] for r in spark.read.parquet(str(tmp_path / "decisions")).orderBy("seq").collect()] == [1, 2]
