@@ -38,6 +38,18 @@ def canonical_object(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def canonical_json(text: Column) -> Column:
+    """any JSON text with sorted keys at every depth, no blanks, decimals without trailing zeros; null for what is no JSON.
+
+    The JVM's VARIANT keeps an object's keys in order (of UTF-16 units) and a decimal in its shortest form. It writes
+    escapes of control characters in capitals; here they are in small letters. A repeated key is no JSON.
+    """
+    out = F.to_json(F.try_parse_json(text))
+    for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):  # an escape follows an even number of backslashes
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+    return out
+
+
 def sha256(text: Column) -> Column:
     """hex SHA-256 of a text's UTF-8 or of bytes."""
     return F.sha2(text, 256)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: The annotations that a ballot prints after a name, in parentheses.
 BALLOT_NOTES = ("withdrawn", "withdrew", "deceased", "disqualified", "incumbent", "write-in", "writein")
@@ -37,9 +37,17 @@ def slug(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def folded_namespaces(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """F3 for arrays that hold more than ASCII: NFKC, case fold, no outer blanks."""
+    fold = lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold() or None
+    for part in lists:
+        yield part.map(lambda xs: [fold(x) for x in xs], na_action="ignore")
+
+
 def namespace(value: Column) -> Column:
-    """lower case without outer blanks; empty gives null."""
-    return F.nullif(F.lower(F.trim(value)), F.lit(""))
+    """F3 for plain ASCII: lower case without outer blanks; empty gives null."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))), F.lit(""))
 
 
 def candidate_name(printed: Column) -> Column:

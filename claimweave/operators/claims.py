@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from claimweave.functions import payloads
+
 UNATTRIBUTED = "(unattributed)"
 #: The reference's page of claims about one entity.
 PAGE = 100
@@ -110,9 +112,14 @@ def alignment(assertions: DataFrame, *by: str) -> DataFrame:
     return assertions.groupBy(*by).agg(F.count("*").alias("assertions"), F.count_if("aligned").alias("aligned_n"), F.round(share, 6).alias("score"))
 
 
-def values(claims: DataFrame, ddl: str, allowed: tuple[str, ...]) -> DataFrame:
-    """The payload parsed, raw text kept; null and flagged where a key is unknown or a type fails."""
-    strict = F.from_json("value", ddl)
-    extra = F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, allowed)))) > 0
-    bad = F.col("value").isNotNull() & (F.coalesce(extra, F.lit(True)) | strict.isNull())
-    return claims.withColumn("bad_value", bad).withColumn("payload", F.when(~bad, strict))
+def values(claims: DataFrame, slug: str | None = None) -> DataFrame:
+    """``bad_value``, ``errors`` by field and ``payload``, which is null where anything is wrong; raw text is kept.
+
+    Every claim is read by its own predicate's contract, and its payload is a map of canonical texts; given ``slug``,
+    claims are of that predicate and the payload is a struct of its fields' types.
+    """
+    read = claims.withColumn("__j", payloads.judged(F.lit(slug) if slug else F.col("predicate"), F.col("value")))
+    errors = F.coalesce("__j.errors", F.array().cast("array<string>"))
+    fields = F.when(F.size(errors) == 0, F.col("__j.fields"))
+    out = read.withColumns({"errors": errors, "bad_value": F.size(errors) > 0, "payload": payloads.typed(slug, fields) if slug else fields})
+    return out.drop("__j")

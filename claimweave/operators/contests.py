@@ -8,8 +8,6 @@ from claimweave.functions import keys
 from claimweave.operators import claims as C
 from claimweave.operators.integrity import followed
 
-RESULT = "votes BIGINT, share DECIMAL(6,3), place INT, won BOOLEAN"
-
 
 def contests(identifiers: DataFrame) -> DataFrame:
     """Q9, Q16: every contest with a readable key, its parts, label and jurisdiction (null if none is known)."""
@@ -53,11 +51,11 @@ def candidates_in(claims: DataFrame, contests: DataFrame | None = None, at=None)
 
 def results(claims: DataFrame) -> DataFrame:
     """Q13, Q15: results with their rank in the contest, most votes first, nulls last. ``won`` stays null if unsaid."""
-    parsed = C.values(claims.where(F.col("predicate") == "contest_result"), RESULT, ("votes", "share", "place", "won"))
+    parsed = C.values(claims.where(F.col("predicate") == "contest_result"), "contest_result")
     rank = F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("payload.votes").desc_nulls_last(), "subject_id"))
     return parsed.select(
         F.col("object_id").alias("contest_id"), F.col("subject_id").alias("candidate_id"), F.col("payload.votes").alias("votes"),
-        F.col("payload.share").alias("share"), F.col("payload.place").alias("place"), F.col("payload.won").alias("won"), rank.alias("rank")
+        F.col("payload.share").cast("decimal(6,3)").alias("share"), F.col("payload.place").cast("int").alias("place"), F.col("payload.won").alias("won"), rank.alias("rank")
     )
 
 

@@ -15,18 +15,42 @@ def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(known, on, "left_anti")
 
 
-def validity(at: Column | None = None, since: Column | None = None, until: Column | None = None) -> Column:
-    """struct(valid_at, valid_from, valid_to)."""
-    none = F.lit(None).cast("timestamp")
-    pick = lambda c, n: (none if c is None else c).alias(n)
-    return F.struct(pick(at, "valid_at"), pick(since, "valid_from"), pick(until, "valid_to"))
+#: How finely a time is known.
+PRECISIONS = ("year", "month", "day", "hour", "minute", "second", "exact")
+TIMES = ("valid_at", "valid_from", "valid_to")
+
+
+def validity(
+    at: Column | None = None, since: Column | None = None, until: Column | None = None, at_precision: Column | None = None,
+    since_precision: Column | None = None, until_precision: Column | None = None
+) -> Column:
+    """struct of valid_at, valid_from and valid_to, each with its precision.
+
+    An end has its beginning's precision unless it is given one; a time that is null has none.
+    """
+    given = ((at, at_precision), (since, since_precision), (until, until_precision if until_precision is not None else since_precision))
+    out = []
+    for name, (time, fine) in zip(TIMES, given):
+        out.append((F.lit(None).cast("timestamp") if time is None else time).alias(name))
+        known = F.lit(None).cast("string") if time is None or fine is None else F.when(time.isNotNull(), fine)
+        out.append(known.alias(f"{name}_precision"))
+    return F.struct(*out)
 
 
 def shape_errors(claims: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, error) of claims that break their predicate's contract: target, payload, time."""
+    """(id, error) of claims that break their predicate's contract: target, payload, time.
+
+    Where claims have columns of precisions, a time and its precision come together, and the precision is a known one.
+    """
     spec = catalogue.select(F.col("slug").alias("predicate"), "target", "time")
     joined = claims.join(F.broadcast(spec), "predicate", "left")  # the catalogue is a constant
     timed = F.col("valid_at").isNotNull() | F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()
+    fine = []
+    for c in (t for t in TIMES if f"{t}_precision" in claims.columns):
+        p = F.col(f"{c}_precision")
+        fine.append(F.when(F.col(c).isNotNull() & p.isNull(), f"{c} has no precision"))
+        fine.append(F.when(F.col(c).isNull() & p.isNotNull(), f"a precision without {c}"))
+        fine.append(F.when(~p.isin(*PRECISIONS), f"{c} has an unknown precision"))
     wrong = F.concat_ws(
         "; ",
         F.when(F.col("target").isNull(), "unknown predicate"),
@@ -37,36 +61,47 @@ def shape_errors(claims: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.when((F.col("time") == "timeless") & timed, "a timeless claim has a time"),
         F.when((F.col("time") == "required") & ~timed, "no time"),
         F.when(F.col("valid_at").isNotNull() & (F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()), "a point and an interval"),
-        F.when(F.col("valid_to") <= F.col("valid_from"), "ends before it begins"),
+        F.when(F.col("valid_to") <= F.col("valid_from"), "ends before it begins"), *fine
     )
     return joined.select("id", wrong.alias("error")).where("error <> ''")
 
 
 def ontology(claims: DataFrame, entities: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, violation): kinds outside the predicate's domain or range. Nothing is dropped; null is aligned."""
+    """(id, violation): ends that do not exist or are of kinds outside the predicate's domain or range.
+
+    Nothing is dropped, a claim of an unknown predicate neither; null is aligned.
+    """
     kind = lambda p: entities.select(F.col("id").alias(f"{p}_id"), F.col("kind").alias(f"{p}_kind"))
     spec = catalogue.select(F.col("slug").alias("predicate"), "subjects", "objects")
-    joined = claims.join(kind("subject"), "subject_id", "left").join(kind("object"), "object_id", "left").join(F.broadcast(spec), "predicate")
-    said = F.concat_ws(
-        "; ", F.when(~F.array_contains("subjects", F.col("subject_kind")), F.concat(F.lit("subject is "), F.col("subject_kind"))),
-        F.when(
-            F.col("object_kind").isNotNull() & ~F.array_contains("objects", F.col("object_kind")), F.concat(F.lit("object is "), F.col("object_kind"))
+    joined = claims.join(kind("subject"), "subject_id", "left").join(kind("object"), "object_id", "left").join(F.broadcast(spec), "predicate", "left")
+
+    def end(p: str, allowed: str) -> Column:
+        missing = F.col(f"{p}_id").isNotNull() & F.col(f"{p}_kind").isNull()
+        return F.when(missing, F.concat(F.lit(f"{p} "), F.col(f"{p}_id"), F.lit(" does not exist"))).when(
+            ~F.array_contains(allowed, F.col(f"{p}_kind")), F.concat(F.lit(f"{p} is "), F.col(f"{p}_kind"))
         )
-    )
+
+    said = F.concat_ws("; ", F.when(F.col("subjects").isNull(), "unknown predicate"), end("subject", "subjects"), end("object", "objects"))
     return joined.select("id", F.nullif(said, F.lit("")).alias("violation"))
 
 
 def fingerprinted(claims: DataFrame) -> DataFrame:
-    """Claims with their fingerprint; times carry day precision."""
-    day = lambda c: F.when(F.col(c).isNotNull(), F.lit("day"))
+    """Claims with their fingerprint: of both ends, the canonical payload, and each time with its precision.
+
+    Without columns of precisions times are known to the day.
+    """
+
+    def fine(c: str) -> Column:
+        return F.col(f"{c}_precision") if f"{c}_precision" in claims.columns else F.when(F.col(c).isNotNull(), F.lit("day"))
+
     target = F.when(F.col("object_id").isNull(), "value").when(F.col("value").isNull(), "entity").otherwise("qualified")
     return claims.withColumn(
         "fingerprint",
         canon.claim_fingerprint(
             object_id=F.col("object_id"), predicate_version_id=F.col("predicate"), subject_id=F.col("subject_id"), target_kind=target,
-            valid_at=canon.instant(F.col("valid_at")), valid_at_precision=day("valid_at"), valid_from=canon.instant(F.col("valid_from")),
-            valid_from_precision=day("valid_from"), valid_to=canon.instant(F.col("valid_to")), valid_to_precision=day("valid_to"),
-            value=F.col("value")
+            valid_at=canon.instant(F.col("valid_at")), valid_at_precision=fine("valid_at"), valid_from=canon.instant(F.col("valid_from")),
+            valid_from_precision=fine("valid_from"), valid_to=canon.instant(F.col("valid_to")), valid_to_precision=fine("valid_to"),
+            value=F.coalesce(canon.canonical_json(F.col("value")), F.col("value"))
         )
     )
 
@@ -156,7 +191,7 @@ def _claim(slug: str, subject: str, obj: str | None = None, value: Column | None
     return F.struct(
         F.lit(slug).alias("predicate"), F.col(subject).alias("subject_id"), (F.col(obj) if obj else none).alias("object_id"),
         (none if value is None else value).alias("value"),
-        *(((validity() if when is None else when)[c]).alias(c) for c in ("valid_at", "valid_from", "valid_to"))
+        *(((validity() if when is None else when)[c]).alias(c) for t in TIMES for c in (t, f"{t}_precision"))
     )
 
 
@@ -167,14 +202,27 @@ def _emitted(records: DataFrame, *claims: Column) -> DataFrame:
     ).select("record_id", "c.*").where("subject_id is not null")
 
 
+def _fine(records: DataFrame, column: str, within: Column | None = None) -> Column:
+    """How finely a record's time is known: its own column, the day where it has none or a null."""
+    if within is not None:
+        return F.coalesce(within, F.lit("day"))
+    return F.coalesce(F.col(column), F.lit("day")) if column in records.columns else F.lit("day")
+
+
 def _if(condition: Column, claim: Column) -> Column:
     return F.when(condition, claim)
 
 
 def candidacies(records: DataFrame) -> DataFrame:
-    """records(record_id, candidate_id, contest_id, stints ARRAY<STRUCT<entered, left>>), a claim per stint."""
+    """records(record_id, candidate_id, contest_id, stints ARRAY<STRUCT<entered, left>>), a claim per stint.
+
+    A stint may say how finely its ends are known: entered_precision, left_precision.
+    """
     stints = records.select("record_id", "candidate_id", "contest_id", F.explode_outer("stints").alias("s"))
-    return _emitted(stints, _claim("candidate_in", "candidate_id", "contest_id", when=validity(since=F.col("s.entered"), until=F.col("s.left"))))
+    held = stints.schema["s"].dataType.names
+    of = lambda c: _fine(stints, c, F.col(f"s.{c}") if c in held else None)
+    when = validity(since=F.col("s.entered"), until=F.col("s.left"), since_precision=of("entered_precision"), until_precision=of("left_precision"))
+    return _emitted(stints, _claim("candidate_in", "candidate_id", "contest_id", when=when))
 
 
 def overlapping_stints(records: DataFrame) -> DataFrame:
@@ -189,7 +237,11 @@ def overlapping_stints(records: DataFrame) -> DataFrame:
 def endorsements(records: DataFrame) -> DataFrame:
     """records(record_id, endorser_id, endorsee_id, strength, context, announced, ended)."""
     value = canon.canonical_object(strength=canon.json_text(F.coalesce("strength", F.lit("full"))), context=canon.json_text(F.col("context")))
-    return _emitted(records, _claim("endorsed", "endorser_id", "endorsee_id", value, validity(since=F.col("announced"), until=F.col("ended"))))
+    when = validity(
+        since=F.col("announced"), until=F.col("ended"), since_precision=_fine(records, "announced_precision"),
+        until_precision=_fine(records, "ended_precision")
+    )
+    return _emitted(records, _claim("endorsed", "endorser_id", "endorsee_id", value, when))
 
 
 def donations(records: DataFrame) -> DataFrame:
@@ -199,7 +251,8 @@ def donations(records: DataFrame) -> DataFrame:
         kind=canon.json_text(F.coalesce("kind", F.lit("contribution"))), supporting=F.col("supporting").cast("string"),
         purpose=canon.json_text(F.col("purpose"))
     )
-    return _emitted(records, _claim("donated_to", "donor_id", "recipient_id", value, validity(at=F.col("given"))))
+    when = validity(at=F.col("given"), at_precision=_fine(records, "given_precision"))
+    return _emitted(records, _claim("donated_to", "donor_id", "recipient_id", value, when))
 
 
 def race_structures(records: DataFrame) -> DataFrame:
@@ -216,10 +269,13 @@ def race_structures(records: DataFrame) -> DataFrame:
 
 def debates(records: DataFrame) -> DataFrame:
     """records(record_id, event_id, status, starts, ends, participants ARRAY<STRUCT<id, role>>, contest_id, jurisdiction_id)."""
+    when = validity(
+        since=F.col("starts"), until=F.col("ends"), since_precision=_fine(records, "starts_precision"), until_precision=_fine(records, "ends_precision")
+    )
     kind, status = canon.canonical_object(kind=F.lit('"debate"')), canon.canonical_object(status=canon.json_text(F.col("status")))
     own = _emitted(
         records, _claim("event_kind", "event_id", value=kind),
-        _claim("event_occurrence", "event_id", value=status, when=validity(since=F.col("starts"), until=F.col("ends"))),
+        _claim("event_occurrence", "event_id", value=status, when=when),
         _if(F.col("contest_id").isNotNull(), _claim("event_about_contest", "event_id", "contest_id")),
         _if(F.col("jurisdiction_id").isNotNull(), _claim("event_in_jurisdiction", "event_id", "jurisdiction_id"))
     )

@@ -79,6 +79,16 @@ def minted(kind: Column, key: Column) -> Column:
     return F.concat(F.lit("x"), F.substring(F.sha2(F.concat_ws("\x1f", kind, key), 256), 1, 32))
 
 
+def _plain_namespaces(mentions: DataFrame) -> DataFrame:
+    """``mentions`` whose namespaces are normalized where any holds more than ASCII; others stay as they are, in the JVM."""
+    odd = F.exists("identifiers", lambda i: ~i["namespace"].rlike(r"^[\x00-\x7F]*$"))
+    if mentions.where(odd).isEmpty():
+        return mentions
+    folded = mentions.withColumn("__n", text.folded_namespaces(F.col("identifiers.namespace")))
+    pair = lambda i, n: F.struct(n.alias("namespace"), i["value"].alias("value"))
+    return folded.withColumn("identifiers", F.zip_with("identifiers", "__n", pair)).drop("__n")
+
+
 def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What decides an entity, once each, known by its smallest mention_id; and ``mention_id, key`` of all mentions.
 
@@ -91,7 +101,8 @@ def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("key", F.sha2(F.to_json(F.struct("kind", "normalized_name", "identifiers", "sure")), 256))
     held = ("kind", "normalized_name", "identifiers", "sure")
     faces = rows.groupBy("key").agg(F.min("mention_id").alias("mention_id"), *(F.any_value(c).alias(c) for c in held))
-    return cut(faces.withColumn("sure", F.col("sure") & (F.size("identifiers") > 0))), rows.select("mention_id", "key")
+    faces = cut(faces.withColumn("sure", F.col("sure") & (F.size("identifiers") > 0)))
+    return _plain_namespaces(faces), rows.select("mention_id", "key")
 
 
 def _grouped(loose: DataFrame, known: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -221,6 +232,7 @@ def recorded(
     A mention's name is recorded, and its other spellings (a column ``aliases``, where there is one). A new identifier
     that several entities of the batch want goes to the smallest of them, and is owned by it for the others.
     """
+    mentions = _plain_namespaces(mentions)
     rows = mentions.join(resolved.where("entity_id is not null").select("mention_id", "entity_id"), "mention_id")
     names = rows.select("entity_id", "name", "normalized_name")
     if "aliases" in mentions.columns:

@@ -565,16 +565,57 @@ def idempotent_reingest(g: Graph) -> DataFrame:
     )
 
 
-@query("SELECT id, CASE predicate WHEN 'donated_to' THEN 'object is option' END AS violation FROM g_claim")
+@query("""WITH kinds AS (SELECT id, kind FROM g_entity),
+    c AS (SELECT id, predicate, subject_id, object_id FROM g_claim UNION ALL SELECT 'z' || o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'unheard_of' ELSE 'candidate_in' END,
+        CASE o_orderkey % 6 WHEN 1 THEN 'nobody' WHEN 2 THEN 'n1' ELSE 'c' || o_custkey END,
+        CASE o_orderkey % 6 WHEN 3 THEN 'nothing' WHEN 4 THEN 's1' WHEN 5 THEN NULL ELSE contest_id END FROM g_orders),
+    spec(p, ss, oo) AS (VALUES ('candidate_in', ['person'], ['contest']), ('contest_result', ['person', 'organization', 'option'], ['contest']),
+        ('donated_to', ['person', 'organization', 'party'], ['person', 'organization', 'contest']), ('contest_for_office', ['contest'], ['office']),
+        ('contest_in_jurisdiction', ['contest'], ['jurisdiction']), ('event_kind', ['event'], []), ('participated_in', ['person', 'organization'], ['event']),
+        ('event_in_jurisdiction', ['event'], ['jurisdiction']), ('event_occurrence', ['event'], [])),
+    j AS (SELECT c.*, a.kind AS sk, b.kind AS ok, ss, oo FROM c LEFT JOIN kinds a ON a.id = subject_id LEFT JOIN kinds b ON b.id = object_id LEFT JOIN spec ON p = predicate)
+    SELECT id, nullif(concat_ws('; ', CASE WHEN ss IS NULL THEN 'unknown predicate' END,
+        CASE WHEN sk IS NULL THEN 'subject ' || subject_id || ' does not exist' WHEN NOT list_contains(ss, sk) THEN 'subject is ' || sk END,
+        CASE WHEN object_id IS NULL THEN NULL WHEN ok IS NULL THEN 'object ' || object_id || ' does not exist' WHEN NOT list_contains(oo, ok) THEN 'object is ' || ok END), '')
+        AS violation FROM j""")
 def ontology_check(g: Graph) -> DataFrame:
-    """Claims whose ends are of kinds that their predicate doesn't allow (donations here go to options)."""
-    return I.ontology(g.claim(), g.entity(), catalog.predicates(g.spark))
+    """All claims, and orders as claims of unknown predicates, with ends that do not exist or are of other kinds."""
+    m, none = F.col("o_orderkey") % 6, F.lit(None).cast("string")
+    odd = g.orders().select(
+        F.concat(F.lit("z"), F.col("o_orderkey").cast("string")).alias("id"), F.when(m == 0, "unheard_of").otherwise("candidate_in").alias("predicate"),
+        F.when(m == 1, "nobody").when(m == 2, "n1").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("subject_id"),
+        F.when(m == 3, "nothing").when(m == 4, "s1").when(m == 5, none).otherwise(F.col("contest_id")).alias("object_id")
+    )
+    every = g.claim().select("id", "predicate", "subject_id", "object_id").unionByName(odd)
+    return I.ontology(every, g.entity(), catalog.predicates(g.spark))
+
 
+_SHAPES = (
+    "unknown predicate", "a value claim has an object", "no object", "an entity claim has a value", "no value", "a timeless claim has a time", "no time",
+    "a point and an interval", "ends before it begins", "valid_at has no precision", "a precision without valid_to", "valid_from has an unknown precision"
+)
 
-@query("SELECT id, 'ends before it begins' AS error FROM g_candidacy WHERE valid_to <= valid_from")
+
+@query("SELECT o_orderkey::VARCHAR AS id, [" + ", ".join(f"'{x}'" for x in _SHAPES) + f"][1 + o_orderkey % {len(_SHAPES) + 1}] AS error FROM orders WHERE o_orderkey % {len(_SHAPES) + 1} < {len(_SHAPES)}")
 def claim_shape_errors(g: Graph) -> DataFrame:
-    """R12, R13, H12."""
-    return I.shape_errors(g.claim(), catalog.predicates(g.spark))
+    """Orders as claims of which each breaks one rule of its predicate's contract, and every thirteenth none."""
+    m, at = F.col("o_orderkey") % (len(_SHAPES) + 1), F.col("o_orderdate")
+    none, never, day = F.lit(None).cast("string"), F.lit(None).cast(g.raw("orders").schema["o_orderdate"].dataType), F.lit("day")
+    slug = F.when(m == 0, "unheard_of").when(m == 1, "event_kind").when(m == 4, "endorsed").when(m == 5, "event_kind").when(
+        m == 6, "event_occurrence"
+    ).otherwise("candidate_in")
+    value = F.when(m.isin(1, 3, 5, 6), "{}")
+    held = {
+        "valid_at": F.when(m.isin(5, 7, 9), at), "valid_from": F.when(m.isin(7, 8, 11, 12), at), "valid_to": F.when(m == 8, at),
+        "valid_at_precision": F.when(m.isin(5, 7), day), "valid_from_precision": F.when(m.isin(7, 8, 12), day).when(m == 11, "week"),
+        "valid_to_precision": F.when(m.isin(8, 10), day)
+    }
+    rows = g.raw("orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), slug.alias("predicate"), F.lit("a").alias("subject_id"),
+        F.when(~m.isin(2, 5, 6), "b").otherwise(none).alias("object_id"), value.alias("value"),
+        *(F.coalesce(c, never if "precision" not in n else none).alias(n) for n, c in held.items())
+    )
+    return I.shape_errors(rows, catalog.predicates(g.spark))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS started, o_orderdate::DATE + 5 AS ended FROM orders")

@@ -480,15 +480,83 @@ def checked_columns(g: Graph) -> DataFrame:
     )
 
 
-@query("""SELECT id, id LIKE '%7' AS bad_value, CASE WHEN id NOT LIKE '%7' THEN (value->>'votes')::BIGINT END AS votes FROM g_result""")
+#: Predicate, payload with {n} for a number of the row, what is wrong (null: nothing), what is read.
+_PAYLOADS = (
+    ("contest_result", '{"votes":{n}}', None, "place=~,share=~,votes={n},won=~"),
+    ("contest_result", '{"votes":"{n}","share":"48.70","place":"1","won":"yes"}', None, "place=1,share=48.7,votes={n},won=true"),
+    ("contest_result", '{"votes":{n}.0,"share":0.50,"won":0}', None, "place=~,share=0.5,votes={n},won=false"),
+    ("contest_result", '{"votes":"abc","won":"maybe"}', "votes is no integer|won is no boolean", None),
+    ("contest_result", '{"votes":1.5,"share":100.5,"place":0}', "votes is no integer|share is more than 100|place is less than 1", None),
+    ("contest_result", '{"votes":-{n},"extra":1,"also":2}', "votes is less than 0|also is unknown|extra is unknown", None),
+    ("contest_result", "{n}", "the payload is no object", None),
+    ("contest_result", '{"votes":{n},"votes":1}', "the payload is no object", None),
+    ("donated_to", '{"amount":"{n}.50"}', None, "amount={n}.5,currency=USD,kind=contribution,purpose=~,supporting=~"),
+    ("donated_to", '{"amount":true,"currency":"US","kind":"gift","supporting":2,"purpose":7}', "amount is no decimal|currency is shorter than 3|kind is none of the allowed|supporting is no boolean|purpose is no text", None),
+    ("donated_to", '{"amount":null,"currency":null,"kind":"loan"}', "currency is null", None),
+    ("endorsed", '{"context":"since {n}"}', None, "context=since {n},strength=full"),
+    ("endorsed", '{"strength":"partial"}', "strength is none of the allowed", None),
+    ("event_kind", '{"kind":"town_hall"}', None, "kind=town_hall"),
+    ("event_kind", "{}", "kind is missing", None),
+    ("participated_in", '{"role":"host"}', None, "role=host"),
+    ("participated_in", '{"role":null}', "role is null", None),
+    ("contest_stage", '{"stage":"runoff"}', None, "stage=runoff"),
+    ("contest_stage", '{"stage":{n}}', "stage is no text", None),
+    ("assessed", '{"rating":"","basis":null}', "rating is shorter than 1", None),
+    ("assessed", '{"rating":"A{n}"}', None, "basis=~,rating=A{n}"),
+    ("event_occurrence", '{"status":"postponed"}', None, "status=postponed"),
+    ("public_statement", '{"topic":"t","position":"{n}"}', None, "position={n},summary=~,topic=t"),
+    ("public_statement", '{"topic":"t"}', "position is missing", None),
+    ("candidate_in", '{"anything":{n}}', None, None),
+)
+_PAYLOAD_ROWS = ", ".join(
+    f"({k}, '{p}', '{v}', {'NULL' if e is None else chr(39) + e + chr(39)}, {'NULL' if r is None else chr(39) + r + chr(39)})"
+    for k, (p, v, e, r) in enumerate(_PAYLOADS)
+)
+
+
+@query(f"""SELECT o_orderkey AS id, p AS predicate, e IS NOT NULL AS bad_value, coalesce(e, '') AS errors, replace(r, '{{n}}', o_custkey::VARCHAR) AS payload
+    FROM orders JOIN (VALUES {_PAYLOAD_ROWS}) AS t(k, p, v, e, r) ON o_orderkey % {len(_PAYLOADS)} = k""")
 def typed_payloads(g: Graph) -> DataFrame:
-    """Payloads read by their contract; one with an unknown key is flagged and void."""
-    rows = g.results().withColumn(
-        "value", F.when(F.col("id").like("%7"), F.replace("value", F.lit("}"), F.lit(',"extra":1}'))).otherwise(F.col("value"))
-    )
-    return C.values(
-        rows, "votes BIGINT, share STRING, place INT, won BOOLEAN", ("votes", "share", "place", "won")
-    ).select("id", "bad_value", F.col("payload.votes").alias("votes"))
+    """Payloads of every predicate that has one, read by contract: right ones, wrong types, bounds, unknown and missing fields."""
+    cases = g.spark.createDataFrame([(k, p, v) for k, (p, v, _, _) in enumerate(_PAYLOADS)], "k int, predicate string, v string")
+    rows = g.raw("orders").withColumn("k", (F.col("o_orderkey") % len(_PAYLOADS)).cast("int")).join(F.broadcast(cases), "k")  # a constant
+    read = C.values(rows.select(F.col("o_orderkey").alias("id"), "predicate", F.replace("v", F.lit("{n}"), _text("o_custkey")).alias("value")))
+    pairs = F.array_sort(F.transform(F.map_entries("payload"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))))
+    return read.select("id", "predicate", "bad_value", F.array_join("errors", "|").alias("errors"), F.array_join(pairs, ",").alias("payload"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, ['year', 'month', 'day', 'hour', 'minute', 'second', 'exact'][1 + o_orderkey % 7] AS fine, o_custkey AS c,
+        strftime(date_trunc('month', o_orderdate), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t, o_orderkey % 4 = 3 AS point FROM orders)
+    SELECT sha256('{"object_id":"k","predicate_version_id":"candidate_in","subject_id":"c' || c || '","target_kind":"entity","valid_at":' ||
+        CASE WHEN point THEN '"' || t || '"' ELSE 'null' END || ',"valid_at_precision":' || CASE WHEN point THEN '"' || fine || '"' ELSE 'null' END || ',"valid_from":' ||
+        CASE WHEN point THEN 'null' ELSE '"' || t || '"' END || ',"valid_from_precision":' || CASE WHEN point THEN 'null' ELSE '"' || fine || '"' END ||
+        ',"valid_to":null,"valid_to_precision":null,"value":null}') AS fingerprint, count(*) AS claims FROM r GROUP BY 1""")
+def precise_fingerprints(g: Graph) -> DataFrame:
+    """Orders as claims at the first of a month, known to the year, the month, the day and finer: as many claims."""
+    at = F.date_trunc("month", "o_orderdate").cast("timestamp")
+    fine = F.element_at(F.array(*map(F.lit, I.PRECISIONS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    point = F.col("o_orderkey") % 4 == 3
+    when = I.validity(F.when(point, at), F.when(~point, at), None, fine, fine)
+    rows = g.raw("orders").select(
+        F.lit("candidate_in").alias("predicate"), _id("c", "o_custkey").alias("subject_id"), F.lit("k").alias("object_id"),
+        F.lit(None).cast("string").alias("value"), when.alias("w")
+    ).select("predicate", "subject_id", "object_id", "value", "w.*")
+    return I.fingerprinted(rows).groupBy("fingerprint").agg(F.count("*").alias("claims"))
+
+
+@query(r"""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice::DECIMAL(12,2) AS p, replace(o_orderpriority, '-', '\t') AS s FROM orders),
+    t AS (SELECT k, regexp_replace(regexp_replace(p::VARCHAR, '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS p, c, s FROM r)
+    SELECT k AS id, '{"a":[' || p || ',{"x":null,"y":' || c || '}],"b":"' || s || '\u001f\"é","c":{"d":true,"e":' || p || '}}' AS canonical FROM t""")
+def canonical_payloads(g: Graph) -> DataFrame:
+    """Stored JSON with keys in four orders, blanks, decimals with zeros behind and escapes, in one canonical form."""
+    k, p = F.col("o_orderkey") % 4, F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    zeros = F.concat(p, F.when(k % 2 == 0, "000").otherwise(""))
+    a = F.concat(F.lit('"a" : [ '), zeros, F.lit(', {"y":'), _text("o_custkey"), F.lit(',"x":null}]'))
+    b = F.concat(F.lit('"b":"'), F.replace("o_orderpriority", F.lit("-"), F.lit("\\t")), F.lit('\\u001f\\"\\u00e9"'))
+    c = F.concat(F.lit('"c":{"e":'), p, F.lit(' ,"d":true}'))
+    join = lambda *x: F.concat(F.lit("{"), F.concat_ws(", ", *x), F.lit("}"))
+    stored = F.when(k == 0, join(a, b, c)).when(k == 1, join(c, b, a)).when(k == 2, join(b, a, c)).otherwise(join(c, a, b))
+    return g.raw("orders").select(F.col("o_orderkey").alias("id"), canon.canonical_json(stored).alias("canonical"))
 
 
 @query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'person' ELSE 'organization' END AS new_kind FROM customer

@@ -131,3 +131,37 @@ def test_stream(spark, tmp_path):
     feed.run_available(feed.windowed(feed.read_events(spark, str(tmp_path / "in"))), str(tmp_path / "days"), str(tmp_path / "c2"))
     days = spark.read.parquet(str(tmp_path / "days"))
     assert 0 < days.agg(F.sum("n")).first()[0] <= 2 * n
+
+
+def test_grid_by_sweep_equals_a_grid_of_all_cells():
+    import random
+
+    from claimweave.sources import html
+
+    rng = random.Random(9)
+    for _ in range(300):
+        rows = [[(rng.choice([1, 1, 1, 2, 3, 9]), rng.choice([1, 1, 2, 3])) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 7))]
+        grid, k, text = {}, 0, ""
+        for r, row in enumerate(rows):
+            text += "<tr>"
+            for down, across in row:
+                text += f"<td rowspan={down} colspan={across}>x{k}</td>"
+                c = next(c for c in range(99) if (r, c) not in grid)
+                for i in range(down):
+                    for j in range(across):
+                        grid.setdefault((r + i, c + j), f"x{k}")
+                k += 1
+        want = [(0, r, c, x, "", "") for (r, c), x in sorted(grid.items()) if r < len(rows)]
+        assert list(html._walked(f"<table>{text}</table>").cells) == want
+
+
+def test_spans_end_with_the_table(spark):
+    page = "<table>" + "<tr>" + "<td rowspan=65534 colspan=1000>x</td>" * 3 + "</tr><tr><td>y</td></tr></table>"
+    out = html_cells(spark, page)
+    assert len(out) == 6001 and max(r["r"] for r in out) == 1 and [r["c"] for r in out if r["text"] == "y"] == [3000]
+
+
+def html_cells(spark, page):
+    from claimweave.sources import html
+
+    return html.cells(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
