@@ -165,3 +165,28 @@ def html_cells(spark, page):
     from claimweave.sources import html
 
     return html.cells(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+
+
+@pytest.mark.parametrize("header", [False, True])
+def test_delimited_files_cut_anywhere(spark, tmp_path, header):
+    """The same records and numbers as one task finds, whatever the pieces, with line ends and quotes inside of fields."""
+    from claimweave.sources import delimited
+
+    text = '﻿id,name\r\n1,"a\nb ""q"", c"\n\n2,plain\n3,"\r\n\n\n"\r4,x "y" z\n5,"é,\n",tail\n' + "".join(f'{k},"w{k}\n{"z" * (k % 9)}"\n' for k in range(40)) + "99,end"
+    (tmp_path / "f.csv").write_bytes(text.encode())
+    (tmp_path / "g.csv").write_bytes(b"id,name\n1,one\n2,two\n")
+    want = {}
+    for f in ("f.csv", "g.csv"):
+        found = list(delimited.records((tmp_path / f).read_bytes()))
+        want |= {(f, k): x.split(",")[0].strip() for k, x in enumerate(found[1:] if header else found)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (11, 37, 64, 150, 10_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            out = delimited.rows(spark, str(tmp_path), ("id", "name"), header=header).collect()
+            assert {(r["path"].rsplit("/", 1)[1], r["index"]): r["id"] for r in out} == want and len(out) == len(want)
+            assert [r["name"] for r in out if r["id"] == "1" and "f.csv" in r["path"]] == ['a\nb "q", c', "w1\nz"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
