@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimweave.functions import text, trigram
 from claimweave.operators.integrity import followed
+from claimweave.operators.name_index import NameIndex
 from claimweave.plans.materialize import cut
 
 LOOKALIKE = 0.55
@@ -13,32 +14,17 @@ LOOKALIKE = 0.55
 CANDIDATES = 200
 
 
-def trigram_index(aliases: DataFrame) -> DataFrame:
-    """postings (gram, name, normalized_name, size) of the distinct names, size being how many trigrams a name has."""
-    names = aliases.select("name", "normalized_name").distinct()
-    grams = names.select("name", "normalized_name", trigram.trigrams(F.col("normalized_name")).alias("g"))
-    return grams.select("name", "normalized_name", F.size("g").alias("size"), F.explode("g").alias("gram"))
-
-
-def matches(index: DataFrame, queries: DataFrame, floor: float = trigram.MATCH) -> DataFrame:
+def matches(index: NameIndex, queries: DataFrame, floor: float = trigram.MATCH) -> DataFrame:
     """(query, name, normalized_name, whole) with similarity of at least ``floor``, from shared postings only.
 
-    The number of shared trigrams is a count per pair, so no text is compared and pairs without a common trigram are
-    never made. Sizes tell most pairs apart before: sets of n and m trigrams are no more alike than min / max. Names
-    are compared once, however many entities bear them.
+    Pairs without a common trigram are never made, and names are compared once, however many entities bear them.
     """
-    asked = queries.select(
-        "query", trigram.trigrams(text.ascii_name(F.col("query"))).alias("q")
-    ).select("query", F.size("q").alias("n"), F.explode("q").alias("gram"))
-    near = index.join(asked, "gram").where(F.least("n", "size") >= floor * F.greatest("n", "size"))
-    shared = near.groupBy("query", "n", "name", "normalized_name", "size").agg(F.count("*").alias("shared"))
-    whole = F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))
-    return shared.select("query", "name", "normalized_name", whole.alias("whole")).where(F.col("whole") >= floor)
+    return index.matches(queries, floor)
 
 
-def bearers(found: DataFrame, aliases: DataFrame) -> DataFrame:
+def bearers(found: DataFrame, index: NameIndex) -> DataFrame:
     """Matched names with the entities that bear them."""
-    return found.join(aliases.select("entity_id", "name", "normalized_name").distinct(), ["name", "normalized_name"])
+    return found.join(index.bearers(), ["name", "normalized_name"])
 
 
 def claim_degree(claims: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -63,13 +49,14 @@ def search(
     claims, whole similarity, canonical name, id; the first 2 * limit are resolved, and the first hit of each survivor
     stays, with the alias that matched unless that is the survivor's own name.
     """
-    near = matches(trigram_index(aliases), queries)
+    index = NameIndex.kept(aliases)
+    near = matches(index, queries)
     # Dealt by number, since the few bytes of a pair say little of its work.
     near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query", "name")
     word = trigram.word_similarity(text.ascii_name(F.col("query")), F.col("normalized_name"))
     # As a generator: a filter on a column would be pushed below the exchange and the column computed twice.
     reached = F.explode(F.filter(F.array(word), lambda w: w >= trigram.WORD_MATCH)).alias("word")
-    near = bearers(near.select("query", "name", "normalized_name", "whole", reached), aliases)
+    near = bearers(near.select("query", "name", "normalized_name", "whole", reached), index)
     best = Window.partitionBy("query").orderBy(F.round("word", 9).desc(), F.round("whole", 9).desc(), "name", "entity_id")
     near = cut(near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidates).drop("k"))  # read twice
     of = entities.select(F.col("id").alias("entity_id"), "kind", "canonical_name")
@@ -90,8 +77,9 @@ def search(
 
 def lookalikes(aliases: DataFrame, entities: DataFrame, names: DataFrame, kind: str, floor: float = LOOKALIKE, limit: int = 5) -> DataFrame:
     """Q29: per name (column ``query``) the closest aliases within a kind, best first."""
-    own = aliases.join(entities.where(F.col("kind") == kind).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    found = bearers(matches(trigram_index(own), names, floor), own)
+    index = NameIndex.kept(aliases)
+    found = bearers(matches(index, names, floor), index)
+    found = found.join(entities.where(F.col("kind") == kind).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     best = Window.partitionBy("query").orderBy(F.round("whole", 9).desc(), "name", "entity_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(
         "query", "rank", "entity_id", "name", F.round("whole", 6).alias("whole")

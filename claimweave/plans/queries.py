@@ -300,7 +300,8 @@ def entity_search_topk(g: Graph) -> DataFrame:
 @query(f"WITH {_MATCHES} SELECT query, entity_id, name, round(whole, 6) AS whole FROM hits WHERE whole >= 0.3")
 def entity_similarity(g: Graph) -> DataFrame:
     """all aliases over the match threshold."""
-    return S.bearers(S.matches(S.trigram_index(g.alias()), _asked(g)), g.alias()).select(
+    index = S.NameIndex.kept(g.alias())
+    return S.bearers(S.matches(index, _asked(g)), index).select(
         "query", "entity_id", "name", F.round("whole", 6).alias("whole")
     )
 

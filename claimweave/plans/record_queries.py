@@ -253,8 +253,8 @@ def merge_candidates(g: Graph) -> DataFrame:
     s = g.raw("supplier")
     own = s.select(_id("s", "s_suppkey").alias("own"), F.concat(F.lit("Supp "), (F.col("s_suppkey") % 40).cast("string")).alias("name"))
     asked = own.select(F.col("name").alias("query")).distinct()
-    short = g.alias().where("name like 'Supp %'")
-    alike = S.bearers(S.matches(S.trigram_index(short), asked, 1.0), short).select("query", "entity_id")
+    index = S.NameIndex.kept(g.alias())
+    alike = S.bearers(S.matches(index, asked, 1.0), index).where("name like 'Supp %'").select("query", "entity_id")
     each = own.join(alike, F.col("name") == F.col("query")).select(F.col("own").alias("query"), "entity_id")
     found = V.merge_candidates(each, _survivors(g), own.select(F.col("own").alias("query"), F.col("own").alias("entity_id")))
     return found.groupBy(F.col("query").alias("own")).agg(F.count("*").alias("candidates"), F.min("entity_id").alias("first"))

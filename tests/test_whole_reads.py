@@ -16,6 +16,6 @@ def test_search_offers_no_name_under_the_word_threshold(spark):
     claims = spark.createDataFrame([], "id string, subject_id string, object_id string")
     survivors = spark.createDataFrame([], "id string, survivor_id string")
     asked = spark.createDataFrame([("red widget",)], "query string")
-    near = {r["name"] for r in search.matches(search.trigram_index(aliases), asked).collect()}
+    near = {r["name"] for r in search.matches(search.NameIndex.build(aliases), asked).collect()}
     assert near == {"red widget", "rex widow"}
     assert [r["entity_id"] for r in search.search(aliases, entities, claims, survivors, asked).collect()] == ["a"]
