@@ -30,6 +30,7 @@ ROUNDS = 30
 MISS = 0.001
 SHARD = 16384
 BLOCK = 8192
+_AT_ONCE = 64
 SEED = 20240607
 _NEAR = [np.array([v for v in range(1 << SUBSTRING) if v.bit_count() <= r], np.uint16) for r in range(4)]
 
@@ -105,6 +106,11 @@ class Model:
         self.radius = learned_radius(units, codes(units, self.turn), k) if len(units) > 1 else BITS
 
 
+def _much(met: np.ndarray) -> bool:
+    """Whether a sixteenth was retrieved: then whole columns are cheaper to work on than what was picked from them."""
+    return int(met.sum()) * 16 > met.size
+
+
 class Shard:
     """Codes, floats and one table per substring: the values there are, in order, and the rows that have each."""
 
@@ -121,38 +127,60 @@ class Shard:
         joined = lambda c, kind, n: np.frombuffer(b"".join(rows[c]), kind).reshape(-1, n)
         return cls(rows["vec_id"].to_numpy(), joined("x", np.float64, dim), joined("code", np.uint16, TABLES))
 
-    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within ``radius`` bits: retrieved by substring, then held to the whole code."""
+    def probed(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """Rows by queries: which codes are within ``radius`` bits, retrieved by substring, then held to the whole code.
+
+        Up to radius = each * TABLES + more bits, either one of the first more + 1 substrings differs in at most ``each``
+        bits, or one of the others in fewer. A table is looked up value by value while those are fewer than its rows;
+        beyond that it is read through.
+        """
         each, more = divmod(min(radius, BITS), TABLES)
-        met = np.zeros(len(self.ids), bool)
+        met = np.zeros((len(self.ids), len(asked)), bool)
         for t, (order, values, starts) in enumerate(self.tables):
-            # Up to radius = each * TABLES + more bits: either one of the first more + 1 substrings has at most ``each``,
-            # or one of the others has fewer.
             reach = each if t <= more else each - 1
             if reach < 0:
                 continue
-            if reach < len(_NEAR) and len(_NEAR[reach]) < len(values):
-                wanted = np.sort(_NEAR[reach] ^ code[t])
+            if reach >= len(_NEAR) or len(_NEAR[reach]) > len(values) // 8:
+                met |= np.bitwise_count(self.own[:, t, None] ^ asked[None, :, t]) <= reach
+                continue
+            for i, code in enumerate(asked[:, t]):
+                wanted = np.sort(_NEAR[reach] ^ code)
                 at = np.searchsorted(values, wanted)
                 at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == wanted)]
-            else:
-                at = np.flatnonzero(np.bitwise_count(values ^ code[t]) <= reach)
-            for a, b in zip(starts[at].tolist(), starts[at + 1].tolist()):
-                met[order[a:b]] = True
-        rows = np.flatnonzero(met)
-        return rows[distances(self.own[rows], np.repeat(code[None], len(rows), 0)) <= radius]
-
-    def nearest(self, qid: int, q: np.ndarray, code: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, int, float]]:
-        """(query, candidate, cosine) of the k best within the radius, or within the least that holds k."""
-        while True:
-            rows = self.probed(code, radius)
-            rows = rows[self.ids[rows] != qid]
-            if len(rows) >= k or radius >= BITS:
-                break
-            radius += TABLES
-        score = cosines(q, float(_sizes(q[None])[0]), self.x[rows], self.sizes[rows])
-        for i in np.lexsort((self.ids[rows], -score))[:k]:
-            yield qid, int(self.ids[rows[i]]), float(score[i])
+                for first, last in zip(starts[at].tolist(), starts[at + 1].tolist()):
+                    met[order[first:last], i] = True
+        if _much(met):
+            a, b = self.own.view(np.uint64), np.ascontiguousarray(asked).view(np.uint64)
+            return met & (sum(np.bitwise_count(a[:, w, None] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1])) <= radius)
+        rows, columns = np.nonzero(met)
+        met[rows, columns] = distances(self.own[rows], asked[columns]) <= radius
+        return met
+
+    def nearest(self, qids: np.ndarray, q: np.ndarray, asked: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, int, float]]:
+        """(query, candidate, cosine) of each query's k best within the radius, or within the least that holds k."""
+        for at in range(0, len(qids), _AT_ONCE):
+            here = slice(at, at + _AT_ONCE)
+            yield from self._some(qids[here], q[here], asked[here], radius, k)
+
+    def _some(self, qids: np.ndarray, q: np.ndarray, asked: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, int, float]]:
+        met = self.probed(asked, radius) & (self.ids[:, None] != qids[None])
+        few = met.sum(axis=0) < k
+        if few.any() and radius < BITS:
+            yield from self._some(qids[few], q[few], asked[few], radius + TABLES, k)
+            met, qids, q = met[:, ~few], qids[~few], q[~few]
+        if not len(qids):
+            return
+        sizes = _sizes(q)
+        dense = _much(met)
+        rough = self.x @ q.T if dense else None  # in one product where much was retrieved
+        for i in range(len(qids)):
+            rows = np.flatnonzero(met[:, i])
+            about = (rough[rows, i] if dense else self.x[rows] @ q[i]) / (self.sizes[rows] * sizes[i])
+            if len(rows) > k:
+                rows = rows[about >= np.partition(about, -k)[-k] - 1e-9]
+            score = cosines(q[i], sizes[i], self.x[rows], self.sizes[rows])
+            for j in np.lexsort((self.ids[rows], -score))[:k]:
+                yield int(qids[i]), int(self.ids[rows[j]]), float(score[j])
 
 
 def learned(vectors: DataFrame, k: int) -> dict[int, Model]:
@@ -208,9 +236,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
     def run(key: tuple, held: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         found: list = []
         if len(held) and len(some):
-            index = Shard.of(held, key[0])
-            for qid, x, code in zip(some["vec_id"], some["x"], some["code"]):
-                found += index.nearest(int(qid), np.frombuffer(x), np.frombuffer(code, np.uint16), radius.get(int(key[0]), BITS), k)
+            dim = int(key[0])
+            q, asked = (np.frombuffer(b"".join(some[c]), kind).reshape(len(some), -1) for c, kind in (("x", np.float64), ("code", np.uint16)))
+            found += Shard.of(held, dim).nearest(some["vec_id"].to_numpy(), q, asked, radius.get(dim, BITS), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     task = ["dim", "shard", "block"]
