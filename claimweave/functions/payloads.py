@@ -6,6 +6,7 @@ is read as VARIANT in the JVM, and which contract applies is decided row by row,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
@@ -118,15 +119,17 @@ def _judged(slug: str, value: Column) -> Column:
     return F.when(is_object, let(let(F.try_parse_json(value), read), judge)).otherwise(no_object).cast(ddl)
 
 
-def judged(predicate: Column, value: Column) -> Column:
+def judged(predicate: Column, value: Column, slugs: Iterable[str] = tuple(PAYLOADS)) -> Column:
     """struct(errors array<string>, fields map<string,string>): null for a null value and for predicates without a payload.
 
+    ``slugs`` are the predicates that there can be; fewer make a smaller plan.
+
     A field of another type than its own, out of bounds, missing without a default or null where it may not be is an
     error, and so is an unknown field, a repeated one, and what is no JSON object. Numbers may be texts, and the other way
     round for nothing; ``fields`` has canonical texts, defaults included.
     """
-    out = F.when(value.isNull(), F.lit(None))
-    for slug in PAYLOADS:
+    out = F.when(value.isNull(), F.lit(None).cast("struct<errors:array<string>,fields:map<string,string>>"))
+    for slug in (s for s in slugs if s in PAYLOADS):
         out = out.when(predicate == slug, _judged(slug, value))
     return out
 

@@ -118,7 +118,7 @@ def values(claims: DataFrame, slug: str | None = None) -> DataFrame:
     Every claim is read by its own predicate's contract, and its payload is a map of canonical texts; given ``slug``,
     claims are of that predicate and the payload is a struct of its fields' types.
     """
-    read = claims.withColumn("__j", payloads.judged(F.lit(slug) if slug else F.col("predicate"), F.col("value")))
+    read = claims.withColumn("__j", payloads.judged(F.lit(slug), F.col("value"), (slug,)) if slug else payloads.judged(F.col("predicate"), F.col("value")))
     errors = F.coalesce("__j.errors", F.array().cast("array<string>"))
     fields = F.when(F.size(errors) == 0, F.col("__j.fields"))
     out = read.withColumns({"errors": errors, "bad_value": F.size(errors) > 0, "payload": payloads.typed(slug, fields) if slug else fields})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimweave.functions import canon
+from claimweave.functions import canon, payloads
 
 
 def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -314,6 +314,46 @@ def ingestor(record_type: str):
     return INGESTORS[record_type]
 
 
+#: The predicates with a payload that a type of record gives.
+EMITS = {
+    "endorsement": ("endorsed",), "donation": ("donated_to",), "race_structure": ("contest_stage",), "contest_result": ("contest_result",),
+    "debate": ("event_kind", "event_occurrence", "participated_in")
+}
+#: Times of a record that name an event's day, so that nothing coarser will do.
+DATED = {"debate": ("starts",)}
+
+
+def judged_records(records: DataFrame, record_type: str) -> tuple[DataFrame, DataFrame]:
+    """(claims of the records that are right, ``record_id, error`` of the others), without the caller naming errors.
+
+    A record fails as a whole, and alone: for stints that overlap, a time that is too coarse to know the event by, a
+    claim that ends before it begins, or a payload that breaks its predicate's contract. A record of an unknown type
+    fails, too; one without claims is right.
+    """
+    none = F.lit(None).cast("string")
+    if record_type not in INGESTORS:
+        said = F.concat(F.lit("unknown type "), F.lit(record_type))
+        empty = records.limit(0).select(F.col("record_id"), *(none.alias(c) for c in ("predicate", "subject_id", "object_id", "value")))
+        times = {n: none.cast(t) for c in TIMES for n, t in ((c, "timestamp"), (f"{c}_precision", "string"))}
+        return empty.withColumns(times), records.select("record_id", said.alias("error")).distinct()
+    claims = INGESTORS[record_type](records)
+    payload = payloads.judged(F.col("predicate"), F.col("value"), EMITS.get(record_type, ()))
+    wrong = F.coalesce(
+        F.when(F.col("valid_to") <= F.col("valid_from"), "ends before it begins"), F.concat("predicate", F.lit(": "), F.array_join(payload["errors"], ", "))
+    )
+    found = [claims.select("record_id", F.nullif(wrong, F.concat("predicate", F.lit(": "))).alias("error")).where("error is not null")]
+    if record_type == "candidacy":
+        found.append(overlapping_stints(records).select("record_id", F.lit("stints overlap").alias("error")))
+    for c in (c for c in DATED.get(record_type, ()) if f"{c}_precision" in records.columns):
+        coarse = records.where(F.col(f"{c}_precision").isin("year", "month"))
+        found.append(coarse.select("record_id", F.concat(F.lit(f"{c} is known to the "), f"{c}_precision", F.lit(" only")).alias("error")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    errors = every.groupBy("record_id").agg(F.min("error").alias("error"))
+    return claims.join(errors.select("record_id"), "record_id", "left_anti"), errors
+
+
 def written_readings(polls: DataFrame) -> DataFrame:
     """polls(revision_id, samples ARRAY<STRUCT<population, sample_size, readings ARRAY<STRUCT<label, percentage>>>>), a row per reading with both positions."""
     s = polls.select("revision_id", F.size("samples").alias("n"), F.posexplode("samples").alias("sample", "s"))

@@ -21,10 +21,8 @@ def samples(readings: DataFrame) -> DataFrame:
         F.sum("n").alias("sample_size"), F.max("margin").alias("margin_of_error"), F.count("*").alias("options"), said.alias("readings")
     )
     # The only sample of a revision is called overall.
-    many = found.groupBy("revision_id").agg(F.count("*").alias("samples"))
-    return found.join(many, "revision_id").withColumn(
-        "sample_label", F.when(F.col("samples") == 1, "overall").otherwise(F.col("population"))
-    ).drop("samples")
+    many = F.count("*").over(Window.partitionBy("revision_id"))
+    return found.withColumn("sample_label", F.when(many == 1, "overall").otherwise(F.col("population")))
 
 
 def timeline(
@@ -41,7 +39,8 @@ def timeline(
         kept = kept.where("outcome is null or outcome <> 'rejected'")
     named = followed(kept.withColumn("reviewed", F.col("outcome").isNotNull()), survivors, "pollster_id", "pollster")
     order = Window.partitionBy("contest_id").orderBy(F.col("ended").asc_nulls_last(), "sample_label", "revision_id", "population")
-    points = named.join(samples(readings), "revision_id").withColumn("place", F.row_number().over(order))
+    own = readings if include_rejected else readings.join(named.select("revision_id"), "revision_id", "left_semi")
+    points = named.join(samples(own), "revision_id").withColumn("place", F.row_number().over(order))
     points = points.where(F.col("place") <= limit) if limit else points
     return points.select(
         "contest_id", "place", "revision_id", "pollster", "started", "ended", "sample_label", "population", "sample_size", "margin_of_error",

@@ -45,17 +45,23 @@ def in_context(claims: DataFrame, run: str, origin: str, snapshot: Column, index
 
 
 def run_import(
-    rows: DataFrame, emit: Callable[[DataFrame], DataFrame], error: Column, run: str, claims: DataFrame, assertions: DataFrame
+    rows: DataFrame, emit: Callable[[DataFrame], DataFrame] | str, error: Column | None, run: str, claims: DataFrame, assertions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """rows(record_id, index, snapshot, …) -> (claims with outcome, report).
 
     A row with a non-null ``error`` fails alone: it is counted and emits nothing. The rest goes through ``emit`` to
-    claims, which are attributed to their row and compared with what is stored.
+    claims; if that is the name of a record type, rows that its ingestor finds wrong fail alone, too. Claims are
+    attributed to their row and compared with what is stored.
     """
-    judged = rows.withColumn("error", error)
-    fine = judged.where("error is null")
-    made = emit(fine).join(fine.select("record_id", "index", "snapshot"), "record_id")
-    told = ingest.outcomes(in_context(made, run, "import", F.col("snapshot"), F.col("index")), claims, assertions)
+    judged = rows.withColumn("error", error if error is not None else F.lit(None).cast("string"))
+    if isinstance(emit, str):
+        made, wrong = ingest.judged_records(judged.where("error is null").drop("error"), emit)
+        found = wrong.select("record_id", F.col("error").alias("__found"))
+        judged = judged.join(found, "record_id", "left").withColumn("error", F.coalesce("error", "__found")).drop("__found")
+    else:
+        made = emit(judged.where("error is null"))
+    told_of = made.join(judged.where("error is null").select("record_id", "index", "snapshot"), "record_id")
+    told = ingest.outcomes(in_context(told_of, run, "import", F.col("snapshot"), F.col("index")), claims, assertions)
     return told, ingest.import_report(judged, told)
 
 

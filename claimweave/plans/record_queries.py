@@ -427,11 +427,12 @@ _SPECS = ", ".join(f"('{p.slug}', '{catalog.version_id(p.slug)}', '{p.target}',
 _SPACES = ", ".join(f"('{n}', {k})" for n, _, k in catalog.NAMESPACES)
 
 
-@query(f"""SELECT 'predicate' AS what, slug, version_id, target || '/' || time || '/' || subjects AS spec
-    FROM (VALUES {_SPECS}) AS t(slug, version_id, target, time, subjects) WHERE slug <> 'endorsed'
-    UNION ALL SELECT 'namespace', n, NULL, k::VARCHAR FROM (VALUES {_SPACES}) AS s(n, k)""")
+@query(f"""WITH c AS (SELECT predicate, count(*) AS n FROM g_claim GROUP BY 1), i AS (SELECT namespace, count(*) AS n FROM g_identifier GROUP BY 1)
+    SELECT 'predicate' AS what, slug, version_id, target || '/' || time || '/' || subjects AS spec, coalesce(n, 0) AS used
+    FROM (VALUES {_SPECS}) AS t(slug, version_id, target, time, subjects) LEFT JOIN c ON c.predicate = slug WHERE slug <> 'endorsed'
+    UNION ALL SELECT 'namespace', s.n, NULL, k::VARCHAR, coalesce(i.n, 0) FROM (VALUES {_SPACES}) AS s(n, k) LEFT JOIN i ON i.namespace = s.n""")
 def catalogue_rows(g: Graph) -> DataFrame:
-    """Predicates still to seed when one is stored, and the active namespaces."""
+    """Predicates still to seed when one is stored, and the active namespaces, each with what the graph has of it."""
     stored = catalog.predicates(g.spark).where("slug = 'endorsed'")
     spec = F.concat_ws("/", "target", "time", F.array_join("subjects", "|"))
     left = catalog.seed(g.spark, stored).select(F.lit("predicate").alias("what"), "slug", "version_id", spec.alias("spec"))
@@ -439,7 +440,87 @@ def catalogue_rows(g: Graph) -> DataFrame:
         F.lit("namespace").alias("what"), F.col("namespace").alias("slug"), F.lit(None).cast("string").alias("version_id"),
         _text("precedence").alias("spec")
     )
-    return left.unionByName(spaces)
+    used = g.claim().groupBy(F.lit("predicate").alias("what"), F.col("predicate").alias("slug")).agg(F.count("*").alias("used")).unionByName(
+        g.identifier().groupBy(F.lit("namespace").alias("what"), F.col("namespace").alias("slug")).agg(F.count("*").alias("used"))
+    )
+    told = left.unionByName(spaces).join(used, ["what", "slug"], "left")
+    return told.select("what", "slug", "version_id", "spec", F.coalesce("used", F.lit(0)).alias("used"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 1 THEN 'second' ELSE 'first' END AS writer FROM orders""")
+def appended_once(g: Graph) -> DataFrame:
+    """Two writers with orders in common, of which the second commits while the first is at work: each order is there once."""
+    from claimweave.plans.commits import LoggedTable
+    from claimweave.plans.materialize import landing
+
+    table = LoggedTable(g.spark, landing(g.spark, "orders"), "k long, writer string")
+    batch = lambda out, who: g.raw("orders").where(F.col("o_orderkey") % 3 != out).select(F.col("o_orderkey").alias("k"), F.lit(who).alias("writer"))
+    overtaken = []
+
+    def first(stored: DataFrame) -> DataFrame:
+        if not overtaken:
+            overtaken.append(table.add(lambda now: I.absent(batch(1, "second"), now, ["k"])))
+        return I.absent(batch(0, "first"), stored, ["k"])
+
+    table.add(first)
+    return table.read()
+
+
+@query("""WITH g AS (SELECT l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_tax > 0.06 THEN 'gift' END AS kind, CASE WHEN l_discount > 0.05 THEN -l_quantity ELSE l_quantity END AS amount FROM lineitem
+        QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+    e AS (SELECT 'donation' AS record_type, concat_ws(', ', CASE WHEN amount < 0 THEN 'amount is less than 0' END, CASE WHEN kind IS NOT NULL THEN 'kind is none of the allowed' END) AS error FROM g
+        UNION ALL SELECT 'candidacy', CASE o_orderkey % 5 WHEN 0 THEN 'stints overlap' WHEN 1 THEN 'ends before it begins' ELSE '' END FROM orders
+        UNION ALL SELECT 'banquet', 'unknown type banquet' FROM customer
+        UNION ALL SELECT 'debate', CASE WHEN event_id % 4 = 0 THEN 'starts is known to the month only' ELSE '' END FROM events)
+    SELECT record_type, CASE WHEN error = '' THEN NULL WHEN record_type = 'donation' THEN 'donated_to: ' || error ELSE error END AS error, count(*) AS records FROM e GROUP BY ALL""")
+def import_errors(g: Graph) -> DataFrame:
+    """Records of four types, some of them wrong: each wrong one fails alone and says why, and is counted."""
+    once = g.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("c"), *(F.max(c).alias(c) for c in ("l_tax", "l_discount", "l_quantity"))
+    ).where("c = 1")
+    none = F.lit(None).cast("string")
+    gifts = once.select(
+        F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber")).alias("record_id"), F.lit("d").alias("donor_id"), F.lit("r").alias("recipient_id"),
+        F.when(F.col("l_discount") > 0.05, -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("decimal(12,2)").cast("string").alias("amount"),
+        none.alias("currency"), F.when(F.col("l_tax") > 0.06, "gift").alias("kind"), F.lit(None).cast("boolean").alias("supporting"),
+        none.alias("purpose"), F.lit("2026-01-01").cast("timestamp").alias("given")
+    )
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 5
+    day = lambda n: at + F.expr(f"interval {n} days")
+    stint = lambda a, b: F.struct(a.alias("entered"), b.alias("left"))
+    stints = F.when(k == 0, F.array(stint(at, day(9)), stint(day(5), day(20)))).when(k == 1, F.array(stint(at, day(-9)))).otherwise(F.array(stint(at, day(9))))
+    stood = g.raw("orders").select(_text("o_orderkey").alias("record_id"), F.lit("c").alias("candidate_id"), F.lit("k").alias("contest_id"), stints.alias("stints"))
+    held = g.raw("events").select(
+        _text("event_id").alias("record_id"), _id("e", "event_id").alias("event_id"), F.lit("occurred").alias("status"), F.col("ts").cast("timestamp").alias("starts"),
+        F.lit(None).cast("timestamp").alias("ends"), F.lit(None).cast("array<struct<id:string,role:string>>").alias("participants"),
+        none.alias("contest_id"), none.alias("jurisdiction_id"), F.when(F.col("event_id") % 4 == 0, "month").otherwise("minute").alias("starts_precision")
+    )
+    strange = g.raw("customer").select(_text("c_custkey").alias("record_id"))
+    parts = []
+    for kind, rows in (("donation", gifts), ("candidacy", stood), ("banquet", strange), ("debate", held)):
+        claims, errors = I.judged_records(rows, kind)
+        fine = claims.select("record_id").distinct().withColumn("error", none)
+        parts.append(fine.unionByName(errors).select(F.lit(kind).alias("record_type"), "error"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("record_type", "error").agg(F.count("*").alias("records"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity::INTEGER % 4 > 0 OR l_quantity::INTEGER % 8 = 0 THEN l_quantity::INTEGER END AS size,
+    l_quantity::INTEGER % 8 = 4 AS refused, l_quantity::INTEGER % 8 = 0 AS rewritten FROM lineitem""")
+def rewritten_cells(g: Graph) -> DataFrame:
+    """Sample cells of which a quarter is refused; half of those have a rewrite that the same parser takes."""
+    from claimweave.functions import parse
+
+    n = F.col("l_quantity").cast("int")
+    lines = g.raw("lineitem").select("l_orderkey", "l_linenumber", n.alias("n"))
+    cells = lines.select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.concat(F.when(F.col("n") % 4 == 0, "~").otherwise(""), _text("n")).alias("text"))
+    better = lines.where("n % 4 = 0").select("n").distinct().select(
+        F.concat(F.lit("~"), _text("n")).alias("text"), F.when(F.col("n") % 8 == 0, _text("n")).otherwise(F.concat(F.lit("about "), _text("n"))).alias("better")
+    )
+    out = I.rewritten(cells, better, parse.sample)
+    return out.select("id.*", "parsed.size", "parsed.refused", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
 
 
 _WHO = ("redirect", "claim", "assertion", "poll_average_revision", "poll_revision")

@@ -6,9 +6,14 @@ values.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from claimweave.operators import ingest
+from claimweave.plans.commits import LoggedTable
+
 TABLES = {
     "entity": "id STRING, kind STRING, canonical_name STRING, created_at TIMESTAMP",
     "entity_identifier": "id STRING, entity_id STRING, namespace STRING, value STRING, research_run_id STRING, created_at TIMESTAMP",
@@ -56,29 +61,35 @@ def schema(name: str) -> StructType:
 
 
 class Tables:
-    """The graph's tables as parquet folders under one path."""
+    """The graph's tables under one path, each with a log of its versions."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _table(self, name: str) -> LoggedTable:
+        return LoggedTable(self.spark, f"{self.path}/{name}", schema(name))
+
     def create(self) -> None:
         """Empty tables where there are none."""
         for name in TABLES:
-            self.spark.createDataFrame([], schema(name)).write.mode("ignore").parquet(f"{self.path}/{name}")
+            if not self._table(name).version():
+                self._table(name).add(lambda stored: stored)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema(name)).parquet(f"{self.path}/{name}")
+        return self._table(name).read()
+
+    def append(self, name: str, rows: DataFrame, keys: Sequence[str] = ()) -> None:
+        """The only way to add rows: columns that are missing are null, unknown ones an error.
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """The only way to write: columns that are missing are null, unknown ones an error."""
+        Given keys, rows whose keys are stored already are left out, also those that another writer stores meanwhile.
+        """
         if unknown := set(rows.columns) - set(schema(name).names):
             raise ValueError(f"{name} has no columns {sorted(unknown)}")
-        empty = self.spark.createDataFrame([], schema(name))
-        full = empty.unionByName(rows, allowMissingColumns=True)
-        full.select(*(full[f.name].cast(f.dataType).alias(f.name) for f in schema(name))).write.mode("append").parquet(f"{self.path}/{name}")
+        full = self.spark.createDataFrame([], schema(name)).unionByName(rows, allowMissingColumns=True)
+        self._table(name).add(lambda stored: ingest.absent(full, stored, list(keys)) if keys else full)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Refused for tables that only grow."""
         if name in APPEND_ONLY:
             raise PermissionError(f"{name} is append-only")
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._table(name).add(lambda stored: rows, replace=True)

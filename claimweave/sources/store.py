@@ -1,10 +1,11 @@
-"""Content-addressed objects in a parquet table (rows S15-S17, S20)."""
+"""Content-addressed objects in a logged table (rows S15-S17, S20)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimweave.functions import canon
+from claimweave.plans.commits import LoggedTable
 
 MAX_BYTES = 32 << 20
 DDL = "sha256 string, content binary, byte_length long"
@@ -14,24 +15,22 @@ class ObjectStore:
     """Objects under their digest. Any path that Spark can write to will do: local, HDFS or an object store."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.table = LoggedTable(spark, path, DDL)
 
     def objects(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(DDL).parquet(self.path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], DDL)
+        return self.table.read()
 
     def put(self, contents: DataFrame) -> DataFrame:
-        """Store ``contents(content)`` once each; objects over the size limit are refused. -> (sha256, key)."""
+        """Store ``contents(content)`` once each; objects over the size limit are refused. -> (sha256, key).
+
+        Writers that put the same object at the same time leave one.
+        """
         hashed = contents.where("content is not null").select(
             F.sha2("content", 256).alias("sha256"), "content", F.octet_length("content").cast("long").alias("byte_length")
         )
-        fine = hashed.where(F.col("byte_length") <= MAX_BYTES).dropDuplicates(["sha256"])
-        fine.join(self.objects().select("sha256"), "sha256", "left_anti").write.mode("append").parquet(self.path)
-        return hashed.where(F.col("byte_length") <= MAX_BYTES).select("sha256", canon.content_key(F.col("sha256")).alias("key")).distinct()
+        fine = hashed.where(F.col("byte_length") <= MAX_BYTES)
+        self.table.add(lambda stored: fine.dropDuplicates(["sha256"]).join(stored.select("sha256"), "sha256", "left_anti"))
+        return fine.select("sha256", canon.content_key(F.col("sha256")).alias("key")).distinct()
 
     def get(self, digests: DataFrame) -> DataFrame:
         """The objects of some digests; the digest reaches the scan as a semi-join."""
