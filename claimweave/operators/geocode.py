@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from claimweave.functions import parse
 
 BATCH = 10_000
+ATTEMPTS = 3
+BACKOFF = 2.0
 #: Columns of the batch service's answer.
 ANSWER = ("key", "input", "match", "match_type", "matched_address", "coordinates", "line_id", "side", "state", "county", "tract", "block")
 _DDL = ", ".join(f"{c} STRING" for c in ANSWER)
@@ -38,14 +41,29 @@ def parsed(answers: DataFrame) -> DataFrame:
     )
 
 
-def geocode(addresses: DataFrame, service: Callable[[list[str]], list[str]], batch: int = BATCH) -> DataFrame:
+class Unavailable(Exception):
+    """What a service raises when it failed but may answer if it is asked again."""
+
+
+def geocode(
+    addresses: DataFrame, service: Callable[[list[str]], list[str]], batch: int = BATCH, attempts: int = ATTEMPTS, backoff: float = BACKOFF
+) -> DataFrame:
     """One result per address(key, street, city, state, postcode); what is not answered is no match.
 
-    ``service`` takes at most ``batch`` request lines and returns answer lines; it runs in the tasks.
+    ``service`` takes at most ``batch`` request lines and returns answer lines; it runs in the tasks. If it raises
+    Unavailable, or the network fails, the batch is asked again, up to ``attempts`` times in all, after ``backoff``
+    seconds times the number of failures; another error is final.
     """
 
     def answered(lines: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(service(lines), pa.string())], ["line"])
+        for failed in range(1, attempts + 1):
+            try:
+                return pa.RecordBatch.from_arrays([pa.array(service(lines), pa.string())], ["line"])
+            except (Unavailable, OSError) as error:
+                if failed == attempts:
+                    raise RuntimeError(f"the geocoder failed {attempts} times for a batch of {len(lines)}") from error
+                time.sleep(backoff * failed)
+        raise AssertionError("at least one attempt")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []

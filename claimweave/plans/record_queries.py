@@ -62,6 +62,78 @@ def pollster_resolution(g: Graph) -> DataFrame:
     return R.pollsters(names, g.alias(), _survivors(g))
 
 
+@query(f"""WITH RECURSIVE {_SURVIVOR}, o AS (SELECT entity_id, name FROM g_alias JOIN g_entity ON id = entity_id WHERE kind = 'organization'),
+    s AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, min(entity_id) AS id FROM o GROUP BY 1),
+    n AS (SELECT s_suppkey AS k, upper(s_name) || ' !' AS name, NULL AS made FROM supplier
+        UNION ALL SELECT s_suppkey, 'Zq Poll ' || s_suppkey, 'zq poll ' || s_suppkey FROM supplier UNION ALL SELECT s_suppkey, 'Zq-Poll ' || s_suppkey, 'zq poll ' || s_suppkey FROM supplier
+        UNION ALL SELECT s_suppkey, replace(s_name, 'Supplier', 'Suppliers'), replace(lower(s_name), 'supplier', 'suppliers') FROM supplier),
+    g AS (SELECT name, made, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM n),
+    x AS (SELECT slug, list_distinct({_GRAMS.format('slug')}) AS q FROM (SELECT DISTINCT slug FROM g WHERE made IS NOT NULL)),
+    a AS (SELECT DISTINCT entity_id, name, list_distinct({_GRAMS.format('name')}) AS g FROM o),
+    m AS (SELECT slug, entity_id, name, len(list_intersect(q, g))::DOUBLE / (len(q) + len(g) - len(list_intersect(q, g))) AS w FROM x, a),
+    r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY round(w, 9) DESC, name, entity_id) AS k FROM m WHERE w >= 0.55),
+    l AS (SELECT slug, array_to_string(list(entity_id ORDER BY k), ',') AS l FROM r WHERE k <= 5 GROUP BY 1)
+    SELECT g.name, CASE WHEN made IS NULL THEN coalesce(survivor_id, s.id) ELSE 'x' || substr(sha256('organization' || chr(31) || made), 1, 32) END AS entity_id,
+        made IS NOT NULL AS created, CASE WHEN made IS NULL THEN '' ELSE coalesce(l.l, '') END AS lookalikes
+    FROM g LEFT JOIN s ON s.slug = g.slug LEFT JOIN closure ON closure.id = s.id LEFT JOIN l ON l.slug = g.slug""")
+def unknown_pollsters(g: Graph) -> DataFrame:
+    """Pollsters by slug of an organization, and unknown ones: one entity for all spellings of a slug, with the closest organizations listed."""
+    s, key = g.raw("supplier"), _text("s_suppkey")
+    names = s.select(F.concat(F.upper("s_name"), F.lit(" !")).alias("name"))
+    for more in (F.concat(F.lit("Zq Poll "), key), F.concat(F.lit("Zq-Poll "), key), F.replace("s_name", F.lit("Supplier"), F.lit("Suppliers"))):
+        names = names.unionByName(s.select(more.alias("name")))
+    told, _ = R.resolved_pollsters(names, g.entity(), g.alias(), g.identifier(), _survivors(g))
+    return told.select("name", "entity_id", "created", F.array_join("lookalikes", ",").alias("lookalikes"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer), m(j, own) AS (VALUES (1, 'person'), (2, 'person'), (3, 'person'), (4, 'person'), (5, 'contest'), (6, 'person')),
+    t AS (SELECT k, j, own, CASE WHEN k % 3 = 0 THEN 'c' || k ELSE 'x' || substr(sha256('person' || chr(31) || 'a=A' || k), 1, 32) END AS e FROM c, m WHERE (j <> 5 OR k % 5 = 0) AND (j <> 6 OR k % 3 = 2))
+    SELECT 'm' || j || '-' || k AS mention_id, CASE WHEN j <> 5 THEN e END AS entity_id,
+        CASE WHEN j = 5 THEN NULL WHEN j = 6 THEN 'alias' WHEN k % 3 = 0 THEN 'identifier' ELSE 'created' END AS method,
+        CASE WHEN j = 5 THEN 'c:C' || k || ' already identifies person' || CASE WHEN k % 3 = 0 THEN ' c' || k ELSE '' END || ', not a contest' END AS error FROM t
+    UNION ALL SELECT 'n-' || k, 'c' || k, 'identifier', NULL FROM c""")
+def batch_resolution(g: Graph) -> DataFrame:
+    """Mentions of one batch in chains of three keys, none of which has all: a third of the chains end in a
+    stored person, the others are new; contests with a person's key, and names that the batch itself makes known."""
+    c, k = g.raw("customer"), _text("c_custkey")
+    key = lambda ns: F.struct(F.lit(ns).alias("namespace"), F.concat(F.lit(ns.upper()), k).alias("value"))
+    stored = F.struct(F.lit("wikidata").alias("namespace"), F.concat(F.lit("Q"), k).alias("value"))
+    third = F.col("c_custkey") % 3
+
+    def say(j: int, kind: str, ids: Column, name: str) -> DataFrame:
+        said = F.concat(F.lit(f"{name} "), k)
+        return c.select(
+            "c_custkey", F.concat(F.lit(f"m{j}-"), k).alias("mention_id"), F.lit(kind).alias("kind"), said.alias("name"),
+            text.ascii_name(said).alias("normalized_name"), ids.alias("identifiers")
+        )
+
+    last = F.when(third == 0, F.array(key("c"), stored)).otherwise(F.array(key("c")))
+    rows = say(1, "person", F.array(key("a")), "First").unionByName(say(2, "person", F.array(key("a"), key("b")), "Second"))
+    rows = rows.unionByName(say(3, "person", F.array(key("b"), key("c")), "Third")).unionByName(say(4, "person", last, "Fourth"))
+    rows = rows.unionByName(say(5, "contest", F.array(key("c")), "Race").where("c_custkey % 5 = 0"))
+    rows = rows.unionByName(say(6, "person", F.array().cast("array<struct<namespace:string,value:string>>"), "Third").where("c_custkey % 3 = 2"))
+    rows = rows.unionByName(say(7, "person", F.array(stored), "Known").withColumn("mention_id", F.concat(F.lit("n-"), k)))
+    return R.resolve(rows.drop("c_custkey"), g.entity(), g.alias(), g.identifier(), _survivors(g)).select("mention_id", "entity_id", "method", "error")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 2 AS p FROM customer), f AS (SELECT p, min('c' || k) AS e FROM c GROUP BY 1)
+    SELECT 'appended' AS what, e AS entity_id, 'P' || p AS value, NULL AS owner FROM f UNION ALL
+    SELECT 'owned elsewhere', 'c' || k, 'P' || p, e FROM c JOIN f USING (p) WHERE 'c' || k <> e""")
+def batch_identifiers(g: Graph) -> DataFrame:
+    """Every two customers want one new key: it is appended once, and the other one hears whose it is."""
+    k = F.col("c_custkey")
+    ids = R.mention(wikidata=_id("Q", "c_custkey"), fec=F.concat(F.lit("P"), F.floor(k / 2).cast("string")))
+    mentions = g.raw("customer").select(
+        _id("m", "c_custkey").alias("mention_id"), F.lit("person").alias("kind"), F.col("c_name").alias("name"), F.lower("c_name").alias("normalized_name"),
+        ids.alias("identifiers")
+    )
+    resolved = R.resolve(mentions, g.entity(), g.alias(), g.identifier(), _survivors(g))
+    _, fresh, owned = R.recorded(resolved, mentions, g.alias(), g.identifier(), _survivors(g))
+    return fresh.select(F.lit("appended").alias("what"), "entity_id", "value", F.lit(None).cast("string").alias("owner")).unionByName(
+        owned.select(F.lit("owned elsewhere").alias("what"), "entity_id", "value", "owner")
+    )
+
+
 _NAMED = "SELECT c_custkey AS k, 'c' || c_custkey AS e, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || ' Jr' END AS name FROM customer"
 
 
@@ -526,13 +598,13 @@ def rewritten_cells(g: Graph) -> DataFrame:
 _WHO = ("redirect", "claim", "assertion", "poll_average_revision", "poll_revision")
 
 
-@query("""WITH k AS (SELECT o_orderkey, o_orderkey // 8 AS ring FROM orders), r AS (SELECT ring FROM k GROUP BY 1 HAVING count(*) = 8),
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey // 8 AS ring FROM orders), r AS (SELECT ring, min(o_orderkey::VARCHAR) AS leader FROM k GROUP BY 1 HAVING count(*) = 8),
     n AS (SELECT u.g, o_orderkey, ring
     FROM k, (VALUES ('redirect', 0), ('claim', 1), ('assertion', 2), ('poll_average_revision', 3), ('poll_revision', 4)) AS u(g, j)
     WHERE ring % 5 = j)
-    SELECT g AS graph, o_orderkey::VARCHAR AS id FROM n SEMI JOIN r USING (ring)""")
+    SELECT g AS graph, o_orderkey::VARCHAR AS id, leader, (o_orderkey - leader::BIGINT + 8) % 8 AS position FROM n JOIN r USING (ring)""")
 def integrity_cycles(g: Graph) -> DataFrame:
-    """Five graphs of which each holds rings of eight orders; a ring that lacks an order is a chain."""
+    """Five graphs of which each holds rings of eight orders, with each order's place; a ring that lacks an order is a chain."""
     k = F.col("o_orderkey")
     after = F.floor(k / 8) * 8 + (k + 1) % 8
     rows = g.raw("orders").select(_text("o_orderkey").alias("a"), after.cast("string").alias("b"), (F.floor(k / 8) % 5).alias("j"))

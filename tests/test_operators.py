@@ -185,6 +185,27 @@ def test_geocoding(spark):
     assert got["a"]["geoid"] == "550250011000" and geocode.broken(geocode.geocode(a, service)).count() == 0
 
 
+def test_geocoding_asks_again(spark, tmp_path):
+    a = spark.createDataFrame([("a", "1 Main", "Madison", "WI", "5")], "key string, street string, city string, state string, postcode string").coalesce(1)
+    log = str(tmp_path / "asked")
+
+    def shaky(lines, fails, error):
+        with open(log, "a") as f:
+            f.write("x")
+        with open(log) as f:
+            if len(f.read()) <= fails:
+                raise error("busy")
+        return ['"a","x","Tie"']
+
+    told = geocode.geocode(a, lambda x: shaky(x, 2, geocode.Unavailable), backoff=0.01).collect()
+    assert told[0]["quality"] == "tie" and len(open(log).read()) == 3
+    open(log, "w").close()
+    with pytest.raises(Exception, match="failed 3 times"):
+        geocode.geocode(a, lambda x: shaky(x, 9, TimeoutError), backoff=0.01).collect()
+    with pytest.raises(Exception, match="busy"):
+        geocode.geocode(a, lambda x: shaky(x, 99, ValueError), backoff=0.01).collect()
+
+
 def test_validators(spark):
     r = spark.createDataFrame([("1", "running", None, None), ("2", "failed", dt.datetime(2026, 1, 1), None), ("3", "succeeded", dt.datetime(2026, 1, 1), None), ("3", "succeeded", None, None)], "id string, status string, completed_at timestamp, error_message string")
     assert [x["key"] for x in X.broken(r, "state", "id", X.run_state()).collect()] == ["2", "3"]
