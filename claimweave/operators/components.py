@@ -14,6 +14,8 @@ def connected(edges: DataFrame) -> DataFrame:
     that distances halve. A round is written to the shared folder; only how many labels changed is asked of it.
     """
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u is not null and v is not null").distinct())
+    if both.isEmpty():
+        return both.select(F.col("u").alias("id"), F.col("u").alias("root"))
     now = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
         seen = both.join(now.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
@@ -22,7 +24,6 @@ def connected(edges: DataFrame) -> DataFrame:
         told = hooked.select(F.col("old").alias("id"), "new").union(hooked.select("id", "new")).groupBy("id").agg(F.min("new").alias("new"))
         jump = told.select(F.col("id").alias("new"), F.col("new").alias("further"))
         after = told.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("root"))
-        after = cut(after.join(now.select("id", F.col("root").alias("was")), "id"))
-        if after.where("root <> was").isEmpty():
-            return after.select("id", "root")
-        now = after.select("id", "root")
+        now = cut(after.join(now.select("id", F.col("root").alias("was")), "id"), now)
+        if now.where("root <> was").isEmpty():
+            return now.select("id", "root")

@@ -34,7 +34,7 @@ def survivors(redirects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             joined.select(
                 "id", F.coalesce("next", "end").alias("end"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
                 F.coalesce("still", F.lit(False)).alias("more")
-            )
+            ), now
         )
     done = ~F.col("more") & (F.col("depth") <= max_depth)
     return now.select("id", F.when(done, F.col("end")).alias("survivor_id"), F.when(done, F.col("depth")).alias("depth"))
@@ -70,7 +70,8 @@ def rings(graph: DataFrame) -> DataFrame:
     walks, rounds, edges_ = steps, 0, steps.count()
     while 2**rounds <= edges_ and not walks.isEmpty():
         on = walks.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        walks, rounds = cut(walks.join(on, "dst").select("src", F.col("next").alias("dst"))), rounds + 1
+        last = [walks] if rounds else []  # the first walks are the steps, which are read again
+        walks, rounds = cut(walks.join(on, "dst").select("src", F.col("next").alias("dst")), *last), rounds + 1
     held = cut(steps.join(walks.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
     size = held.count()
     if not size:
@@ -78,9 +79,9 @@ def rings(graph: DataFrame) -> DataFrame:
     named, reach = held.select("src", "dst", F.least("src", "dst").alias("leader")), 1
     while reach < size:
         on = named.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("leader").alias("theirs"))
-        after = cut(named.join(on, "dst").select("src", F.col("next").alias("dst"), F.least("leader", "theirs").alias("leader"), F.col("leader").alias("was")))
-        named, reach = after.drop("was"), reach * 2
-        if after.where("leader <> was").isEmpty():
+        named = cut(named.join(on, "dst").select("src", F.col("next").alias("dst"), F.least("leader", "theirs").alias("leader"), F.col("leader").alias("was")), named)
+        reach *= 2
+        if named.where("leader <> was").isEmpty():
             break
     led = cut(held.join(named.select("src", "leader"), "src"))
     # Distance to the leader along the ring: the leader's own edge is left out, so that every walk ends.
@@ -88,7 +89,7 @@ def rings(graph: DataFrame) -> DataFrame:
     left = left.withColumn("far", F.when(F.col("src") == F.col("leader"), 0).otherwise(1).cast("long"))
     while not left.where("at <> leader").isEmpty():
         on = left.select(F.col("src").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
-        left = cut(left.join(on, "at").select("src", "leader", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far")))
+        left = cut(left.join(on, "at").select("src", "leader", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far")), left)
     sizes = left.groupBy("leader").agg(F.count("*").alias("n"))
     placed = left.join(sizes, "leader").select("src", "leader", F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("position"))
     return placed.join(held, "src").select(F.col("src").alias("id"), "leader", "position", F.col("dst").alias("next"))

@@ -32,8 +32,20 @@ def landing(spark: SparkSession, name: str) -> str:
     return f"{parent}/data"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: survives lost executors, and later plans know its size."""
-    where = landing(df.sparkSession, "cut")
+_WHERE = "_claimweave_folder"
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: survives lost executors, and later plans know its size.
+
+    ``done`` are tables that cut() gave and that no plan reads after this one: a loop's last round. They are removed.
+    """
+    spark, where = df.sparkSession, landing(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    for old in done:
+        if folder := getattr(old, _WHERE, None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(where)
+    setattr(out, _WHERE, where.rsplit("/", 1)[0])
+    return out
