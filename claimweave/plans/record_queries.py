@@ -386,8 +386,8 @@ def _numbered(g: Graph) -> DataFrame:
     WHERE q.status IN ('pending', 'claimed') AND q.created_at >= (SELECT max(created_at) - INTERVAL 3 DAY FROM g_task)""")
 def task_views(g: Graph) -> DataFrame:
     """What a reviewer sees of the open tasks of the last three days: headline, details in order, all revisions' readings."""
-    last = g.task().agg((F.max("created_at") - F.expr("interval 3 days")).alias("since"))
-    recent = g.task().join(F.broadcast(last), F.col("created_at") >= F.col("since"))  # one row
+    last = g.task().agg((F.max("created_at") - F.expr("interval 3 days")).alias("since")).first()["since"]
+    recent = g.task().where(F.col("created_at") >= F.lit(last).cast("timestamp_ntz"))
     revisions = _numbered(g)
     tasks = recent.join(revisions.select("revision_id", "review_key"), F.col("target") == F.col("review_key")).select(
         "id", F.col("revision_id").alias("target"), "status"

@@ -104,7 +104,7 @@ def test_resolution_keeps_apart_what_it_must(spark):
     i = spark.createDataFrame([("wikidata", "Q1", "e1"), ("wikidata", "Q5", "e3")], "namespace string, value string, entity_id string")
     none = spark.createDataFrame([], "id string, survivor_id string")
     ids = "array<struct<namespace:string,value:string>>"
-    rows = [("bob", "person", "Bob", "bob", [("wikidata", "Q9")], False), ("zed", "other", "Zed", "zed", [], False), ("adopts", "jurisdiction", "Michigan", "michigan", [("ocd-division", "mi")], False), ("defines", "jurisdiction", "Michigan", "michigan", [("ocd-division", "mi")], True), ("refines", "person", "Val", "val", [], False), ("clash", "contest", "Zed", "zed", [(" WikiData ", " Q5 ")], False)]
+    rows = [("bob", "person", "Bob", "bob", [("wikidata", "Q9")], False), ("zed", "other", "Zed", "zed", [], False), ("adopts", "jurisdiction", "Michigan", "michigan", [("ocd-division", "mi")], False), ("defines", "jurisdiction", "Michigan", "michigan", [("ocd-division", "other")], True), ("refines", "person", "Val", "val", [], False), ("clash", "contest", "Zed", "zed", [(" WikiData ", " Q5 ")], False)]
     m = spark.createDataFrame(rows, f"mention_id string, kind string, name string, normalized_name string, identifiers {ids}, authoritative boolean")
     got = {r["mention_id"]: r for r in R.resolve(m, e, a, i, none).collect()}
     assert got["bob"]["method"] == "created" and got["bob"]["ambiguous_with"] == ["e1", "e2"]  # ambiguous first, whatever the keys
