@@ -640,7 +640,7 @@ _PAYLOADS = (
     ("contest_result", '{"votes":{n}.0,"share":0.50,"won":0}', None, "place=~,share=0.5,votes={n},won=false"),
     ("contest_result", '{"votes":"abc","won":"maybe"}', "votes is no integer|won is no boolean", None),
     ("contest_result", '{"votes":1.5,"share":100.5,"place":0}', "votes is no integer|share is more than 100|place is less than 1", None),
-    ("contest_result", '{"votes":-{n},"extra":1,"also":2}', "votes is less than 0|also is unknown|extra is unknown", None),
+    ("contest_result", '{"votes":-1{n},"extra":1,"also":2}', "votes is less than 0|also is unknown|extra is unknown", None),
     ("contest_result", "{n}", "the payload is no object", None),
     ("contest_result", '{"votes":{n},"votes":1}', "the payload is no object", None),
     ("donated_to", '{"amount":"{n}.50"}', None, "amount={n}.5,currency=USD,kind=contribution,purpose=~,supporting=~"),
