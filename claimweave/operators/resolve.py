@@ -59,19 +59,22 @@ def by_alias(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, ident
     unless its identifiers contradict the mention's: then entity_id is null. If they have several, the name decides
     nothing, whatever their identifiers: entity_id is null, too, and ambiguous_with lists them.
     """
-    found = mentions.select("mention_id", "kind", "normalized_name").join(aliases.select("entity_id", "normalized_name"), "normalized_name")
+    # Once for a name and kind, however many mentions bear it; only contradictions are the mention's own.
+    asked = mentions.select("kind", "normalized_name").where("normalized_name is not null").distinct()
+    found = asked.join(aliases.select("entity_id", "normalized_name"), "normalized_name")
     found = found.join(entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("stored")), "entity_id")
     found = found.where((F.col("stored") == F.col("kind")) | (F.col("stored") == "other"))
-    ends = followed(found, survivors, "entity_id", "end").select("mention_id", "end").distinct()
-    named = ends.groupBy("mention_id").agg(
-        F.count("*").alias("n"), F.min("end").alias("entity_id"), F.sort_array(F.collect_list("end")).alias("ends")
-    )
-    against = contradictions(named.where("n = 1"), mentions, identifiers).withColumn("against", F.lit(True))
-    told = named.join(against, ["mention_id", "entity_id"], "left")
-    one = (F.col("n") == 1) & F.col("against").isNull()
-    return told.select(
-        "mention_id", F.when(one, F.col("entity_id")).alias("entity_id"), F.when(F.col("n") > 1, F.col("ends")).alias("ambiguous_with")
+    ends = followed(found, survivors, "entity_id", "end").select("kind", "normalized_name", "end").distinct()
+    named = ends.groupBy("kind", "normalized_name").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    several = F.size("ends") > 1
+    named = cut(named.select("kind", "normalized_name", F.when(~several, F.col("ends")[0]).alias("entity_id"), F.when(several, F.col("ends")).alias("ambiguous_with")))
+    told = mentions.select("mention_id", "kind", "normalized_name").join(named, ["kind", "normalized_name"])
+    one = mentions.select("mention_id", "kind", "normalized_name").join(
+        named.where("entity_id is not null").drop("ambiguous_with"), ["kind", "normalized_name"]
     )
+    against = contradictions(one, mentions, identifiers).select("mention_id", F.lit(True).alias("against"))
+    told = told.join(against, "mention_id", "left")
+    return told.select("mention_id", F.when(F.col("against").isNull(), F.col("entity_id")).alias("entity_id"), "ambiguous_with")
 
 
 def minted(kind: Column, key: Column) -> Column:
