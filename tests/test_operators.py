@@ -277,3 +277,11 @@ def test_reading_verdicts_and_choices(spark):
     merged = spark.createDataFrame([("e1", "e2")], "id string, survivor_id string")
     own = spark.createDataFrame([("x", "e3")], "query string, entity_id string")
     assert [r["entity_id"] for r in V.merge_candidates(like, merged, own).collect()] == ["e2"]
+
+
+def test_candidates_are_counted_as_the_pairs_are(spark):
+    like = spark.createDataFrame([("a", e) for e in ("s1", "s2", "s3", "s3")] + [("b", "s4"), ("c", "s2")], "query string, entity_id string")
+    merged = spark.createDataFrame([("s2", "s1")], "id string, survivor_id string")
+    own = spark.createDataFrame([("s1", "a"), ("s2", "a"), ("s3", "a"), ("s4", "b"), ("s9", "b"), ("s1", "c"), ("s5", "d")], "own string, query string")
+    found = {(r["own"], r["candidates"], r["first"]) for r in V.candidate_counts(own, like, merged).collect()}
+    assert found == {("s1", 1, "s3"), ("s2", 2, "s1"), ("s3", 1, "s1"), ("s9", 1, "s4")}
