@@ -361,7 +361,7 @@ def poll_rows(g: Graph) -> DataFrame:
     twice = g.lines().groupBy("l_suppkey", "line").agg(F.count("*").alias("c")).where("c > 1").select(
         F.col("l_suppkey").alias("page_id"), F.concat(F.lit("Firm "), _text("line")).alias("pollster")
     )
-    found = html.poll_readings(html.polls(html.cells(_poll_pages(g))))
+    found = html.poll_readings(html.polls(html.lines(_poll_pages(g))))
     return found.join(twice, ["page_id", "pollster"], "left_anti").select(
         "page_id", "stage", "party", "pollster", "started", "ended", "sample_size", "population", "margin", "option", "percentage", "error"
     )

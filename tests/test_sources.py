@@ -190,3 +190,16 @@ def test_delimited_files_cut_anywhere(spark, tmp_path, header):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_rows_of_tables_are_those_of_their_cells(spark):
+    from claimweave.sources import html
+
+    odd = "<h2>General election</h2><h3>Polling</h3><table></table><table><tr></tr><tr><td>x</td></tr></table>" + POLLS + "<table><tr><th colspan=3>a</th></tr><tr><td rowspan=2>b</td></tr><tr></tr><tr><td>c<td>d</td></tr></table>"
+    every = pages(spark, POLLS, odd, None, "", "<table><tr><td rowspan=3>a</td><td>b</td><td rowspan=2>z</td></tr><tr></tr><tr><td>c</td></tr></table>")
+    whole = {(r["page_id"], r["table_no"], r["r"], c, x) for r in html.lines(every).collect() for c, x in enumerate(r["cells"]) if x is not None}
+    assert whole == {(r["page_id"], r["table_no"], r["r"], r["c"], r["text"]) for r in html.cells(every).collect() if r["r"]}
+    one, other = html.polls(html.lines(every)), html.polls(html.cells(every))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and one.count() > 3
+    read = html.poll_readings(one)._jdf.queryExecution().executedPlan().toString()
+    assert read.count("Exchange hashpartitioning(page_id") == 1 and "collect_list(struct(c" not in read
