@@ -119,10 +119,9 @@ def contest_key_rules(g: Graph) -> DataFrame:
         _pick(k, *_DIVISIONS), F.lit(" US Senate "), year, _pick(whole(5), "primary", "general", "runoff", "Primary"),
         _pick(whole(20), None, "Working Families")
     )
-    parts = keys.contest_parts(key)
-    return g.raw("orders").select(
-        "o_orderkey", key.alias("key"), parts["party"].alias("party"), keys.at_stage(parts, F.lit("general")).alias("successor")
-    )
+    # One projection after the other: a key is built once and read once.
+    built = g.raw("orders").select("o_orderkey", key.alias("key")).withColumn("parts", keys.contest_parts(F.col("key")))
+    return built.select("o_orderkey", "key", F.col("parts.party").alias("party"), keys.at_stage(F.col("parts"), F.lit("general")).alias("successor"))
 
 
 _LEVEL = "CASE n_nationkey % 4 WHEN 0 THEN 'state' WHEN 1 THEN 'county' WHEN 2 THEN 'precinct' ELSE 'state' END"

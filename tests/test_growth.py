@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from claimweave.functions import keys
 from claimweave.operators import ingest as I, integrity as G, resolve as R, search as S
-from claimweave.plans import catalog
+from claimweave.plans import catalog, queries
 
 
 def _plan(df):
@@ -57,3 +58,15 @@ def test_claims_without_objects_do_not_meet_in_one_task(spark):
         assert "__object" in _plan(told) and [r["violation"] for r in told.collect()] == [None] * 400
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_contest_key_is_built_once_and_read_once(spark, tmp_path):
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"), F.lit("1998-02-03").cast("timestamp_ntz").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    plan = _plan(queries.QUERIES["contest_key_rules"](spark, str(tmp_path)))
+    assert plan.count("(primary|runoff|general|special|caucus)") == 2 and plan.count("RLIKE(") <= 7, len(plan)
+    d = "ocd-division/a/b/2020/primary/2021"
+    odd = [f"{d}/general", f"{d}/general\n", f"{d}/special/x\r\n", f"\n{d}/general", "a\nb\n2020\nprimary\n", None, "", f"{d}/general/x", f"{d}/primary/"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "x string").select(keys.contest_parts(F.col("x"))).collect()]
+    head = ("ocd-division/a/b/2020", "primary", 2021)
+    assert [tuple(r) for r in got] == [(*head, "general", None), (*head, "general", None), (*head, "special", "x")] + [(None,) * 5] * 6
