@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimweave.plans.materialize import cut
+from claimweave.plans.materialize import cut, dealt
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def connected(edges: DataFrame) -> DataFrame:
         return both.select(F.col("u").alias("id"), F.col("u").alias("root"))
     now = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
-        seen = both.join(now.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
-        hooked = now.join(seen, "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
+        seen = both.join(dealt(now.select(F.col("id").alias("v"), "root")), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
+        hooked = now.join(dealt(seen), "id").select("id", F.least("root", "near").alias("new"), F.col("root").alias("old"))
         # What a node learned is passed on to its old root, so that whole trees are hooked, not single leaves.
         told = hooked.select(F.col("old").alias("id"), "new").union(hooked.select("id", "new")).groupBy("id").agg(F.min("new").alias("new"))
         jump = told.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        after = told.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("root"))
-        now = cut(after.join(now.select("id", F.col("root").alias("was")), "id"), now)
+        after = told.join(dealt(jump), "new", "left").select("id", F.coalesce("further", "new").alias("root"))
+        now = cut(after.join(dealt(now.select("id", F.col("root").alias("was"))), "id"), now)
         if now.where("root <> was").isEmpty():
             return now.select("id", "root")

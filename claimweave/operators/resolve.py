@@ -9,7 +9,7 @@ from claimweave.functions.text import slug
 from claimweave.operators import search
 from claimweave.operators.components import connected
 from claimweave.operators.integrity import followed
-from claimweave.plans.materialize import cut
+from claimweave.plans.materialize import cut, dealt, kept, large
 
 
 def kinds_fit(stored: Column, observed: Column) -> Column:
@@ -23,10 +23,10 @@ def mention(**fields: Column) -> Column:
     return F.filter(pairs, lambda p: p["value"].isNotNull())
 
 
-def _asserted(mentions: DataFrame) -> DataFrame:
+def _asserted(mentions: DataFrame, key: str = "mention_id") -> DataFrame:
     """(mention_id, k, namespace, value) of every identifier, normalized, in order."""
-    each = mentions.select("mention_id", F.posexplode("identifiers").alias("k", "i"))
-    named = each.select("mention_id", "k", text.namespace(F.col("i.namespace")).alias("namespace"), F.trim("i.value").alias("value"))
+    each = mentions.select(key, F.posexplode("identifiers").alias("k", "i"))
+    named = each.select(key, "k", text.namespace(F.col("i.namespace")).alias("namespace"), F.trim("i.value").alias("value"))
     return named.where("namespace is not null and value is not null")
 
 
@@ -67,7 +67,7 @@ def by_alias(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, ident
     ends = followed(found, survivors, "entity_id", "end").select("kind", "normalized_name", "end").distinct()
     named = ends.groupBy("kind", "normalized_name").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     several = F.size("ends") > 1
-    named = cut(named.select("kind", "normalized_name", F.when(~several, F.col("ends")[0]).alias("entity_id"), F.when(several, F.col("ends")).alias("ambiguous_with")))
+    named = kept(named.select("kind", "normalized_name", F.when(~several, F.col("ends")[0]).alias("entity_id"), F.when(several, F.col("ends")).alias("ambiguous_with")))
     told = mentions.select("mention_id", "kind", "normalized_name").join(named, ["kind", "normalized_name"])
     one = mentions.select("mention_id", "kind", "normalized_name").join(
         named.where("entity_id is not null").drop("ambiguous_with"), ["kind", "normalized_name"]
@@ -92,8 +92,8 @@ def _plain_namespaces(mentions: DataFrame) -> DataFrame:
     return folded.withColumn("identifiers", F.zip_with("identifiers", "__n", pair)).drop("__n")
 
 
-def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What decides an entity, once each, known by its smallest mention_id; and ``mention_id, key`` of all mentions.
+def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """What decides an entity, once each, known by its smallest mention_id; ``mention_id, key`` of these and of all mentions; whether they are many.
 
     Mentions of one kind, name and identifiers have one face, so a thing that is mentioned very often is resolved once.
     """
@@ -105,7 +105,9 @@ def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = ("kind", "normalized_name", "identifiers", "sure")
     faces = rows.groupBy("key").agg(F.min("mention_id").alias("mention_id"), *(F.any_value(c).alias(c) for c in held))
     faces = cut(faces.withColumn("sure", F.col("sure") & (F.size("identifiers") > 0)))
-    return _plain_namespaces(faces), rows.select("mention_id", "key")
+    many = large(faces)
+    faces = dealt(faces) if many else faces
+    return _plain_namespaces(faces.drop("key")), faces.select("mention_id", "key"), rows.select("mention_id", "key"), many
 
 
 def _grouped(loose: DataFrame, known: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -115,20 +117,20 @@ def _grouped(loose: DataFrame, known: DataFrame, identifiers: DataFrame) -> Data
     of the batch brings to one of this one's identifiers, ``by_key`` the smallest such entity of the group, ``by_name``
     that of the group's first mention whose name decides.
     """
-    asked = cut(_asked_keys(loose))
+    asked = kept(_asked_keys(loose))
     brought = _asked_keys(known).join(identifiers.select("namespace", "value"), ["namespace", "value"], "left_anti")
     brought = brought.groupBy("namespace", "value").agg(F.min("entity_id").alias("anchor"))
     hubs = asked.groupBy("namespace", "value").agg(F.min("mention_id").alias("hub"))
-    linked = asked.join(hubs, ["namespace", "value"]).where("mention_id <> hub")
+    linked = asked.join(dealt(hubs), ["namespace", "value"]).where("mention_id <> hub")
     root = connected(linked.select(F.col("mention_id").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("id", "mention_id")
     direct = asked.join(brought, ["namespace", "value"]).groupBy("mention_id").agg(F.min(F.struct("k", "anchor")).alias("d"))
-    each = loose.join(root, "mention_id", "left").join(direct.select("mention_id", F.col("d.anchor").alias("direct")), "mention_id", "left")
+    each = loose.join(dealt(root), "mention_id", "left").join(dealt(direct.select("mention_id", F.col("d.anchor").alias("direct"))), "mention_id", "left")
     each = each.withColumn("root", F.coalesce("root", "mention_id"))
     group = each.groupBy("root").agg(
         F.min("direct").alias("by_key"), F.min_by("alias_id", F.when(F.col("alias_id").isNotNull(), F.col("mention_id"))).alias("by_name"),
         F.min(F.struct(F.col("kind") == "other", "mention_id", "kind")).alias("g")
     )
-    return each.join(group.select("root", "by_key", "by_name", F.col("g.kind").alias("group_kind")), "root")
+    return each.join(dealt(group.select("root", "by_key", "by_name", F.col("g.kind").alias("group_kind"))), "root")
 
 
 def _asked_keys(rows: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def _fresh(new: DataFrame) -> DataFrame:
     entity unless any two of them differ in a namespace. A mention without identifiers joins the only new entity of its
     name; if there are several, it makes its own and lists them. Names that stored entities bear join nothing here.
     """
-    keyed = cut(new.where(F.size("identifiers") > 0))
+    keyed = kept(new.where(F.size("identifiers") > 0))
     first = F.element_at("identifiers", 1)
     groups = keyed.groupBy("root").agg(
         F.max("sure").alias("sure"), F.first("group_kind").alias("group_kind"), F.min(F.concat_ws("=", first["namespace"], first["value"])).alias("key")
@@ -156,10 +158,10 @@ def _fresh(new: DataFrame) -> DataFrame:
     owned = keyed.join(joined, "root").select("root", "whole", F.explode("identifiers").alias("i"))
     apart = owned.groupBy("whole", "i.namespace").agg(F.count_distinct("root").alias("r"), F.count_distinct("i.value").alias("n"))
     apart = apart.where("r > 1 and n > 1").select("whole").distinct().withColumn("apart", F.lit(True))
-    final = groups.join(joined, "root", "left").join(apart, "whole", "left")
+    final = groups.join(dealt(joined), "root", "left").join(apart, "whole", "left")
     final = final.withColumn("final", F.when(F.col("apart") | F.col("whole").isNull(), F.col("root")).otherwise(F.col("whole")))
     made = final.groupBy("final").agg(F.min("key").alias("key"), F.first("group_kind").alias("group_kind"))
-    made = cut(final.select("root", "final").join(made.select("final", minted(F.col("group_kind"), F.col("key")).alias("entity_id")), "final").drop("final"))
+    made = kept(final.select("root", "final").join(made.select("final", minted(F.col("group_kind"), F.col("key")).alias("entity_id")), "final").drop("final"))
     none = F.lit(None).cast("array<string>")
     with_keys = keyed.join(made, "root").select("mention_id", "entity_id", F.lit("created").alias("method"), F.col("ambiguous_with"))
     bearers = names.join(made, "root").select("normalized_name", "group_kind", "entity_id").distinct()
@@ -191,20 +193,22 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, identi
     to by name, else one new entity, whose kind is the first that is known; a member of another kind gets an error.
     New entities bear their names for the rest of the batch, as _fresh() says. Ids of new entities are computed.
     """
-    faces, of = _faces(mentions)
+    faces, keyed, of, many = _faces(mentions)
+    if many:
+        entities, aliases, identifiers = map(dealt, (entities, aliases, identifiers))
     known = by_identifier(faces, entities, identifiers, survivors)
-    rest = faces.join(known.select("mention_id"), "mention_id", "left_anti")
+    rest = faces.join(dealt(known.select("mention_id")), "mention_id", "left_anti")
     named = by_alias(rest.where(~F.col("sure")), aliases, entities, identifiers, survivors)
     named = named.select("mention_id", F.col("entity_id").alias("alias_id"), "ambiguous_with", F.lit(True).alias("borne"))
-    state = faces.join(known.withColumn("known", F.lit(True)), "mention_id", "left").join(named, "mention_id", "left")
-    state = cut(state.withColumns({"known": F.coalesce("known", F.lit(False)), "borne": F.coalesce("borne", F.lit(False))}))
+    state = faces.join(dealt(known.withColumn("known", F.lit(True))), "mention_id", "left").join(dealt(named), "mention_id", "left")
+    state = kept(state.withColumns({"known": F.coalesce("known", F.lit(False)), "borne": F.coalesce("borne", F.lit(False))}))
     exact = state.where("known").select(
         "mention_id", "entity_id", F.when(F.col("error").isNull(), "identifier").alias("method"), "ambiguous_with", "error"
     )
     loose = _grouped(state.where("not known").drop("entity_id", "error"), state.where("entity_id is not null"), identifiers)
     anchor = F.coalesce("direct", "by_key", "by_name")
     kinds = entities.select(F.col("id").alias("anchor"), F.col("kind").alias("stored"))
-    loose = cut(loose.withColumn("anchor", anchor).join(kinds, "anchor", "left"))
+    loose = kept(loose.withColumn("anchor", anchor).join(kinds, "anchor", "left"))
     wanted = F.coalesce("stored", "group_kind")
     fits = kinds_fit(wanted, F.col("kind"))
     own = F.col("alias_id").isNotNull() & (F.col("alias_id") == F.col("anchor"))
@@ -223,8 +227,8 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, identi
     )
     made = _fresh(fine.where("anchor is null")).withColumn("error", none)
     told = exact.unionByName(clash).unionByName(joined).unionByName(made)
-    told = told.join(faces.select("mention_id", "key"), "mention_id").drop("mention_id")
-    return of.join(told, "key").select("mention_id", "entity_id", "method", "ambiguous_with", "error")
+    told = told.join(dealt(keyed), "mention_id").drop("mention_id")
+    return of.join(dealt(told), "key").select("mention_id", "entity_id", "method", "ambiguous_with", "error")
 
 
 def recorded(
@@ -236,7 +240,9 @@ def recorded(
     that several entities of the batch want goes to the smallest of them, and is owned by it for the others.
     """
     mentions = _plain_namespaces(mentions)
-    rows = mentions.join(resolved.where("entity_id is not null").select("mention_id", "entity_id"), "mention_id")
+    rows = cut(mentions.join(dealt(resolved.where("entity_id is not null").select("mention_id", "entity_id")), "mention_id"))
+    if large(rows):
+        rows, aliases, identifiers = map(dealt, (rows, aliases, identifiers))
     names = rows.select("entity_id", "name", "normalized_name")
     if "aliases" in mentions.columns:
         others = rows.select("entity_id", F.explode("aliases").alias("name"))
@@ -244,11 +250,11 @@ def recorded(
     names = names.where("normalized_name is not null").groupBy("entity_id", "normalized_name").agg(F.min("name").alias("name")).join(
         aliases.select("entity_id", "normalized_name"), ["entity_id", "normalized_name"], "left_anti"
     )
-    ids = _asserted(mentions).join(rows.select("mention_id", "entity_id"), "mention_id").select("entity_id", "namespace", "value").distinct()
+    ids = _asserted(rows, "entity_id").select("entity_id", "namespace", "value").distinct()
     owner = identifiers.select("namespace", "value", F.col("entity_id").alias("owner"))
-    state = cut(followed(ids.join(owner, ["namespace", "value"], "left"), survivors, "owner", "end"))
+    state = kept(followed(ids.join(owner, ["namespace", "value"], "left"), survivors, "owner", "end"))
     first = state.where("owner is null").groupBy("namespace", "value").agg(F.min("entity_id").alias("first"))
-    late = state.where("owner is null").join(first, ["namespace", "value"]).where("entity_id <> first").select(
+    late = state.where("owner is null").join(dealt(first), ["namespace", "value"]).where("entity_id <> first").select(
         "entity_id", "namespace", "value", F.col("first").alias("owner")
     )
     elsewhere = state.where("end <> entity_id").select("entity_id", "namespace", "value", "owner").unionByName(late)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import keys
 from claimweave.operators import ingest as I, integrity as G, resolve as R, search as S
-from claimweave.plans import catalog, queries
+from claimweave.plans import catalog, materialize, queries
 
 
 def _plan(df):
@@ -70,3 +70,26 @@ def test_a_contest_key_is_built_once_and_read_once(spark, tmp_path):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "x string").select(keys.contest_parts(F.col("x"))).collect()]
     head = ("ocd-division/a/b/2020", "primary", 2021)
     assert [tuple(r) for r in got] == [(*head, "general", None), (*head, "general", None), (*head, "special", "x")] + [(None,) * 5] * 6
+
+
+def _batch(spark):
+    pair = "array<struct<namespace:string,value:string>>"
+    entities = spark.createDataFrame([(f"e{k}", "person") for k in range(20)], "id string, kind string")
+    aliases = spark.createDataFrame([(f"e{k}", f"name {k}", f"name {k}") for k in range(20)], "entity_id string, name string, normalized_name string")
+    ids = spark.createDataFrame([(f"e{k}", "fec", f"F{k}") for k in range(20)], "entity_id string, namespace string, value string")
+    merged = spark.createDataFrame([("e1", "e0")], "id string, survivor_id string")
+    rows = [(f"m{k}", "person", f"name {k}", f"name {k}", [("fec", f"F{k}")] if k % 2 else []) for k in range(30)]
+    return spark.createDataFrame(rows, f"mention_id string, kind string, name string, normalized_name string, identifiers {pair}"), entities, aliases, ids, merged
+
+
+def test_a_large_batch_is_not_sent_to_every_executor(spark, monkeypatch):
+    monkeypatch.setattr(materialize, "LARGE", -1, raising=False)
+    m, e, a, i, s = _batch(spark)
+    told = R.resolve(m, e, a, i, s)
+    want = {f"m{k}": "e0" if k == 1 else f"e{k}" for k in range(20)}
+    got = {r["mention_id"]: r["entity_id"] for r in told.collect()}
+    assert {k: got[k] for k in want} == want and len(set(got.values())) == 29
+    names, fresh, owned = R.recorded(told, m, a, i, s)
+    assert {r["value"] for r in fresh.collect()} == {f"F{k}" for k in range(21, 30, 2)} and owned.count() == 0
+    for df in (told, names, fresh):
+        assert "BroadcastHashJoin" not in _plan(df), _plan(df)
