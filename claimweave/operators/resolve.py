@@ -101,7 +101,9 @@ def _faces(mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     ids = F.transform("identifiers", lambda i: F.struct(text.namespace(i["namespace"]).alias("namespace"), F.trim(i["value"]).alias("value")))
     ids = F.coalesce(F.filter(ids, lambda i: i["namespace"].isNotNull() & i["value"].isNotNull()), F.array().cast("array<struct<namespace:string,value:string>>"))
     rows = mentions.select("mention_id", "kind", "normalized_name", ids.alias("identifiers"), sure.alias("sure"))
-    rows = rows.withColumn("key", F.sha2(F.to_json(F.struct("kind", "normalized_name", "identifiers", "sure")), 256))
+    # Half of the digest's bytes, not its digits: the key is most of what is dealt of a short mention.
+    digest = F.unhex(F.sha2(F.to_json(F.struct("kind", "normalized_name", "identifiers", "sure")), 256))
+    rows = rows.withColumn("key", F.substring(digest, 1, 16))
     held = ("kind", "normalized_name", "identifiers", "sure")
     faces = rows.groupBy("key").agg(F.min("mention_id").alias("mention_id"), *(F.any_value(c).alias(c) for c in held))
     faces = cut(faces.withColumn("sure", F.col("sure") & (F.size("identifiers") > 0)))

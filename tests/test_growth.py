@@ -93,3 +93,9 @@ def test_a_large_batch_is_not_sent_to_every_executor(spark, monkeypatch):
     assert {r["value"] for r in fresh.collect()} == {f"F{k}" for k in range(21, 30, 2)} and owned.count() == 0
     for df in (told, names, fresh):
         assert "BroadcastHashJoin" not in _plan(df), _plan(df)
+
+
+def test_the_key_of_a_mention_is_short_and_stays_behind(spark):
+    faces, *keyed = R._faces(_batch(spark)[0])
+    assert "key" not in faces.columns
+    assert {len(r["key"]) for df in keyed[:2] for r in df.collect()} == {16}
