@@ -41,13 +41,12 @@ def fieldwork(text: Column) -> Column:
         )
 
     def split(parts: Column) -> Column:
-        one = F.size(parts) == 1
-        return F.struct(
-            (F.size(parts) <= 2).alias("fine"), side(parts[0]).alias("a"), side(F.when(one, parts[0]).otherwise(F.get(parts, F.lit(1)))).alias("b")
-        )
+        one, fine = F.size(parts) == 1, (F.size(parts) <= 2).alias("fine")
+        return let(side(parts[0]), lambda a: F.struct(fine, a.alias("a"), F.when(one, a).otherwise(side(F.get(parts, F.lit(1)))).alias("b")))
 
     def day(y: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+        said = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string"))
+        return F.when((y >= 0) & m.isNotNull() & d.isNotNull(), said.try_cast("date"))
 
     def dated(x: Column) -> Column:
         a, b = x["a"], x["b"]
@@ -84,10 +83,13 @@ def sample(text: Column) -> Column:
 
 def _number(text: Column, signs: str) -> Column:
     """struct(value DECIMAL(6,3), refused) of a cell without some signs: absent, read or refused."""
-    said = F.trim(F.regexp_replace(_cleaned(text), signs, ""))
-    fine = said.rlike(_DECIMAL)
-    refused = text.isNotNull() & ~said.isin(*ABSENT) & ~fine
-    return F.struct(F.when(fine, said.try_cast("decimal(6,3)")).alias("value"), F.coalesce(refused, F.lit(False)).alias("refused"))
+
+    def told(x: Column) -> Column:
+        refused = text.isNotNull() & ~x["said"].isin(*ABSENT) & ~x["fine"]
+        return F.struct(F.when(x["fine"], x["said"].try_cast("decimal(6,3)")).alias("value"), F.coalesce(refused, F.lit(False)).alias("refused"))
+
+    cleaned = F.trim(F.regexp_replace(_cleaned(text), signs, ""))
+    return let(let(cleaned, lambda said: F.struct(said.alias("said"), said.rlike(_DECIMAL).alias("fine"))), told)
 
 
 def margin(text: Column) -> Column:

@@ -357,11 +357,13 @@ def _poll_pages(g: Graph) -> DataFrame:
     UNION ALL SELECT page_id, stage, party, pollster, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'sample' FROM r WHERE n = 7""")
 def poll_rows(g: Graph) -> DataFrame:
     """Pages with poll tables made from lines, read back; a poll with a refused cell is refused whole."""
-    twice = g.lines().groupBy("l_suppkey", "line").agg(F.count("*").alias("c")).where("c > 1").select(
-        F.col("l_suppkey").alias("page_id"), F.concat(F.lit("Firm "), _text("line")).alias("pollster")
+    twice = g.lines().groupBy("l_suppkey", "line").agg(F.count("*").alias("c")).where("c > 1").groupBy(F.col("l_suppkey").alias("page_id")).agg(
+        F.collect_list(F.concat(F.lit("Firm "), _text("line"))).alias("twice")
     )
-    found = html.poll_readings(html.polls(html.lines(_poll_pages(g))))
-    return found.join(twice, ["page_id", "pollster"], "left_anti").select(
+    found = html.poll_readings(html.polls(html.tables(_poll_pages(g))))
+    # Joined by page alone, as whose readings lie already.
+    fine = F.col("twice").isNull() | ~F.array_contains("twice", F.col("pollster"))
+    return found.join(twice, "page_id", "left").where(fine).select(
         "page_id", "stage", "party", "pollster", "started", "ended", "sample_size", "population", "margin", "option", "percentage", "error"
     )
 

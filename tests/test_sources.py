@@ -204,3 +204,38 @@ def test_rows_of_tables_are_those_of_their_cells(spark):
     read = html.poll_readings(one)._jdf.queryExecution().executedPlan().toString()
     # One to deal the pages, one for all windows.
     assert read.count("Exchange hashpartitioning(page_id") == 2 and "collect_list(struct(c" not in read
+
+
+def test_plain_pages_are_taken_as_htmlparser_takes_them(monkeypatch):
+    from claimweave.sources import html
+
+    def fed(text):
+        page = html._Page()
+        page.feed(text)
+        page._close()
+        return page
+
+    told = lambda p: (list(p.cells), list(p.lines), p.items, p.heads)
+    odd = ["<td rowspan=2>a<b>x</b></td>", "<td>a<td>b", "<sup class=reference><td>1</td></sup>", "<!-- x --><td>&lt;b &amp;</td>", "<td/>", "<br/>", "<tr/>", "<li>i", "<style>td</style>"]
+    plain = [f"<h2>Q &amp; A</h2><table><tr>{a}<td colspan='2'>c</td></tr><TR>{b}</table>{a}" for a in odd for b in odd]
+    left = ["<td title='a>b'>c</td>", "a < b", "<script><li>x</li></script>", "<style>td<", "<td title=&amp;>x", "<![CDATA[x]]>", "tail &am"]
+    want = [told(fed(t)) for t in plain + left]
+    assert [told(html._walked(t)) for t in plain + left] == want
+    assert not any(html._taken(html._Page(), t) for t in left)
+    monkeypatch.setattr(html._Page, "feed", lambda *_: pytest.fail("a plain page was fed"))
+    assert [told(html._walked(t)) for t in plain] == want[: len(plain)]
+    assert list(html._walked("<table><tr><td rowspan=² colspan=1" + 5000 * "0" + ">a</td></tr></table>").cells)[-1][2] == 999
+
+
+def test_tables_leave_the_parser_in_pieces(spark, monkeypatch):
+    from claimweave.sources import html
+
+    page = html._walked(POLLS + POLLS)
+    monkeypatch.setattr(html, "AT_ONCE", 9)
+    rows = [(n, r + k, h2, h3, heads, x) for n, r, h2, h3, heads, piece in page.pieces for k, x in enumerate(piece)]
+    assert rows == list(page.lines) and max(len(p[-1]) for p in page.pieces) == 2
+    every = pages(spark, POLLS, POLLS.replace("&lt;1%", "2%"), None)
+    one, other = html.polls(html.tables(every)), html.polls(html.cells(every))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    plan = html.poll_readings(one).drop("group_no")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1  # what a poll's rows have in common is looked for once
