@@ -64,7 +64,7 @@ def _text(field: Field, kind: Column, raw: Column) -> Column:
         return F.when((number | (kind == "STRING")) & fits, whole).when(kind == "BOOLEAN", F.when(raw == "true", "1").otherwise("0"))
     if field.kind == "decimal":
         fits = trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,2})?$")
-        return F.when((number | (kind == "STRING")) & fits, canon.decimal(trimmed.try_cast("decimal(38,12)").cast("string")))
+        return F.when((number | (kind == "STRING")) & fits, let(trimmed.try_cast("decimal(38,12)").cast("string"), canon.decimal))
     if field.kind == "boolean":
         said = F.lower(trimmed)
         plain = F.regexp_replace(said, r"\.0*$", "")
@@ -101,11 +101,14 @@ def _judged(slug: str, value: Column) -> Column:
             parts.append(F.struct(kind.alias("kind"), F.try_variant_get(v, f"$.{f.name}", "string").alias("raw")))
         return F.array(*parts)
 
+    def said(parts: Column) -> Column:
+        kinds = [parts[k]["kind"] for k in range(len(fields))]
+        return F.array(*(F.struct(kind.alias("kind"), _text(f, kind, parts[k]["raw"]).alias("text")) for k, (f, kind) in enumerate(zip(fields, kinds))))
+
     def judge(parts: Column) -> Column:
         told = []
         for k, f in enumerate(fields):
-            kind = parts[k]["kind"]
-            text = _text(f, kind, parts[k]["raw"])
+            kind, text = parts[k]["kind"], parts[k]["text"]
             wrong = F.concat(F.lit(f"{f.name} "), _verdict(f, kind, text))
             default = F.lit(f.default) if f.default is not None else F.lit(None).cast("string")
             told.append(F.struct(wrong.alias("wrong"), F.when(kind.isNull(), default).otherwise(text).alias("text")))
@@ -115,8 +118,12 @@ def _judged(slug: str, value: Column) -> Column:
         return F.struct(errors.alias("errors"), F.map_from_arrays(F.array(*(F.lit(f.name) for f in fields)), F.array(*(t["text"] for t in told))).alias("fields"))
 
     no_object = F.struct(F.array(F.lit("the payload is no object")).alias("errors"), F.lit(None).cast("map<string,string>").alias("fields"))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, let(let(F.try_parse_json(value), read), judge)).otherwise(no_object).cast(ddl)
+
+    def whole(v: Column) -> Column:
+        is_object = v.isNotNull() & value.rlike(r"^[ \t\n\r]*\{")
+        return F.when(is_object, let(let(read(v), said), judge)).otherwise(no_object)
+
+    return let(F.try_parse_json(value), whole).cast(ddl)
 
 
 def judged(predicate: Column, value: Column, slugs: Iterable[str] = tuple(PAYLOADS)) -> Column:
