@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimweave.functions import keys
-from claimweave.operators import ingest as I, integrity as G, resolve as R, search as S
+from claimweave.operators import ingest as I, integrity as G, resolve as R, review as V, search as S
 from claimweave.plans import catalog, materialize, queries
 
 
@@ -112,3 +112,22 @@ def test_records_are_judged_once(spark):
     assert told == wrong | {"c": None}
     claims, errors = I.judged_records(gifts, "donation")
     assert [r["record_id"] for r in claims.collect()] == ["c"] and {r["record_id"]: r["error"] for r in errors.collect()} == wrong
+
+
+def test_texts_of_all_revisions_are_not_dealt_with_each_of_them(spark):
+    plan = _plan(queries.QUERIES["task_views"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan[: plan.index("collect_list(")] and plan.count("lineitem.parquet") == 2, plan
+    rows = [("r1", "p", 1, "s", "k"), ("r2", "p", 2, "s", "k"), ("r3", "q", 1, "x", None), ("r4", None, 1, "s", "k")]
+    revisions = spark.createDataFrame(rows, "revision_id string, poll_id string, revision_number int, pollster_id string, contest_id string").withColumns(
+        {"started": F.lit(None).cast("date"), "ended": F.lit(None).cast("date"), "created_by": F.lit(None).cast("string"), "poll_key": F.lit("")}
+    )
+    tasks = spark.createDataFrame(
+        [("a", "r1", "pending"), ("b", "r1", "claimed"), ("c", "r2", "completed"), ("d", "r3", "pending"), ("e", "r4", "pending"), ("f", "none", "pending")],
+        "id string, target string, status string"
+    )
+    readings = spark.createDataFrame([("r2", "Ann 4")], "revision_id string, readings string")
+    entities = spark.createDataFrame([("s", "Firm"), ("k", "Race")], "id string, canonical_name string")
+    told = {r["id"]: r for r in V.poll_views(tasks, revisions, readings, entities).collect()}
+    assert set(told) == {"a", "b", "d"} and told["d"]["headline"] == "(unknown pollster) — unknown contest"
+    assert [tuple(x) for x in told["a"]["readings"]] == [(1, True, "(no readings)", "(unattributed)"), (2, False, "Ann 4", "(unattributed)")]
+    assert told["a"]["readings"] == told["b"]["readings"] and told["a"]["candidates"] == []
